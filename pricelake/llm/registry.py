@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelake.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold=0.8)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricelake.llm.packing import pack, piece_digests
 
@@ -48,6 +54,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_token_orc": op8_token_orc,
