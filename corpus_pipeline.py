@@ -1,10 +1,62 @@
-"""The corpus pipeline: documents to packed token windows, stage by stage."""
+"""The corpus pipeline: from documents to packed token windows.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs.  All but the last return the
+columns of documents.  A stage works on every row that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from pricelake.llm.common import scratch, table
+from pricelake.llm.exact_dedup import exact_dedup
+from pricelake.llm.near_dedup import keep_one_of_each
+from pricelake.llm.packing import pack, piece_digests
+from pricelake.llm.quality import keep_quality
+from pricelake.llm.registry import tokenizer_path
+from pricelake.llm.substring_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels table, draws."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each distinct text, that with the largest identifier."""
+    return exact_dedup(docs, keep="max")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component (five words, 0.8), that with the least identifier."""
+    return keep_one_of_each(docs, width=5, threshold=0.8)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 words and more that stand in an earlier document; n_chars follows the text."""
+    from pyspark.sql import functions as F
+
+    cut = remove_repeats(docs, window=50)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else cut
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows of at most 1,024 tokens."""
+    return piece_digests(pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=0))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("substring", substring), ("packing", packing)]
+
+#: The classifier and the packing are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
