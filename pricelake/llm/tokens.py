@@ -3,21 +3,36 @@
 Both vocabularies cut a text before they merge, and never merge across a cut.
 A single space between two other characters is such a cut (byte-level: the
 space leads the next piece; word-level: spaces vanish), so a text's identifiers
-are those of its pieces in a row, and a worker encodes each piece once.
+are those of its words in a row, and a worker encodes each word once.  Words of
+letters go straight to the tokenizer's model, since they are one piece; all
+others take the whole way.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-#: Pieces that a worker remembers, and the longest that it does.
+#: Words that a worker remembers (as many again from before), and the longest that it does.
 REMEMBERED, LONGEST = 400_000, 200
 _DOUBLE = re.compile(r"\s\s").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
+#: Marks at a word's end that neither vocabulary merges with a letter before them.
+_MARKS = frozenset(".,;:!?")
+#: Letters below this are their own NFC form, and (but for one) lower-case the same everywhere.
+_PLAIN, _NOT_PLAIN = "\u0250", "\u0130"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a character: printable ones as themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -29,32 +44,65 @@ class Encoder:
 
         self.of = Tokenizer.from_file(path)
         self.of.encode_special_tokens = True
+        self.model = self.of.model
         #: Whether a space leads the piece after it, or vanishes where words end by a mark.
-        self.spaced = not self.of.model.end_of_word_suffix
-        self.known: dict[str, bytes] = {"": b""}
+        self.spaced = not self.model.end_of_word_suffix
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.marks = {x: self._whole([x])[0] for x in [*_MARKS, "\n"]}
 
-    def _pieces(self, text: str) -> list[str]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """The tokenizer's own way from text to identifiers."""
+        return [array("I", x.ids).tobytes() for x in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> list[str]:
+        """The text's words; where spaces lead, all but the first stand for a space and themselves."""
         if not self.spaced:
             return text.split(" ")
-        cut = _CUT(text) if _DOUBLE(text) else text.split(" ")
-        return [cut[0], *[" " + x for x in cut[1:]]]
+        return _CUT(text) if _DOUBLE(text) else text.split(" ")
+
+    def _letters(self, word: str, lead: str) -> bytes:
+        """A word of letters, by the model."""
+        if not self.spaced:
+            word = word.lower()
+        piece = lead + (word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))
+        return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
+
+    def _quick(self, word: str, lead: str) -> bytes | None:
+        """Letters, perhaps with a mark at the end, or such words with a line end between; None: anything else."""
+        body, mark = (word[:-1], word[-1]) if word[-1:] in _MARKS else (word, "")
+        if body.isalpha() and (self.spaced or body.isascii() or (max(body) < _PLAIN and _NOT_PLAIN not in body)):
+            out = self._letters(body, lead)
+            return out + self.marks[mark] if mark else out
+        if "\n" not in word:
+            return None
+        lines = [self._quick(x, lead if i == 0 else "") for i, x in enumerate(word.split("\n"))]
+        return None if None in lines else (self.marks["\n"] if self.spaced else b"").join(lines)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's identifiers, as bytes."""
-        pieces = [self._pieces(x) for x in texts]
-        words = set().union(*pieces) if pieces else set()
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {"": b""}, words - {""}
-        known, todo = self.known, list(new)
-        for i in range(0, len(todo), 2048):
-            part = todo[i : i + 2048]
-            for word, got in zip(part, self.of.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, x)) for x in pieces]
-        for word in todo:
-            if len(word) > LONGEST:
-                del known[word]
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        cut = [self._cut(x) for x in texts]
+        first = [x.pop(0) for x in cut] if self.spaced else []
+        lead, space = (_LETTERS[32], " ") if self.spaced else ("", "")
+        rest, long = [], []
+        for x in set().union(*cut).difference(known):
+            if (got := before.get(x)) is None and (got := self._quick(x, lead)) is None:
+                rest.append(x)
+            else:
+                known[x] = got
+            if len(x) > LONGEST:
+                long.append(x)
+        for i in range(0, len(rest), 2048):
+            part = rest[i : i + 2048]
+            known.update(zip(part, self._whole([space + x for x in part]), strict=True))
+        out = [b"".join(map(known.__getitem__, x)) for x in cut]
+        if first:
+            out = [x + y for x, y in zip(self._whole(first), out, strict=True)]
+        for x in long:
+            del known[x]
         return out
 
 
@@ -62,4 +110,3 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The worker's own encoder; it lives as long as the worker."""
     return Encoder(path)
-
