@@ -47,6 +47,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"), window=50)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelake.llm.lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricelake.llm.ann import nearest_neighbours
 
@@ -62,6 +68,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_token_orc": op8_token_orc,

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from pricelake.llm.common import WORDS, partitions, text_of
 from pricelake.llm.hashing import mixed, rolling, word_hashes
+from pricelake.llm.packed import PACKED, bucket_of_task, by_bucket, packed_frame, replies
 
 #: Chunks for each shuffle partition: small enough to be held, many enough to be even.
 CHUNKS_PER_PARTITION = 4
 _LAST = 2**63 - 1
 _REST = np.uint64((1 << 46) - 1)
-_PACKED = "bucket int, chunk int, body binary"
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -44,19 +44,6 @@ def _unsix(body: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _rows(buckets: np.ndarray, bodies: np.ndarray, chunk: int, pack) -> list[tuple[int, int, bytes]]:
-    """The values of each bucket, packed: (bucket, chunk, body)."""
-    order = np.argsort(buckets, kind="stable")
-    buckets, bodies = buckets[order], bodies[order]
-    cuts = np.flatnonzero(np.diff(buckets)) + 1
-    starts = [0, *cuts.tolist()] if len(buckets) else []
-    return [(int(buckets[a]), chunk, pack(bodies[a:b])) for a, b in zip(starts, [*cuts.tolist(), len(buckets)], strict=False)]
-
-
-def _frame(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "body"]).astype({"bucket": "int32", "chunk": "int32"})
-
-
 def _split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """A block hash as (bucket, the 46 bits that travel)."""
     return ((h >> np.uint64(46)) % np.uint64(buckets)).astype(np.int64), h & _REST
@@ -122,11 +109,11 @@ def _passages(docs: DataFrame, window: int, text_col: str, id_col: str, carry: b
         flags = np.zeros(len(unique), dtype=np.uint64)
         np.bitwise_or.at(flags, place, (ids > least[place]).astype(np.uint64) | (at % block == 0).astype(np.uint64) << np.uint64(1))
         bucket, rest = _split(unique, n)
-        return _frame(_rows(bucket, rest << np.uint64(2) | flags, int(key[0]), _six))
+        return packed_frame(by_bucket(bucket, rest << np.uint64(2) | flags, int(key[0]), _six))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In a bucket: blocks indexed in one document and found in another, told to each chunk that has them."""
-        for bucket, whose, bodies in _buckets(batches, _unsix):
+        for bucket, whose, bodies in bucket_of_task(batches, _unsix):
             h, flags = bodies >> np.uint64(2), bodies & np.uint64(3)
             order = np.argsort(h, kind="stable")
             h, flags, whose = h[order], flags[order], whose[order]
@@ -134,12 +121,12 @@ def _passages(docs: DataFrame, window: int, text_col: str, id_col: str, carry: b
             size = np.diff(np.append(starts, len(h)))
             seen = np.bitwise_or.reduceat(flags, starts) if len(h) else flags
             hit = np.repeat((seen & np.uint64(2) > 0) & ((size > 1) | (seen & np.uint64(1) > 0)), size)
-            yield from _replies(bucket, whose[hit], h[hit], _six)
+            yield from replies(bucket, whose[hit], h[hit], _six)
 
     def windows(key: tuple, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         """Hashes of the windows around hits."""
         if rows.empty or found.empty:
-            return _frame([])
+            return packed_frame([])
         chunk = _Chunk(rows["text"], rows["id"])
         known = np.concatenate([_unsix(b) * np.uint64(n) + np.uint64(k) for k, b in zip(found["bucket"], found["body"], strict=True)])
         known.sort()
@@ -156,14 +143,14 @@ def _passages(docs: DataFrame, window: int, text_col: str, id_col: str, carry: b
                 near = sums[window - block + 1 : window - block + 1 + last] > sums[:last]
                 out.append(rolling(words, window)[near])
         unique = np.unique(np.concatenate(out))
-        return _frame(_rows(_window_bucket(unique, n), unique, int(key[0]), lambda x: x.astype("<u8").tobytes()))
+        return packed_frame(by_bucket(_window_bucket(unique, n), unique, int(key[0]), lambda x: x.astype("<u8").tobytes()))
 
     def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In a bucket: windows told to every chunk but the first that has them."""
-        for bucket, whose, h in _buckets(batches, lambda b: np.frombuffer(b, "<u8")):
+        for bucket, whose, h in bucket_of_task(batches, lambda b: np.frombuffer(b, "<u8")):
             _, least, place = _least(h, whose.astype(np.int64))
             later = whose > least[place]
-            yield from _replies(bucket, whose[later], h[later], lambda x: x.astype("<u8").tobytes())
+            yield from replies(bucket, whose[later], h[later], lambda x: x.astype("<u8").tobytes())
 
     def removed(key: tuple, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
@@ -186,34 +173,12 @@ def _passages(docs: DataFrame, window: int, text_col: str, id_col: str, carry: b
             masks.append(np.cumsum(cover)[:-1] > 0)
         return emit(rows, chunk.words, masks)
 
-    told = chunks.groupBy("chunk").applyInPandas(probes, _PACKED).repartitionById(n, F.col("bucket")).mapInArrow(hits, _PACKED)
-    near = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(windows, _PACKED)
-    late = near.repartitionById(n, F.col("bucket")).mapInArrow(earlier, _PACKED)
+    told = chunks.groupBy("chunk").applyInPandas(probes, PACKED).repartitionById(n, F.col("bucket")).mapInArrow(hits, PACKED)
+    near = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(windows, PACKED)
+    late = near.repartitionById(n, F.col("bucket")).mapInArrow(earlier, PACKED)
     return chunks.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInPandas(removed, schema)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], unpack) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """A task's bucket (one in all): its number, each value's chunk, the values."""
-    chunks, bodies, bucket = [], [], None
-    for batch in batches:
-        for b, c, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            values = unpack(body)
-            bucket = b
-            chunks.append(np.full(len(values), c, dtype=np.int32))
-            bodies.append(values)
-    if bodies:
-        yield bucket, np.concatenate(chunks), np.concatenate(bodies)
-
-
-def _replies(bucket: int, whose: np.ndarray, values: np.ndarray, pack) -> Iterator[pa.RecordBatch]:
-    rows = [(bucket, chunk, body) for chunk, _, body in _rows(whose, values, 0, pack)]
-    if rows:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)],
-            names=["bucket", "chunk", "body"],
-        )
-
-
 def repeat_digests(docs: DataFrame, window: int = 50, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """For each row: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by a space).
 
