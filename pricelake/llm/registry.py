@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelake.llm.common import scratch, table
+from pricelake.llm.common import checkpointed, scratch, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +27,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=0))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelake.llm.flat_tokens import count_flat, counts_by_document, write_flat
+
+    folder, separator = scratch(spark, "flat-tokens"), 49407
+    manifest = checkpointed(write_flat(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), separator))
+    return counts_by_document(count_flat(spark, folder, separator), manifest)
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricelake.llm.token_files import read_orc, with_crc32, write_orc
 
@@ -47,6 +55,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"), window=50)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelake.llm.sentencepiece_codec import decode, digests, encode
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    return digests(decode(encode(table(spark, sf_dir, "documents"), model), model))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricelake.llm.lm import score_texts
 
@@ -68,9 +83,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_token_counts": op7_token_counts,
     "op8_token_orc": op8_token_orc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,

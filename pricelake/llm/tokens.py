@@ -16,7 +16,7 @@ from array import array
 from functools import lru_cache
 
 #: Words that a worker remembers (as many again from before), and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 200
+REMEMBERED, LONGEST = 600_000, 200
 _DOUBLE = re.compile(r"\s\s").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 #: Marks at a word's end that neither vocabulary merges with a letter before them.
@@ -87,14 +87,22 @@ class Encoder:
         cut = [self._cut(x) for x in texts]
         first = [x.pop(0) for x in cut] if self.spaced else []
         lead, space = (_LETTERS[32], " ") if self.spaced else ("", "")
-        rest, long = [], []
+        rest, long, marks, tokenize = [], [], self.marks, self.model.tokenize
         for x in set().union(*cut).difference(known):
-            if (got := before.get(x)) is None and (got := self._quick(x, lead)) is None:
-                rest.append(x)
-            else:
-                known[x] = got
             if len(x) > LONGEST:
-                long.append(x)
+                long += [x, x[:-1]]
+            if (got := before.get(x)) is None:
+                body, mark = (x[:-1], marks[x[-1]]) if x[-1:] in _MARKS else (x, b"")
+                if mark and (got := known.get(body)) is not None:
+                    got += mark
+                elif body.isascii() and body.isalpha():
+                    got = array("I", [t.id for t in tokenize(lead + (body if space else body.lower()))]).tobytes()
+                    if mark:
+                        known[body], got = got, got + mark
+                elif (got := self._quick(x, lead)) is None:
+                    rest.append(x)
+                    continue
+            known[x] = got
         for i in range(0, len(rest), 2048):
             part = rest[i : i + 2048]
             known.update(zip(part, self._whole([space + x for x in part]), strict=True))
@@ -102,7 +110,7 @@ class Encoder:
         if first:
             out = [x + y for x, y in zip(self._whole(first), out, strict=True)]
         for x in long:
-            del known[x]
+            known.pop(x, None)
         return out
 
 
