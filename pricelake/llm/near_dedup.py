@@ -10,8 +10,9 @@ Sizes: documents with equal sets are one from the start.  A short list gives its
 pairs, a bounded number for each entry.  In a long list (a shingle that a large
 part of the corpus has, or a large group of near copies) documents are keyed by
 several retained values at once, which only near copies share; there everyone is
-compared with one pivot, so a group of thousands costs one row each, and only
-lists that still hold documents of different components are compared further.
+compared with one pivot, so a group of thousands costs one row each.  Where a
+list still holds documents of different components, their rarest sketch values
+are listed, first with pivots again; what then is left is compared in pairs.
 """
 
 from __future__ import annotations
@@ -142,6 +143,24 @@ def _pairs_within(lists: DataFrame, threshold: float) -> DataFrame:
     return joined.where(_may_match(F.col("n"), F.col("n_b"), threshold)).select("a", "b", "key")
 
 
+def _rarest_lists(documents: DataFrame, threshold: float) -> DataFrame:
+    """(key, rep, n, component, size, pivot, pivot_n): inverted lists of each document's rarest sketch values.
+
+    Two sketches that share at least s of their k values share one of each one's
+    k - s + 1 rarest, whatever the order, if it is the same for both.  Whole sets
+    share the threshold's part; sketches all but five standard deviations of it.
+    """
+    part = round(100 * threshold) / 100
+    least = F.when(F.size("sketch") < SKETCH, F.ceil(F.size("sketch") * part - 1e-9)).otherwise(int(SKETCH * part - 5 * (SKETCH * part * (1 - part)) ** 0.5))
+    entries = documents.select("rep", "n", "component", (F.size("sketch") - least + 1).cast("int").alias("take"), F.explode("sketch").alias("key"))
+    often = entries.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = entries.join(often, "key").groupBy("rep", "n", "component", "take").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("values"))
+    rarest = ranked.select("rep", "n", "component", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("value")).where("value.often > 1")
+    rarest = rarest.select(F.col("value.key").alias("key"), "rep", "n", "component")
+    sizes = rarest.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n"))
+    return rarest.join(sizes.where("size > 1"), "key")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
@@ -183,15 +202,32 @@ def near_duplicates(
     links = verify(pairs)
     found = checkpointed(components(links))
 
-    # Long lists that still hold several components: every pair across components.
+    # Long lists that still hold several components: a passage that many share, or neighbours of a group of
+    # copies.  There a document's rarest sketch values get lists: similar sketches share one of those.
     crowded = dense.where(F.col("size") > SHORT).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    crowded = crowded.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed_lists = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rest = checkpointed(crowded.join(mixed_lists, "key"))
-    if not rest.isEmpty():
-        tried = pairs.select("a", "b")
-        more = verify(_pairs_within(rest, threshold).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    crowded = crowded.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    several = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    unsettled = checkpointed(crowded.join(several, "key").select("rep", "component").distinct().join(reps.select("rep", "n", "sketch"), "rep"))
+    tried = pairs
+    for narrow in (True, False):
+        lists = checkpointed(_rarest_lists(unsettled, threshold))
+        if lists.isEmpty():
+            break
+        short = _pairs_within(lists.where(F.col("size") <= SHORT), threshold).select("a", "b")
+        long = lists.where(F.col("size") > SHORT)
+        if narrow:
+            apart = (F.col("rep") != F.col("pivot")) & _may_match(F.col("n"), F.col("pivot_n"), threshold)
+            more = short.union(long.where(apart).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+        else:
+            more = _pairs_within(long, threshold).select("a", "b")
+        more = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti"))
+        joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(more))
+        found, tried = checkpointed(components(joined)), tried.union(more)
+        now = found.withColumnRenamed("node", "rep")
+        of_list = long.drop("component").join(now, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = of_list.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+        left = of_list.join(several, "key").select("rep", "component").distinct()
+        unsettled = checkpointed(left.join(reps.select("rep", "n", "sketch"), "rep"))
 
     # An identifier's rows may have different sets: they join what each is linked with.
     of_set = reps.select("same", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
