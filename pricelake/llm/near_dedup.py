@@ -10,7 +10,8 @@ Sizes: documents with equal sets are one from the start.  A short list gives its
 pairs, a bounded number for each entry.  In a long list (a shingle that a large
 part of the corpus has, or a large group of near copies) documents are keyed by
 several retained values at once, which only near copies share; there everyone is
-compared with one pivot, so a group of thousands costs one row each.  Where a
+compared with one pivot, so a group of thousands costs one row each, and those
+near it but not linked meet only whom they can be linked with.  Where a
 list still holds documents of different components, their rarest sketch values
 are listed, first with pivots again; what then is left is compared in pairs.
 """
@@ -102,14 +103,18 @@ def _part_keys(sketch: Column) -> Column:
     return keys(sketch)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, threshold: float, text_col: str, id_col: str) -> DataFrame:
-    """The pairs (a, b) that pass the estimate and then the comparison of full sets."""
+def _compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, threshold: float, text_col: str, id_col: str) -> DataFrame:
+    """The pairs (a, b, star) that pass the estimate, compared on their full sets.
+
+    Adds linked, missing (values of a that b lacks), extra (values of b that a
+    lacks), and for a star's pairs added, those values.
+    """
     sketch = reps.select("rep", "sketch")
     near = (
         pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a")
         .join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
         .where(_estimate(F.col("sketch_a"), F.col("sketch_b")) >= F.lit(threshold - SLACK))
-        .select("a", "b")
+        .select("a", "b", "star")
     )
     near = checkpointed(near)
     needed = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
@@ -121,30 +126,70 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, th
 
     sets = rows.select("id", whole("text").alias("set"))
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf("linked boolean, missing long, extra long, added array<long>")
+    def compare(a: pd.Series, b: pd.Series, star: pd.Series) -> pd.DataFrame:
         out = []
-        for x, y in zip(a, b, strict=True):
+        for x, y, s in zip(a, b, star, strict=True):
             x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            out.append(100 * both >= round(100 * threshold) * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+            added = np.setdiff1d(y, x, assume_unique=True)
+            both = len(y) - len(added)
+            linked = 100 * both >= round(100 * threshold) * (len(x) + len(y) - both)
+            out.append((bool(linked), len(x) - both, len(added), added if s else None))
+        return pd.DataFrame(out, columns=["linked", "missing", "extra", "added"])
 
     found = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"
     )
-    return found.where(similar("set_a", "set_b")).select("a", "b")
+    return found.withColumn("seen", compare("set_a", "set_b", "star")).select("a", "b", "star", "seen.*")
+
+
+def _within_stars(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a star's members, one of them not in its component, that may be linked.
+
+    members: (rep, n, star, star_n, missing, extra, added, component, star_component).
+    Two documents that are near a pivot either share a value that the pivot
+    lacks, or have in common at most what is left of the pivot when the longer of
+    their missing parts is taken off; sizes then tell whether that can suffice.
+    """
+    part = round(100 * threshold)
+    loose = F.col("component") != F.col("star_component")
+    some = members.where(loose).select("star").distinct()
+    of_some = checkpointed(members.join(some, "star"))
+    lists = of_some.select("star", F.explode("added").alias("value"), "rep", "n", "component")
+    lists = lists.select(F.xxhash64("star", "value").alias("key"), "rep", "n", "component")
+    several = lists.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    sharing = _pairs_within(lists.join(several, "key"), threshold).select("a", "b")
+
+    # A pair without such a value: with x the one that misses more, (100 - t) p >= 100 r_x - t r_y + t (e_x + e_y).
+    step = F.greatest(F.lit(1), F.ceil(F.col("star_n") / 64))
+    needs = (100 * F.col("missing") + part * F.col("extra") - (100 - part) * F.col("star_n")) / part
+    sized = of_some.select("star", "rep", "n", "missing", "component", loose.alias("loose"), needs.alias("needs"), (F.col("missing") - F.col("extra")).alias("has"), step.alias("step"))
+    sized = sized.withColumn("at", F.floor(F.col("has") / F.col("step")))
+    most = sized.groupBy("star").agg(F.max("at").alias("most"))
+    asks = sized.join(most, "star").withColumn("low", F.floor(F.col("needs") / F.col("step"))).where("low <= most")
+    asks = asks.select("star", "loose", "needs", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("missing").alias("r_x"), F.col("component").alias("c_x"), "low", "most")
+    # Members of the component need little, so nearly all could answer them: for those only loose ones answer.
+    pairs = []
+    for of, answer in ((asks.where("loose"), sized), (asks.where("not loose"), sized.where("loose"))):
+        asked = of.select("*", F.explode(F.sequence("low", "most")).alias("at")).drop("loose")
+        both = asked.join(answer.drop("needs", "loose", "step"), ["star", "at"])
+        pairs.append(both.where("has >= needs and r_x >= missing and x != rep and component != c_x").where(_may_match(F.col("n_x"), F.col("n"), threshold)))
+    fit = pairs[0].union(pairs[1]).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+    return sharing.union(fit)
 
 
 def _pairs_within(lists: DataFrame, threshold: float) -> DataFrame:
     """(a, b, key) for the entries (key, rep, n, component) of the same list, of different components."""
-    other = lists.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+    star = [F.col("star").alias("star_b")] if "star" in lists.columns else []
+    other = lists.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), *star)
     joined = lists.withColumnRenamed("rep", "a").join(other, "key").where("a < b and component != c_b")
+    if "star" in lists.columns:  # pairs of one star have been looked at
+        joined = joined.where("star != star_b")
     return joined.where(_may_match(F.col("n"), F.col("n_b"), threshold)).select("a", "b", "key")
 
 
 def _rarest_lists(documents: DataFrame, threshold: float) -> DataFrame:
-    """(key, rep, n, component, size, pivot, pivot_n): inverted lists of each document's rarest sketch values.
+    """(key, rep, n, component, star, size, pivot, pivot_n): inverted lists of each document's rarest sketch values.
 
     Two sketches that share at least s of their k values share one of each one's
     k - s + 1 rarest, whatever the order, if it is the same for both.  Whole sets
@@ -152,11 +197,11 @@ def _rarest_lists(documents: DataFrame, threshold: float) -> DataFrame:
     """
     part = round(100 * threshold) / 100
     least = F.when(F.size("sketch") < SKETCH, F.ceil(F.size("sketch") * part - 1e-9)).otherwise(int(SKETCH * part - 5 * (SKETCH * part * (1 - part)) ** 0.5))
-    entries = documents.select("rep", "n", "component", (F.size("sketch") - least + 1).cast("int").alias("take"), F.explode("sketch").alias("key"))
+    entries = documents.select("rep", "n", "component", "star", (F.size("sketch") - least + 1).cast("int").alias("take"), F.explode("sketch").alias("key"))
     often = entries.groupBy("key").agg(F.count("*").alias("often"))
-    ranked = entries.join(often, "key").groupBy("rep", "n", "component", "take").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("values"))
-    rarest = ranked.select("rep", "n", "component", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("value")).where("value.often > 1")
-    rarest = rarest.select(F.col("value.key").alias("key"), "rep", "n", "component")
+    ranked = entries.join(often, "key").groupBy("rep", "n", "component", "star", "take").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("values"))
+    rarest = ranked.select("rep", "n", "component", "star", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("value")).where("value.often > 1")
+    rarest = rarest.select(F.col("value.key").alias("key"), "rep", "n", "component", "star")
     sizes = rarest.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n"))
     return rarest.join(sizes.where("size > 1"), "key")
 
@@ -192,23 +237,44 @@ def near_duplicates(
     dense = checkpointed(dense.join(pivots, "key"))
     starred = dense.where((F.col("size") > SHORT) & (F.col("rep") != F.col("pivot")) & _may_match(F.col("n"), F.col("pivot_n"), threshold))
     bunched = _pairs_within(dense.where(F.col("size") <= SHORT).select("key", "rep", "n", F.col("rep").alias("component")), threshold)
+    no, yes = F.lit(False).alias("star"), F.lit(True).alias("star")
     pairs = (
-        counted.where(F.col("shared") >= OVERLAP).select("a", "b")
-        .union(starred.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-        .union(bunched.select("a", "b"))
-        .distinct()
+        counted.where(F.col("shared") >= OVERLAP).select("a", "b", no)
+        .union(starred.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), yes))
+        .union(bunched.select("a", "b", no))
+        .groupBy("a", "b").agg(F.max("star").alias("star"))
     )
-    verify = lambda p: checkpointed(_verified(p, docs, reps, width, threshold, text_col, id_col))
-    links = verify(pairs)
-    found = checkpointed(components(links))
+    compare = lambda p: checkpointed(_compared(p, docs, reps, width, threshold, text_col, id_col))
+    seen = compare(pairs)
+    found = checkpointed(components(seen.where("linked").select("a", "b")))
+    component_of = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
+
+    # Documents near a pivot but not linked with it: with each other, and with the linked ones.
+    near = seen.where("star").groupBy(F.col("b").alias("rep")).agg(F.min_by(F.struct("a", "missing", "extra", "added"), "a").alias("of"))
+    near = near.select("rep", F.col("of.a").alias("star"), "of.missing", "of.extra", "of.added").join(reps.select("rep", "n"), "rep")
+    near = near.join(reps.select(F.col("rep").alias("star"), F.col("n").alias("star_n")), "star")
+    near = near.join(component_of("rep", "component"), "rep", "left").join(component_of("star", "star_component"), "star", "left")
+    near = checkpointed(near.withColumns({"component": F.coalesce("component", "rep"), "star_component": F.coalesce("star_component", "star")}))
+    tried = pairs.select("a", "b")
+    if not near.where("component != star_component").isEmpty():
+        more = checkpointed(_within_stars(near, threshold).distinct().join(tried, ["a", "b"], "left_anti").select("a", "b", no))
+        linked = compare(more).where("linked").select("a", "b")
+        found = checkpointed(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked)))
 
     # Long lists that still hold several components: a passage that many share, or neighbours of a group of
     # copies.  There a document's rarest sketch values get lists: similar sketches share one of those.
-    crowded = dense.where(F.col("size") > SHORT).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    crowded = crowded.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    several = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    unsettled = checkpointed(crowded.join(several, "key").select("rep", "component").distinct().join(reps.select("rep", "n", "sketch"), "rep"))
-    tried = pairs
+    stars = near.select("rep", "star")
+
+    def unsettled_in(lists: DataFrame) -> DataFrame:
+        """Members of lists (key, rep) with several components and several stars, as they stand now."""
+        own = lists.select("key", "rep").join(component_of("rep", "component"), "rep", "left").join(stars, "rep", "left")
+        own = own.withColumns({"component": F.coalesce("component", "rep"), "star": F.coalesce("star", "rep")})
+        spread = [f(c).alias(f"{n}_{c}") for c in ("component", "star") for n, f in (("low", F.min), ("high", F.max))]
+        several = own.groupBy("key").agg(*spread).where("low_component != high_component and low_star != high_star").select("key")
+        left = own.join(several, "key").select("rep", "component", "star").distinct()
+        return checkpointed(left.join(reps.select("rep", "n", "sketch"), "rep"))
+
+    unsettled = unsettled_in(dense.where(F.col("size") > SHORT))
     for narrow in (True, False):
         lists = checkpointed(_rarest_lists(unsettled, threshold))
         if lists.isEmpty():
@@ -220,14 +286,11 @@ def near_duplicates(
             more = short.union(long.where(apart).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
         else:
             more = _pairs_within(long, threshold).select("a", "b")
-        more = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti"))
-        joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(more))
-        found, tried = checkpointed(components(joined)), tried.union(more)
-        now = found.withColumnRenamed("node", "rep")
-        of_list = long.drop("component").join(now, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        several = of_list.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        left = of_list.join(several, "key").select("rep", "component").distinct()
-        unsettled = checkpointed(left.join(reps.select("rep", "n", "sketch"), "rep"))
+        more = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti").select("a", "b", no))
+        linked = compare(more).where("linked").select("a", "b")
+        found = checkpointed(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked)))
+        tried = tried.union(more.select("a", "b"))
+        unsettled = unsettled_in(long)
 
     # An identifier's rows may have different sets: they join what each is linked with.
     of_set = reps.select("same", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
