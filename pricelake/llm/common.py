@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 
@@ -12,9 +11,15 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-WORDS = re.compile(WORD).findall
-#: Lower-cases A-Z only; other letters keep their case.
-LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """A text's words in UTF-8; lower: with A-Z, and no other letter, in lower case.
+
+    Bytes split at just those six blanks, and lower-case just those letters.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return (raw.lower() if lower else raw).split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

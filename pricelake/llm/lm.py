@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import LOWER, WORDS, partitions, text_of
+from pricelake.llm.common import partitions, text_of, words_of
 from pricelake.llm.hashing import mixed, word_hashes
 from pricelake.llm.packed import PACKED, bucket_of_task, by_bucket, packed_frame, replies
 
@@ -35,7 +35,7 @@ CLASSES, SIZE, NOISE, NOISE_RATIO = 510, 24, 96, 12.0
 #: Tokens a training batch, the learning rate, rounds of training and averaging.
 BATCH, RATE, ROUNDS = 4096, 0.08, 2
 #: The end token; no word is empty.
-END = ""
+END = b""
 _PAIR = np.dtype([("h", "<u8"), ("n", "<i8")])
 #: Parts in which models are averaged, and groups of tasks averaged first.
 _PARTS, _GROUPS = 8, 64
@@ -43,7 +43,7 @@ _PARTS, _GROUPS = 8, 64
 
 def hashes_of(text: str | None) -> np.ndarray:
     """The tokens of a text, the end token last, as hashes."""
-    return word_hashes([*WORDS((text or "").translate(LOWER)), END])
+    return word_hashes([*words_of(text, lower=True), END])
 
 
 def held_out(ident: Column) -> Column:
@@ -153,9 +153,9 @@ class LogBilinear:
 
     def log_probabilities(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Normalised natural logs over all classes, a row for each context."""
-        scores = (self.predicted(first, second) @ self.weights[3].T + self.weights[4]).astype(np.float64)
+        scores = self.predicted(first, second) @ self.weights[3].T + self.weights[4]
         scores -= scores.max(axis=1, keepdims=True)
-        return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True, dtype=np.float64))
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int) -> int:
         """Noise-contrastive steps over batches of (two before, one before, target); returns the number of tokens."""
@@ -188,7 +188,7 @@ class LogBilinear:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
 
 
 def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import LOWER, WORDS, checkpointed, text_of
+from pricelake.llm.common import checkpointed, text_of, words_of
 from pricelake.llm.components import components
 from pricelake.llm.hashing import mixed, rolling, word_hashes
 
@@ -45,7 +45,7 @@ SLACK = 0.3
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """The distinct shingles' hashes in ascending (signed) order; empty without words."""
-    words = WORDS((text or "").translate(LOWER))
+    words = words_of(text, lower=True)
     if not words:
         return np.empty(0, dtype=np.int64)
     hashes = word_hashes(words)

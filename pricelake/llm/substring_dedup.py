@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import WORDS, partitions, text_of
+from pricelake.llm.common import partitions, text_of, words_of
 from pricelake.llm.hashing import mixed, rolling, word_hashes
 from pricelake.llm.packed import PACKED, bucket_of_task, by_bucket, packed_frame, replies
 
@@ -66,7 +66,7 @@ class _Chunk:
     """A chunk's documents as arrays of word hashes."""
 
     def __init__(self, texts: pd.Series, idents: pd.Series):
-        self.words = [WORDS(x) for x in texts]
+        self.words = [words_of(x) for x in texts]
         self.hashes = [word_hashes(x) for x in self.words]
         self.ids = idents.to_numpy(dtype=np.int64)
 
@@ -188,9 +188,9 @@ def repeat_digests(docs: DataFrame, window: int = 50, text_col: str = "text", id
     remove from one another; texts shorter than a window lose nothing.
     """
 
-    def emit(rows: pd.DataFrame, words: list[list[str]], masks: list[np.ndarray]) -> pd.DataFrame:
+    def emit(rows: pd.DataFrame, words: list[list[bytes]], masks: list[np.ndarray]) -> pd.DataFrame:
         out = [
-            (i, len(w), int(m.sum()), hashlib.sha256(" ".join(np.array(w, dtype=object)[~m] if m.any() else w).encode("utf-8", "surrogatepass")).hexdigest())
+            (i, len(w), int(m.sum()), hashlib.sha256(b" ".join(np.array(w, dtype=object)[~m] if m.any() else w)).hexdigest())
             for i, w, m in zip(rows["id"], words, masks, strict=True)
         ]
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -208,8 +208,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, text_col: str = "text", id
     row = docs.select(F.struct("*").alias("row")).schema
     schema = row.add("kept", "string")
 
-    def emit(rows: pd.DataFrame, words: list[list[str]], masks: list[np.ndarray]) -> pd.DataFrame:
-        kept = [" ".join(np.array(w, dtype=object)[~m]) if m.any() else None for w, m in zip(words, masks, strict=True)]
+    def emit(rows: pd.DataFrame, words: list[list[bytes]], masks: list[np.ndarray]) -> pd.DataFrame:
+        kept = [b" ".join(np.array(w, dtype=object)[~m]).decode("utf-8", "surrogatepass") if m.any() else None for w, m in zip(words, masks, strict=True)]
         return pd.DataFrame({"row": rows["row"], "kept": pd.Series(kept, dtype=object, index=rows.index)})
 
     done = _passages(docs, window, text_col, id_col, True, schema, emit)

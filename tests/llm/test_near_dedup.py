@@ -2,7 +2,7 @@ import random
 import re
 from itertools import combinations
 
-from pricelake.llm.common import LOWER
+
 from pricelake.llm.components import components
 from pricelake.llm.near_dedup import keep_one_of_each, near_duplicates
 
@@ -10,7 +10,7 @@ from pricelake.llm.near_dedup import keep_one_of_each, near_duplicates
 def brute(rows, width):
     sets = {}
     for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().lower().decode())
         sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
     top = {i: i for i in sets}
 

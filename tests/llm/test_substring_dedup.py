@@ -1,7 +1,8 @@
 import hashlib
 import random
+import re
 
-from pricelake.llm.common import WORDS
+from pricelake.llm.common import WORD
 from pricelake.llm.substring_dedup import remove_repeats, repeat_digests
 
 
@@ -9,13 +10,13 @@ def brute(rows, window):
     """(doc_id, n_words, n_removed, kept text) of each row."""
     first = {}
     for i, t in rows:
-        w = WORDS(t or "")
+        w = re.findall(WORD, t or "")
         for s in range(len(w) - window + 1):
             g = tuple(w[s : s + window])
             first[g] = min(first.get(g, float("inf")), float("inf") if i is None else i)
     out = []
     for i, t in rows:
-        w, gone = WORDS(t or ""), set()
+        w, gone = re.findall(WORD, t or ""), set()
         for s in range(len(w) - window + 1):
             if first[tuple(w[s : s + window])] < (float("inf") if i is None else i):
                 gone.update(range(s, s + window))
