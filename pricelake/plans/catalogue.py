@@ -63,9 +63,9 @@ def comparison_filtered_search(s, d):
     return _compared(s, d, search="red").select(*_ROW)
 
 
-@query(f"SELECT {_COLUMNS} FROM compared WHERE best_competitor_id % 2 = 0")
+@query(f"SELECT {_COLUMNS} FROM compared WHERE best_competitor_id = 3")
 def comparison_filtered_competitor(s, d):
-    return _compared(s, d).where("best_competitor_id % 2 = 0").select(*_ROW)
+    return _compared(s, d).where("best_competitor_id = 3").select(*_ROW)
 
 
 @query(f"SELECT {_COLUMNS} FROM (SELECT * FROM compared ORDER BY brand NULLS LAST, product_name NULLS LAST, id LIMIT 200 OFFSET 100) WHERE position = 'lower'")
@@ -469,12 +469,10 @@ def search_terms(s, d):
 
 @query(_TERMS + f""", hits AS (
   SELECT t.product_id, u.competitor_id, u.url, {r2("sum(CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 1.25 ELSE 1.3611111111 END) * 1000")} AS rank FROM terms t
-  JOIN (SELECT competitor_id, url, term, count(*) AS n FROM (SELECT competitor_id, url, unnest(string_split(slug, ' ')) AS term FROM urls) GROUP BY ALL) u ON u.term = t.term
-  WHERE t.product_id % 10 = 0 GROUP BY ALL)
+  JOIN (SELECT competitor_id, url, term, count(*) AS n FROM (SELECT competitor_id, url, unnest(string_split(slug, ' ')) AS term FROM urls) GROUP BY ALL) u ON u.term = t.term GROUP BY ALL)
 SELECT product_id, competitor_id, url, rank, row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY rank DESC, length(url), url) AS place FROM hits QUALIFY place <= 5""")
 def candidate_urls(s, d):
-    # Discovery looks for the products of one run: here every tenth.
-    found = matching.candidate_urls(_terms(s, d).where("product_id % 10 = 0"), v.urls(s, d))
+    found = matching.candidate_urls(_terms(s, d), v.urls(s, d))
     return found.select("product_id", "competitor_id", "url", money.round2(F.col("rank") * 1000).alias("rank"), F.col("place").cast("long").alias("place"))
 
 
@@ -517,11 +515,10 @@ def icon_urls(s, d):
     return pages.icon_urls(_generated(s, d)).select("id", F.array_join("icons", ",").alias("icons"))
 
 
-@query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '') AS title FROM pages WHERE regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) NOT LIKE '%&%'")
+@query()
 def page_titles(s, d):
-    rows = s.read.parquet(f"{d}/pages.parquet")
-    plain = rows.where(~F.contains(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1), F.lit("&")))
-    return pages.extract_listings(plain.drop("url"), {}).select("page_id", F.col("listing.title").alias("title"))
+    found = pages.extract_listings(s.read.parquet(f"{d}/pages.parquet").drop("url"), {})
+    return found.select("page_id", F.col("listing.title").alias("title"), F.col("listing.error_kind").alias("error_kind"))
 
 
 @query("SELECT id, 'https://x.co/p/' || id || '?a=1&b=2' AS loc, CASE WHEN id % 2 = 0 THEN '2026-01-02' END AS lastmod FROM products")

@@ -95,6 +95,17 @@ def test_csv_export_and_stream(spark, tmp_path):
     assert sorted((r.observations, r.lowest) for r in spark.table("hours").collect()) == [(1, 5.0), (2, 9.0)]
 
 
+def test_page_titles_against_a_pattern(spark):
+    import html
+    import re
+
+    got = {r.page_id: r.title for r in QUERIES["page_titles"](spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        h1 = re.search(r"(?s)<h1[^>]*>(.*?)</h1>", r.html)
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", h1[1])).split()) if h1 else None
+        assert got[r.page_id] == (want or None)
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 100 and "best_price" in df.columns
