@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting to drop a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,9 +70,19 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cuts the lineage with a reliable checkpoint in the shared folder.
+
+    The shuffle files behind it are not needed any more; Spark drops them as
+    soon as the checkpoint is written, not when the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a new DataFrame takes the setting as it is now
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def text_of(name: str = "text") -> Column:
