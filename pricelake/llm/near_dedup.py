@@ -247,6 +247,14 @@ def near_duplicates(
     compare = lambda p: checkpointed(_compared(p, docs, reps, width, threshold, text_col, id_col))
     seen = compare(pairs)
     found = checkpointed(components(seen.where("linked").select("a", "b")))
+
+    def joined(more: DataFrame) -> DataFrame:
+        """The components with the links among more, pairs of different ones; as they are where there is none."""
+        if more.isEmpty():
+            return found
+        linked = compare(more).where("linked").select("a", "b")
+        return found if linked.isEmpty() else checkpointed(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked)))
+
     component_of = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
 
     # Documents near a pivot but not linked with it: with each other, and with the linked ones.
@@ -258,8 +266,7 @@ def near_duplicates(
     tried = pairs.select("a", "b")
     if not near.where("component != star_component").isEmpty():
         more = checkpointed(_within_stars(near, threshold).distinct().join(tried, ["a", "b"], "left_anti").select("a", "b", no))
-        linked = compare(more).where("linked").select("a", "b")
-        found = checkpointed(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked)))
+        found = joined(more)
 
     # Long lists that still hold several components: a passage that many share, or neighbours of a group of
     # copies.  There a document's rarest sketch values get lists: similar sketches share one of those.
@@ -287,8 +294,7 @@ def near_duplicates(
         else:
             more = _pairs_within(long, threshold).select("a", "b")
         more = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti").select("a", "b", no))
-        linked = compare(more).where("linked").select("a", "b")
-        found = checkpointed(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked)))
+        found = joined(more)
         tried = tried.union(more.select("a", "b"))
         unsettled = unsettled_in(long)
 
