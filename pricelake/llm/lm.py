@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import partitions, text_of, words_of
+from pricelake.llm.common import checkpointed, partitions, text_of, words_of
 from pricelake.llm.hashing import mixed, word_hashes
 from pricelake.llm.packed import PACKED, bucket_of_task, by_bucket, packed_frame, replies
 
@@ -164,21 +164,28 @@ class LogBilinear:
         log_noise = np.log(NOISE_RATIO * self.noise).astype(np.float32)
         for first, second, target in batches:
             vectors, far, near, outputs, bias = self.weights
-            a, b = vectors[first], vectors[second]
-            guess, own = a @ far + b @ near, outputs[target]
+            guess = (vectors @ far)[first] + (vectors @ near)[second]
+            own = outputs[target]
             sampled = rng.choice(len(self.noise), NOISE, p=self.noise)
-            # Derivatives of the log-likelihood that data and noise are told apart.
-            true = 1 - _sigmoid((guess * own).sum(1) + bias[target] - log_noise[target])
-            false = -_sigmoid(guess @ outputs[sampled].T + bias[sampled] - log_noise[sampled]) * np.float32(NOISE_RATIO / NOISE)
-            back = true[:, None] * own + false @ outputs[sampled]
+            others, share = outputs[sampled], np.float32(-0.5 * NOISE_RATIO / NOISE)
+            # Derivatives of the log-likelihood that data and noise are told apart; the noise's is share * (1 + false).
+            true = 1 - _sigmoid(np.einsum("ij,ij->i", guess, own) + bias[target] - log_noise[target])
+            false = np.float32(0.5) * guess @ others.T
+            false += np.float32(0.5) * (bias[sampled] - log_noise[sampled])
+            np.tanh(false, out=false)
+            back = true[:, None] * own + false @ (share * others) + share * others.sum(0)
             n = np.float32(len(target))
             grads = [np.zeros_like(x) for x in self.weights]
-            _scatter(grads[0], np.concatenate([first, second]), np.concatenate([back @ far.T, back @ near.T]))
-            grads[1], grads[2] = a.T @ back, b.T @ back
+            # Summed by class first: what follows is a product over classes, not tokens.
+            by_first, by_second = np.zeros_like(vectors), np.zeros_like(vectors)
+            _scatter(by_first, first, back)
+            _scatter(by_second, second, back)
+            grads[0] = by_first @ far.T + by_second @ near.T
+            grads[1], grads[2] = vectors.T @ by_first, vectors.T @ by_second
             _scatter(grads[3], target, true[:, None] * guess)
-            np.add.at(grads[3], sampled, false.T @ guess)
+            np.add.at(grads[3], sampled, share * (false.T @ guess + guess.sum(0)))
             grads[4] += np.bincount(target, weights=true, minlength=len(bias)).astype(np.float32)
-            np.add.at(grads[4], sampled, false.sum(0))
+            np.add.at(grads[4], sampled, share * (false.sum(0) + n))
             for w, g, s in zip(self.weights, grads, squares, strict=True):
                 g /= n
                 s += g * g
@@ -199,18 +206,33 @@ def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[rows[starts]] += np.add.reduceat(values[order], starts)
 
 
-def _contexts(vocabulary: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two before, one before, target) of a text's tokens, as classes."""
-    c, start = vocabulary.classes(h), vocabulary.size
+def _contexts(vocabulary: Vocabulary, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(two before, one before, target) of a text's tokens, given and told as classes."""
+    start = vocabulary.size
     before = np.concatenate([[start, start], c])
     return before[: len(c)], before[1 : len(c) + 1], c
 
 
+def _as_classes(training: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Each text's classes (16 bits a token), written once, as every round of training reads them."""
+    shared = training.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                texts = batch.column("text").slice(low, 512).to_pylist()
+                found = [shared.value.classes(hashes_of(x)).astype("<u2").tobytes() for x in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["classes"])
+
+    return checkpointed(training.select("text").mapInArrow(run, "classes binary"))
+
+
 def fit(training: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
     """Trains on all texts of training (a column text)."""
     model = LogBilinear(vocabulary)
     spark = training.sparkSession
     sizes = [x.size for x in model.weights]
+    classes = _as_classes(training, vocabulary)
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model, vocabulary))  # bounded by CLASSES and SIZE
 
@@ -222,8 +244,8 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
             def batched() -> Iterator[tuple[np.ndarray, ...]]:
                 held, n = [], 0
                 for batch in batches:
-                    for text in batch.column("text").to_pylist():
-                        held.append(_contexts(vocabulary, hashes_of(text)))
+                    for body in batch.column("classes").to_pylist():
+                        held.append(_contexts(vocabulary, np.frombuffer(body, "<u2").astype(np.int64)))
                         n += len(held[-1][2])
                         if n >= 16 * BATCH:
                             joined = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -251,7 +273,7 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
             return pd.DataFrame({"part": rows["part"][:1], "many": 0, "tokens": rows["tokens"].sum(), "body": [total.tobytes()]})
 
         schema = "part int, many int, tokens double, body binary"
-        trained = training.mapInArrow(run, schema)
+        trained = classes.mapInArrow(run, schema)
         summed = trained.groupBy("part", "many").applyInPandas(added, schema).groupBy("part").applyInPandas(added, schema).collect()
         if summed:
             flat = np.concatenate([np.frombuffer(r.body, "<f8") / r.tokens for r in sorted(summed)]).astype(np.float32)
@@ -320,7 +342,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         starts = np.cumsum([0, *map(len, texts)])[:-1]
         h = np.concatenate(texts)
         counts = known["n"][np.searchsorted(known["h"], h)]
-        contexts = tuple(map(np.concatenate, zip(*(_contexts(vocabulary, x) for x in texts), strict=True)))
+        contexts = tuple(map(np.concatenate, zip(*(_contexts(vocabulary, vocabulary.classes(x)) for x in texts), strict=True)))
         scores = class_scores(model, contexts) + np.where(contexts[2] == 0, vocabulary.rest_log10(counts), 0.0)
         total = lambda x: np.add.reduceat(x, starts)
         out = [rows["doc_id"], rows["held_out"], [len(x) for x in texts], total((counts > 0).astype(np.int64)), vocabulary.tokens, total(vocabulary.base_log10(counts)), total(scores)]
