@@ -3,7 +3,10 @@
 Centroids come from a balanced k-means over a bounded sample and sit in an
 in-memory neighbour graph that every task searches.  Every vector goes to the
 list of its nearest centroid, and a vector near a boundary to further lists too.
-A query reads the lists whose centroid distance is within a ratio of the nearest.
+A query reads the lists whose centroid distance is within a ratio of the nearest,
+then those near ones whose centroid is nearer than the last neighbour it found.
+Where the lists hold too few vectors for an answer (an outlier has a list nearly
+for itself), it is compared with all vectors, in blocks of queries.
 Lists are split beyond a size, so that none is a task's whole work; of equal
 vectors only the few with the least identifiers can be among the nearest, and
 equal query vectors are searched once.
@@ -11,11 +14,13 @@ equal query vectors are searched once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelake.llm.common import checkpointed
@@ -28,6 +33,8 @@ SPLIT_SIZE = 2048
 COPY_RATIO, COPIES = 1.1, 4
 #: A query reads lists within this ratio, so many at most.
 PROBE_RATIO, PROBES = 1.6, 48
+#: Queries without enough candidates in their lists that are compared with all vectors at once (they are broadcast).
+QUERY_BLOCK = 2048
 #: Neighbours of a centroid in the graph, and the width of the search.
 DEGREE = 24
 
@@ -145,27 +152,31 @@ def nearest_neighbours(
     graph = CentroidGraph.of(balanced_kmeans(sample, max(1, min(n // LIST_SIZE, CENTROIDS_MOST, len(sample)))))
     shared = spark.sparkContext.broadcast(graph)  # CENTROIDS_MOST centroids and their links at most
 
-    def lists(most: int, ratio: float):
-        @F.pandas_udf("array<int>")
+    def lists(most: int):
+        """The nearest lists, nearest first."""
+
+        @F.pandas_udf("array<struct<list:int,dist:double>>")
         def near(vecs: pd.Series) -> pd.Series:
             out = []
             for low in range(0, len(vecs), 512):
                 ids, dist = shared.value.nearest(np.stack(vecs.iloc[low : low + 512].to_list()), max(most, 16))
-                use = dist[:, :most] <= dist[:, :1] * ratio + 1e-12
-                out += [i[:most][u].astype(np.int32) for i, u in zip(ids, use, strict=True)]
+                out += [[{"list": x, "dist": y} for x, y in zip(i, d, strict=True)] for i, d in zip(ids[:, :most].tolist(), dist[:, :most].tolist(), strict=True)]
             return pd.Series(out)
 
         return near("vec")
 
-    posted = checkpointed(distinct.select("ids", "vec", F.explode(lists(COPIES, COPY_RATIO)).alias("list")))
+    def within(ratio: float) -> Column:
+        bound = F.col("near")[0]["dist"] * ratio + 1e-12
+        return F.transform(F.filter("near", lambda x: x["dist"] <= bound), lambda x: x["list"])
+
+    posted = checkpointed(distinct.select("ids", "vec", lists(COPIES).alias("near")).select("ids", "vec", F.explode(within(COPY_RATIO)).alias("list")))
     sizes = posted.groupBy("list").count().select("list", F.ceil(F.col("count") / SPLIT_SIZE).cast("int").alias("parts"))
     parts = F.broadcast(spark.createDataFrame(sizes.collect(), "list int, parts int"))  # a row for each centroid
     candidates = posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("ids"), "parts").cast("int")).drop("parts")
 
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec")
-    searched = checkpointed(queries.groupBy("vec").agg(F.min("query_id").alias("qkey")))
-    asked = searched.select("qkey", "vec", F.explode(lists(PROBES, PROBE_RATIO)).alias("list")).join(parts, "list")
-    asked = asked.select("qkey", F.col("vec").alias("asked"), "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    searched = queries.groupBy("vec").agg(F.min("query_id").alias("qkey"))
+    searched = checkpointed(searched.select("qkey", "vec", lists(PROBES).alias("near")))
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
@@ -180,10 +191,43 @@ def nearest_neighbours(
                 out += sorted(found, key=lambda r: (r[2], r[1]))[: k + 1]
         return pd.DataFrame(out, columns=["qkey", "vec_id", "score"])
 
-
-    hits = asked.groupBy("list", "part").cogroup(candidates.groupBy("list", "part")).applyInPandas(search, result).distinct()
     best = Window.partitionBy("qkey").orderBy("score", "vec_id")
-    hits = hits.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).drop("rn")
+
+    def best_of(hits: DataFrame) -> DataFrame:
+        return checkpointed(hits.distinct().withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).drop("rn"))
+
+    def found_in(asked: DataFrame) -> DataFrame:
+        """Hits of the queries (qkey, vec, list) in those lists."""
+        asked = asked.join(parts, "list")
+        asked = asked.select("qkey", F.col("vec").alias("asked"), "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return asked.groupBy("list", "part").cogroup(candidates.groupBy("list", "part")).applyInPandas(search, result)
+
+    def found_in_all(block: tuple) -> DataFrame:
+        """Hits of a block of queries among all vectors."""
+        asked = spark.sparkContext.broadcast(([r.qkey for r in block], [np.array(r.vec) for r in block]))  # QUERY_BLOCK queries at most
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q = pd.DataFrame(dict(zip(("qkey", "asked"), asked.value, strict=True)))
+            held = pd.DataFrame(columns=["qkey", "vec_id", "score"])
+            for c in batches:
+                new = search(q, c)
+                held = pd.concat([held, new]).sort_values(["score", "vec_id"]).groupby("qkey").head(k + 1) if len(held) else new
+            yield held
+
+        return distinct.select("ids", "vec").mapInPandas(run, result)
+
+    hits = best_of(found_in(searched.select("qkey", "vec", F.explode(within(PROBE_RATIO)).alias("list"))))
+    # The last neighbour found (the query itself is a hit, too) bounds what further lists can add.
+    state = searched.join(hits.groupBy("qkey").agg(F.count("*").alias("n"), F.max("score").alias("last")), "qkey", "left")
+    enough = F.coalesce(F.col("n"), F.lit(0)) > k
+    bound = F.col("near")[0]["dist"] * PROBE_RATIO + 1e-12
+    further = F.filter("near", lambda x: (x["dist"] > bound) & (x["dist"] < F.col("last")))
+    unread = state.where(enough).select("qkey", "vec", F.explode(further).alias("one"))
+    unread = checkpointed(unread.select("qkey", "vec", F.col("one.list").alias("list")))
+    if not unread.isEmpty():
+        hits = best_of(hits.union(found_in(unread)))
+    for block in batched(state.where(~enough).select("qkey", "vec").toLocalIterator(), QUERY_BLOCK):
+        hits = best_of(hits.union(found_in_all(block)))
     own = queries.join(searched, "vec").select("query_id", "qkey")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     found = own.join(hits, "qkey").where("query_id != vec_id").withColumn("rank", F.row_number().over(order).cast("int"))

@@ -66,3 +66,32 @@ def test_graph_search_finds_the_nearest_centroids():
     assert np.mean([len(set(a[:8]) & set(b)) / 8 for a, b in zip(ids, order, strict=True)]) > 0.95
     assert np.allclose(np.take_along_axis(true, ids, 1), dist)
     assert all(len(set(r)) == len(r) for r in ids.tolist())
+
+
+def test_outlier_queries_find_k(spark):
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(6000, 16))
+    far = np.arange(0, 6000, 100)
+    vecs[far] = 60 * rng.normal(size=(60, 16))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vecs)]
+    want, got = brute(rows), answers(nearest_neighbours(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)))
+    assert want.keys() == got.keys()
+    assert all(len(x) == 10 for x in got.values())
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    assert hits >= 0.95 * 600
+
+
+def test_several_hundred_lists(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(80, 32))
+    vecs = centres[rng.integers(0, 80, 40_000)] + 0.5 * rng.normal(size=(40_000, 32))
+    vecs[:4000:100] *= 40  # far-off queries besides ordinary ones
+    vecs = vecs.astype(np.float32)
+    got = answers(nearest_neighbours(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vecs)], SCHEMA)))
+    assert len(got) == 400 and all(len(x) == 10 for x in got.values())
+    hits = {True: 0, False: 0}
+    for q, found in got.items():
+        d = ((vecs.astype(float) - vecs[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hits[q < 4000] += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {i for i, _ in found})
+    assert hits[True] >= 0.95 * 400 and hits[False] >= 0.95 * 3600
