@@ -9,11 +9,12 @@ compared on the full sets.
 Sizes: documents with equal sets are one from the start.  A short list gives its
 pairs, a bounded number for each entry.  In a long list (a shingle that a large
 part of the corpus has, or a large group of near copies) documents are keyed by
-several retained values at once, which only near copies share; there everyone is
+several sketch values at once, which only near copies share; there everyone is
 compared with one pivot, so a group of thousands costs one row each, and those
-near it but not linked meet only whom they can be linked with.  Where a
-list still holds documents of different components, their rarest sketch values
-are listed, first with pivots again; what then is left is compared in pairs.
+near it but not linked meet only whom they can be linked with.  Such keys merely
+settle groups early: all documents with a value in a long list then list their
+rarest sketch values, one of which any similar two have in common, first with
+pivots again; what then is left in long lists is compared in pairs.
 """
 
 from __future__ import annotations
@@ -188,20 +189,34 @@ def _pairs_within(lists: DataFrame, threshold: float) -> DataFrame:
     return joined.where(_may_match(F.col("n"), F.col("n_b"), threshold)).select("a", "b", "key")
 
 
+def _pairs_across(lists: DataFrame, threshold: float) -> DataFrame:
+    """As _pairs_within, without meeting all members of a list's largest component with each other."""
+    of = lists.groupBy("key", "component").agg(F.count("*").alias("members"))
+    main = of.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"))
+    other = lists.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("star").alias("star_b"))
+    met = lists.join(main, "key").where("component != main").join(other, "key").where("component != c_b and star != star_b")
+    return met.where(_may_match(F.col("n"), F.col("n_b"), threshold)).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+
+
 def _rarest_lists(documents: DataFrame, threshold: float) -> DataFrame:
     """(key, rep, n, component, star, size, pivot, pivot_n): inverted lists of each document's rarest sketch values.
 
     Two sketches that share at least s of their k values share one of each one's
     k - s + 1 rarest, whatever the order, if it is the same for both.  Whole sets
-    share the threshold's part; sketches all but five standard deviations of it.
+    share the threshold's part; sketches all but five standard deviations of it,
+    and so may a whole set with the sketch of a larger one.
     """
     part = round(100 * threshold) / 100
-    least = F.when(F.size("sketch") < SKETCH, F.ceil(F.size("sketch") * part - 1e-9)).otherwise(int(SKETCH * part - 5 * (SKETCH * part * (1 - part)) ** 0.5))
-    entries = documents.select("rep", "n", "component", "star", (F.size("sketch") - least + 1).cast("int").alias("take"), F.explode("sketch").alias("key"))
-    often = entries.groupBy("key").agg(F.count("*").alias("often"))
-    ranked = entries.join(often, "key").groupBy("rep", "n", "component", "star", "take").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("values"))
-    rarest = ranked.select("rep", "n", "component", "star", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("value")).where("value.often > 1")
-    rarest = rarest.select(F.col("value.key").alias("key"), "rep", "n", "component", "star")
+    size = F.size("sketch")
+    least = F.when(size <= int(SKETCH * part), F.ceil(size * part - 1e-9)).otherwise(int(SKETCH * part - 5 * (SKETCH * part * (1 - part)) ** 0.5))
+    owners = documents.select("rep", "n", "component", "star", size.alias("size"), (size - least + 1).cast("int").alias("take"))
+    entries = documents.select("rep", F.explode("sketch").alias("key"))
+    # A document's values that no other has come first; only their number matters.
+    often = checkpointed(entries.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"))
+    ranked = entries.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("values"))
+    first = F.col("take") - (F.col("size") - F.size("values"))
+    rarest = ranked.join(owners, "rep").where(first > 0).select("rep", "n", "component", "star", F.explode(F.slice("values", F.lit(1), first)).alias("value"))
+    rarest = checkpointed(rarest.select(F.col("value.key").alias("key"), "rep", "n", "component", "star"))
     sizes = rarest.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n"))
     return rarest.join(sizes.where("size > 1"), "key")
 
@@ -231,8 +246,8 @@ def near_duplicates(
     counted = _pairs_within(alone, threshold).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
     # Documents with values in long lists, keyed by several values at once.
-    long = listed.where(F.col("size") > SHORT).groupBy("rep").agg(F.count("*").alias("in_long"))
-    dense = reps.join(long, "rep").select(F.explode(_part_keys(F.col("sketch"))).alias("key"), "rep", "n")
+    in_long = checkpointed(listed.where(F.col("size") > SHORT).select("rep").distinct())
+    dense = reps.join(in_long, "rep").select(F.explode(_part_keys(F.col("sketch"))).alias("key"), "rep", "n")
     pivots = dense.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).where("size > 1")
     dense = checkpointed(dense.join(pivots, "key"))
     starred = dense.where((F.col("size") > SHORT) & (F.col("rep") != F.col("pivot")) & _may_match(F.col("n"), F.col("pivot_n"), threshold))
@@ -268,20 +283,24 @@ def near_duplicates(
         more = checkpointed(_within_stars(near, threshold).distinct().join(tried, ["a", "b"], "left_anti").select("a", "b", no))
         found = joined(more)
 
-    # Long lists that still hold several components: a passage that many share, or neighbours of a group of
-    # copies.  There a document's rarest sketch values get lists: similar sketches share one of those.
+    # Documents with values in long lists, whatever keys they have in common: their rarest sketch values get
+    # lists, as similar sketches share one of those.  Pairs of one star have been looked at.
     stars = near.select("rep", "star")
 
+    def as_they_stand(members: DataFrame) -> DataFrame:
+        """members, each with its component and star."""
+        own = members.join(component_of("rep", "component"), "rep", "left").join(stars, "rep", "left")
+        return own.withColumns({"component": F.coalesce("component", "rep"), "star": F.coalesce("star", "rep")})
+
     def unsettled_in(lists: DataFrame) -> DataFrame:
         """Members of lists (key, rep) with several components and several stars, as they stand now."""
-        own = lists.select("key", "rep").join(component_of("rep", "component"), "rep", "left").join(stars, "rep", "left")
-        own = own.withColumns({"component": F.coalesce("component", "rep"), "star": F.coalesce("star", "rep")})
+        own = as_they_stand(lists.select("key", "rep"))
         spread = [f(c).alias(f"{n}_{c}") for c in ("component", "star") for n, f in (("low", F.min), ("high", F.max))]
         several = own.groupBy("key").agg(*spread).where("low_component != high_component and low_star != high_star").select("key")
         left = own.join(several, "key").select("rep", "component", "star").distinct()
         return checkpointed(left.join(reps.select("rep", "n", "sketch"), "rep"))
 
-    unsettled = unsettled_in(dense.where(F.col("size") > SHORT))
+    unsettled = checkpointed(as_they_stand(in_long).join(reps.select("rep", "n", "sketch"), "rep"))
     for narrow in (True, False):
         lists = checkpointed(_rarest_lists(unsettled, threshold))
         if lists.isEmpty():
@@ -292,7 +311,7 @@ def near_duplicates(
             apart = (F.col("rep") != F.col("pivot")) & _may_match(F.col("n"), F.col("pivot_n"), threshold)
             more = short.union(long.where(apart).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
         else:
-            more = _pairs_within(long, threshold).select("a", "b")
+            more = short.union(_pairs_across(long, threshold))
         more = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti").select("a", "b", no))
         found = joined(more)
         tried = tried.union(more.select("a", "b"))

@@ -4,7 +4,7 @@ from itertools import combinations
 
 
 from pricelake.llm.components import components
-from pricelake.llm.near_dedup import keep_one_of_each, near_duplicates
+from pricelake.llm.near_dedup import SKETCH, _part_keys, keep_one_of_each, near_duplicates, shingle_set
 
 
 def brute(rows, width):
@@ -77,3 +77,22 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(200, 100), (300, 100), (300, 250), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100, 250: 100}
+
+
+def test_contained_pairs_of_frequent_shingles_without_a_common_key(spark, docs):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(600)]
+    wholes = [rng.sample(words, 200) for _ in range(3000)]
+    texts = [(" ".join(w), " ".join(rng.sample(w, 160))) for w in wholes]
+    sketches = [(i, k, shingle_set(t, 1)[:SKETCH].tolist()) for i, both in enumerate(texts) for k, t in enumerate(both)]
+    keys = {}
+    df = spark.createDataFrame(sketches, "i long, k long, sketch array<long>")
+    for r in df.select("i", "k", _part_keys(df["sketch"]).alias("keys")).collect():
+        keys[r.i, r.k] = set(r["keys"])
+    apart = [i for i in range(len(texts)) if not keys[i, 0] & keys[i, 1]]
+    assert apart
+    rows = [(10 * i + k, t) for i in apart for k, t in enumerate(texts[i])]
+    rows += [(100_000 + i, " ".join(rng.sample(words, 200))) for i in range(100)]  # every word is in some 33 of them
+    got = near_duplicates(docs(rows), width=1).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 1)
+    assert sum(not r.kept for r in got) == len(apart)
