@@ -1,25 +1,27 @@
 """Near-duplicate components from bottom-k sketches.
 
 One hash function orders all shingles; a document's sketch is its k smallest
-values.  The smallest few of them are its retained values, whose inverted lists
-yield documents that overlap.  Overlaps are counted, the Jaccard similarity is
-estimated from the sketch of the union, and what may be similar enough is
-compared on the full sets.
+values.  The rarest of them are its retained values, whose inverted lists yield
+documents that overlap: two sketches that share enough share one of each one's
+rarest.  The Jaccard similarity is estimated from the sketch of the union, and
+what may be similar enough is compared on the full sets.
 
 Sizes: documents with equal sets are one from the start.  A short list gives its
-pairs, a bounded number for each entry.  In a long list (a shingle that a large
-part of the corpus has, or a large group of near copies) documents are keyed by
-several sketch values at once, which only near copies share; there everyone is
-compared with one pivot, so a group of thousands costs one row each, and those
-near it but not linked meet only whom they can be linked with.  Such keys merely
-settle groups early: all documents with a value in a long list then list their
-rarest sketch values, one of which any similar two have in common, first with
-pivots again; what then is left in long lists is compared in pairs.
+pairs, a bounded number for each entry.  A long list (a large group of near
+copies, or documents made of frequent shingles) is peeled: everyone is compared
+with one pivot, the member whose values are the most frequent, which settles
+most of the group.  Members near a pivot are then known by what they add to it or
+lack of it.  Those not linked with it meet the others of that star by these
+differences, in blocks, and give a spanning forest of their links, not pairs.
+Documents that still share a long list with another component and another star
+are joined by the rarest values of their whole sets, in classes of size, which
+loses no pair at the threshold and gives few others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,16 +34,18 @@ from pricelake.llm.common import checkpointed, text_of, words_of
 from pricelake.llm.components import components
 from pricelake.llm.hashing import mixed, rolling, word_hashes
 
-#: Values in a sketch, and how many of them have inverted lists.
-SKETCH, RETAINED = 64, 16
-#: Retained values that a pair must share.  For a pair at the threshold 0.8 fewer than 3 of 16 have odds of 1e-8.
-OVERLAP = 3
-#: The longest list whose pairs are written out.
+#: Values in a sketch.
+SKETCH = 64
+#: The longest list whose pairs are written out; longer ones are peeled, which finds the same links.
 SHORT = 16
-#: Parts of the hash space whose sketch values are joined to one key, for long lists.
-PARTS = 24
 #: An estimate may fall short of the threshold by so much (six standard deviations of a sketch of 64).
 SLACK = 0.3
+#: Documents this similar to a pivot or more belong to its star.
+NEAR = 0.5
+#: Members, and strays, of a star that meet in one task.
+BLOCK = 1024
+#: Sizes of sets in one class differ by less than this factor.
+CLASS = 1.05
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -83,125 +87,67 @@ def _estimate(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
 
 
-def _part_keys(sketch: Column) -> Column:
-    """A key for each part of the hash space: its sketch values as one hash; parts with fewer than two give none."""
+def _whole_sets(docs: DataFrame, ids: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
+    """(rep, set) of the documents in ids (rep), computed once."""
 
     @F.pandas_udf("array<long>")
-    def keys(sketches: pd.Series) -> pd.Series:
-        out = []
-        for values in sketches:
-            x = np.asarray(values, dtype=np.int64).view(np.uint64)
-            part = (mixed(x) % np.uint64(PARTS)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, x = part[order], x[order]
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(x) else np.empty(0, np.int64)
-            sizes = np.diff(np.append(starts, len(x)))
-            sums = np.add.reduceat(mixed(x ^ np.uint64(0xA5A5)), starts) if len(x) else x
-            own = mixed(sums * np.uint64(PARTS) + part[starts].astype(np.uint64)) if len(x) else x
-            out.append(own[(sizes > 1) | (len(x) < SKETCH)].view(np.int64))
-        return pd.Series(out)
-
-    return keys(sketch)
-
-
-def _compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, threshold: float, text_col: str, id_col: str) -> DataFrame:
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x, width) for x in texts])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), text_of(text_col).alias("text")).join(ids, "rep", "left_semi")
+    return checkpointed(rows.select("rep", whole("text").alias("set")))
+
+
+def _compared(pairs: DataFrame, sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """The pairs (a, b, star) that pass the estimate, compared on their full sets.
 
-    Adds linked, missing (values of a that b lacks), extra (values of b that a
-    lacks), and for a star's pairs added, those values.
+    sets(ids) gives whole sets.  Adds linked, and for b near a star's pivot a:
+    delta, the values that just one of the two has.
     """
-    sketch = reps.select("rep", "sketch")
-    near = (
+    sketch = sketches.select("rep", "sketch")
+    near = checkpointed(
         pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a")
         .join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
         .where(_estimate(F.col("sketch_a"), F.col("sketch_b")) >= F.lit(threshold - SLACK))
         .select("a", "b", "star")
     )
-    near = checkpointed(near)
-    needed = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(needed, "id", "left_semi")
-
-    @F.pandas_udf("binary")
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(x, width).tobytes() for x in texts])
-
-    sets = rows.select("id", whole("text").alias("set"))
+    part = round(100 * threshold)
 
-    @F.pandas_udf("linked boolean, missing long, extra long, added array<long>")
+    @F.pandas_udf("linked boolean, delta array<long>")
     def compare(a: pd.Series, b: pd.Series, star: pd.Series) -> pd.DataFrame:
         out = []
         for x, y, s in zip(a, b, star, strict=True):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            added = np.setdiff1d(y, x, assume_unique=True)
-            both = len(y) - len(added)
-            linked = 100 * both >= round(100 * threshold) * (len(x) + len(y) - both)
-            out.append((bool(linked), len(x) - both, len(added), added if s else None))
-        return pd.DataFrame(out, columns=["linked", "missing", "extra", "added"])
-
-    found = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"
+            delta = np.setxor1d(x, y, assume_unique=True)
+            either = (len(x) + len(y) + len(delta)) // 2
+            both = either - len(delta)
+            out.append((100 * both >= part * either, delta if s and both >= NEAR * either else None))
+        return pd.DataFrame(out, columns=["linked", "delta"])
+
+    whole = sets(near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))).distinct())
+    found = near.join(whole.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(
+        whole.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b"
     )
-    return found.withColumn("seen", compare("set_a", "set_b", "star")).select("a", "b", "star", "seen.*")
+    return checkpointed(found.withColumn("seen", compare("set_a", "set_b", "star")).select("a", "b", "seen.*"))
 
 
-def _within_stars(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a star's members, one of them not in its component, that may be linked.
+def _ranked(owners: DataFrame) -> DataFrame:
+    """owners (rep, n, ..., values) with values reduced to those that others have, too, the rarest first.
 
-    members: (rep, n, star, star_n, missing, extra, added, component, star_component).
-    Two documents that are near a pivot either share a value that the pivot
-    lacks, or have in common at most what is left of the pivot when the longer of
-    their missing parts is taken off; sizes then tell whether that can suffice.
+    Adds alone, how many of its values no other has, and central, the sum of how
+    often the others occur.  Equally rare values come in the order of all values.
     """
-    part = round(100 * threshold)
-    loose = F.col("component") != F.col("star_component")
-    some = members.where(loose).select("star").distinct()
-    of_some = checkpointed(members.join(some, "star"))
-    lists = of_some.select("star", F.explode("added").alias("value"), "rep", "n", "component")
-    lists = lists.select(F.xxhash64("star", "value").alias("key"), "rep", "n", "component")
-    several = lists.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    sharing = _pairs_within(lists.join(several, "key"), threshold).select("a", "b")
-
-    # A pair without such a value: with x the one that misses more, (100 - t) p >= 100 r_x - t r_y + t (e_x + e_y).
-    step = F.greatest(F.lit(1), F.ceil(F.col("star_n") / 64))
-    needs = (100 * F.col("missing") + part * F.col("extra") - (100 - part) * F.col("star_n")) / part
-    sized = of_some.select("star", "rep", "n", "missing", "component", loose.alias("loose"), needs.alias("needs"), (F.col("missing") - F.col("extra")).alias("has"), step.alias("step"))
-    sized = sized.withColumn("at", F.floor(F.col("has") / F.col("step")))
-    most = sized.groupBy("star").agg(F.max("at").alias("most"))
-    asks = sized.join(most, "star").withColumn("low", F.floor(F.col("needs") / F.col("step"))).where("low <= most")
-    asks = asks.select("star", "loose", "needs", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("missing").alias("r_x"), F.col("component").alias("c_x"), "low", "most")
-    # Members of the component need little, so nearly all could answer them: for those only loose ones answer.
-    pairs = []
-    for of, answer in ((asks.where("loose"), sized), (asks.where("not loose"), sized.where("loose"))):
-        asked = of.select("*", F.explode(F.sequence("low", "most")).alias("at")).drop("loose")
-        both = asked.join(answer.drop("needs", "loose", "step"), ["star", "at"])
-        pairs.append(both.where("has >= needs and r_x >= missing and x != rep and component != c_x").where(_may_match(F.col("n_x"), F.col("n"), threshold)))
-    fit = pairs[0].union(pairs[1]).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-    return sharing.union(fit)
-
-
-def _pairs_within(lists: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, key) for the entries (key, rep, n, component) of the same list, of different components."""
-    star = [F.col("star").alias("star_b")] if "star" in lists.columns else []
-    other = lists.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), *star)
-    joined = lists.withColumnRenamed("rep", "a").join(other, "key").where("a < b and component != c_b")
-    if "star" in lists.columns:  # pairs of one star have been looked at
-        joined = joined.where("star != star_b")
-    return joined.where(_may_match(F.col("n"), F.col("n_b"), threshold)).select("a", "b", "key")
-
-
-def _pairs_across(lists: DataFrame, threshold: float) -> DataFrame:
-    """As _pairs_within, without meeting all members of a list's largest component with each other."""
-    of = lists.groupBy("key", "component").agg(F.count("*").alias("members"))
-    main = of.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"))
-    other = lists.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("star").alias("star_b"))
-    met = lists.join(main, "key").where("component != main").join(other, "key").where("component != c_b and star != star_b")
-    return met.where(_may_match(F.col("n"), F.col("n_b"), threshold)).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-
-
-def _rarest_lists(documents: DataFrame, threshold: float) -> DataFrame:
-    """(key, rep, n, component, star, size, pivot, pivot_n): inverted lists of each document's rarest sketch values.
-
-    Two sketches that share at least s of their k values share one of each one's
+    entries = owners.select("rep", F.explode("values").alias("value"))
+    often = entries.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
+    shared = entries.join(often, "value").groupBy("rep")
+    shared = shared.agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("ranked"), F.sum("often").alias("central"))
+    sized = owners.withColumn("held", F.size("values")).drop("values").join(shared, "rep")
+    return sized.select("*", (F.col("held") - F.size("ranked")).alias("alone"), F.col("ranked.value").alias("values")).drop("ranked")
+
+
+def _retained(reps: DataFrame, threshold: float) -> DataFrame:
+    """(key, rep, n, size, pivot, pivot_n): inverted lists, of two documents and more, of the rarest sketch values.
+
+    Two sketches that share s of their k values at least share one of each one's
     k - s + 1 rarest, whatever the order, if it is the same for both.  Whole sets
     share the threshold's part; sketches all but five standard deviations of it,
     and so may a whole set with the sketch of a larger one.
@@ -209,16 +155,110 @@ def _rarest_lists(documents: DataFrame, threshold: float) -> DataFrame:
     part = round(100 * threshold) / 100
     size = F.size("sketch")
     least = F.when(size <= int(SKETCH * part), F.ceil(size * part - 1e-9)).otherwise(int(SKETCH * part - 5 * (SKETCH * part * (1 - part)) ** 0.5))
-    owners = documents.select("rep", "n", "component", "star", size.alias("size"), (size - least + 1).cast("int").alias("take"))
-    entries = documents.select("rep", F.explode("sketch").alias("key"))
-    # A document's values that no other has come first; only their number matters.
-    often = checkpointed(entries.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"))
-    ranked = entries.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("values"))
-    first = F.col("take") - (F.col("size") - F.size("values"))
-    rarest = ranked.join(owners, "rep").where(first > 0).select("rep", "n", "component", "star", F.explode(F.slice("values", F.lit(1), first)).alias("value"))
-    rarest = checkpointed(rarest.select(F.col("value.key").alias("key"), "rep", "n", "component", "star"))
-    sizes = rarest.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n"))
-    return rarest.join(sizes.where("size > 1"), "key")
+    ranked = _ranked(reps.select("rep", "n", (size - least + 1).cast("int").alias("take"), F.col("sketch").alias("values")))
+    first = (F.col("take") - F.col("alone")).cast("int")
+    entries = ranked.where(first > 0).select("rep", "n", "central", F.explode(F.slice("values", F.lit(1), first)).alias("key"))
+    entries = checkpointed(entries)
+    pivot = F.max_by(F.struct("rep", "n"), F.struct("central", -F.col("rep"))).alias("pivot")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size"), pivot).where("size > 1")
+    return checkpointed(entries.join(sizes, "key").select("key", "rep", "n", "size", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
+
+
+def _stars(seen: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, star, n, delta): documents near pivots, each with the pivot that the most are near to, of equals the least."""
+    near = seen.where("delta is not null").select(F.col("b").alias("rep"), F.col("a").alias("star"), "delta")
+    popular = near.groupBy("star").agg(F.count("*").alias("popular"))
+    own = popular.select(F.col("star").alias("rep"), "star", F.array().cast("array<long>").alias("delta"))
+    every = near.union(own).join(popular, "star")
+    best = F.max_by(F.struct("star", "delta"), F.struct("popular", -F.col("star")))
+    return checkpointed(every.groupBy("rep").agg(best.alias("of")).select("rep", "of.star", "of.delta").join(reps.select("rep", "n"), "rep"))
+
+
+def _within_stars(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of each star's strays, which are not in its pivot's component, with its members.
+
+    members: (rep, star, n, delta, component, star_component).  Two documents
+    share half of what both have beside their differences from the pivot, and the
+    differences that they have in common.  The links of a block are given as a
+    spanning forest of its components.
+    """
+    part = round(100 * threshold)
+    stray = F.col("component") != F.col("star_component")
+    sizes = members.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(stray) / BLOCK).alias("stray_blocks"))
+    sized = members.join(sizes.where("stray_blocks > 0"), "star")
+    own = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
+    cells = ["star", "block", "stray_block"]
+    columns = [*cells, "rep", "n", "component", "delta"]
+    met = sized.withColumn("block", own("blocks")).withColumn("stray_block", every("stray_blocks")).select(*columns, F.lit(False).alias("asks"))
+    strays = sized.where(stray).withColumn("stray_block", own("stray_blocks")).withColumn("block", every("blocks")).select(*columns, F.lit(True).alias("asks"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        met, strays = rows[~rows["asks"]], rows[rows["asks"]]
+        reps, n, component = (met[c].to_numpy() for c in ("rep", "n", "component"))
+        sizes = np.array([len(x) for x in met["delta"]])
+        values, owner = np.concatenate([np.empty(0, np.int64), *met["delta"]]), np.repeat(np.arange(len(met)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        root: dict[int, int] = {}
+
+        def of(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        out = []
+        for rep, n_a, own, delta in zip(strays["rep"], strays["n"], strays["component"], strays["delta"], strict=True):
+            low, high = np.searchsorted(values, delta, side="left"), np.searchsorted(values, delta, side="right")
+            count = high - low
+            at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            both = (n_a - len(delta) + n - sizes) / 2 + np.bincount(owner[at], minlength=len(reps))
+            linked = np.flatnonzero((100 * both >= part * (n_a + n - both)) & (component != own))
+            groups, first = np.unique(component[linked], return_index=True)
+            for group, k in zip(groups.tolist(), linked[first].tolist(), strict=True):
+                if of(group) != of(own):
+                    root[of(group)] = of(own)
+                    out.append((rep, reps[k]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return met.union(strays).groupBy(cells).applyInPandas(meet, "a long, b long")
+
+
+def _across(unsettled: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components and stars that may be linked, by the rarest values of whole sets.
+
+    unsettled: (rep, n, component, star, values).  Sets of x and y values at the
+    threshold t share o = t / (1 + t) * (x + y) at least, and so one of the x - o
+    + 1 rarest of one and of the y - o + 1 rarest of the other.  The smaller set
+    lists what any larger one needs; the larger one asks each class of sizes for
+    what it can share with that class.
+    """
+    part = round(100 * threshold)
+    log = math.log(CLASS)
+    least = lambda x, y: F.ceil(F.lit(part / (100 + part)) * (x + y) - 1e-6)
+    class_of = lambda x: F.floor(F.log(x) / log + 1e-9).cast("int")
+    ranked = checkpointed(_ranked(unsettled))
+    n = F.col("n")
+    first = lambda smaller: F.greatest(F.lit(0), n - least(n, smaller) + 1 - F.col("alone")).cast("int")
+    kept = ["rep", "n", "component", "star"]
+    listed = ranked.select(*kept, class_of(n).alias("class"), F.explode(F.slice("values", F.lit(1), first(n))).alias("value"))
+    smallest = F.ceil(n * (part / 100) - 1e-6)
+    asked = ranked.withColumn("class", F.explode(F.sequence(class_of(smallest), class_of(n))))
+    bound = F.greatest(smallest, F.floor(F.pow(F.lit(CLASS), F.col("class")) * (1 - 1e-6)))
+    asked = asked.select(*kept, "class", F.explode(F.slice("values", F.lit(1), first(F.least(n, bound)))).alias("value"))
+    listed, asked = checkpointed(listed), checkpointed(asked)
+    # Members of a list's main star do not meet each other.
+    keys = ["value", "class"]
+    stars = listed.select(*keys, "star").union(asked.select(*keys, "star")).groupBy(*keys, "star").agg(F.count("*").alias("members"))
+    main = stars.groupBy(keys).agg(F.count("*").alias("stars"), F.max_by("star", F.struct("members", "star")).alias("main")).where("stars > 1")
+    listed, asked = (x.join(main.drop("stars"), keys).withColumn("off", F.col("star") != F.col("main")).drop("main") for x in (listed, asked))
+    asked = asked.select(*keys, "off", *(F.col(c).alias(f"{c}_a") for c in kept))
+    other = F.when(n == F.col("n_a"), F.col("rep") < F.col("rep_a")).otherwise(n < F.col("n_a"))
+    fits = (F.col("component") != F.col("component_a")) & (F.col("star") != F.col("star_a")) & other & _may_match(n, F.col("n_a"), threshold)
+    met = listed.where("off").join(asked, keys).where(fits).select("rep", "rep_a")
+    met = met.union(listed.where("not off").join(asked.where("off"), keys).where(fits).select("rep", "rep_a"))
+    return met.select(F.col("rep_a").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -231,91 +271,53 @@ def near_duplicates(
     linked if 100 * |both| >= 100 * threshold * |either|.  Without words a
     document is linked with nothing.  A null identifier is linked with nothing,
     its component and kept are null.  Rows that share an identifier are one
-    document.  An empty table gives no rows.
+    document.  An empty table gives no rows.  A very long text is one set, held
+    whole by the task that compares it.  Columns of docs other than the two named
+    play no part, whatever their names.
     """
     rows = checkpointed(_sets(docs, width, text_col, id_col))
     full = rows.where("n > 0 and id is not null")
     equal = full.groupBy("same", "n").agg(F.min(F.struct("id", "sketch")).alias("least"))
     reps = checkpointed(equal.select(F.col("least.id").alias("rep"), "n", "same", F.col("least.sketch").alias("sketch")))
-
-    # Inverted lists of the retained values.
-    entries = reps.select(F.explode(F.slice("sketch", 1, RETAINED)).alias("key"), "rep", "n")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    listed = checkpointed(entries.join(sizes, "key"))
-    alone = listed.where(F.col("size") <= SHORT).select("key", "rep", "n", F.col("rep").alias("component"))
-    counted = _pairs_within(alone, threshold).groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-    # Documents with values in long lists, keyed by several values at once.
-    in_long = checkpointed(listed.where(F.col("size") > SHORT).select("rep").distinct())
-    dense = reps.join(in_long, "rep").select(F.explode(_part_keys(F.col("sketch"))).alias("key"), "rep", "n")
-    pivots = dense.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).where("size > 1")
-    dense = checkpointed(dense.join(pivots, "key"))
-    starred = dense.where((F.col("size") > SHORT) & (F.col("rep") != F.col("pivot")) & _may_match(F.col("n"), F.col("pivot_n"), threshold))
-    bunched = _pairs_within(dense.where(F.col("size") <= SHORT).select("key", "rep", "n", F.col("rep").alias("component")), threshold)
     no, yes = F.lit(False).alias("star"), F.lit(True).alias("star")
-    pairs = (
-        counted.where(F.col("shared") >= OVERLAP).select("a", "b", no)
-        .union(starred.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), yes))
-        .union(bunched.select("a", "b", no))
-        .groupBy("a", "b").agg(F.max("star").alias("star"))
-    )
-    compare = lambda p: checkpointed(_compared(p, docs, reps, width, threshold, text_col, id_col))
-    seen = compare(pairs)
-    found = checkpointed(components(seen.where("linked").select("a", "b")))
-
-    def joined(more: DataFrame) -> DataFrame:
-        """The components with the links among more, pairs of different ones; as they are where there is none."""
-        if more.isEmpty():
-            return found
-        linked = compare(more).where("linked").select("a", "b")
-        return found if linked.isEmpty() else checkpointed(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked)))
-
-    component_of = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
-
-    # Documents near a pivot but not linked with it: with each other, and with the linked ones.
-    near = seen.where("star").groupBy(F.col("b").alias("rep")).agg(F.min_by(F.struct("a", "missing", "extra", "added"), "a").alias("of"))
-    near = near.select("rep", F.col("of.a").alias("star"), "of.missing", "of.extra", "of.added").join(reps.select("rep", "n"), "rep")
-    near = near.join(reps.select(F.col("rep").alias("star"), F.col("n").alias("star_n")), "star")
-    near = near.join(component_of("rep", "component"), "rep", "left").join(component_of("star", "star_component"), "star", "left")
-    near = checkpointed(near.withColumns({"component": F.coalesce("component", "rep"), "star_component": F.coalesce("star_component", "star")}))
-    tried = pairs.select("a", "b")
-    if not near.where("component != star_component").isEmpty():
-        more = checkpointed(_within_stars(near, threshold).distinct().join(tried, ["a", "b"], "left_anti").select("a", "b", no))
-        found = joined(more)
-
-    # Documents with values in long lists, whatever keys they have in common: their rarest sketch values get
-    # lists, as similar sketches share one of those.  Pairs of one star have been looked at.
-    stars = near.select("rep", "star")
-
-    def as_they_stand(members: DataFrame) -> DataFrame:
-        """members, each with its component and star."""
-        own = members.join(component_of("rep", "component"), "rep", "left").join(stars, "rep", "left")
-        return own.withColumns({"component": F.coalesce("component", "rep"), "star": F.coalesce("star", "rep")})
-
-    def unsettled_in(lists: DataFrame) -> DataFrame:
-        """Members of lists (key, rep) with several components and several stars, as they stand now."""
-        own = as_they_stand(lists.select("key", "rep"))
-        spread = [f(c).alias(f"{n}_{c}") for c in ("component", "star") for n, f in (("low", F.min), ("high", F.max))]
-        several = own.groupBy("key").agg(*spread).where("low_component != high_component and low_star != high_star").select("key")
-        left = own.join(several, "key").select("rep", "component", "star").distinct()
-        return checkpointed(left.join(reps.select("rep", "n", "sketch"), "rep"))
-
-    unsettled = checkpointed(as_they_stand(in_long).join(reps.select("rep", "n", "sketch"), "rep"))
-    for narrow in (True, False):
-        lists = checkpointed(_rarest_lists(unsettled, threshold))
-        if lists.isEmpty():
-            break
-        short = _pairs_within(lists.where(F.col("size") <= SHORT), threshold).select("a", "b")
-        long = lists.where(F.col("size") > SHORT)
-        if narrow:
-            apart = (F.col("rep") != F.col("pivot")) & _may_match(F.col("n"), F.col("pivot_n"), threshold)
-            more = short.union(long.where(apart).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-        else:
-            more = short.union(_pairs_across(long, threshold))
-        more = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti").select("a", "b", no))
-        found = joined(more)
-        tried = tried.union(more.select("a", "b"))
-        unsettled = unsettled_in(long)
+
+    # Inverted lists: pairs of short ones, pivots of long ones.
+    lists = _retained(reps, threshold)
+    short = lists.where(F.col("size") <= SHORT).select("key", "rep", "n")
+    other = short.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    few = short.join(other, "key").where((F.col("rep") < F.col("b")) & _may_match(F.col("n"), F.col("n_b"), threshold))
+    long = lists.where(F.col("size") > SHORT)
+    with_pivot = long.where((F.col("rep") != F.col("pivot")) & _may_match(F.col("n"), F.col("pivot_n"), threshold))
+    pairs = few.select(F.col("rep").alias("a"), "b", no).union(with_pivot.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), yes))
+    pairs = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
+    seen = _compared(pairs, reps, lambda ids: _whole_sets(docs, ids, width, text_col, id_col), threshold)
+    links = seen.where("linked").select("a", "b")
+    found = checkpointed(components(links))
+    component = F.coalesce("component", "rep").alias("component")
+    component_of = found.select(F.col("node").alias("rep"), "component")
+
+    if not long.isEmpty():
+        stars = _stars(seen, reps)
+        of_star = component_of.select(F.col("rep").alias("star"), F.col("component").alias("star_component"))
+        members = stars.join(component_of, "rep", "left").join(of_star, "star", "left")
+        members = members.withColumns({"component": component, "star_component": F.coalesce("star_component", "star")})
+        more = checkpointed(_within_stars(members, threshold))
+
+        # Members of long lists with several components and several stars.
+        stand = long.select("key", "rep", "n").join(component_of, "rep", "left").join(stars.select("rep", "star"), "rep", "left")
+        stand = checkpointed(stand.select("key", "rep", "n", component, F.coalesce("star", "rep").alias("star")))
+        spread = [f(c).alias(f"{k}_{c}") for c in ("component", "star") for k, f in (("low", F.min), ("high", F.max))]
+        mixed = stand.groupBy("key").agg(*spread).where("low_component != high_component and low_star != high_star").select("key")
+        unsettled = checkpointed(stand.join(mixed, "key").select("rep", "n", "component", "star").distinct())
+        if not unsettled.isEmpty():
+            whole = _whole_sets(docs, unsettled.select("rep"), width, text_col, id_col).groupBy("rep").agg(F.first("set").alias("set"))
+            valued = unsettled.join(whole.withColumnRenamed("set", "values"), "rep")
+            tried = seen.select("a", "b").union(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            candidates = _across(valued, threshold).join(tried, ["a", "b"], "left_anti").select("a", "b", no)
+            last = _compared(candidates, reps, lambda ids: whole, threshold)
+            more = more.union(last.where("linked").select("a", "b"))
+        if not more.isEmpty():
+            found = checkpointed(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
 
     # An identifier's rows may have different sets: they join what each is linked with.
     of_set = reps.select("same", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -2,9 +2,8 @@ import random
 import re
 from itertools import combinations
 
-
 from pricelake.llm.components import components
-from pricelake.llm.near_dedup import SKETCH, _part_keys, keep_one_of_each, near_duplicates, shingle_set
+from pricelake.llm.near_dedup import keep_one_of_each, near_duplicates
 
 
 def brute(rows, width):
@@ -79,20 +78,39 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100, 250: 100}
 
 
-def test_contained_pairs_of_frequent_shingles_without_a_common_key(spark, docs):
+def test_contained_pairs_of_frequent_shingles(docs):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(600)]
-    wholes = [rng.sample(words, 200) for _ in range(3000)]
+    wholes = [rng.sample(words, 200) for _ in range(60)]
     texts = [(" ".join(w), " ".join(rng.sample(w, 160))) for w in wholes]
-    sketches = [(i, k, shingle_set(t, 1)[:SKETCH].tolist()) for i, both in enumerate(texts) for k, t in enumerate(both)]
-    keys = {}
-    df = spark.createDataFrame(sketches, "i long, k long, sketch array<long>")
-    for r in df.select("i", "k", _part_keys(df["sketch"]).alias("keys")).collect():
-        keys[r.i, r.k] = set(r["keys"])
-    apart = [i for i in range(len(texts)) if not keys[i, 0] & keys[i, 1]]
-    assert apart
-    rows = [(10 * i + k, t) for i in apart for k, t in enumerate(texts[i])]
-    rows += [(100_000 + i, " ".join(rng.sample(words, 200))) for i in range(100)]  # every word is in some 33 of them
+    rows = [(10 * i + k, t) for i, both in enumerate(texts) for k, t in enumerate(both)]
+    rows += [(100_000 + i, " ".join(rng.sample(words, 200))) for i in range(100)]  # every word is in some 70 of them
+    got = near_duplicates(docs(rows), width=1).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 1)
+    assert sum(not r.kept for r in got) == len(wholes)
+
+
+def test_large_group_of_copies_about_the_threshold(docs):
+    """Copies whose edits run up to twice what a link with the original allows: many are strays, linked with some others only."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(150)]
+    pool = [word() for _ in range(12)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for k in rng.sample(range(150), rng.randint(0, 16)):
+            own[k] = rng.choice(pool) if rng.random() < 0.5 else word()
+        rows.append((i, " ".join(own)))
+    got = near_duplicates(docs(rows), width=2).collect()
+    want = brute(rows, 2)
+    assert sorted(map(tuple, got)) == want
+    assert 10 < sum(k for *_, k in want) < 390
+
+
+def test_values_of_rare_and_of_frequent_lists(docs):
+    """Short documents of frequent words only, of all sizes: nothing but whole sets tells them apart."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 40)))) for i in range(400)]
     got = near_duplicates(docs(rows), width=1).collect()
     assert sorted(map(tuple, got)) == brute(rows, 1)
-    assert sum(not r.kept for r in got) == len(apart)
