@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelake.llm import memory
 from pricelake.llm.common import text_of
 
 SPACE = "▁"
 #: Words (as many again from before) and pairs of pieces that a worker remembers.
-WORDS_MOST, PAIRS_MOST = 400_000, 1_500_000
-#: Characters of words matched at a time.
-BATCH_CHARACTERS = 1 << 20
+WORDS_MOST, PAIRS_MOST = 150_000, 1_000_000
+#: Characters matched at a time, and the longest word that is remembered.
+BATCH_CHARACTERS, LONGEST = 1 << 17, 200
 
 
 class PieceModel:
@@ -64,6 +65,9 @@ class PieceModel:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.known, self.before = {}, {}
+
     def merged(self, text: str) -> list[str]:
         """Merging as the model has it: the best scored pair of neighbours first, of equals the leftmost."""
         parts = list(text)
@@ -103,9 +107,8 @@ class PieceModel:
         windows = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(codes)]
         suffixes = np.ascontiguousarray(windows).view(f"<U{width}").reshape(-1)
         order = np.argsort(suffixes, kind="stable")
-        ranked = suffixes[order]
-        low = np.searchsorted(ranked, self.rows, side="left")
-        high = np.searchsorted(ranked, self.ends, side="right")
+        low = np.searchsorted(suffixes, self.rows, side="left", sorter=order)
+        high = np.searchsorted(suffixes, self.ends, side="right", sorter=order)
         count = high - low
         which = np.repeat(np.arange(len(count)), count)
         at = order[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
@@ -157,8 +160,58 @@ class PieceModel:
                 self.known[word] = body[4 * begin : 4 * end]
             begin = end
 
+    def spell_long(self, word: str) -> bytes:
+        """One very long word: its edges are matched a stretch at a time and relaxed in order of position."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+        unknown = ~np.isin(codes, self.characters)
+        # At each place the piece that ends there (-1: none yet, -2: a spelling begins) and its length.
+        last, size = array("i", [-1]) * (len(codes) + 1), array("i", [0]) * (len(codes) + 1)
+        last[0] = -2
+        answers: dict[int, bool] = {}
+        pieces = len(self.text)
+        for low in range(0, len(codes), BATCH_CHARACTERS):
+            part = codes[low : low + BATCH_CHARACTERS + self.longest]
+            at, length, piece = self.edges(part)
+            own = at < BATCH_CHARACTERS
+            order = np.argsort(at[own], kind="stable")
+            edges = zip((at[own][order] + low).tolist(), length[own][order].tolist(), piece[own][order].tolist(), strict=True)
+            odd = iter([*(np.flatnonzero(unknown[low : low + BATCH_CHARACTERS]) + low).tolist(), len(codes)])
+            byte = next(odd)
+            for p, n, i in edges:
+                while byte < p:
+                    last[byte + 1], size[byte + 1] = -2, 1
+                    byte = next(odd)
+                before = last[p]
+                if before == -1 or last[p + n] != -1:
+                    continue
+                if before >= 0:
+                    key = before * pieces + i
+                    good = answers.get(key)
+                    if good is None:
+                        if len(answers) >= PAIRS_MOST:
+                            answers.clear()
+                        a, b = self.text[before], self.text[i]
+                        answers[key] = good = self.merged(a + b) == [a, b]
+                    if not good:
+                        continue
+                last[p + n], size[p + n] = i, n
+            while byte < min(len(codes), low + BATCH_CHARACTERS):
+                last[byte + 1], size[byte + 1] = -2, 1
+                byte = next(odd)
+        out, p = array("I"), len(codes)
+        while p:
+            if last[p] >= 0:
+                out.append(last[p])
+                p -= size[p]
+            else:
+                p -= 1
+                out.extend(self.byte_ids[b] for b in reversed(word[p].encode("utf-8", "surrogatepass")))
+        out.reverse()
+        return out.tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's identifiers, little-endian unsigned 32-bit, as the processor itself has them."""
+        memory.use(self)
         split = [_words(x) for x in texts]
         if len(self.known) > WORDS_MOST:
             self.known, self.before = {}, self.known
@@ -169,7 +222,11 @@ class PieceModel:
             else:
                 known[x] = got
         new.sort()
-        long = [x for x in new if len(x) > 200]
+        long = [x for x in new if len(x) > LONGEST]
+        for x in long:
+            if len(x) > BATCH_CHARACTERS:
+                known[x] = self.spell_long(x)
+        new = [x for x in new if len(x) <= BATCH_CHARACTERS]
         held, size = [], 0
         for x in [*new, None]:
             if x is None or size + len(x) > BATCH_CHARACTERS and held:
@@ -227,7 +284,9 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "d
     """For each row: doc_id, ids (little-endian unsigned 32-bit).
 
     A null text counts as empty and has none.  Rows stay as they are, repeated
-    ones too; an empty table gives none.
+    ones too; an empty table gives none.  Texts are encoded whole; a word of more
+    than BATCH_CHARACTERS characters takes some 20 bytes a character.  Other
+    columns play no part, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +302,11 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "d
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """encode()'s rows with the text that the identifiers spell: doc_id, ids, text."""
+    """encode()'s rows with the text that the identifiers spell: doc_id, ids, text.
+
+    Null ids count as none and spell the empty text; a null doc_id stays.  Rows
+    stay as they are, repeated ones too; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = piece_model(model)
