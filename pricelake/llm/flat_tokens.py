@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import text_of
+from pricelake.llm.common import partitions, text_of
 from pricelake.llm.tokens import encoder
 
 SLICE = 256
@@ -30,7 +30,9 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int, tex
 
     The manifest, (file, ordinal, doc_id), tells which document is a file's n-th.
     Reading it again writes the same files again; write it out once.  A null text
-    counts as empty: its document is the separator alone.
+    counts as empty: its document is the separator alone.  Repeated rows are
+    documents of their own; an empty table gives no file.  Texts are encoded
+    whole.  Other columns play no part, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,27 +67,28 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int, tex
 def count_flat(spark: SparkSession, folder: str, separator: int, block: int = BLOCK) -> DataFrame:
     """For each document: file, ordinal, start, n_tokens (with its separator), ended.
 
-    What follows a file's last separator counts as a document that has not ended.
-    Empty files have no documents.
+    Only names and lengths of files are listed; blocks are dealt to tasks, each
+    of which reads its own ranges, so that neither a task nor a row grows with a
+    file.  What follows a file's last separator counts as a document that has not
+    ended.  Empty files have no documents.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            found = []
-            for body, low in zip(batch.column("body").to_pylist(), batch.column("low").to_pylist(), strict=True):
-                found.append(low + np.flatnonzero(np.frombuffer(body, "<u2") == separator))
-            sizes = [len(x) for x in found]
-            ends = np.concatenate([np.empty(0, np.int64), *found]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("low"), batch.column("total"), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(ends))],
-                names=["file", "low", "total", "ends"],
-            )
+            for name, low, total in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                with store.open_input_file(f"{root}/{name}") as file:
+                    body = file.read_at(2 * min(block, total - low), 2 * low)
+                ends = low + np.flatnonzero(np.frombuffer(body, "<u2") == separator)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([low]), pa.array([total]), pa.array([ends], pa.list_(pa.int64()))], names=["file", "low", "total", "ends"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("length") / 2).cast("long").alias("total"), "content")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("length") / 2).cast("long").alias("total"))
     blocks = files.where("total > 0").withColumn("low", F.explode(F.sequence(F.lit(0), F.col("total") - 1, F.lit(block).cast("long"))))
-    body = F.expr(f"substring(content, cast(2 * low + 1 as int), {2 * block})")
-    found = blocks.select("file", "low", "total", body.alias("body")).mapInArrow(find, "file string, low long, total long, ends array<long>")
+    dealt = blocks.select("file", "low", "total").repartition(partitions(spark), "file", "low")
+    found = dealt.mapInArrow(find, "file string, low long, total long, ends array<long>")
     before = Window.partitionBy("file").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
     scanned = found.select(
         "file",
@@ -104,5 +107,8 @@ def count_flat(spark: SparkSession, folder: str, separator: int, block: int = BL
 
 
 def counts_by_document(counts: DataFrame, manifest: DataFrame) -> DataFrame:
-    """doc_id, file, start, n_tokens for each row of the manifest."""
+    """doc_id, file, start, n_tokens for each row of the manifest, a repeated document or a null doc_id like any other.
+
+    An empty manifest gives no rows; the manifest's other columns play no part.
+    """
     return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
