@@ -3,21 +3,23 @@
 The model predicts the class of the next token from the two before it: the
 context's vectors, each through its own matrix, add up to a predicted vector
 whose products with the classes' output vectors, plus a bias, are the scores.
-The most frequent words are classes of their own, all others are one class, in
-which a word has its smoothed share.  Training is noise-contrastive, in numpy,
-on all training tokens: every task trains on its own partition from the same
-start and the results are averaged, weighted by tokens.  Scores are normalised
-over all classes by batched matrix products, each distinct context once.
-
-Word counts are exact and cover the corpus.  Chunks of documents ask buckets of
-the hash space for the counts of their distinct words, so no vocabulary is
-broadcast or collected; only the classes and totals reach the driver.
+The most frequent words are classes of their own; all others are classed by how
+often the corpus has them, a class for each power of two, in which a word has its
+smoothed share.  Training is noise-contrastive, in numpy, on all training tokens:
+every task trains on its own partition from the same start and the results are
+averaged, weighted by tokens.  Scores are normalised over all classes by batched
+matrix products, each distinct context once.
+
+Texts are read and hashed once, as packed chunks.  Word counts are exact and
+cover the corpus: chunks ask buckets of the hash space for the counts of their
+distinct words, so no vocabulary is broadcast or collected; only the classes and
+totals reach the driver, merged on the way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,17 +30,23 @@ from pyspark.sql import functions as F
 
 from pricelake.llm.common import checkpointed, partitions, text_of, words_of
 from pricelake.llm.hashing import mixed, word_hashes
-from pricelake.llm.packed import PACKED, bucket_of_task, by_bucket, packed_frame, replies
 
 #: Words with a class of their own (the most frequent), the size of a vector, noise samples a batch and their weight.
 CLASSES, SIZE, NOISE, NOISE_RATIO = 510, 24, 96, 12.0
 #: Tokens a training batch, the learning rate, rounds of training and averaging.
 BATCH, RATE, ROUNDS = 4096, 0.08, 2
+#: Tokens at which a chunk of documents ends.
+CHUNK_TOKENS = 1 << 20
+#: Powers of two that a count can lie between.
+BINS = 63
 #: The end token; no word is empty.
 END = b""
 _PAIR = np.dtype([("h", "<u8"), ("n", "<i8")])
-#: Parts in which models are averaged, and groups of tasks averaged first.
+#: Parts in which models are averaged, and groups of tasks that are merged first.
 _PARTS, _GROUPS = 8, 64
+#: A packed row: a chunk's documents (bucket -1), or what it has in a bucket.
+_PACKED = "chunk long, bucket int, body binary"
+_DOCS = np.dtype([("id", "<i8"), ("has_id", "?"), ("held_out", "?"), ("n", "<i8")])
 
 
 def hashes_of(text: str | None) -> np.ndarray:
@@ -61,79 +69,174 @@ def _pairs(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, place = np.unique(h, return_inverse=True)
-    return unique, np.bincount(place, weights=n, minlength=len(unique)).astype(np.int64)
+def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["chunk", "bucket", "body"])
+
+
+def bins_of(counts: np.ndarray) -> np.ndarray:
+    """The power of two below each count; words never seen stand with those seen once."""
+    return np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1
 
 
 @dataclass
 class Vocabulary:
-    """Classes: 0 is every word without a class of its own, 1.. the others; one more stands before a text."""
+    """Classes: first a bin for each power of two of the counts of words without a class of their own, then such words.
 
-    words: np.ndarray  # hashes of the classes' words, ascending
-    counts: np.ndarray  # of each class, the rest first
-    tokens: int
-    distinct: int
-    ids: np.ndarray = field(init=False)
+    One more class stands before a text.
+    """
 
-    def __post_init__(self) -> None:
-        self.ids = np.arange(1, len(self.words) + 1)
+    words: np.ndarray  # hashes of words with a class of their own, ascending
+    counts: np.ndarray  # of those words
+    bin_tokens: np.ndarray  # of all other words, by bin
+    bin_words: np.ndarray
+
+    @property
+    def bins(self) -> int:
+        """Bins up to the last one with a word; at least one, for words never seen."""
+        used = np.flatnonzero(self.bin_words)
+        return int(used[-1]) + 1 if len(used) else 1
 
     @property
     def size(self) -> int:
-        return len(self.words) + 1
+        return self.bins + len(self.words)
+
+    @property
+    def tokens(self) -> int:
+        return int(self.bin_tokens.sum() + self.counts.sum())
 
-    def classes(self, h: np.ndarray) -> np.ndarray:
+    @property
+    def distinct(self) -> int:
+        return int(self.bin_words.sum()) + len(self.words)
+
+    @property
+    def class_counts(self) -> np.ndarray:
+        return np.concatenate([self.bin_tokens[: self.bins], self.counts])
+
+    def classes(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        rest = np.minimum(bins_of(counts), self.bins - 1)
         if not len(self.words):
-            return np.zeros(len(h), dtype=np.int64)
+            return rest
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at + 1, 0)
+        return np.where(self.words[at] == h, self.bins + at, rest)
 
-    def rest_log10(self, counts: np.ndarray) -> np.ndarray:
-        """The share of a word in the class of the rest; a word never seen has the share of one more."""
-        rest_tokens, rest_words = int(self.counts[0]), self.distinct - len(self.words)
-        return np.log10((counts + 1) / (rest_tokens + rest_words + 1))
+    def share_log10(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The share of a word in its class, add-one smoothed; the first bin keeps the share of one more for words never seen."""
+        rest = np.minimum(classes, self.bins - 1)
+        whole = self.bin_tokens[rest] + self.bin_words[rest] + (rest == 0)
+        return np.where(classes < self.bins, np.log10((counts + 1) / np.maximum(whole, 1)), 0.0)
 
     def base_log10(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + 1 * (self.distinct + 1)))
 
 
-def count_words(training: DataFrame, buckets: int) -> Vocabulary:
-    """Exact counts over all training texts; the most frequent words of each bucket and its totals reach the driver."""
+def _chunks(docs: DataFrame, text_col: str, id_col: str, buckets: int) -> DataFrame:
+    """Packed rows of chunks: their documents, tokens as places among the chunk's distinct words, and those words by bucket.
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        sums = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    A word's row holds its hash and how often the chunk's training texts have it.
+    """
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            unique, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
-            return _summed(np.concatenate([sums[0], unique]), np.concatenate([sums[1], n]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId(), 0
+        about: list[tuple] = []
+        tokens: list[np.ndarray] = []
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal done
+            number, done = task << 32 | done, done + 1
+            docs = np.array(about, dtype=_DOCS)
+            h, place = np.unique(np.concatenate(tokens), return_inverse=True)
+            use = np.repeat(~docs["held_out"], docs["n"])
+            count = np.bincount(place[use], minlength=len(h))
+            body = pa.compress(docs.tobytes() + place.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+            head = np.array([len(docs), docs.nbytes + 4 * len(place)], dtype="<i8").tobytes()
+            bucket = _bucket(h, buckets)
+            order = np.argsort(bucket, kind="stable")
+            asked, ends = _pairs(h[order], count[order]), np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+            rows = [(number, b, asked[low:high].tobytes()) for b, (low, high) in enumerate(zip([0, *ends], ends, strict=False)) if high > low]
+            about.clear()
+            tokens.clear()
+            return _packed([(number, -1, head + body), *rows])
+
+        held = 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                columns = (part.column(c).to_pylist() for c in ("id", "held_out", "text"))
+                for ident, out, text in zip(*columns, strict=True):
+                    tokens.append(hashes_of(text))
+                    about.append((ident or 0, ident is not None, out, len(tokens[-1])))
+                    held += len(tokens[-1])
+                    if held >= CHUNK_TOKENS:
+                        yield chunk()
+                        held = 0
+        if about:
+            yield chunk()
+
+    ident = F.col(id_col)
+    rows = docs.select(ident.cast("long").alias("id"), held_out(ident).alias("held_out"), text_of(text_col).alias("text"))
+    return checkpointed(rows.mapInArrow(run, _PACKED))
+
+
+def _documents(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's documents and the places of their tokens."""
+    n, size = np.frombuffer(body[:16], "<i8").tolist()
+    raw = pa.decompress(body[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, _DOCS, count=n), np.frombuffer(raw, "<u4", offset=n * _DOCS.itemsize)
+
+
+def _counted(chunks: DataFrame, buckets: int) -> DataFrame:
+    """For each bucket of the chunks' words: what each chunk asked with the counts over all chunks; and a row of totals (chunk -1)."""
 
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whose, bodies = [], []
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(hashes_of(text))
-                if sum(map(len, held[-64:])) * len(held) > 64 << 20 or len(held) > 4096:
-                    sums, held = fold(), []
-        h, n = fold()
-        if len(h):
-            rows = by_bucket(_bucket(h, buckets), _pairs(h, n), 0, lambda x: x.tobytes())
-            yield pa.RecordBatch.from_pandas(packed_frame(rows), schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("body", pa.binary())]))
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, found in bucket_of_task(batches, lambda b: np.frombuffer(b, _PAIR)):
-            h, n = _summed(found["h"], found["n"])
-            best = np.lexsort((h, -n))[:CLASSES]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(n.sum())]), pa.array([len(h)]), pa.array([_pairs(h[best], n[best]).tobytes()])], names=["tokens", "words", "best"]
-            )
-
-    asked = training.mapInArrow(ask, PACKED).repartitionById(buckets, F.col("bucket"))
-    got = asked.mapInArrow(top, "tokens long, words long, best binary").collect()
-    best = np.concatenate([np.empty(0, _PAIR), *(np.frombuffer(r.best, _PAIR) for r in got)])
-    best = best[np.lexsort((best["h"], -best["n"]))[:CLASSES]]
+            whose += batch.column("chunk").to_pylist()
+            bodies += [np.frombuffer(x, _PAIR) for x in batch.column("body").to_pylist()]
+            bucket = batch.column("bucket")[0].as_py() if batch.num_rows else None
+        if not bodies:
+            return
+        found = np.concatenate(bodies)
+        h, place = np.unique(found["h"], return_inverse=True)
+        total = np.bincount(place, weights=found["n"], minlength=len(h)).astype(np.int64)
+        yield _packed([(-1, bucket, _totals(h, total, np.zeros((2, BINS), dtype=np.int64)))])
+        low = 0
+        for chunk, body in zip(whose, bodies, strict=True):
+            own = place[low : low + len(body)]
+            low += len(body)
+            yield _packed([(chunk, bucket, _pairs(h[own], total[own]).tobytes())])
+
+    return checkpointed(chunks.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(tell, _PACKED))
+
+
+def _totals(h: np.ndarray, n: np.ndarray, bins: np.ndarray) -> bytes:
+    """The most frequent words that training texts have, and added to bins (tokens, words) all the others."""
+    h, n = h[n > 0], n[n > 0]
+    order = np.lexsort((h, -n))
+    best, rest = order[:CLASSES], order[CLASSES:]
+    at = bins_of(n[rest])
+    bins = bins + np.array([np.bincount(at, weights=n[rest], minlength=BINS), np.bincount(at, minlength=BINS)]).astype(np.int64)
+    return bins.astype("<i8").tobytes() + _pairs(h[best], n[best]).tobytes()
+
+
+def _merged_totals(bodies: list[bytes]) -> bytes:
+    bins = sum((np.frombuffer(x, "<i8", count=2 * BINS).reshape(2, BINS) for x in bodies), np.zeros((2, BINS), dtype=np.int64))
+    best = np.concatenate([np.empty(0, _PAIR), *(np.frombuffer(x, _PAIR, offset=16 * BINS) for x in bodies)])
+    return _totals(best["h"], best["n"], bins)
+
+
+def vocabulary_of(counted: DataFrame) -> Vocabulary:
+    """The classes, from the buckets' totals, which are merged in groups before the last meet on the driver."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [-1], "bucket": rows["bucket"][:1].to_numpy(), "body": [_merged_totals(rows["body"].tolist())]})
+
+    group = F.pmod(F.col("bucket"), F.lit(_GROUPS))
+    rows = counted.where("chunk = -1").withColumn("bucket", group).groupBy("bucket").applyInPandas(merge, _PACKED).collect()  # _GROUPS rows at most
+    body = _merged_totals([r.body for r in rows])
+    bins, best = np.frombuffer(body, "<i8", count=2 * BINS).reshape(2, BINS), np.frombuffer(body, _PAIR, offset=16 * BINS)
     best = best[np.argsort(best["h"])]
-    tokens, words = sum(r.tokens for r in got), sum(r.words for r in got)
-    return Vocabulary(best["h"].copy(), np.concatenate([[tokens - int(best["n"].sum())], best["n"]]), tokens, words)
+    return Vocabulary(best["h"].copy(), best["n"].copy(), bins[0].copy(), bins[1].copy())
 
 
 class LogBilinear:
@@ -142,7 +245,7 @@ class LogBilinear:
     def __init__(self, vocabulary: Vocabulary, seed: int = 1):
         rng, n = np.random.default_rng(seed), vocabulary.size
         shapes = [(n + 1, SIZE), (SIZE, SIZE), (SIZE, SIZE), (n, SIZE), (n,)]
-        self.noise = (vocabulary.counts + 0.5) / (vocabulary.counts + 0.5).sum()
+        self.noise = (vocabulary.class_counts + 0.5) / (vocabulary.class_counts + 0.5).sum()
         scale = [0.1, 0.3, 0.3, 0.1, 0.0]
         self.weights = [(s * rng.normal(size=x)).astype(np.float32) for s, x in zip(scale, shapes, strict=True)]
         self.weights[4] = np.log(self.noise).astype(np.float32)
@@ -162,11 +265,12 @@ class LogBilinear:
         rng, seen = np.random.default_rng(seed), 0
         squares = [np.full(x.shape, 1e-3, dtype=np.float32) for x in self.weights]
         log_noise = np.log(NOISE_RATIO * self.noise).astype(np.float32)
+        upto = np.cumsum(self.noise)
         for first, second, target in batches:
             vectors, far, near, outputs, bias = self.weights
             guess = (vectors @ far)[first] + (vectors @ near)[second]
             own = outputs[target]
-            sampled = rng.choice(len(self.noise), NOISE, p=self.noise)
+            sampled = np.minimum(np.searchsorted(upto, rng.random(NOISE), side="right"), len(upto) - 1)
             others, share = outputs[sampled], np.float32(-0.5 * NOISE_RATIO / NOISE)
             # Derivatives of the log-likelihood that data and noise are told apart; the noise's is share * (1 + false).
             true = 1 - _sigmoid(np.einsum("ij,ij->i", guess, own) + bias[target] - log_noise[target])
@@ -206,35 +310,54 @@ def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[rows[starts]] += np.add.reduceat(values[order], starts)
 
 
-def _contexts(vocabulary: Vocabulary, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two before, one before, target) of a text's tokens, given and told as classes."""
-    start = vocabulary.size
-    before = np.concatenate([[start, start], c])
-    return before[: len(c)], before[1 : len(c) + 1], c
-
-
-def _as_classes(training: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Each text's classes (16 bits a token), written once, as every round of training reads them."""
-    shared = training.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by CLASSES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                texts = batch.column("text").slice(low, 512).to_pylist()
-                found = [shared.value.classes(hashes_of(x)).astype("<u2").tobytes() for x in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["classes"])
-
-    return checkpointed(training.select("text").mapInArrow(run, "classes binary"))
-
-
-def fit(training: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """Trains on all texts of training (a column text)."""
+def contexts(start: int, c: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(two before, one before, target) of the tokens of texts of those sizes, as classes; start stands before a text."""
+    first, second = np.empty_like(c), np.empty_like(c)
+    first[2:], second[1:] = c[:-2], c[:-1]
+    at = np.cumsum(sizes) - sizes
+    first[at] = second[at] = start
+    at = at[sizes > 1] + 1
+    first[at] = start
+    return first, second, c
+
+
+def _classed(chunks: DataFrame, counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Each chunk with what is known of its documents and their tokens' classes: (chunk, about, classes), written once."""
+    shared = chunks.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by CLASSES and BINS
+    columns = ["chunk", "about", "classes"]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        vocabulary = shared.value
+        own = rows["bucket"].to_numpy() < 0
+        docs, place = _documents(rows["body"][own].iloc[0])
+        told = np.concatenate([np.frombuffer(x, _PAIR) for x in rows["body"][~own]])
+        told = told[np.argsort(told["h"])]
+        count = told["n"]
+        classes = vocabulary.classes(told["h"], count)
+        starts = np.cumsum(docs["n"]) - docs["n"]
+        total = lambda x: np.add.reduceat(x[place], starts)
+        about = np.empty(len(docs), dtype=_ABOUT)
+        for name in ("id", "has_id", "held_out", "n"):
+            about[name] = docs[name]
+        about["n_known"] = total((count > 0).astype(np.int64))
+        about["base"], about["share"] = total(vocabulary.base_log10(count)), total(vocabulary.share_log10(classes, count))
+        return pd.DataFrame([(key[0], about.tobytes(), classes[place].astype("<u2").tobytes())], columns=columns)
+
+    rows = chunks.where("bucket < 0").union(counted.where("chunk >= 0"))
+    return checkpointed(rows.groupBy("chunk").applyInPandas(run, "chunk long, about binary, classes binary"))
+
+
+#: What is known of a document before the model: share sums the logs of its words' shares in their classes.
+_ABOUT = np.dtype([*_DOCS.descr, ("n_known", "<i8"), ("base", "<f8"), ("share", "<f8")])
+
+
+def fit(classed: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
+    """Trains on the documents of classed that are not held out."""
     model = LogBilinear(vocabulary)
-    spark = training.sparkSession
+    spark = classed.sparkSession
     sizes = [x.size for x in model.weights]
-    classes = _as_classes(training, vocabulary)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((model, vocabulary))  # bounded by CLASSES and SIZE
+        shared = spark.sparkContext.broadcast((model, vocabulary))  # bounded by CLASSES, BINS and SIZE
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             model, vocabulary = shared.value
@@ -242,20 +365,15 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
             own.weights = [x.copy() for x in model.weights]
 
             def batched() -> Iterator[tuple[np.ndarray, ...]]:
-                held, n = [], 0
                 for batch in batches:
-                    for body in batch.column("classes").to_pylist():
-                        held.append(_contexts(vocabulary, np.frombuffer(body, "<u2").astype(np.int64)))
-                        n += len(held[-1][2])
-                        if n >= 16 * BATCH:
-                            joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-                            for low in range(0, n - n % BATCH, BATCH):
-                                yield tuple(x[low : low + BATCH] for x in joined)
-                            held, n = [tuple(x[n - n % BATCH :] for x in joined)], n % BATCH
-                if n:
-                    joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    for low in range(0, n, BATCH):
-                        yield tuple(x[low : low + BATCH] for x in joined)
+                    for k in range(batch.num_rows):
+                        about = np.frombuffer(batch.column("about")[k].as_py(), _ABOUT)
+                        classes = np.frombuffer(batch.column("classes")[k].as_py(), "<u2")
+                        use = ~about["held_out"]
+                        classes = classes[np.repeat(use, about["n"])].astype(np.int64)
+                        joined = contexts(vocabulary.size, classes, about["n"][use])
+                        for low in range(0, len(classes), BATCH):
+                            yield tuple(x[low : low + BATCH] for x in joined)
 
             task = TaskContext.get().partitionId()
             seen = own.train(batched(), seed=1000 * turn + task)
@@ -273,7 +391,7 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
             return pd.DataFrame({"part": rows["part"][:1], "many": 0, "tokens": rows["tokens"].sum(), "body": [total.tobytes()]})
 
         schema = "part int, many int, tokens double, body binary"
-        trained = classes.mapInArrow(run, schema)
+        trained = classed.select("about", "classes").mapInArrow(run, schema)
         summed = trained.groupBy("part", "many").applyInPandas(added, schema).groupBy("part").applyInPandas(added, schema).collect()
         if summed:
             flat = np.concatenate([np.frombuffer(r.body, "<f8") / r.tokens for r in sorted(summed)]).astype(np.float32)
@@ -304,50 +422,36 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     empty and so has one token.  The model learns from the rows that held_out()
     does not mark.  base_score is the add-one unigram score, score the model's,
     both sums of log10 over the tokens.  Repeated rows are learned from and
-    scored as often as they occur.  An empty table gives no rows.
+    scored as often as they occur.  An empty table gives no rows.  A very long
+    text is scored whole, in a chunk of its own or with what came before it.
+    Other columns play no part, whatever their names.
+
+    Chunks follow the input's partitions, and each task's model is averaged with
+    the others': score, and nothing else, depends on how the input is split.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    ident, text = F.col(id_col), text_of(text_col)
-    training = docs.where(~held_out(ident)).select(text.alias("text"))
-    vocabulary = count_words(training, n)
-    model = fit(training, vocabulary)
-    shared = spark.sparkContext.broadcast((model, vocabulary))  # bounded by CLASSES and SIZE
-    chunk = F.pmod(F.xxhash64(ident, text), F.lit(4 * n)).cast("int")
-    chunks = docs.select(chunk.alias("chunk"), ident.alias("doc_id"), held_out(ident).alias("held_out"), text.alias("text"))
-
-    def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """The chunk's distinct words, with their counts in its training texts."""
-        texts = [hashes_of(x) for x in rows["text"]]
-        use = np.repeat((~rows["held_out"].to_numpy(dtype=bool)).astype(np.int64), [len(x) for x in texts])
-        h, count = _summed(np.concatenate(texts), use)
-        return packed_frame(by_bucket(_bucket(h, n), _pairs(h, count), int(key[0]), lambda x: x.tobytes()))
+    chunks = _chunks(docs, text_col, id_col, n)
+    counted = _counted(chunks, n)
+    vocabulary = vocabulary_of(counted)
+    classed = _classed(chunks, counted, vocabulary)
+    model = fit(classed, vocabulary)
+    shared = spark.sparkContext.broadcast((model, vocabulary))  # bounded by CLASSES, BINS and SIZE
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, vocabulary = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                about = np.frombuffer(batch.column("about")[k].as_py(), _ABOUT)
+                classes = np.frombuffer(batch.column("classes")[k].as_py(), "<u2").astype(np.int64)
+                own = class_scores(model, contexts(vocabulary.size, classes, about["n"]))
+                total = np.add.reduceat(own, np.cumsum(about["n"]) - about["n"]) + about["share"]
+                out = [pa.array(about["id"], mask=~about["has_id"]), pa.array(about["held_out"]), *(pa.array(about[c]) for c in ("n", "n_known")),
+                       pa.array(np.full(len(about), vocabulary.tokens)), pa.array(about["base"]), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(out, names=_COLUMNS)
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In a bucket: every word's count over all chunks, to each chunk that has the word."""
-        for bucket, whose, found in bucket_of_task(batches, lambda b: np.frombuffer(b, _PAIR)):
-            unique, place = np.unique(found["h"], return_inverse=True)
-            total = np.bincount(place, weights=found["n"], minlength=len(unique)).astype(np.int64)
-            yield from replies(bucket, whose, _pairs(found["h"], total[place]), lambda x: x.tobytes())
+    kinds = ["long", "boolean", "long", "long", "long", "double", "double"]
+    return classed.select("about", "classes").mapInArrow(score, ", ".join(f"{c} {k}" for c, k in zip(_COLUMNS, kinds, strict=True)))
 
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def score(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        model, vocabulary = shared.value
-        if rows.empty:
-            return pd.DataFrame(columns=columns)
-        texts = [hashes_of(x) for x in rows["text"]]
-        known = np.concatenate([np.frombuffer(b, _PAIR) for b in told["body"]])
-        known = known[np.argsort(known["h"])]
-        starts = np.cumsum([0, *map(len, texts)])[:-1]
-        h = np.concatenate(texts)
-        counts = known["n"][np.searchsorted(known["h"], h)]
-        contexts = tuple(map(np.concatenate, zip(*(_contexts(vocabulary, vocabulary.classes(x)) for x in texts), strict=True)))
-        scores = class_scores(model, contexts) + np.where(contexts[2] == 0, vocabulary.rest_log10(counts), 0.0)
-        total = lambda x: np.add.reduceat(x, starts)
-        out = [rows["doc_id"], rows["held_out"], [len(x) for x in texts], total((counts > 0).astype(np.int64)), vocabulary.tokens, total(vocabulary.base_log10(counts)), total(scores)]
-        return pd.DataFrame(dict(zip(columns, out, strict=True)))
-
-    told = chunks.groupBy("chunk").applyInPandas(ask, PACKED).repartitionById(n, F.col("bucket")).mapInArrow(tell, PACKED)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(score, schema)
+_COLUMNS = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -7,7 +7,15 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pricelake.llm.lm import LogBilinear, Vocabulary, class_scores, score_texts
+from pricelake.llm import lm
+from pricelake.llm.lm import BINS, LogBilinear, Vocabulary, class_scores, contexts, score_texts
+
+
+def vocabulary(words, counts, bins):
+    tokens, own = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+    for k, (n, w) in bins.items():
+        tokens[k], own[k] = n, w
+    return Vocabulary(np.array(words, dtype=np.uint64), np.array(counts), tokens, own)
 
 
 def tokens(t):
@@ -28,7 +36,9 @@ def corpus(n=600):
     return [*rows, (5000, None), (5001, ""), (5002, "unseen words only " * 900), (None, "the n1"), rows[2]]
 
 
-def test_counts_base_and_model_scores(docs):
+@pytest.mark.parametrize("chunk", [lm.CHUNK_TOKENS, 700])
+def test_counts_base_and_model_scores(docs, monkeypatch, chunk):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", chunk)
     rows = corpus()
     got = score_texts(docs(rows, extra=["chunk", "held_out", "score"])).collect()
     assert len(got) == len(rows)
@@ -46,20 +56,29 @@ def test_counts_base_and_model_scores(docs):
 
 
 def test_scores_are_normalised_and_equal_one_by_one():
-    words = np.array([11, 22, 33], dtype=np.uint64)
-    v = Vocabulary(words, np.array([40, 30, 20, 10]), 100, 13)
+    v = vocabulary([11, 22, 33], [30, 20, 10], {0: (1, 1), 1: (4, 2), 2: (35, 7)})
+    assert (v.bins, v.size, v.tokens, v.distinct) == (3, 6, 100, 13)
     m = LogBilinear(v)
-    first, second = np.array([0, 4, 2, 0]), np.array([1, 4, 3, 1])
+    first, second = np.array([0, 4, 2, 0]), np.array([1, 6, 3, 1])
     assert np.exp(m.log_probabilities(first, second)).sum(1) == pytest.approx(1.0)
     target = np.array([2, 0, 1, 3])
     want = [m.log_probabilities(first[i : i + 1], second[i : i + 1])[0, target[i]] / math.log(10) for i in range(4)]
     assert class_scores(m, (first, second, target)) == pytest.approx(want)
-    rest = [3, 3, 4, 5, 5, 5, 5, 5, 4, 1]  # counts of the ten words of the rest: 40 tokens
-    assert sum(10 ** v.rest_log10(np.array(rest))) + 10 ** v.rest_log10(np.array([0]))[0] == pytest.approx(1.0)
+    h, counts = np.array([5, 6, 7, 22], dtype=np.uint64), np.array([1, 3, 100, 20])
+    assert v.classes(h, counts).tolist() == [0, 1, 2, 4]
+    # Each class's shares sum to one, words never seen being one more word of the first.
+    for k, own in ((0, [1, 0]), (1, [2, 2]), (2, [5, 5, 5, 5, 5, 5, 5])):
+        assert sum(10 ** v.share_log10(np.full(len(own), k), np.array(own))) == pytest.approx(1.0)
+    assert v.share_log10(np.array([4]), np.array([20]))[0] == 0
+
+
+def test_contexts_stop_at_texts():
+    first, second, target = contexts(9, np.array([1, 2, 3, 4, 5, 6]), np.array([3, 1, 2]))
+    assert first.tolist() == [9, 9, 1, 9, 9, 9] and second.tolist() == [9, 1, 2, 9, 9, 5] and target.tolist() == [1, 2, 3, 4, 5, 6]
 
 
 def test_training_learns_a_pattern():
-    v = Vocabulary(np.arange(1, 5, dtype=np.uint64), np.array([1, 250, 250, 250, 250]), 1001, 5)
+    v = vocabulary([1, 2, 3, 4], [250] * 4, {0: (1, 1)})
     m = LogBilinear(v)
     seq = np.tile([1, 2, 3, 4], 4000)
     batches = [(seq[i : i + 512], seq[i + 1 : i + 513], seq[i + 2 : i + 514]) for i in range(0, 15000, 512)] * 3
