@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricelake.functions import rules
+
 
 def round2(x: Column) -> Column:
     """Two decimals, halves toward positive infinity."""
@@ -29,7 +31,7 @@ def delta_pct(ours: Column, theirs: Column) -> Column:
 def parse_price(raw: Column) -> Column:
     """The first number of a text.  The later of comma and point is the decimal one; others group thousands."""
     text = F.regexp_replace(raw, "\u00a0", " ")
-    digits = F.regexp_replace(F.regexp_extract(text, r"(\d[\d.,\s]*\d|\d)", 1), r"\s", "")
+    digits = F.regexp_replace(F.regexp_extract(text, rules.FIRST_NUMBER, 1), r"\s", "")
     place = lambda x: F.when(F.instr(digits, x) > 0, F.length(digits) - F.instr(F.reverse(digits), x)).otherwise(-1)
     pointless = F.replace(digits, F.lit("."), F.lit(""))
     whole = F.substring_index(pointless, ",", 1)

@@ -106,3 +106,42 @@ NON_SPEC_COLUMNS = [
     "condition", "availability", "delivery_time", "price", "sale_price", "sale_price_effective_date", "price_visible",
     "brand", "gtin", "mpn", "offers", "item_group_id",
 ]
+
+# Patterns that decide what a text says.
+SIZE_MM = r"(?i)(\d{2}(?:\.\d)?)\s*mm"
+SIZE_BARE = r"^\s*(\d{2}(?:\.\d)?)\s*$"
+CARAT = r"(?i)(\d+(?:\.\d+)?)\s*(?:ct|carat)"
+CARAT_BARE = r"^\s*(\d+(?:\.\d+)?)\s*$"
+FRACTION = r"(\d)\s*/\s*(\d)"
+DAMAGED_IDENTIFIER = r"(?i)^\d(\.\d+)?E\+\d+$"
+GONE = r"outofstock|out of stock|sold\s*out|unavailable|discontinued"
+THERE = "instock|in stock|available|limitedavailability|preorder|pre-order|backorder"
+FIRST_NUMBER = r"(\d[\d.,\s]*\d|\d)"
+
+# Where linked data and pages keep what a listing needs, in the order in which it is sought.
+LINKED_HOLDERS = ["@graph", "offers", "mainEntity", "itemListElement", "hasVariant"]
+LINKED_IDENTIFIERS = ["gtin13", "gtin", "gtin12", "gtin8", "mpn", "sku"]
+LINKED_ATTRIBUTES = {"color": "dial_colour", "material": "case_material", "size": "case_size", "model": "model"}
+
+# What users read for a tier, a run's mode, an error.
+TIER_LABELS = {
+    "ean_mpn_exact": "EAN/MPN exact", "brand_spec_attributes": "Brand + specs", "fuzzy_name_specs": "Fuzzy name", "manual": "Manually linked",
+}
+MODE_LABELS = {
+    "prices": "Scrape prices for confirmed matches only",
+    "discover": "Search for candidate matches for unmatched products",
+    "both": "Look for new candidates, then scrape prices for confirmed matches",
+}
+ERROR_LABELS = {
+    "robots_disallowed": "Blocked by robots.txt", "blocked": "Site actively blocked us", "not_found": "Listing 404s",
+    "layout_changed": "Page layout changed", "no_price_found": "No price on the page", "implausible_price": "Price failed sanity check",
+    "timeout": "Timed out", "http_error": "HTTP error", "navigation_failed": "Navigation failed", "brand_not_stocked": "Brand not stocked",
+}
+
+# Hues of brands, and from where on a confidence is high or middling.
+BRAND_HUES = [265, 200, 158, 32, 340, 12, 190, 95]
+TONE_HIGH, TONE_MID = 85, 55
+
+# Statuses of matches and runs that a query may ask for.
+MATCH_STATUSES = ["pending", "confirmed", "rejected"]
+RUN_MODES = ["prices", "discover", "both"]

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pricelake.functions import rules
 
 
+def let(x: Column, f) -> Column:
+    """f(x), x being computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _first(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
     """The value of the first condition that holds."""
     return F.coalesce(*[F.when(c, v) for c, v in pairs], otherwise)
@@ -32,13 +37,12 @@ def normalise_identifier(x: Column) -> Column:
 
 def case_size(x: Column) -> Column:
     """Millimetres: '40.5 mm' and '40.5' are 40.5; null otherwise."""
-    return _number(F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in (r"(?i)(\d{2}(?:\.\d)?)\s*mm", r"^\s*(\d{2}(?:\.\d)?)\s*$")]))
+    return _number(F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in (rules.SIZE_MM, rules.SIZE_BARE)]))
 
 
 def colour(x: Column) -> Column:
-    text = normalise_text(x)
-    pairs = [(text.rlike(rules.MOTHER_OF_PEARL), F.lit("mother of pearl"))]
-    return _first(pairs + [(text.rlike(rf"\b{word}\b"), F.lit(name)) for word, name in rules.COLOURS.items()], text)
+    pairs = lambda text: [(text.rlike(rules.MOTHER_OF_PEARL), F.lit("mother of pearl"))] + [(text.rlike(rf"\b{word}\b"), F.lit(name)) for word, name in rules.COLOURS.items()]
+    return let(normalise_text(x), lambda text: _first(pairs(text), text))
 
 
 def material(x: Column) -> Column:
@@ -46,15 +50,14 @@ def material(x: Column) -> Column:
 
 
 def movement(x: Column) -> Column:
-    text = normalise_text(x)
-    return _first([(text.rlike(pattern), F.lit(name)) for pattern, name in rules.MOVEMENTS], text)
+    return let(normalise_text(x), lambda text: _first([(text.rlike(pattern), F.lit(name)) for pattern, name in rules.MOVEMENTS], text))
 
 
 def carat(x: Column) -> Column:
     """A fraction, else a number before ct or carat, else a bare number; null otherwise."""
-    top, bottom = (F.regexp_extract(x, r"(\d)\s*/\s*(\d)", i).try_cast("double") for i in (1, 2))
+    top, bottom = (F.regexp_extract(x, rules.FRACTION, i).try_cast("double") for i in (1, 2))
     fraction = F.when(bottom != 0, F.regexp_replace(F.try_divide(top, bottom).cast("string"), r"\.0$", ""))
-    patterns = (r"(?i)(\d+(?:\.\d+)?)\s*(?:ct|carat)", r"^\s*(\d+(?:\.\d+)?)\s*$")
+    patterns = (rules.CARAT, rules.CARAT_BARE)
     return F.coalesce(fraction, _number(F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in patterns])))
 
 
@@ -95,13 +98,17 @@ def tokens(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalise_text(x), " "), lambda t: t != ""))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Dice coefficient of the distinct words; 0 if either has none."""
-    x, y = tokens(a), tokens(b)
+def dice(x: Column, y: Column) -> Column:
+    """Dice coefficient of two arrays of distinct words; 0 if either has none."""
     both = F.size(x) + F.size(y)
     return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * F.size(F.array_intersect(x, y)) / both).otherwise(0.0)
 
 
+def name_similarity(a: Column, b: Column) -> Column:
+    """Dice coefficient of the distinct words; 0 if either has none."""
+    return let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), lambda t: dice(t["a"], t["b"]))
+
+
 def slug_words(url: Column) -> Column:
     """The words of an address's path; of the whole text if it is no address."""
     path = F.try_parse_url(url, F.lit("PATH"))
@@ -121,7 +128,7 @@ def search_terms(brand: Column, name: Column, reference: Column) -> Column:
 
 def damaged_identifier(x: Column) -> Column:
     """Whether a spreadsheet has turned the number into scientific notation."""
-    return x.rlike(r"(?i)^\d(\.\d+)?E\+\d+$")
+    return x.rlike(rules.DAMAGED_IDENTIFIER)
 
 
 def usable_identifier(gtin: Column, mpn: Column) -> Column:
@@ -133,9 +140,7 @@ def usable_identifier(gtin: Column, mpn: Column) -> Column:
 def availability(x: Column) -> Column:
     """False, true or null (not known)."""
     low = F.lower(x)
-    gone = low.rlike(r"outofstock|out of stock|sold\s*out|unavailable|discontinued")
-    there = low.rlike("instock|in stock|available|limitedavailability|preorder|pre-order|backorder")
-    return F.when(gone, False).when(there, True)
+    return F.when(low.rlike(rules.GONE), False).when(low.rlike(rules.THERE), True)
 
 
 def error_kind(status: Column) -> Column:
@@ -152,10 +157,35 @@ def retryable(kind: Column) -> Column:
 
 
 def text_supports(haystack: Column, attribute: Column, value: Column) -> Column:
-    """Whether a text of at least three characters' value stands in the haystack; sizes need their unit."""
+    """Whether a value of at least three characters stands in the haystack; sizes need their unit after them."""
     sized = F.regexp_like(haystack, F.concat(F.lit(r"\b"), value, F.lit(r"\s*mm\b")))
-    return F.coalesce(
-        F.when(attribute == "case_size", sized).otherwise((F.length(value) >= 3) & F.contains(haystack, value)), F.lit(False)
+    found = F.when(attribute == "case_size", sized).otherwise(F.contains(haystack, value))
+    return F.coalesce((F.length(value) >= 3) & found, F.lit(False))
+
+
+def search_term(brand: Column, name: Column, specs: Column) -> Column:
+    """What a shop is asked for: the brand with the reference number where one is known, else with the product's name."""
+    reference = F.nullif(F.trim(spec_value(canonical_specs(specs), F.lit("reference_number"))), F.lit(""))
+    return F.trim(F.concat_ws(" ", brand, F.coalesce(reference, name)))
+
+
+def canonical_specs(specs: Column) -> Column:
+    """A map's non-blank entries as an array of (k, v) under canonical names, in the order of their own names."""
+    entries = F.array_sort(F.map_entries(specs))
+    return F.transform(F.filter(entries, lambda e: F.trim(e["value"]) != ""), lambda e: F.struct(canonical_attribute(e["key"]).alias("k"), e["value"].alias("v")))
+
+
+def spec_value(entries: Column, attribute: Column) -> Column:
+    """The value of an attribute among canonical_specs(); of several entries the last."""
+    return F.try_element_at(F.filter(entries, lambda e: e["k"] == attribute), F.lit(-1))["v"]
+
+
+def run_item_detail(stored: Column, confirmed: Column, found: Column, best_url: Column, reason: Column) -> Column:
+    """What a discovery attempt led to, as a sentence."""
+    return (
+        F.when(stored > 0, F.format_string("stored %d candidates, of which %d were confirmed at once", stored, confirmed))
+        .when(best_url.isNotNull(), F.format_string("%d addresses found; the nearest, %s, was turned down: %s", found, best_url, reason))
+        .otherwise(F.format_string("%d addresses found, of which none could be opened", found))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelake.functions import money
+from pricelake.functions import labels, money, rules
 
 
 def clamp_page(limit: int, offset: int, most: int = 500) -> tuple[int, int]:
@@ -35,8 +35,13 @@ def with_site_price(products: DataFrame, prices: DataFrame, fascia_id: int | Non
     return out.withColumn("currency", F.coalesce("site_currency", "currency")).drop("site_currency")
 
 
-def latest_observations(observations: DataFrame) -> DataFrame:
-    """The last observation of each product and competitor; of equals that with the largest identifier."""
+def latest_observations(observations: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """The last observation of each product and competitor; of equals that with the largest identifier.
+
+    products (id): only theirs, which is told before anything is sorted.
+    """
+    if products is not None:
+        observations = observations.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
     last = Window.partitionBy("product_id", "competitor_id").orderBy(F.desc("observed_at"), F.desc("run_id"), F.desc("line"))
     return observations.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
 
@@ -66,11 +71,14 @@ def competitor_prices(products: DataFrame, latest: DataFrame, competitors: DataF
     )
 
 
+_BEST = ("price", "competitor_id", "competitor_name", "position", "delta_abs", "delta_pct", "observed_at")
+
+
 def cheapest(prices: DataFrame) -> DataFrame:
     """For each product the cheapest purchasable competitor, of equals that with the least identifier."""
-    key = F.when(F.col("purchasable"), F.struct("price", "competitor_id", "competitor_name", "position", "delta_abs", "delta_pct"))
+    key = F.when(F.col("purchasable"), F.struct(*_BEST))
     best = prices.groupBy("product_id").agg(F.min(key).alias("best"))
-    return best.select("product_id", *[F.col(f"best.{c}").alias(c) for c in ("price", "competitor_id", "competitor_name", "position", "delta_abs", "delta_pct")])
+    return best.select("product_id", *[F.col(f"best.{c}").alias(c) for c in _BEST])
 
 
 def match_counts(matches: DataFrame) -> DataFrame:
@@ -78,19 +86,30 @@ def match_counts(matches: DataFrame) -> DataFrame:
 
 
 def comparison(
-    products: DataFrame, prices: DataFrame, observations: DataFrame, competitors: DataFrame, fascia_id: int | None, matches: DataFrame | None = None
+    products: DataFrame, prices: DataFrame, observations: DataFrame, competitors: DataFrame, fascia_id: int | None, matches: DataFrame | None = None, nested: bool = False
 ) -> DataFrame:
-    """A row for each given product: our price, the cheapest competitor, where we stand."""
+    """A row for each given product: our price, the cheapest competitor and when it was seen, where we stand.
+
+    matches: adds how many are confirmed and pending; nested: adds all
+    competitors' prices as an array.
+    """
     priced = with_site_price(products, prices, fascia_id)
-    best = cheapest(competitor_prices(priced, latest_observations(observations), competitors))
-    best = best.withColumnsRenamed({"price": "best_price", "competitor_id": "best_competitor_id", "competitor_name": "best_competitor"})
+    seen = competitor_prices(priced, latest_observations(observations, products), competitors)
+    best = cheapest(seen).withColumnsRenamed({"price": "best_price", "competitor_id": "best_competitor_id", "competitor_name": "best_competitor"})
     out = priced.join(best.withColumnRenamed("product_id", "id"), "id", "left")
     if matches is not None:
-        counts = match_counts(matches).withColumnRenamed("product_id", "id")
+        counts = match_counts(matches.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")).withColumnRenamed("product_id", "id")
         out = out.join(counts, "id", "left").fillna(0, ["confirmed", "pending"])
+    if nested:
+        out = out.join(nested_prices(seen).withColumnRenamed("product_id", "id"), "id", "left")
     return out.withColumn("our_price_missing", F.col("our_price").isNull())
 
 
+def with_total(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """A page's rows, each with total, the number of rows that the page was cut from: a count beside the page, not a window over all."""
+    return rows.crossJoin(whole.agg(F.count("*").alias("total")))
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows offset.. of an order that ends in a unique column."""
     limit, offset = clamp_page(limit, offset)
@@ -112,6 +131,13 @@ def at_position(rows: DataFrame, position: str | None) -> DataFrame:
     return rows
 
 
+def asked(value: str, allowed: list[str] = rules.MATCH_STATUSES) -> str:
+    """A status or mode that a query asks for; any other than those allowed is refused."""
+    if value not in allowed:
+        raise ValueError(f"{value!r} is none of {', '.join(allowed)}")
+    return value
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """One row: how many products are lower, equal, higher, unmatched, without our price; the share that is matched."""
     n = F.count("*")
@@ -141,13 +167,30 @@ def history(observations: DataFrame, competitors: DataFrame, product_id: int, li
     return rows.orderBy(*order).limit(max(1, min(limit, 1000)))
 
 
-EXPORT_COLUMNS = ["sku", "product", "brand", "category", "our_price", "currency", "best_competitor", "best_price", "position", "delta_abs", "delta_pct"]
+# The columns of the export.
+EXPORT_COLUMNS = [
+    "internal_sku", "brand", "product_name", "category", "ean_mpn", "our_price", "currency",
+    "best_competitor", "best_competitor_price", "position", "delta_gbp", "delta_pct", "observed_at",
+]
 
 
 def export(rows: DataFrame) -> DataFrame:
-    """The columns of a CSV export; a product without a position reads 'unmatched'."""
-    named = rows.withColumnsRenamed({"internal_sku": "sku", "product_name": "product"})
-    return named.withColumn("position", F.coalesce("position", F.lit("unmatched"))).select(*EXPORT_COLUMNS)
+    """The columns of a CSV export; a product without a position reads 'unmatched', times are ISO texts."""
+    named = rows.withColumnsRenamed({"best_price": "best_competitor_price", "delta_abs": "delta_gbp"})
+    named = named.withColumn("position", F.coalesce("position", F.lit("unmatched"))).withColumn("observed_at", labels.iso_text(F.col("observed_at")))
+    return named.select(*EXPORT_COLUMNS)
+
+
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """Each row as a line (value) of CSV; quotes only where a value has a quote, a comma or a line end."""
+    quoted = lambda x: F.when(x.rlike("[\",\n]"), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    return rows.select(F.array_join(F.array(*[F.coalesce(quoted(F.col(c).cast("string")), F.lit("")) for c in rows.columns]), ",").alias("value"))
+
+
+def csv_text(rows: DataFrame) -> str:
+    """An export as one text with its byte order mark and header, in the rows' order; for pages only, whose size is bounded."""
+    lines = [r.value for r in csv_lines(rows).collect()]
+    return "\ufeff" + "\n".join([",".join(rows.columns), *lines])
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -155,6 +198,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def json_rows(rows: DataFrame) -> DataFrame:
+    """Each row as JSON (value), nulls included, as a service answers."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def facets(products: DataFrame) -> DataFrame:
     """(facet, value): the brands and categories of live products."""
     live = products.where(F.col("delisted_at").isNull())

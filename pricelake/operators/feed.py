@@ -148,8 +148,8 @@ def relist(products: DataFrame, prices: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("delisted_at", gone).drop("priced")
 
 
-def run_import(snapshot: dict[str, DataFrame], rows: DataFrame, fascia_id: int, import_id: int, now: Column) -> dict[str, DataFrame]:
-    """A feed import as a function from one snapshot (products, prices) to the next, with its counters."""
+def run_import(snapshot: dict[str, DataFrame], rows: DataFrame, fascia_id: int, import_id: int, now: Column, filename: str | None = None) -> dict[str, DataFrame]:
+    """A feed import as a function from one snapshot (products, prices and perhaps imports) to the next, with its counters."""
     parsed = parse(rows, now)
     feed = products_of(parsed)
     after = upsert_products(snapshot["products"].drop("id"), feed, now)
@@ -160,4 +160,18 @@ def run_import(snapshot: dict[str, DataFrame], rows: DataFrame, fascia_id: int,
     products = after.join(ids, "internal_sku")
     fed = feed.where("kind = 'priced'").join(ids.select(F.col("id").alias("product_id"), F.col("internal_sku").alias("sku")), "sku")
     prices = drop_stale_prices(upsert_prices(snapshot["prices"], fed, fascia_id, import_id), products, fascia_id, import_id)
-    return {"products": relist(products, prices, now), "prices": prices, "counters": counters(parsed)}
+    listed = relist(products, prices, now)
+    log = import_log(parsed, fed, snapshot["products"], listed, fascia_id, import_id, filename)
+    if "imports" in snapshot:
+        log = snapshot["imports"].unionByName(log, allowMissingColumns=True)
+    return {"products": listed, "prices": prices, "counters": counters(parsed), "imports": log}
+
+
+def import_log(parsed: DataFrame, fed: DataFrame, before: DataFrame, after: DataFrame, fascia_id: int, import_id: int, filename: str | None = None) -> DataFrame:
+    """One row about an import: rows read, products seen, prices written, products delisted by it."""
+    seen = parsed.agg(F.count("*").alias("rows_read"), F.count_distinct(F.when(F.col("kind").isin("hidden", "unpriced", "priced"), F.col("sku"))).alias("products_seen"))
+    written = fed.agg(F.count("*").alias("prices_written"))
+    live = before.where(F.col("delisted_at").isNull()).select("internal_sku")
+    gone = after.where(F.col("delisted_at").isNotNull()).join(live, "internal_sku", "left_semi").agg(F.count("*").alias("delisted"))
+    head = [F.lit(import_id).cast("long").alias("id"), F.lit(fascia_id).cast("long").alias("fascia_id"), F.lit(filename).cast("string").alias("filename")]
+    return seen.crossJoin(written).crossJoin(gone).select(*head, "rows_read", "products_seen", "prices_written", "delisted")

@@ -24,12 +24,6 @@ def candidate_urls(products: DataFrame, urls: DataFrame, most: int = 5) -> DataF
     return hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
 
 
-def spec_value(specs: Column, attribute: Column) -> Column:
-    """A map's value under an attribute's canonical name; of several names the last in their order."""
-    same = F.filter(F.array_sort(F.map_entries(specs)), lambda e: text.canonical_attribute(e["key"]) == attribute)
-    return F.try_element_at(same, F.lit(-1))["value"]
-
-
 def _rules_of(category: Column) -> Column:
     """The category's (attribute, weight) pairs: gates first, in order."""
     each = []
@@ -52,19 +46,26 @@ def score_candidates(pairs: DataFrame) -> DataFrame:
     title = F.coalesce("title", F.lit(""))
     every = F.concat_ws(" ", title, F.array_join(F.map_values(F.coalesce("attributes", F.create_map().cast("map<string,string>"))), " "), "listing_brand")
     df = pairs.withColumn("_hay", text.normalise_text(every))
+    # Each map is brought under canonical names once, a value that a rule asks for is normalised once.
+    df = df.withColumns({"_ours": text.canonical_specs(F.col("specs")), "_theirs": text.canonical_specs(F.col("attributes"))})
+    found = lambda pattern, group: F.nullif(F.regexp_extract(title, pattern, group), F.lit(""))
+    inferred = {"brand": F.nullif(F.trim("listing_brand"), F.lit("")), "case_size": found(rules.SIZE_MM, 1), "carat_weight": found(rules.CARAT, 0)}
+    df = df.withColumn("_inferred", F.map_filter(F.create_map(*[y for k, v in inferred.items() for y in (F.lit(k), v)]), lambda _, v: v.isNotNull()))
 
     def one(rule: Column) -> Column:
         name = rule["attribute"]
-        ours = F.coalesce(spec_value(F.col("specs"), name), F.when(name == "brand", F.col("brand")))
-        inferred = (
-            F.when(name == "brand", F.col("listing_brand"))
-            .when(name == "case_size", F.nullif(F.regexp_extract(title, r"(?i)(\d{2}(?:\.\d)?)\s*mm", 1), F.lit("")))
-            .when(name == "carat_weight", F.nullif(F.regexp_extract(title, r"(?i)(\d+(?:\.\d+)?)\s*(?:ct|carat)", 1), F.lit("")))
-        )
-        theirs = F.coalesce(spec_value(F.col("attributes"), name), inferred)
-        return F.struct(name.alias("attribute"), rule["weight"].alias("weight"), text.normalise_attribute(name, ours).alias("ours"), text.normalise_attribute(name, theirs).alias("theirs"))
+        ours = F.coalesce(text.spec_value(F.col("_ours"), name), F.when(name == "brand", F.col("brand")))
+        theirs = F.coalesce(text.spec_value(F.col("_theirs"), name), F.try_element_at("_inferred", name))
+        return F.struct(name.alias("attribute"), rule["weight"].alias("weight"), ours.alias("ours"), theirs.alias("theirs"))
+
+    def normal(x: Column) -> Column:
+        both = F.transform(F.array(x["ours"], x["theirs"]), lambda v: text.normalise_attribute(x["attribute"], v))
+        return F.struct(x["attribute"].alias("attribute"), x["weight"].alias("weight"), both.alias("both"))
 
-    df = df.withColumn("_seen", F.filter(F.transform(_rules_of(text.category_of(F.col("category"))), one), lambda x: x["ours"].isNotNull()))
+    df = df.withColumn("_seen", F.transform(_rules_of(text.category_of(F.col("category"))), one))
+    df = df.withColumn("_seen", F.filter(F.transform("_seen", normal), lambda x: F.get(x["both"], F.lit(0)).isNotNull()))
+    parts = lambda x: F.struct(x["attribute"].alias("attribute"), x["weight"].alias("weight"), F.get(x["both"], F.lit(0)).alias("ours"), F.get(x["both"], F.lit(1)).alias("theirs"))
+    df = df.withColumn("_seen", F.transform("_seen", parts))
 
     def verdict(x: Column) -> Column:
         both = x["theirs"].isNotNull()
@@ -99,7 +100,7 @@ def score_candidates(pairs: DataFrame) -> DataFrame:
     )
     df = df.withColumns({"tier": tier, "evidence": evidence, "viable": exact | (~rejected & (F.col("confidence") >= rules.MIN_CANDIDATE))})
     df = df.withColumn("auto_accept", F.col("viable") & (F.col("confidence") >= rules.AUTO_ACCEPT))
-    return df.drop("_hay", "_seen", "_earned", "_available", "_failed", "_weighted", "_same")
+    return df.drop("_hay", "_ours", "_theirs", "_inferred", "_seen", "_earned", "_available", "_failed", "_weighted", "_same")
 
 
 def rejection_reason(confidence: Column, gates_failed: Column) -> Column:
@@ -114,12 +115,26 @@ def rejection_reason(confidence: Column, gates_failed: Column) -> Column:
 
 
 def discover(candidates: DataFrame, opened: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(stored, best rejected) of scored candidates: (product_id, competitor_id, url, place, ...).
+    """(stored, best rejected) of candidates: (product_id, competitor_id, url, place, mode, ...) with the columns of score_candidates.
 
-    Of each product and competitor the first places are opened; viable listings
-    are stored, of the others the most confident, of equals the first, is told.
+    mode: "search" or "sitemap".  A first score goes by the title that the search
+    told (result_title; none in a sitemap); of a search's results only viable ones
+    count on.  Of each product and competitor the most confident are opened, of
+    equals the first; viable listings are stored, of the others the most
+    confident, of equals the first opened, is told.
     """
-    scored = score_candidates(candidates.where(F.col("place") <= opened))
-    best = Window.partitionBy("product_id", "competitor_id").orderBy(F.desc("confidence"), "place")
+    key = ["product_id", "competitor_id", "url", "place"]
+    unknown = {"listing_ean": "string", "listing_brand": "string", "attributes": "map<string,string>"}
+    alone = candidates.withColumns({c: F.lit(None).cast(kind) for c, kind in unknown.items()}).withColumn("title", F.col("result_title"))
+    first = score_candidates(alone).where((F.col("mode") == "sitemap") | F.col("viable"))
+    order = Window.partitionBy("product_id", "competitor_id").orderBy(F.desc("confidence"), "place")
+    chosen = first.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= opened).select(*key, "turn")
+    scored = score_candidates(candidates.join(chosen, key))
+    best = Window.partitionBy("product_id", "competitor_id").orderBy(F.desc("confidence"), "turn")
     rest = scored.where(~F.col("viable")).withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
     return scored.where("viable"), rest.withColumn("reason", rejection_reason(F.col("confidence"), F.col("evidence.gates_failed")))
+
+
+def evidence_json(evidence: Column) -> Column:
+    """The evidence of a score as it is stored: JSON, without what is null."""
+    return F.to_json(evidence)

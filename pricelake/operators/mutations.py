@@ -10,24 +10,26 @@ def upsert_matches(matches: DataFrame, scored: DataFrame) -> DataFrame:
     """Matches after a scoring run.  Both: (product_id, competitor_id, url, confidence, tier, status, confirmed_by).
 
     Confidence and tier follow the run; the status does not where a person
-    decided or the match was rejected, and where the pair has another confirmed
-    match a new confirmation waits for review.
+    decided or the match was rejected.  A pair has one confirmed match: where it
+    had one before the run, other new confirmations wait for review; where it had
+    none, the most confident of the new ones, of equals the least address, is it.
     """
-    key = ["product_id", "competitor_id", "url"]
-    taken = matches.where("status = 'confirmed'").groupBy("product_id", "competitor_id").agg(F.min("url").alias("confirmed_url"))
+    key, pair = ["product_id", "competitor_id", "url"], ["product_id", "competitor_id"]
+    taken = matches.where("status = 'confirmed'").groupBy(*pair).agg(F.min("url").alias("confirmed_url"))
     new = scored.select(*key, F.col("confidence").alias("n_confidence"), F.col("tier").alias("n_tier"), F.col("status").alias("n_status"))
-    first = Window.partitionBy("product_id", "competitor_id").orderBy(F.desc("n_confidence"), "url")
-    new = new.join(taken, ["product_id", "competitor_id"], "left")
-    rival = (F.col("confirmed_url").isNotNull() & (F.col("confirmed_url") != F.col("url"))) | (F.row_number().over(first) > 1)
-    new = new.withColumn("n_status", F.when((F.col("n_status") == "confirmed") & rival, "pending").otherwise(F.col("n_status"))).drop("confirmed_url")
-    both = matches.join(new, key, "full_outer")
-    decided = (F.col("confirmed_by").isNotNull() & (F.col("confirmed_by") != "auto")) | (F.col("status") == "rejected")
+    both = matches.join(new, key, "full_outer").join(taken, pair, "left")
+    decided = F.coalesce((F.col("confirmed_by").isNotNull() & (F.col("confirmed_by") != "auto")) | (F.col("status") == "rejected"), F.lit(False))
+    asks = F.coalesce((F.col("n_status") == "confirmed") & ~decided, F.lit(False))
+    order = Window.partitionBy(*pair).orderBy(F.col("_asks").desc(), F.desc("n_confidence"), "url")
+    both = both.withColumn("_asks", asks).withColumn("_turn", F.row_number().over(order))
+    holds = F.when(F.col("confirmed_url").isNotNull(), F.col("url") == F.col("confirmed_url")).otherwise(F.col("_turn") == 1)
+    status = F.when(F.col("_asks") & ~holds, "pending").otherwise(F.col("n_status"))
     return both.select(
         *key,
         F.coalesce("n_confidence", "confidence").alias("confidence"),
         F.coalesce("n_tier", "tier").alias("tier"),
-        F.when(F.col("status").isNotNull() & (decided | F.col("n_status").isNull()), F.col("status")).otherwise(F.col("n_status")).alias("status"),
-        F.when(F.col("status").isNull() & (F.col("n_status") == "confirmed"), "auto").otherwise(F.col("confirmed_by")).alias("confirmed_by"),
+        F.when(F.col("status").isNotNull() & (decided | F.col("n_status").isNull()), F.col("status")).otherwise(status).alias("status"),
+        F.when(F.col("status").isNull() & (status == "confirmed"), "auto").otherwise(F.col("confirmed_by")).alias("confirmed_by"),
     )
 
 
@@ -107,14 +109,60 @@ def set_enabled(competitors: DataFrame, slug: str, enabled: bool) -> DataFrame:
     return competitors.withColumn("enabled", F.when(F.col("slug") == slug, enabled).otherwise(F.col("enabled")))
 
 
-def add_manual_product(products: DataFrame, sku: str, brand: str, name: str, price: float | None = None, site: str | None = None) -> DataFrame:
-    """One more product, typed in by a person; its SKU must be new whatever the letters' case."""
-    if price is not None and (price < 0 or site is None):
+def add_manual_product(
+    products: DataFrame, prices: DataFrame, sku: str, brand: str, name: str, price: float | None = None, fascia_id: int | None = None,
+    identifier: str | None = None, category: str | None = None, url: str | None = None, reference: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(products, prices) with one more product, typed in by a person; its SKU must be new whatever the letters' case.
+
+    A price is stored at the site that it is given for; blank texts count as not
+    given, a reference number is an attribute.
+    """
+    if price is not None and (price < 0 or fascia_id is None):
         raise ValueError("a price needs a site, and cannot be negative")
     if not products.where(F.lower("internal_sku") == sku.lower()).isEmpty():
         raise ValueError(f"there is a product {sku} already")
-    row = products.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).select("id", F.lit(sku).alias("internal_sku"), F.lit(brand).alias("brand"), F.lit(name).alias("product_name"), F.lit("manual").alias("source"))
-    return products.unionByName(row, allowMissingColumns=True)
+    given = lambda x: F.lit((x or "").strip() or None).cast("string")
+    known = F.map_filter(F.create_map(F.lit("reference_number"), given(reference)), lambda _, v: v.isNotNull())
+    values = {"internal_sku": F.lit(sku), "brand": F.lit(brand), "product_name": F.lit(name), "ean_mpn": given(identifier), "category": given(category), "our_product_url": given(url), "specs": known, "source": F.lit("manual")}
+    row = products.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id"))
+    out = products.unionByName(row.select("id", *[v.alias(c) for c, v in values.items() if c in products.columns]), allowMissingColumns=True)
+    if price is None:
+        return out, prices
+    own = row.select(F.col("id").alias("product_id"), F.lit(fascia_id).cast("long").alias("fascia_id"), F.lit(float(price)).alias("price"), F.lit("GBP").alias("currency"))
+    return out, prices.unionByName(own, allowMissingColumns=True)
+
+
+def removed(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(table, removed): how many rows of each table a change of state took away."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    each = [count(before[t], "b").crossJoin(count(after[t], "a")).select(F.lit(t).alias("table"), (F.col("b") - F.col("a")).alias("removed")) for t in sorted(after)]
+    out = each[0]
+    for x in each[1:]:
+        out = out.union(x)
+    return out
+
+
+def set_logos(competitors: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """Competitors after looking for logos.  found: (slug, data, content_type, source, error), a row for each shop that was tried.
+
+    What was found replaces the logo and clears the error; a failure leaves the
+    logo and keeps the error.
+    """
+    new = found.select("slug", F.col("data").alias("n_data"), F.col("content_type").alias("n_type"), F.col("source").alias("n_source"), F.col("error").alias("n_error"), F.lit(True).alias("tried"))
+    got = F.col("n_data").isNotNull()
+    pick = lambda a, b: F.when(got, F.col(a)).otherwise(F.col(b)).alias(b)
+    out = competitors.join(new, "slug", "left")
+    rest = [c for c in competitors.columns if c not in ("logo_data", "logo_content_type", "logo_url", "logo_fetched_at", "logo_error")]
+    error = F.when(got, None).when(F.col("tried"), F.col("n_error")).otherwise(F.col("logo_error")).alias("logo_error")
+    return out.select(*rest, pick("n_data", "logo_data"), pick("n_type", "logo_content_type"), pick("n_source", "logo_url"), F.when(got, now).otherwise(F.col("logo_fetched_at")).alias("logo_fetched_at"), error)
+
+
+def clear_logo(competitors: DataFrame, slug: str) -> DataFrame:
+    """A shop without its logo and all that is known of it."""
+    gone = lambda c: F.when(F.col("slug") != slug, F.col(c)).alias(c)
+    logo = ("logo_data", "logo_content_type", "logo_url", "logo_fetched_at", "logo_error")
+    return competitors.select(*[gone(c) if c in logo else F.col(c) for c in competitors.columns])
 
 
 def run_states(events: DataFrame) -> DataFrame:

@@ -6,8 +6,13 @@ what goes wrong with a page is a value in its row, never an exception.
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
 import re
+import zlib
+from bisect import bisect_left
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -18,86 +23,139 @@ from pyspark.sql import functions as F
 from pricelake.functions import money, rules, text
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements that a start tag closes where they are left open.
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}, "p": {"p"}}
 _STEP = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:\.[\w-]+|#[\w-]+|\[[^\]]+\])*)$")
 
 
+class Step:
+    """One step of a selector: tag, .class, #id, [name], [name=value], [name*=value]."""
+
+    def __init__(self, written: str):
+        got = _STEP.match(written)
+        self.never = got is None
+        self.tag = got[1] if got and got[1] not in (None, "*") else None
+        self.classes, self.tests = [], []
+        for part in re.findall(r"\.[\w-]+|#[\w-]+|\[[^\]]+\]", got[2]) if got else []:
+            if part[0] == ".":
+                self.classes.append(part[1:])
+            elif part[0] == "#":
+                self.tests.append(("id", "=", part[1:]))
+            elif (test := re.match(r"([\w:-]+)(\*=|=)?(.*)", part[1:-1])) is None:
+                self.never = True
+            else:
+                self.tests.append((test[1], test[2], test[3].strip("\"'")))
+
+    def fits(self, node: Node) -> bool:
+        if self.never or (self.tag is not None and self.tag != node.tag) or not node.classes.issuperset(self.classes):
+            return False
+        for name, mark, value in self.tests:
+            own = node.attributes.get(name)
+            if own is None or (mark == "=" and own != value) or (mark == "*=" and value not in own):
+                return False
+        return True
+
+
+@lru_cache(maxsize=512)
+def _paths(selector: str) -> list[list[Step]]:
+    """The alternatives of a selector, each as steps from the outermost element to the one that is sought."""
+    return [[Step(y) for y in x.split()] for x in selector.split(",") if x.strip()]
+
+
 class Node:
-    """An element: its tag, attributes, children (elements and texts) and parent."""
+    """An element of a page: its tag, attributes, parent, children, and its place and the place behind its last descendant."""
 
-    def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
-        self.tag, self.attributes, self.parent = tag, attributes, parent
+    def __init__(self, page: Page, tag: str, attributes: dict[str, str], parent: Node | None):
+        self.page, self.tag, self.attributes, self.parent = page, tag, attributes, parent
+        self.classes = frozenset(attributes.get("class", "").split())
         self.children: list[Node | str] = []
+        self.place = len(page.nodes)
+        self.end = self.place + 1
+        page.nodes.append(self)
 
     def text(self) -> str:
-        return "".join(x if isinstance(x, str) else x.text() for x in self.children)
-
-    def below(self):
-        for x in self.children:
-            if isinstance(x, Node):
-                yield x
-                yield from x.below()
-
-    def fits(self, step: str) -> bool:
-        """Whether one step of a selector (tag, .class, #id, [name], [name=value], [name*=value]) describes it."""
-        got = _STEP.match(step)
-        if not got or got[1] not in (None, "*", self.tag):
-            return False
-        for part in re.findall(r"\.[\w-]+|#[\w-]+|\[[^\]]+\]", got[2]):
-            if part[0] == "." and part[1:] not in self.attributes.get("class", "").split():
-                return False
-            if part[0] == "#" and self.attributes.get("id") != part[1:]:
-                return False
-            if part[0] == "[":
-                name, mark, value = re.match(r"([\w:-]+)(\*=|=)?(.*)", part[1:-1]).groups()
-                own, value = self.attributes.get(name), value.strip("\"'")
-                if own is None or (mark == "=" and own != value) or (mark == "*=" and value not in own):
-                    return False
-        return True
-
-    def matches(self, path: list[str]) -> bool:
-        if not self.fits(path[-1]):
+        out, waiting = [], [self]
+        while waiting:
+            x = waiting.pop()
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                waiting += reversed(x.children)
+        return "".join(out)
+
+    def inside(self, path: list[Step]) -> bool:
+        """Whether the element fits a path's last step and has the others around it."""
+        if not path[-1].fits(self):
             return False
-        up, rest = self.parent, path[:-1]
-        while rest and up is not None:
-            if up.fits(rest[-1]):
-                rest = rest[:-1]
+        up, left = self.parent, len(path) - 1
+        while left and up is not None:
+            if path[left - 1].fits(up):
+                left -= 1
             up = up.parent
-        return not rest
+        return not left
 
     def select(self, selector: str) -> list[Node]:
-        paths = [x.split() for x in selector.split(",") if x.strip()]
-        return [n for n in self.below() if any(n.matches(p) for p in paths)]
+        """The descendants that a selector describes, in the page's order."""
+        found: set[int] = set()
+        for path in _paths(selector):
+            places = self.page.places(path[-1])
+            for k in range(bisect_left(places, self.place + 1), bisect_left(places, self.end)):
+                if self.page.nodes[places[k]].inside(path):
+                    found.add(places[k])
+        return [self.page.nodes[k] for k in sorted(found)]
+
 
+class Page(HTMLParser):
+    """A page read once into elements in order, with the places of each tag and class."""
 
-class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.nodes: list[Node] = []
+        self.root = self.at = Node(self, "", {}, None)
+        self.open: dict[str, int] = {}
+        self.feed(html)
+        self.by_tag: dict[str, list[int]] = {}
+        self.by_class: dict[str, list[int]] = {}
+        for node in self.nodes[1:]:
+            self.by_tag.setdefault(node.tag, []).append(node.place)
+            for name in node.classes:
+                self.by_class.setdefault(name, []).append(node.place)
+        for node in reversed(self.nodes[1:]):
+            node.parent.end = max(node.parent.end, node.end)
+
+    def places(self, step: Step) -> list[int] | range:
+        """Places that hold all elements that fit a step."""
+        lists = [self.by_class.get(x, []) for x in step.classes] + ([self.by_tag.get(step.tag, [])] if step.tag else [])
+        return min(lists, key=len) if lists else range(1, len(self.nodes))
+
+    def _up(self) -> None:
+        self.open[self.at.tag] -= 1
+        self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        closes = _CLOSES.get(tag, ())
+        while self.at.tag in closes:
+            self._up()
+        self.handle_startendtag(tag, attrs)
         if tag not in _VOID:
-            self.at = node
+            self.at = self.at.children[-1]
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self.at.children.append(Node(self, tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        up = self.at
-        while up is not None and up.tag != tag:
-            up = up.parent
-        if up is not None and up.parent is not None:
-            self.at = up.parent
+        if self.open.get(tag):
+            while self.at.tag != tag:
+                self._up()
+            self._up()
 
     def handle_data(self, data):
         self.at.children.append(data)
 
 
 def parse_html(html: str | None) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    return builder.root
+    return Page(html or "").root
 
 
 def _clean(x: str | None) -> str:
@@ -126,14 +184,14 @@ def json_ld_nodes(root: Node) -> list[dict]:
                 visit(y, depth + 1)
             return
         out.append(x)
-        for key in ("@graph", "offers", "mainEntity", "itemListElement", "hasVariant"):
+        for key in rules.LINKED_HOLDERS:
             if key in x:
                 visit(x[key], depth + 1)
 
     for script in root.select("script[type=application/ld+json]"):
         try:
             visit(json.loads(script.text()), 0)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
     return out
 
@@ -157,8 +215,14 @@ def _name(key: str) -> str:
 
 
 def read_listing(html: str | None, config: dict) -> dict:
-    """The raw texts of a product page; prices and availability are made of them in columns."""
-    root = parse_html(html)
+    """The raw texts of a product page; prices and availability are made of them in columns.  What cannot be read is an error kind."""
+    try:
+        return _listing(parse_html(html), config)
+    except Exception:  # whatever a page holds, it must not end the job
+        return {"error_kind": "unreadable"}
+
+
+def _listing(root: Node, config: dict) -> dict:
     css = config.get("selectors") or {}
     markers = config.get("sanityContains") or []
     if markers and not any(root.select(x) for x in markers):
@@ -168,17 +232,18 @@ def read_listing(html: str | None, config: dict) -> dict:
     offer = next((x for x in nodes if _is(x, "offer", "aggregateoffer")), {}) if product else {}
     product = product or {}
     attributes: dict[str, str] = {}
-    for entry in product.get("additionalProperty") or []:
+    more = product.get("additionalProperty")
+    for entry in more if isinstance(more, list) else [more]:
         if isinstance(entry, dict) and (k := _word(entry.get("name"))) and (v := _word(entry.get("value"))):
             attributes[_name(k)] = v
-    for key, target in (("color", "dial_colour"), ("material", "case_material"), ("size", "case_size"), ("model", "model")):
+    for key, target in rules.LINKED_ATTRIBUTES.items():
         if v := _word(product.get(key)):
             attributes.setdefault(target, v)
     pairs = []
+    nodes = root.page.nodes
     for dt in root.select("dl dt"):
-        beside = [x for x in dt.parent.children if isinstance(x, Node)]
-        after = beside[beside.index(dt) + 1 :][:1]
-        pairs += [(dt, after[0])] if after and after[0].tag == "dd" else []
+        after = nodes[dt.end] if dt.end < dt.parent.end else None  # the next element beside it
+        pairs += [(dt, after)] if after is not None and after.tag == "dd" else []
     for row in root.select("table tr"):
         cells = row.select("th, td")
         pairs += [tuple(cells)] if len(cells) == 2 else []
@@ -196,7 +261,7 @@ def read_listing(html: str | None, config: dict) -> dict:
         "currency": _word(offer.get("priceCurrency")) or _word(product.get("priceCurrency")) or "GBP",
         "availability": first_text(root, css.get("availability")) or _word(offer.get("availability")),
         "promo_badge": first_text(root, css.get("promoBadge")) is not None,
-        "ean": next((v for k in ("gtin13", "gtin", "gtin12", "gtin8", "mpn", "sku") if (v := _word(product.get(k)))), None) or first_text(root, css.get("ean")),
+        "ean": next((v for k in rules.LINKED_IDENTIFIERS if (v := _word(product.get(k)))), None) or first_text(root, css.get("ean")),
         "brand": _word(product.get("brand")),
         "attributes": attributes,
         "error_kind": None,
@@ -257,6 +322,12 @@ def search_results(pages: DataFrame, config: dict, base_url: str, html_col: str
     link, title, cost = (", ".join(config.get(k) or d) for k, d in (("resultLink", ["a"]), ("resultTitle", []), ("resultPrice", [])))
 
     def read(html: str | None) -> list[tuple[str, str, str | None]]:
+        try:
+            return hits(html)
+        except Exception:  # whatever a page holds, it must not end the job
+            return []
+
+    def hits(html: str | None) -> list[tuple[str, str, str | None]]:
         out: dict[str, tuple[str, str, str | None]] = {}
         for node in parse_html(html).select(item) if item else []:
             links = node.select(link)
@@ -305,10 +376,39 @@ def icon_urls(pages: DataFrame, html_col: str = "html", base_col: str = "url") -
     return pages.withColumn("icons", icons(html_col, base_col))
 
 
+#: The largest sitemap file that is read, in bytes, packed or not.
+SITEMAP_MOST = 50 << 20
+
+
+def sitemap_bodies(files: DataFrame, content_col: str = "content") -> DataFrame:
+    """Adds body and error to fetched sitemap files (binary): unpacked if they are gzip by their first bytes, refused if too large or broken."""
+
+    def read(content: bytes | None) -> tuple[str | None, str | None]:
+        if content is None:
+            return None, "no content"
+        if len(content) > SITEMAP_MOST:
+            return None, f"{len(content) >> 20} MB are too much for a sitemap"
+        if content[:2] != b"\x1f\x8b":
+            return content.decode("utf-8", "replace"), None
+        try:
+            with gzip.GzipFile(fileobj=io.BytesIO(content)) as packed:
+                plain = packed.read(SITEMAP_MOST + 1)
+        except (OSError, EOFError, zlib.error) as fault:
+            return None, str(fault) or "broken gzip"
+        return (plain.decode("utf-8", "replace"), None) if len(plain) <= SITEMAP_MOST else (None, "unpacked, it is too much for a sitemap")
+
+    @F.pandas_udf("body string, error string")
+    def bodies(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(x) for x in contents], columns=["body", "error"])
+
+    out = files.withColumn("_read", bodies(content_col))
+    return out.select(*[c for c in files.columns if c != content_col], "_read.body", "_read.error")
+
+
 def sitemap_entries(files: DataFrame, body_col: str = "body") -> DataFrame:
-    """A row for each entry of sitemap files: adds kind (url or sitemap), loc, lastmod; entries without address are left out."""
-    entry = F.explode(F.regexp_extract_all(F.col(body_col), F.lit(r"(?is)(<(url|sitemap)\b.*?</\2>)"), F.lit(1)))
-    rows = files.select(*[c for c in files.columns if c != body_col], entry.alias("_entry"))
+    """A row for each entry of sitemap files: adds place (in the file), kind (url or sitemap), loc, lastmod; entries without address are left out."""
+    entry = F.posexplode(F.regexp_extract_all(F.col(body_col), F.lit(r"(?is)(<(url|sitemap)\b.*?</\2>)"), F.lit(1)))
+    rows = files.select(*[c for c in files.columns if c != body_col], entry.alias("place", "_entry"))
     plain = F.regexp_extract("_entry", r"(?is)<loc>\s*(.*?)\s*</loc>", 1)
     for mark, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(mark), F.lit(character))
@@ -317,12 +417,91 @@ def sitemap_entries(files: DataFrame, body_col: str = "body") -> DataFrame:
     return rows.select("*", kind.alias("kind"), F.trim(plain).alias("loc"), F.when(kind == "url", changed).alias("lastmod")).drop("_entry").where("loc != ''")
 
 
+def walked(entries: DataFrame, roots: DataFrame, most_files: int = 100) -> DataFrame:
+    """(competitor_id, file, turn): the sitemap files reached from the declared ones (roots: competitor_id, file).
+
+    entries: sitemap_entries() with competitor_id and file.  Level by level, a
+    file once; of each shop the first most_files in order of level and address.
+    """
+    known = roots.select("competitor_id", "file").distinct().withColumn("level", F.lit(0))
+    links = entries.where("kind = 'sitemap'").select("competitor_id", "file", F.col("loc").alias("child")).distinct()
+    reached = known
+    for level in range(1, most_files):
+        further = reached.where(F.col("level") == level - 1).join(links, ["competitor_id", "file"])
+        new = further.select("competitor_id", F.col("child").alias("file")).distinct().join(reached, ["competitor_id", "file"], "left_anti")
+        if new.isEmpty():
+            break
+        reached = reached.union(new.withColumn("level", F.lit(level)))
+    order = Window.partitionBy("competitor_id").orderBy("level", "file")
+    return reached.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most_files).drop("level")
+
+
 def harvest(entries: DataFrame) -> DataFrame:
-    """The distinct addresses of all sitemap files with their words and the last change that can be read."""
-    urls = entries.where("kind = 'url'").groupBy("competitor_id", F.col("loc").alias("url")).agg(F.max(F.try_to_timestamp("lastmod")).alias("lastmod"))
+    """The distinct addresses of all sitemap files with their words; of an address told twice the first one's last change, if it can be read.
+
+    The first is that of the earlier file (turn, where walked() has told it), there
+    the earlier entry (place).
+    """
+    own = [F.col(c) if c in entries.columns else F.lit(0).alias(c) for c in ("turn", "place")]
+    rows = entries.where("kind = 'url'").select("competitor_id", F.col("loc").alias("url"), F.try_to_timestamp("lastmod").alias("lastmod"), *own)
+    urls = rows.groupBy("competitor_id", "url").agg(F.min_by("lastmod", F.struct("turn", "place")).alias("lastmod"))
     return urls.withColumn("slug", text.slug_words(F.col("url")))
 
 
+def survey(competitors: DataFrame, declared: DataFrame, files: DataFrame, entries: DataFrame, children: int = 3, samples: int = 10) -> DataFrame:
+    """What each shop's sitemaps hold, by a bounded look: competitor_id, declared, read, failed, indexes, total_urls, sample, error, first_fault.
+
+    competitors: (competitor_id, error: why no sitemap may be sought, or null);
+    declared: (competitor_id, file); files: (competitor_id, file, error);
+    entries: sitemap_entries() of files.  Looked at are the declared files and of
+    those that they list the first few.
+    """
+    first = Window.partitionBy("competitor_id").orderBy("file", "place")
+    listed = entries.where("kind = 'sitemap'").join(declared, ["competitor_id", "file"], "left_semi").select("competitor_id", "file", "place", "loc")
+    followed = listed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= children).select("competitor_id", F.col("loc").alias("file"))
+    seen = files.join(declared.select("competitor_id", "file").union(followed).distinct(), ["competitor_id", "file"], "left_semi")
+    told = entries.join(seen.select("competitor_id", "file"), ["competitor_id", "file"], "left_semi")
+    per_file = told.groupBy("competitor_id", "file").agg(F.count_if(F.col("kind") == "sitemap").alias("maps"), F.count_if(F.col("kind") == "url").alias("urls"))
+    read = F.col("error").isNull()
+    looked = seen.join(per_file, ["competitor_id", "file"], "left").groupBy("competitor_id").agg(
+        F.count_if(read).alias("read"),
+        F.count_if(~read).alias("failed"),
+        F.count_if(read & (F.col("maps") > 0)).alias("indexes"),
+        F.coalesce(F.sum("urls"), F.lit(0)).alias("total_urls"),
+        F.min_by("error", F.when(~read, F.col("file"))).alias("first_fault"),
+    )
+    sampled = told.where("kind = 'url'").withColumn("n", F.row_number().over(first)).where(F.col("n") <= samples)
+    sampled = sampled.groupBy("competitor_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "loc"))), lambda x: x["loc"]).alias("sample"))
+    out = competitors.join(declared.groupBy("competitor_id").agg(F.count("*").alias("declared")), "competitor_id", "left")
+    out = out.join(looked, "competitor_id", "left").join(sampled, "competitor_id", "left")
+    out = out.fillna(0, ["declared", "read", "failed", "indexes", "total_urls"])
+    return out.withColumn("sample", F.coalesce("sample", F.array().cast("array<string>")))
+
+
+# What a survey's outcome is called.
+VERDICTS = ["Usable", "Blocked at robots.txt", "No route", "Index only", "Sitemap unreadable", "None published", "Empty"]
+
+
+def sitemap_verdict(error: Column, total: Column, indexes: Column, failed: Column, declared: Column) -> Column:
+    """A survey's outcome in a word or two."""
+    usable, blocked, no_route, index, unreadable, none, empty = VERDICTS
+    return (
+        F.when(total > 0, usable)
+        .when(error.rlike(r"(?i)robots\.txt"), blocked)
+        .when(error.isNotNull(), no_route)
+        .when(indexes > 0, index)
+        .when(failed > 0, unreadable)
+        .when(declared == 0, none)
+        .otherwise(empty)
+    )
+
+
+def survey_summary(surveys: DataFrame) -> DataFrame:
+    """One row: shops with a usable sitemap, those that declare one, those that failed."""
+    failed = F.col("error").isNotNull() | (F.col("total_urls") == 0)
+    return surveys.agg(F.count_if(F.col("total_urls") > 0).alias("usable"), F.count_if(F.col("declared") > 0).alias("declaring"), F.count_if(failed).alias("failed"))
+
+
 def robots_rules(files: DataFrame, agent: str, body_col: str = "body", key: str = "site") -> DataFrame:
     """(site, place, rule): what robots files forbid to an agent.  The last User-agent line before a rule decides."""
     lines = files.select(key, F.posexplode(F.split(body_col, r"\r?\n")).alias("line", "_raw"))
@@ -336,6 +515,67 @@ def robots_rules(files: DataFrame, agent: str, body_col: str = "body", key: str
     return kept.agg(F.min("line").alias("place"))
 
 
+def path_of(url: Column) -> Column:
+    """An address's path with its query, as robots rules see it."""
+    return F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
+
+
+def rule_fits(path: Column, rule: Column) -> Column:
+    """Whether a robots rule covers a path: a prefix, * for any characters, $ for the end."""
+    quoted = F.regexp_replace(rule, r"([\\.+?^{}()\[\]|])", r"\\$1")
+    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\$(?!$)", r"\\\$"))
+    return F.regexp_like(path, pattern)
+
+
+def robots_groups(files: DataFrame, agent: str, body_col: str = "body", key: str = "site") -> DataFrame:
+    """(site, allow, rule): what robots files say to an agent: of the group that names it, else of the one for all.
+
+    User-agent lines in a row open one group; a group ends where the next begins.
+    """
+    lines = files.select(key, F.posexplode(F.split(body_col, r"\r?\n")).alias("line", "_raw"))
+    lines = lines.withColumn("_text", F.trim(F.regexp_replace("_raw", "#.*$", ""))).where(F.col("_text").contains(":"))
+    name, value = F.lower(F.trim(F.substring_index("_text", ":", 1))), F.trim(F.regexp_replace("_text", "^[^:]*:", ""))
+    lines = lines.select(key, "line", name.alias("name"), value.alias("value")).where("name in ('user-agent', 'allow', 'disallow')")
+    up_to = Window.partitionBy(key).orderBy("line")
+    begins = (F.col("name") == "user-agent") & (F.coalesce(F.lag("name").over(up_to), F.lit("")) != "user-agent")
+    lines = lines.withColumn("part", F.sum(begins.cast("int")).over(up_to))
+    target = F.lower("value")
+    mine = F.when(target == "*", 1).when((target != "") & F.contains(F.lit(agent.lower()), target), 2)
+    parts = lines.where("name = 'user-agent'").groupBy(key, "part").agg(F.max(mine).alias("fit")).where("fit is not null")
+    best = parts.groupBy(key).agg(F.max("fit").alias("fit"))
+    chosen = parts.join(best, [key, "fit"]).select(key, "part")
+    rules = lines.where("name != 'user-agent' and value != ''").join(chosen, [key, "part"])
+    return rules.select(key, (F.col("name") == "allow").alias("allow"), F.col("value").alias("rule")).distinct()
+
+
+def robots_probe(urls: DataFrame, groups: DataFrame, key: str = "site") -> DataFrame:
+    """urls (site, url, ...) with disallowed: the longest rule that covers the path decides, of equals that which allows."""
+    asked = urls.select(key, "url").distinct()
+    hits = asked.join(groups, key).where(rule_fits(path_of(F.col("url")), F.col("rule")))
+    decided = hits.groupBy(key, "url").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("_allow"))
+    return urls.join(decided, [key, "url"], "left").withColumn("disallowed", ~F.coalesce("_allow", F.lit(True))).drop("_allow")
+
+
+def inspect_robots(files: DataFrame, probes: DataFrame, agent: str) -> DataFrame:
+    """For each site: state (ok, absent, unreachable), disallowed rules, and whether its probe address may be read.
+
+    files: (site, status, body); probes: (site, url).
+    """
+    gone, fetched = F.col("status").isin(404, 410), F.col("status").isNotNull() & (F.col("status") < 400)
+    state = F.when(gone, "absent").when(fetched, "ok").otherwise("unreachable")
+    rules = robots_rules(files.where(fetched), agent).groupBy("site").agg(F.count("*").alias("disallow_rules"))
+    probed = robots_probe(probes, robots_groups(files.where(fetched), agent)).select("site", "url", "disallowed")
+    out = files.select("site", "status", state.alias("state")).join(probed, "site", "left").join(rules, "site", "left")
+    may = F.when(F.col("url").isNotNull(), allowed(F.col("status"), F.col("disallowed")))
+    return out.select("site", "state", "url", may.alias("allowed"), F.coalesce("disallow_rules", F.lit(0)).alias("disallow_rules"))
+
+
+def robots_summary(inspected: DataFrame) -> DataFrame:
+    """One row: sites whose probe may be read, those where it may not, those out of reach."""
+    may = F.col("allowed")
+    return inspected.agg(F.count_if(may).alias("search_allowed"), F.count_if(~may).alias("search_blocked"), F.count_if(F.col("state") == "unreachable").alias("unreachable"))
+
+
 def allowed(status: Column, disallowed: Column) -> Column:
     """Whether a page may be read: not where its robots file was out of reach; freely where there is none."""
     return F.when(status.isin(404, 410), True).when(status.isNull() | (status >= 400), False).otherwise(~F.coalesce(disallowed, F.lit(False)))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelake.operators.comparison import asked
+
 
 def review_queue(matches: DataFrame, products: DataFrame, competitors: DataFrame, prices: DataFrame, fascia_id: int | None, status: str = "pending", limit: int = 200) -> DataFrame:
     """Matches of a status, the most confident first, with what they match."""
+    asked(status)
     own = prices.where(F.col("fascia_id").eqNullSafe(F.lit(fascia_id))).select("product_id", F.col("price").alias("our_price"), F.col("currency").alias("site_currency"))
     named = products.select(F.col("id").alias("product_id"), "internal_sku", "product_name", "brand")
     shops = competitors.select(F.col("id").alias("competitor_id"), F.col("display_name").alias("competitor_name"))
@@ -36,7 +39,31 @@ def matching_status(matches: DataFrame) -> DataFrame:
 
 
 def competitor_status(competitors: DataFrame) -> DataFrame:
-    return competitors.agg(F.count("*").alias("competitors"), F.count_if("enabled").alias("enabled"))
+    """One row: shops, enabled ones and, where logos are known, those with one."""
+    logos = [F.count("logo_data").alias("with_logo")] if "logo_data" in competitors.columns else []
+    return competitors.agg(F.count("*").alias("competitors"), F.count_if("enabled").alias("enabled"), *logos)
+
+
+def competitor_list(competitors: DataFrame) -> DataFrame:
+    """Shops by name, with a flag in place of the logo itself."""
+    flag = F.col("logo_data").isNotNull().alias("has_logo")
+    return competitors.select(*[flag if c == "logo_data" else F.col(c) for c in competitors.columns]).orderBy("display_name", "slug")
+
+
+def logo_refresh(results: DataFrame) -> DataFrame:
+    """One row: how many shops' logos were fetched, failed, stayed."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return results.agg(n("fetched"), n("failed"), n("unchanged"))
+
+
+def priced_everywhere(coverage: DataFrame) -> DataFrame:
+    """One row: how many products every site prices at least (0 without sites), from fascia_coverage()."""
+    return coverage.agg(F.coalesce(F.min("priced"), F.lit(0)).alias("priced_everywhere"), F.coalesce(F.bool_or(F.col("missing") > 0), F.lit(False)).alias("some_missing"))
+
+
+def cached_urls(urls: DataFrame) -> DataFrame:
+    """How many addresses of each shop are known."""
+    return urls.groupBy("competitor_id").agg(F.count("*").alias("urls"))
 
 
 def observation_status(observations: DataFrame) -> DataFrame:
@@ -62,16 +89,31 @@ def fascia_priced(fascias: DataFrame, prices: DataFrame) -> DataFrame:
     return fascias.where("enabled").join(counts, fascias["id"] == counts["fascia_id"], "left").select("code", "name", F.coalesce("priced", F.lit(0)).alias("priced"))
 
 
-def recent_runs(runs: DataFrame, limit: int = 25) -> DataFrame:
-    return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(limit)
+def _named(rows: DataFrame, products: DataFrame | None, competitors: DataFrame | None) -> DataFrame:
+    """Adds internal_sku, product_name and competitor_name, null where a row has none."""
+    if products is not None:
+        rows = rows.join(products.select(F.col("id").alias("product_id"), "internal_sku", "product_name"), "product_id", "left")
+    if competitors is not None:
+        rows = rows.join(competitors.select(F.col("id").alias("competitor_id"), F.col("display_name").alias("competitor_name")), "competitor_id", "left")
+    return rows
 
 
-def items_errors_first(items: DataFrame, run_id: int, limit: int = 500) -> DataFrame:
-    return items.where(F.col("run_id") == run_id).orderBy((F.col("status") == "error").desc(), F.asc("id")).limit(limit)
+def recent_runs(runs: DataFrame, products: DataFrame | None = None, competitors: DataFrame | None = None, limit: int = 25) -> DataFrame:
+    """The last runs with the names of what they were for; names are joined to those few only."""
+    order = [F.desc("started_at"), F.desc("id")]
+    return _named(runs.orderBy(*order).limit(limit), products, competitors).orderBy(*order)
 
 
-def recent_errors(items: DataFrame, limit: int = 100) -> DataFrame:
-    return items.where(F.col("status") == "error").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+def items_errors_first(items: DataFrame, run_id: int, products: DataFrame | None = None, competitors: DataFrame | None = None, limit: int = 500) -> DataFrame:
+    """A run's items, errors first, with names."""
+    order = [(F.col("status") == "error").desc(), F.asc("id")]
+    return _named(items.where(F.col("run_id") == run_id).orderBy(*order).limit(limit), products, competitors).orderBy(*order)
+
+
+def recent_errors(items: DataFrame, products: DataFrame | None = None, competitors: DataFrame | None = None, limit: int = 100) -> DataFrame:
+    """The last items that failed, with names."""
+    order = [F.desc("created_at"), F.desc("id")]
+    return _named(items.where(F.col("status") == "error").orderBy(*order).limit(limit), products, competitors).orderBy(*order)
 
 
 def run_counters(items: DataFrame) -> DataFrame:
@@ -84,7 +126,7 @@ def stocks_brand(brands, brand):
     return (F.size(brands) == 0) | F.exists(brands, lambda b: F.lower(b) == F.lower(brand))
 
 
-def discovery_worklist(products: DataFrame, competitors: DataFrame, matches: DataFrame) -> DataFrame:
+def discovery_worklist(products: DataFrame, competitors: DataFrame, matches: DataFrame, limit: int = 0) -> DataFrame:
     """(product_id, competitor_id) of live products and enabled shops that stock the brand, without a live match.
 
     A shop with a list of brands is joined by brand; one without looks for every
@@ -96,13 +138,29 @@ def discovery_worklist(products: DataFrame, competitors: DataFrame, matches: Dat
     every = shops.where(F.size("brands") == 0).select("competitor_id")
     pairs = live.join(listed, "b").select("product_id", "competitor_id").union(live.select("product_id").crossJoin(every))
     done = matches.where(F.col("status").isin("confirmed", "pending")).select("product_id", "competitor_id")
-    return pairs.join(done, ["product_id", "competitor_id"], "left_anti")
+    return _first(pairs.join(done, ["product_id", "competitor_id"], "left_anti"), limit, "product_id", "competitor_id")
+
+
+def _first(work: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first pieces of work in an order; all of them, in no order, at a limit of 0."""
+    return work.orderBy(*order).limit(limit) if limit else work
+
+
+def brand_not_stocked(products: DataFrame, competitors: DataFrame) -> DataFrame:
+    """(product_id, competitor_id) of live products and enabled shops that list brands, but not the product's: passed over by discovery.
+
+    Counted by brand first: a brand's products are paired only with the shops that lack it.
+    """
+    live = products.where(F.col("delisted_at").isNull()).select(F.col("id").alias("product_id"), F.lower("brand").alias("b"))
+    shops = competitors.where(F.col("enabled") & (F.size("brands") > 0)).select(F.col("id").alias("competitor_id"), F.transform("brands", lambda b: F.lower(b)).alias("listed"))
+    lacking = live.select("b").distinct().crossJoin(shops).where(~F.array_contains("listed", F.col("b"))).select("b", "competitor_id")
+    return live.join(lacking, "b").select("product_id", "competitor_id")
 
 
-def price_worklist(matches: DataFrame, products: DataFrame) -> DataFrame:
-    """Confirmed matches of live products: the listings whose price is due."""
+def price_worklist(matches: DataFrame, products: DataFrame, limit: int = 0) -> DataFrame:
+    """Confirmed matches of live products: the listings whose price is due, in order of their identifier under a limit."""
     live = products.where(F.col("delisted_at").isNull()).select(F.col("id").alias("product_id"), "internal_sku")
-    return matches.where(F.col("status") == "confirmed").join(live, "product_id")
+    return _first(matches.where(F.col("status") == "confirmed").join(live, "product_id"), limit, "id")
 
 
 def feed_histogram(rows: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelake.functions import money, rules, text
+from pricelake.functions import labels, money, rules, text
 from pricelake.operators import comparison as cmp
 from pricelake.operators import feed, matching, mutations, pages, reports
 from pricelake.plans import views as v
@@ -39,7 +39,7 @@ def _compared(s: SparkSession, d: str, **filters) -> DataFrame:
     return cmp.comparison(own, v.fascia_prices(s, d), v.observations(s, d), v.competitors(s, d), SITE)
 
 
-_ROW = ["id", "internal_sku", "brand", "product_name", "category", "currency", "our_price", "our_price_missing", "best_price", "best_competitor_id", "best_competitor", "position", "delta_abs", "delta_pct"]
+_ROW = ["id", "internal_sku", "brand", "product_name", "category", "currency", "our_price", "our_price_missing", "best_price", "best_competitor_id", "best_competitor", "position", "delta_abs", "delta_pct", "observed_at"]
 _COLUMNS = ", ".join(_ROW)
 
 
@@ -118,12 +118,40 @@ def product_history(s, d):
     return cmp.history(v.observations(s, d), v.competitors(s, d), 77).select("product_id", "competitor_id", "competitor_name", "run_id", "line", "price", "observed_at")
 
 
-@query("SELECT internal_sku AS sku, product_name AS product, brand, category, our_price, currency, best_competitor, best_price, coalesce(position, 'unmatched') AS position, delta_abs, delta_pct FROM compared ORDER BY brand NULLS LAST, product_name NULLS LAST, id LIMIT 500")
+_EXPORT = """SELECT internal_sku, brand, product_name, category, ean_mpn, our_price, currency, best_competitor, best_price AS best_competitor_price, coalesce(position, 'unmatched') AS position,
+  delta_abs AS delta_gbp, delta_pct, strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS observed_at FROM compared ORDER BY brand NULLS LAST, product_name NULLS LAST, id LIMIT 500"""
+
+
+@query(_EXPORT)
 def comparison_export(s, d):
     own = cmp.product_page(cmp.filter_products(v.products(s, d)), 500)
     return cmp.export(cmp.comparison(own, v.fascia_prices(s, d), v.observations(s, d), v.competitors(s, d), SITE))
 
 
+@query(f"""SELECT concat_ws(',', internal_sku, coalesce(brand, ''), CASE WHEN product_name LIKE '%,%' THEN '"' || product_name || '"' ELSE coalesce(product_name, '') END, coalesce(category, ''), coalesce(ean_mpn, ''),
+  currency, coalesce(best_competitor, ''), position, coalesce(observed_at, '')) AS value FROM ({_EXPORT})""")
+def comparison_export_lines(s, d):
+    numbers = ("our_price", "best_competitor_price", "delta_gbp", "delta_pct")  # a double's shortest text is each engine's own
+    return cmp.csv_lines(comparison_export(s, d).drop(*numbers))
+
+
+@query(f"""SELECT p.*, (SELECT count(*) FROM compared) AS total FROM (SELECT {_COLUMNS} FROM compared ORDER BY brand NULLS LAST, product_name NULLS LAST, id LIMIT 50 OFFSET 20) p""")
+def comparison_page_with_total(s, d):
+    whole = cmp.filter_products(v.products(s, d))
+    rows = cmp.comparison(cmp.product_page(whole, 50, 20), v.fascia_prices(s, d), v.observations(s, d), v.competitors(s, d), SITE)
+    return cmp.with_total(rows.select(*_ROW), whole)
+
+
+@query(f"""SELECT id, our_price, best_price, position, coalesce(n.confirmed, 0) AS confirmed, coalesce(n.pending, 0) AS pending, l.listing FROM compared c
+  LEFT JOIN (SELECT product_id, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'pending') AS pending FROM matches GROUP BY product_id) n ON n.product_id = c.id
+  LEFT JOIN (SELECT product_id, string_agg(CAST(competitor_id AS VARCHAR) || ':' || coalesce(position, '-'), ',' ORDER BY competitor_id) AS listing FROM seen GROUP BY product_id) l ON l.product_id = c.id""")
+def comparison_full(s, d):
+    own = cmp.filter_products(v.products(s, d))
+    rows = cmp.comparison(own, v.fascia_prices(s, d), v.observations(s, d), v.competitors(s, d), SITE, v.matches(s, d), nested=True)
+    entry = lambda e: F.concat(e["competitor_id"].cast("string"), F.lit(":"), F.coalesce(e["position"], F.lit("-")))
+    return rows.select("id", "our_price", "best_price", "position", "confirmed", "pending", F.array_join(F.transform("competitor_prices", entry), ",").alias("listing"))
+
+
 @query("SELECT product_id, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'pending') AS pending FROM matches GROUP BY product_id")
 def match_counts(s, d):
     return cmp.match_counts(v.matches(s, d))
@@ -190,19 +218,23 @@ def fascia_priced(s, d):
     return reports.fascia_priced(v.fascias(s, d), v.fascia_prices(s, d))
 
 
-@query("SELECT * FROM runs ORDER BY started_at DESC, id DESC LIMIT 25")
+_NAMES = "LEFT JOIN products p ON p.id = r.product_id LEFT JOIN competitors c ON c.id = r.competitor_id"
+_NAMED = "r.*, p.internal_sku, p.product_name, c.display_name AS competitor_name"
+
+
+@query(f"SELECT {_NAMED} FROM runs r {_NAMES} ORDER BY r.started_at DESC, r.id DESC LIMIT 25")
 def runs_recent(s, d):
-    return reports.recent_runs(v.runs(s, d))
+    return reports.recent_runs(v.runs(s, d), v.products(s, d), v.competitors(s, d))
 
 
-@query("SELECT * FROM items WHERE run_id = 42 ORDER BY (status = 'error') DESC, id LIMIT 500")
+@query(f"SELECT {_NAMED} FROM items r {_NAMES} WHERE r.run_id = 42 ORDER BY (r.status = 'error') DESC, r.id LIMIT 500")
 def run_items_error_first(s, d):
-    return reports.items_errors_first(v.items(s, d), 42)
+    return reports.items_errors_first(v.items(s, d), 42, v.products(s, d), v.competitors(s, d))
 
 
-@query("SELECT * FROM items WHERE status = 'error' ORDER BY created_at DESC, id DESC LIMIT 100")
+@query(f"SELECT {_NAMED} FROM items r {_NAMES} WHERE r.status = 'error' ORDER BY r.created_at DESC, r.id DESC LIMIT 100")
 def errors_recent(s, d):
-    return reports.recent_errors(v.items(s, d))
+    return reports.recent_errors(v.items(s, d), v.products(s, d), v.competitors(s, d))
 
 
 @query("SELECT run_id, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped FROM items GROUP BY run_id")
@@ -221,6 +253,75 @@ def price_worklist(s, d):
     return reports.price_worklist(v.matches(s, d), v.products(s, d)).select("id", "product_id", "competitor_id", "url", "internal_sku")
 
 
+@query("""SELECT p.id AS product_id, c.id AS competitor_id FROM products p JOIN competitors c ON c.enabled AND (only_brand = '' OR lower(only_brand) = lower(brand))
+  WHERE p.delisted_at IS NULL AND NOT EXISTS (SELECT 1 FROM matches m WHERE m.product_id = p.id AND m.competitor_id = c.id AND m.status IN ('confirmed', 'pending')) ORDER BY p.id, c.id LIMIT 40""")
+def discovery_worklist_first(s, d):
+    return reports.discovery_worklist(v.products(s, d), v.competitors(s, d), v.matches(s, d), limit=40)
+
+
+@query("SELECT m.id, m.product_id, m.competitor_id FROM matches m JOIN products p ON p.id = m.product_id WHERE m.status = 'confirmed' AND p.delisted_at IS NULL ORDER BY m.id LIMIT 30")
+def price_worklist_first(s, d):
+    return reports.price_worklist(v.matches(s, d), v.products(s, d), limit=30).select("id", "product_id", "competitor_id")
+
+
+@query("SELECT p.id AS product_id, c.id AS competitor_id FROM products p JOIN competitors c ON c.enabled AND only_brand != '' AND lower(only_brand) != lower(brand) WHERE p.delisted_at IS NULL")
+def brand_not_stocked(s, d):
+    return reports.brand_not_stocked(v.products(s, d), v.competitors(s, d))
+
+
+@query("""SELECT coalesce(min(priced), 0) AS priced_everywhere, coalesce(bool_or(missing > 0), false) AS some_missing FROM (
+  SELECT count(f.product_id) AS priced, (SELECT count(*) FROM products WHERE delisted_at IS NULL) - count(f.product_id) AS missing FROM fascias LEFT JOIN fascia_prices f ON f.fascia_id = fascias.id GROUP BY code)""")
+def priced_everywhere(s, d):
+    return reports.priced_everywhere(reports.fascia_coverage(v.fascias(s, d), v.fascia_prices(s, d), v.products(s, d)))
+
+
+@query("SELECT competitor_id, count(*) AS urls FROM urls GROUP BY competitor_id")
+def cached_urls(s, d):
+    return reports.cached_urls(v.urls(s, d))
+
+
+def _with_logos(s, d):
+    """Shops, of which some have a logo."""
+    null = lambda k: F.lit(None).cast(k)
+    logo = F.when(F.col("id") % 2 == 0, F.col("slug").cast("binary"))
+    return v.competitors(s, d).withColumns({"logo_data": logo, "logo_content_type": null("string"), "logo_url": null("string"), "logo_fetched_at": null("timestamp_ntz"), "logo_error": null("string")})
+
+
+@query("SELECT id, display_name, id % 2 = 0 AS has_logo FROM competitors ORDER BY display_name, slug")
+def competitor_list(s, d):
+    return reports.competitor_list(_with_logos(s, d)).select("id", "display_name", "has_logo")
+
+
+@query("SELECT count(*) AS competitors, count(*) FILTER (enabled) AS enabled, count(*) FILTER (id % 2 = 0) AS with_logo FROM competitors")
+def competitor_logos(s, d):
+    return reports.competitor_status(_with_logos(s, d))
+
+
+def _tried(s, d):
+    """What looking for logos found: of every third shop a picture, of every third a fault."""
+    own = v.competitors(s, d).where("id % 3 != 0")
+    got = F.col("id") % 3 == 1
+    return own.select("slug", F.when(got, F.col("display_name").cast("binary")).alias("data"), F.when(got, "image/png").alias("content_type"), F.when(got, "u").alias("source"), F.when(~got, "none").alias("error"))
+
+
+@query("""SELECT slug, CASE WHEN id % 3 = 1 THEN display_name WHEN id % 2 = 0 THEN slug END AS logo, CASE WHEN id % 3 = 1 THEN 'image/png' END AS logo_content_type, CASE WHEN id % 3 = 2 THEN 'none' END AS logo_error,
+  CASE WHEN id % 3 = 1 THEN TIMESTAMP '2026-08-09 12:00:00' END AS logo_fetched_at FROM competitors""")
+def logos_set(s, d):
+    rows = mutations.set_logos(_with_logos(s, d), _tried(s, d), _now().cast("timestamp_ntz"))
+    return rows.select("slug", F.col("logo_data").cast("string").alias("logo"), "logo_content_type", "logo_error", "logo_fetched_at")
+
+
+@query("SELECT slug, CASE WHEN id % 2 = 0 AND slug != 'shop-2' THEN slug END AS logo FROM competitors")
+def logo_clear(s, d):
+    return mutations.clear_logo(_with_logos(s, d), "shop-2").select("slug", F.col("logo_data").cast("string").alias("logo"))
+
+
+@query("SELECT count(*) FILTER (id % 3 = 1) AS fetched, count(*) FILTER (id % 3 = 2) AS failed, count(*) FILTER (id % 3 = 0) AS unchanged FROM competitors")
+def logo_refresh(s, d):
+    state = F.when(F.col("id") % 3 == 1, "fetched").when(F.col("id") % 3 == 2, "failed").otherwise("unchanged")
+    return reports.logo_refresh(v.competitors(s, d).select(state.alias("status")))
+
+
 # The feed.
 _FEED = f""", feed AS (
   SELECT p_partkey AS row_number, CASE WHEN p_partkey % 29 = 0 THEN '' WHEN p_partkey % 31 = 0 THEN 'id' ELSE 'SKU-' || (p_partkey + p_partkey % 2 * 1000000) END AS sku,
@@ -314,6 +415,18 @@ def feed_relist(s, d):
     return feed.relist(v.products(s, d), _kept(s, d), _now().cast("timestamp_ntz")).select("id", "delisted_at")
 
 
+_LOG = _AFTER.rstrip() + """, fed2 AS (SELECT p.id AS product_id FROM parsed f JOIN products p ON p.internal_sku = f.sku WHERE kind = 'priced'),
+kept2 AS (SELECT product_id FROM fascia_prices f JOIN products p ON p.id = f.product_id WHERE (fascia_id != 1 OR source = 'manual' OR feed_import_id = 3) UNION SELECT product_id FROM fed2)
+"""
+
+
+@query(_LOG + """SELECT CAST(3 AS BIGINT) AS id, CAST(1 AS BIGINT) AS fascia_id, 'feed.tsv' AS filename, (SELECT count(*) FROM feed) AS rows_read, (SELECT count(DISTINCT sku) FROM fed) AS products_seen,
+  (SELECT count(*) FROM parsed WHERE kind = 'priced') AS prices_written, (SELECT count(*) FROM products WHERE delisted_at IS NULL AND source != 'manual' AND id NOT IN (SELECT product_id FROM kept2)) AS delisted""")
+def feed_import_log(s, d):
+    state = {"products": v.products(s, d), "prices": v.fascia_prices(s, d)}
+    return feed.run_import(state, v.feed_rows(s, d), SITE, 3, _now().cast("timestamp_ntz"), "feed.tsv")["imports"]
+
+
 # Changes of state.
 @query("""SELECT product_id, competitor_id, CASE WHEN (product_id + competitor_id) % 4 = 0 THEN CAST((product_id + competitor_id) % 101 AS INTEGER) ELSE confidence END AS confidence,
   CASE WHEN (product_id + competitor_id) % 4 = 0 AND NOT (coalesce(confirmed_by, 'auto') != 'auto' OR status = 'rejected') THEN CASE WHEN (product_id + competitor_id) % 101 >= 85 THEN 'confirmed' ELSE 'pending' END ELSE status END AS status,
@@ -326,6 +439,40 @@ def match_upsert(s, d):
     return mutations.upsert_matches(old, new).select("product_id", "competitor_id", "confidence", "status", "confirmed_by")
 
 
+_TWO = """, two AS (
+  SELECT product_id, competitor_id, url || '/' || k AS url, k, CASE WHEN k = 1 AND product_id % 3 = 0 THEN 'confirmed' WHEN k = 2 AND product_id % 5 = 0 THEN 'rejected' ELSE 'pending' END AS status,
+         CASE WHEN k = 1 AND product_id % 3 = 0 THEN CASE WHEN product_id % 2 = 0 THEN 'auto' ELSE 'kim' END END AS confirmed_by,
+         (product_id * k + competitor_id) % 30 + 75 AS confidence FROM (SELECT DISTINCT product_id, competitor_id, url FROM matches), (VALUES (1), (2)) t(k)),
+asked AS (SELECT *, confidence >= 85 AND NOT (coalesce(confirmed_by, 'auto') != 'auto' OR status = 'rejected') AS asks FROM two)
+"""
+
+
+@query(_TWO + """SELECT product_id, competitor_id, url, CAST(confidence AS INTEGER) AS confidence,
+  CASE WHEN coalesce(confirmed_by, 'auto') != 'auto' OR status = 'rejected' THEN status
+       WHEN NOT asks THEN 'pending'
+       WHEN product_id % 3 = 0 THEN CASE WHEN k = 1 THEN 'confirmed' ELSE 'pending' END
+       WHEN row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY asks DESC, confidence DESC, url) = 1 THEN 'confirmed' ELSE 'pending' END AS status FROM asked""")
+def match_upsert_two_listings(s, d):
+    """Two listings of every pair, both scored again: at most one new confirmation, none beside an old one."""
+    p, k = F.col("product_id"), F.col("k")
+    old = v.matches(s, d).select("product_id", "competitor_id", "url", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    first = (k == 1) & (p % 3 == 0)
+    old = old.withColumns({"url": F.concat("url", F.lit("/"), k.cast("string")), "confidence": F.lit(0), "tier": F.lit("manual")})
+    old = old.withColumn("status", F.when(first, "confirmed").when((k == 2) & (p % 5 == 0), "rejected").otherwise("pending"))
+    old = old.withColumn("confirmed_by", F.when(first, F.when(p % 2 == 0, "auto").otherwise("kim")))
+    new = old.withColumn("confidence", ((p * k + F.col("competitor_id")) % 30 + 75).cast("int"))
+    new = new.withColumn("status", F.when(F.col("confidence") >= rules.AUTO_ACCEPT, "confirmed").otherwise("pending"))
+    return mutations.upsert_matches(old, new).select("product_id", "competitor_id", "url", "confidence", "status")
+
+
+@query("""SELECT id, internal_sku, coalesce(ean_mpn, '') AS ean_mpn, source, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS reference FROM products
+  UNION ALL SELECT (SELECT max(id) + 1 FROM products), 'new-1', '761', 'manual', 12.5, 'R-9'""")
+def manual_product(s, d):
+    own, prices = mutations.add_manual_product(v.products(s, d), v.fascia_prices(s, d).where("false"), "new-1", "B", "N", 12.5, SITE, identifier=" 761 ", reference="R-9")
+    rows = own.join(prices.select(F.col("product_id").alias("id"), "price"), "id", "left")
+    return rows.select("id", "internal_sku", F.coalesce("ean_mpn", F.lit("")).alias("ean_mpn"), "source", "price", F.try_element_at("specs", F.lit("reference_number")).alias("reference"))
+
+
 @query("SELECT id, CASE WHEN id = (SELECT min(id) FROM matches WHERE status = 'pending') THEN 'confirmed' ELSE status END AS status, CASE WHEN id = (SELECT min(id) FROM matches WHERE status = 'pending') THEN 'ana' ELSE confirmed_by END AS confirmed_by FROM matches")
 def match_confirm(s, d):
     rows = v.matches(s, d)
@@ -339,13 +486,11 @@ def match_reject(s, d):
     return mutations.reject_match(rows, rows.agg(F.max("id")).first()[0]).select("id", "status")
 
 
-@query("""SELECT 'products' AS t, count(*) AS n FROM products WHERE id % 10 != 0 UNION ALL SELECT 'matches', count(*) FROM matches WHERE product_id % 10 != 0
-  UNION ALL SELECT 'observations', count(*) FROM observations WHERE product_id % 10 != 0 UNION ALL SELECT 'prices', count(*) FROM fascia_prices WHERE product_id % 10 != 0""")
+@query("""SELECT 'products' AS "table", count(*) AS removed FROM products WHERE id % 10 = 0 UNION ALL SELECT 'matches', count(*) FROM matches WHERE product_id % 10 = 0
+  UNION ALL SELECT 'observations', count(*) FROM observations WHERE product_id % 10 = 0 UNION ALL SELECT 'prices', count(*) FROM fascia_prices WHERE product_id % 10 = 0""")
 def delete_product_cascade(s, d):
     tables = {"products": v.products(s, d), "matches": v.matches(s, d), "observations": v.observations(s, d), "prices": v.fascia_prices(s, d)}
-    after = mutations.delete_products(tables, v.products(s, d).where("id % 10 = 0"))
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n") for name, df in after.items()]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    return mutations.removed(tables, mutations.delete_products(tables, v.products(s, d).where("id % 10 = 0")))
 
 
 _GONE = "(SELECT id FROM runs WHERE id % 7 = 0 AND status != 'running')"
@@ -439,9 +584,11 @@ def error_kind(s, d):
   SELECT doc_id, item_id, list_distinct(list_filter(string_split({_NORM.format('d.text')}, ' '), lambda x: x != '')) AS a, list_distinct(list_filter(string_split({_NORM.format('b.text')}, ' '), lambda x: x != '')) AS b
   FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)""")
 def name_similarity(s, d):
-    docs, items = s.read.parquet(f"{d}/documents.parquet"), s.read.parquet(f"{d}/benchmark.parquet").withColumnRenamed("text", "item")
+    # Words are cut on either side before the join, once a text.
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", text.tokens(F.col("text")).alias("x"))
+    items = s.read.parquet(f"{d}/benchmark.parquet").select("item_id", text.tokens(F.col("text")).alias("y"))
     pairs = docs.join(items, F.col("item_id") == F.col("doc_id") % 40)
-    return pairs.select("doc_id", "item_id", text.name_similarity(F.col("text"), F.col("item")).alias("similarity"))
+    return pairs.select("doc_id", "item_id", text.dice(F.col("x"), F.col("y")).alias("similarity"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '[^a-z0-9]+', ' ', 'g')) AS words FROM pages")
@@ -476,17 +623,113 @@ def candidate_urls(s, d):
     return found.select("product_id", "competitor_id", "url", money.round2(F.col("rank") * 1000).alias("rank"), F.col("place").cast("long").alias("place"))
 
 
-# What only Python can read, and what SQL says too clumsily.
-@query()
+_WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda x: x != ''))"
+_SCORED = f""", pairs AS (
+  SELECT a.id, b.id AS other, a.brand, b.brand AS listing_brand, a.product_name, b.brand || ' ' || b.product_name || ' ' || b.p_size || 'mm' AS title, a.p_size, b.p_size AS listed_size, a.id % 49 = 0 AND a.ean_mpn IS NOT NULL AS exact
+  FROM products a JOIN products b ON b.id = a.id + 1),
+worded AS (SELECT *, {_NORM.format('brand')} AS x, {_NORM.format('listing_brand')} AS y, {_WORDS.format(_NORM.format('product_name'))} AS v, {_WORDS.format(_NORM.format('title'))} AS w FROM pairs),
+judged AS (
+  SELECT *, NOT (contains(x, y) OR contains(y, x)) AS rejected, p_size >= 10 AND listed_size >= 10 AS sized, CASE WHEN len(v) = 0 OR len(w) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(v, w)) / (len(v) + len(w)) END AS same FROM worded),
+scored AS (
+  SELECT *, CASE WHEN exact THEN 100 WHEN rejected THEN 0 ELSE floor(CASE WHEN NOT sized OR p_size = listed_size THEN 1.0 ELSE 18.0 / 36.0 END * 80 + same * 20 + 0.5) END AS confidence FROM judged)
+SELECT id, other, CAST(confidence AS INTEGER) AS confidence, CASE WHEN exact THEN 'ean_mpn_exact' ELSE 'brand_spec_attributes' END AS tier, exact OR (NOT rejected AND confidence >= 25) AS viable,
+  (exact OR NOT rejected) AND confidence >= 85 AS auto_accept, CASE WHEN rejected AND NOT exact THEN 'brand' ELSE '' END AS gates_failed, CASE WHEN sized AND p_size = listed_size THEN 'case_size,dial_colour' ELSE 'dial_colour' END AS hits FROM scored"""
+
+
+@query(_SCORED)
 def score_candidates(s, d):
     own = v.products(s, d).withColumn("specs", F.create_map(F.lit("Dial"), F.lit("Blue"), F.lit("case size"), F.concat(F.col("specs")["size"], F.lit("mm"))))
     listing = own.select(F.col("id").alias("other"), F.concat_ws(" ", "brand", "product_name", F.col("specs")["case size"]).alias("title"), F.col("brand").alias("listing_brand"))
     pairs = own.join(listing, listing["other"] == own["id"] + 1)
-    pairs = pairs.withColumns({"listing_ean": F.when(F.col("id") % 50 == 0, F.col("ean_mpn")), "attributes": F.create_map(F.lit("dial_colour"), F.lit("navy")), "category": F.lit("Watches")})
+    pairs = pairs.withColumns({"listing_ean": F.when(F.col("id") % 49 == 0, F.col("ean_mpn")), "attributes": F.create_map(F.lit("dial_colour"), F.lit("navy"), F.lit("case_size"), F.lit(" ")), "category": F.lit("Watches")})
     scored = matching.score_candidates(pairs)
     return scored.select("id", "other", "confidence", "tier", "viable", "auto_accept", F.array_join("evidence.gates_failed", ",").alias("gates_failed"), F.array_join("evidence.attribute_hits", ",").alias("hits"))
 
 
+# The same functions over whole tables: the SQL computes the answers from the columns.
+def _case(pairs, otherwise: str) -> str:
+    """SQL for the name of the first pattern that a text matches."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{name}'" for x, p, name in pairs) + f" ELSE {otherwise} END"
+
+
+def _over_documents(name: str, f, sql: str, kind: str | None = None) -> None:
+    """Registers a function over the documents' texts; long answers are compared by their digest."""
+    answer = (lambda x: F.md5(x)) if kind is None else (lambda x: x)
+
+    def run(s, d):
+        return s.read.parquet(f"{d}/documents.parquet").select("doc_id", answer(f(F.col("text"))).alias("answer"))
+
+    query(f"WITH normal AS (SELECT doc_id, text, {_NORM.format('text')} AS norm FROM documents) SELECT doc_id, {f'md5({sql})' if kind is None else sql} AS answer FROM normal".replace("WITH", ",", 1), name)(run)
+
+
+_over_documents("colour_of_texts", text.colour, _case([("norm", rules.MOTHER_OF_PEARL, "mother of pearl"), *(("norm", rf"\b{w}\b", n) for w, n in rules.COLOURS.items())], "norm"))
+_over_documents("material_of_texts", text.material, _case([("text", f"(?i){p}", n) for p, n in rules.MATERIALS], "norm"))
+_over_documents("movement_of_texts", text.movement, _case([("norm", p, n) for p, n in rules.MOVEMENTS], "norm"))
+_over_documents("availability_of_texts", text.availability, f"CASE WHEN regexp_matches(lower(text), '{rules.GONE}') THEN false WHEN regexp_matches(lower(text), '{rules.THERE}') THEN true END", "BOOLEAN")
+_over_documents("category_of_texts", text.category_of, "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for k in keywords) + f" THEN '{n}'" for n, (keywords, *_) in rules.CATEGORIES.items() if keywords) + " ELSE 'default' END", "VARCHAR")
+
+
+@query(f"""SELECT id, {r2("id * 7 + (id % 100) / 100.0")} AS price, CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 90 + 10 AS VARCHAR) || CASE WHEN id % 3 = 1 THEN '.5' ELSE '' END END AS size, CAST(id % 20 AS VARCHAR) AS carats, id % 2 = 0 AS damaged,
+  CASE WHEN id % 4 >= id % 5 AND id % 4 >= id % 3 THEN ',' WHEN id % 5 >= id % 3 THEN chr(9) ELSE ';' END AS mark FROM products""")
+def parsed_numbers(s, d):
+    """Prices, sizes, carats, damaged identifiers and delimiters made of each product's number."""
+    i = F.col("id")
+    price = F.concat(F.lit("now £"), F.format_number(i * 7, 0), F.lit("."), F.lpad((i % 100).cast("string"), 2, "0"))
+    size = F.concat((i % 90 + 10).cast("string"), F.when(i % 3 == 1, ".5 mm").when(i % 3 == 2, "mm").otherwise(" cm"))
+    header = F.concat(F.lit("a"), F.repeat(F.lit(",b"), (i % 4).cast("int")), F.repeat(F.lit("\tc"), (i % 5).cast("int")), F.repeat(F.lit(";d"), (i % 3).cast("int")))
+    damaged = F.concat(F.lit("7.32"), F.when(i % 2 == 0, "E+").otherwise("-"), (i % 12).cast("string"))
+    return v.products(s, d).select("id", money.parse_price(price).alias("price"), text.case_size(size).alias("size"), text.carat(F.concat((i % 20).cast("string"), F.lit(" ct"))).alias("carats"), text.damaged_identifier(damaged).alias("damaged"), text.detect_delimiter(header).alias("mark"))
+
+
+_AGO = "date_diff('second', started_at, TIMESTAMP '2026-08-09 12:00:00')"
+
+
+@query(f"""SELECT id, strftime(started_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, CAST(floor(floor(floor({_AGO} / 60.0 + 0.5) / 60 + 0.5) / 24 + 0.5) AS BIGINT) || 'd ago' AS ago,
+  CAST({_AGO} * 1000 AS BIGINT) AS lasted_ms, CASE WHEN id % 101 >= 85 THEN 'high' WHEN id % 101 >= 55 THEN 'mid' ELSE 'low' END AS tone FROM runs""")
+def time_texts(s, d):
+    now = F.lit(NOW).cast("timestamp_ntz")
+    return v.runs(s, d).select("id", labels.iso_text(F.col("started_at")).alias("iso"), labels.relative_time(F.col("started_at"), now).alias("ago"), labels.duration_ms(F.col("started_at"), now).alias("lasted_ms"), labels.confidence_tone(F.col("id") % 101).alias("tone"))
+
+
+@query("""SELECT id, concat_ws(' · ', CASE WHEN p_size % 2 = 0 THEN p_size || 'mm' END, ean_mpn) AS detail, 'x.co' AS host, brand || ' ' || CASE WHEN id % 4 = 0 THEN 'R-' || id ELSE product_name END AS term,
+  CASE WHEN id % 3 = 0 THEN id || ' (' || id % 3 + id % 5 || ' without)' ELSE id || ' — complete' END AS priced FROM products WHERE id % 3 + id % 5 > 0 AND (id % 3 = 0 OR id % 5 = 0)""")
+def product_texts(s, d):
+    i = F.col("id")
+    specs = F.create_map(F.lit("case_size"), F.when(F.col("specs")["size"].cast("int") % 2 == 0, F.concat(F.col("specs")["size"], F.lit("mm"))), F.lit("Ref"), F.when(i % 4 == 0, F.concat(F.lit(" R-"), i.cast("string"))))
+    rows = v.products(s, d).where((i % 3 + i % 5 > 0) & ((i % 3 == 0) | (i % 5 == 0))).withColumn("specs", specs)
+    missing = F.when(i % 3 == 0, i % 3 + i % 5).otherwise(0)
+    return rows.select("id", labels.product_detail(F.col("specs"), F.col("ean_mpn")).alias("detail"), labels.host_of(F.lit("https://u@X.co?a")).alias("host"), text.search_term(F.col("brand"), F.col("product_name"), F.col("specs")).alias("term"), labels.completeness(i, missing).alias("priced"))
+
+
+@query("""SELECT id, CASE WHEN total > 0 THEN 'Usable' WHEN error = 'robots.txt is out of reach' THEN 'Blocked at robots.txt' WHEN error IS NOT NULL THEN 'No route' WHEN indexes > 0 THEN 'Index only' WHEN failed > 0 THEN 'Sitemap unreadable'
+  WHEN declared = 0 THEN 'None published' ELSE 'Empty' END AS verdict FROM (
+  SELECT id, CASE WHEN id % 2 = 0 THEN 0 ELSE id % 3 END AS total, CASE id % 7 WHEN 0 THEN 'robots.txt is out of reach' WHEN 1 THEN 'no address' END AS error, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS indexes, CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END AS failed, id % 4 AS declared FROM products)""")
+def sitemap_verdicts(s, d):
+    i = F.col("id")
+    total, error = F.when(i % 2 == 0, 0).otherwise(i % 3), F.when(i % 7 == 0, "robots.txt is out of reach").when(i % 7 == 1, "no address")
+    return v.products(s, d).select("id", pages.sitemap_verdict(error, total, F.when(i % 5 == 0, 1).otherwise(0), F.when(i % 3 == 0, 2).otherwise(0), i % 4).alias("verdict"))
+
+
+@query("SELECT competitor_id, url, slug, CASE WHEN id % 2 = 0 THEN TIMESTAMP '2026-01-02 00:00:00' END AS lastmod FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM (SELECT id % 9 AS competitor_id, 'https://x.co/p/' || id % 500 || '/' || id % 9 AS url, 'p ' || id % 500 || ' ' || id % 9 AS slug, id FROM products)) WHERE rn = 1")
+def sitemap_harvest(s, d):
+    """Addresses that several files tell: the first file's entry counts."""
+    i = F.col("id").cast("string")
+    own = v.products(s, d).withColumn("competitor_id", F.col("id") % 9)
+    body = F.concat(F.lit("<url><loc>https://x.co/p/"), (F.col("id") % 500).cast("string"), F.lit("/"), F.col("competitor_id").cast("string"), F.lit("</loc>"), F.when(F.col("id") % 2 == 0, "<lastmod>2026-01-02</lastmod>").otherwise("<lastmod>soon</lastmod>"), F.lit("</url>"))
+    files = own.select("competitor_id", F.col("id").alias("turn"), i.alias("file"), body.alias("body"))
+    return pages.harvest(pages.sitemap_entries(files)).withColumn("lastmod", F.col("lastmod").cast("timestamp_ntz"))
+
+
+@query("""SELECT id AS site, 'https://x.co/p' || id || '?q=1' AS url, CASE WHEN id % 6 = 0 THEN true WHEN id % 6 = 1 THEN false WHEN '/p' || id LIKE '/p12%' THEN true WHEN '/p' || id LIKE '%9' THEN false WHEN '/p' || id LIKE '/p1%' THEN false ELSE true END AS allowed,
+  CASE id % 6 WHEN 0 THEN 'absent' WHEN 1 THEN 'unreachable' ELSE 'ok' END AS state FROM products""")
+def robots_inspection(s, d):
+    i = F.col("id")
+    body = F.lit("User-agent: other\nDisallow: /\n\nUser-agent: PriceMonitorBot\nUser-agent: x\nDisallow: /p1\nAllow: /p12*\nDisallow: /*9?q\nDisallow: /p$\n")
+    own = v.products(s, d).select(i.alias("site"), F.when(i % 6 == 0, 404).when(i % 6 == 1, 503).otherwise(200).alias("status"), body.alias("body"), F.concat(F.lit("https://x.co/p"), i.cast("string"), F.lit("?q=1")).alias("url"))
+    return pages.inspect_robots(own.select("site", "status", "body"), own.select("site", "url"), "PriceMonitorBot/0.1").select("site", "url", "allowed", "state")
+
+
+# What only Python can read.
 def _generated(s, d) -> DataFrame:
     """A product page for each product."""
     html = F.format_string(

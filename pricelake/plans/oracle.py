@@ -36,9 +36,11 @@ matches AS (
          CASE (product_id + competitor_id) % 6 WHEN 0 THEN 'auto' WHEN 3 THEN 'kim' END AS confirmed_by
   FROM (SELECT DISTINCT l_partkey AS product_id, l_suppkey AS competitor_id FROM lineitem)),
 runs AS (
-  SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status, o_orderdate AS started_at FROM orders),
+  SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status, o_orderdate AS started_at,
+         CASE WHEN o_orderkey % 3 != 0 THEN o_orderkey % 100 + 1 END AS competitor_id, CASE WHEN o_orderkey % 4 != 0 THEN o_orderkey % 200 + 1 END AS product_id FROM orders),
 items AS (
-  SELECT event_id AS id, user_id AS run_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'skipped' ELSE 'ok' END AS status, ts AS created_at FROM events),
+  SELECT event_id AS id, user_id AS run_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'skipped' ELSE 'ok' END AS status, ts AS created_at,
+         CASE WHEN event_id % 5 != 0 THEN event_id % 200 + 1 END AS product_id, event_id % 100 + 1 AS competitor_id FROM events),
 urls AS (
   SELECT competitor_id, url, trim(regexp_replace(lower(substr(url, 13)), '[^a-z0-9]+', ' ', 'g')) AS slug FROM (
     SELECT p_partkey % 100 AS competitor_id, 'https://x.co/' || regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') || '-'
@@ -56,6 +58,6 @@ seen AS (
 cheapest AS (SELECT * FROM seen WHERE purchasable QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY price, competitor_id) = 1),
 compared AS (
   SELECT p.id, p.internal_sku, p.brand, p.product_name, p.category, p.currency, p.ean_mpn, p.our_price, p.our_price IS NULL AS our_price_missing, c.price AS best_price,
-         c.competitor_id AS best_competitor_id, c.competitor_name AS best_competitor, c.position, c.delta_abs, c.delta_pct
+         c.competitor_id AS best_competitor_id, c.competitor_name AS best_competitor, c.position, c.delta_abs, c.delta_pct, c.observed_at
   FROM priced p LEFT JOIN cheapest c ON c.product_id = p.id)
 """

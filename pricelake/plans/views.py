@@ -88,13 +88,21 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
     status = F.when(s == "O", "running").when(s == "F", "completed").otherwise("failed")
-    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("started_at"))
+    k = F.col("o_orderkey")
+    of = lambda n, x: F.when(k % n != 0, x).cast("long")
+    return _read(spark, sf_dir, "orders").select(
+        k.alias("id"), status.alias("status"), F.col("o_orderdate").alias("started_at"), of(3, k % 100 + 1).alias("competitor_id"), of(4, k % 200 + 1).alias("product_id")
+    )
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
     status = F.when(t == "error", "error").when(t == "signup", "skipped").otherwise("ok")
-    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("run_id"), status.alias("status"), F.col("ts").alias("created_at"))
+    k = F.col("event_id")
+    return _read(spark, sf_dir, "events").select(
+        k.alias("id"), F.col("user_id").alias("run_id"), status.alias("status"), F.col("ts").alias("created_at"),
+        F.when(k % 5 != 0, k % 200 + 1).cast("long").alias("product_id"), (k % 100 + 1).cast("long").alias("competitor_id"),
+    )
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def read_competitors(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("scrapeFrequency", F.lit("daily")).alias("scrape_frequency"),
         F.coalesce("brands", F.array().cast("array<string>")).alias("brands"),
         "config",
-    ).orderBy("slug")
+    ).orderBy("display_name", "slug")
 
 
 def search_url(pattern, term):

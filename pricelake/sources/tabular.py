@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import datetime as dt
 import io
 import re
 import zipfile
@@ -26,48 +28,138 @@ def formats(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", text.detect_format(F.col("content")).alias("format"), (end.isin(*EXTENSIONS) & (F.col("length") <= SIZE_MOST)).alias("accepted"))
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A file's rows by its kind: text and workbooks are read, other kinds and too large files refused with what to do.
+
+    Gives (row_number, values map), whatever the kind.
+    """
+    one = formats(spark, path).first()
+    if one is None or not one.accepted:
+        raise ValueError(f"{path}: no file of {', '.join(EXTENSIONS)} of at most {SIZE_MOST >> 20} MB")
+    if one.format == "legacy-xls":
+        raise ValueError(f"{path} is a binary workbook of an old kind; save it as .xlsx or .csv")
+    if one.format == "html":
+        raise ValueError(f"{path} is a web page under a workbook's name; save it as .xlsx or .csv")
+    if one.format == "xlsx":
+        return read_workbooks(spark, path).drop("path")
+    rows = read_delimited(spark, path)
+    pairs = [y for c in rows.columns if c != "row_number" for y in (F.lit(c), F.col(f"`{c}`"))]
+    return rows.select("row_number", F.create_map(*pairs).alias("values"))
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """A file with a header row, every column as trimmed text, missing cells empty, blank rows left out; adds row_number.
 
-    The delimiter is the one that the header has most of.
+    The delimiter is the one that the header has most of.  row_number counts
+    records, the header being 1; empty lines are no records, blank cells are.  Of columns
+    with one name the last counts.  Uploads are single files of bounded size
+    (SIZE_MOST): one is parsed in one task, in its own order.
     """
     header = spark.read.text(path, wholetext=False).limit(1).select(text.detect_delimiter(F.col("value")).alias("mark")).first()
-    reader = spark.read.option("header", True).option("sep", header.mark if header else ",").option("mode", "PERMISSIVE").option("multiLine", True)
-    rows = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"').csv(path)
-    rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
-    named = rows.columns
-    rows = rows.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in named])
-    return rows.withColumn("row_number", F.monotonically_increasing_id() + 1).where(" or ".join(f"`{c}` != ''" for c in named))
+    mark = header.mark if header else ","
+
+    def named(row: list[str]) -> list[str]:
+        return [x.strip() for x in row]
+
+    def records(content: bytes) -> Iterator[list[str]]:
+        return csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""), delimiter=mark, skipinitialspace=True)
+
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= SIZE_MOST).select("content")
+
+    @F.pandas_udf("array<string>")
+    def heads(contents: pd.Series) -> pd.Series:
+        return pd.Series([named(next(records(x), [])) for x in contents])
+
+    first = files.select(heads("content").alias("head")).first()
+    columns = list(dict.fromkeys(x for x in (first.head if first else []) if x))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = records(content)
+                place = {name: i for i, name in enumerate(named(next(rows, []))) if name}
+                out = []
+                for n, row in enumerate((x for x in rows if x), 2):
+                    cells = named(row)
+                    if any(cells):
+                        out.append((*[cells[place[c]] if place[c] < len(cells) else "" for c in columns], n))
+                yield pd.DataFrame(out, columns=[*columns, "row_number"])
+
+    schema = ", ".join([f"`{c}` string" for c in columns] + ["row_number long"])
+    return files.mapInPandas(read, schema)
+
+
+_SPACE = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Number formats of a workbook that show dates without being written out in it.
+_DATES = {*range(14, 23), *range(45, 48)}
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """The cell styles whose numbers are dates."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    plain = lambda code: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code)
+    dates = {int(x.get("numFmtId")) for x in root.iterfind("m:numFmts/m:numFmt", _SPACE) if re.search("[ymdhs]", plain(x.get("formatCode", "")).lower())}
+    return {i for i, x in enumerate(root.iterfind("m:cellXfs/m:xf", _SPACE)) if int(x.get("numFmtId", 0)) in dates | _DATES}
+
+
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """The part of the workbook's first sheet: as the workbook lists them, else that with the least number."""
+    names = sorted((x for x in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.findall(r"\d+", x)[0]))
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(book.namelist()):
+        sheet = ElementTree.fromstring(book.read("xl/workbook.xml")).find("m:sheets/m:sheet", _SPACE)
+        for link in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")) if sheet is not None else []:
+            if link.get("Id") == sheet.get(_REL):
+                target = link.get("Target", "")
+                return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    return names[0]
+
+
+def _iso(serial: str, since_1904: bool) -> str:
+    """A date's serial number as ISO text in UTC."""
+    start = dt.datetime(1904, 1, 1) if since_1904 else dt.datetime(1899, 12, 30)
+    at = start + dt.timedelta(milliseconds=round(float(serial) * 86_400_000))
+    return at.isoformat(timespec="milliseconds") + "Z"
 
 
 def _cells(content: bytes) -> Iterator[list[str]]:
-    """The rows of a workbook's first sheet as texts."""
-    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    """The rows of a workbook's first sheet as texts: shown text of rich texts and links, results of formulas, dates in ISO form."""
+    tag = f"{{{_SPACE['m']}}}t"
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = sorted((x for x in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.findall(r"\d+", x)[0]))
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
-            for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", space):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{space['m']}}}t")))
-        for row in ElementTree.fromstring(book.read(names[0])).iterfind(".//m:row", space):
+            for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _SPACE):
+                shared.append("".join(t.text or "" for t in si.iter(tag)))
+        dates = _date_styles(book)
+        book_xml = book.read("xl/workbook.xml") if "xl/workbook.xml" in book.namelist() else b""
+        since_1904 = re.search(rb'date1904="(1|true)"', book_xml) is not None
+        for row in ElementTree.fromstring(book.read(_first_sheet(book))).iterfind(".//m:row", _SPACE):
             out: list[str] = []
-            for cell in row.findall("m:c", space):
+            for cell in row.findall("m:c", _SPACE):
                 place = 0
                 for letter in re.match(r"[A-Z]*", cell.get("r", ""))[0]:
                     place = place * 26 + ord(letter) - 64
                 out += [""] * (place - 1 - len(out))
-                value = cell.find("m:v", space)
-                if cell.get("t") == "inlineStr":
-                    out.append("".join(t.text or "" for t in cell.iter(f"{{{space['m']}}}t")))
-                elif value is None:
+                value, kind = cell.find("m:v", _SPACE), cell.get("t", "n")
+                if kind == "inlineStr":
+                    out.append("".join(t.text or "" for t in cell.iter(tag)))
+                elif value is None or value.text is None:
                     out.append("")
+                elif kind == "s":
+                    out.append(shared[int(value.text)])
+                elif kind == "b":
+                    out.append("true" if value.text == "1" else "false")
+                elif kind == "n" and int(cell.get("s", -1)) in dates:
+                    out.append(_iso(value.text, since_1904))
                 else:
-                    out.append(shared[int(value.text)] if cell.get("t") == "s" else value.text or "")
+                    out.append(value.text)
             yield out
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row_number, values map) of workbooks' first sheets: the first row names the columns."""
+    """(path, row_number, values map) of workbooks' first sheets: the first row names the columns, row_number is 2 for the one after it."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -14,6 +14,17 @@ def append_observations(stream: DataFrame, path: str, checkpoint: str) -> Stream
     return writer.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def append_batch(observations: DataFrame, path: str) -> None:
+    """Appends a run's observations to Parquet, by the day observed."""
+    dated = observations.withColumn("observed_on", F.to_date("observed_at"))
+    dated.write.mode("append").partitionBy("observed_on").parquet(path)
+
+
+def append_items(items: DataFrame, path: str) -> None:
+    """Appends a run's items to Parquet, by run; counters are counted from them, so that tasks share none."""
+    items.write.mode("append").partitionBy("run_id").parquet(path)
+
+
 def hourly_prices(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Observations and the lowest price of each product and hour; rows later than late are left out."""
     hours = stream.withWatermark("observed_at", late).groupBy(F.window("observed_at", "1 hour"), "product_id")

@@ -64,3 +64,43 @@ def test_logo_marks(spark):
     assert answers(spark, text.initials, ["Ernest Jones", "Fraser Hart", "Beaverbrooks", "77 Diamonds", "Berry's Jewellers", "Hatton-Selby", ""]) == ["EJ", "FH", "B", "7D", "BJ", "HS", "?"]
     hues = answers(spark, text.hue, ["ernest-jones", "h-samuel", "ernest-jones", ""])
     assert hues[0] == hues[2] and all(190 <= h <= 330 for h in hues)
+
+
+def test_text_supports(spark):
+    cases = [("case 39 mm steel", "case_size", "39", False), ("case 40.5 mm steel", "case_size", "40.5", True), ("x140.5mm", "case_size", "40.5", False), ("blue dial", "dial_colour", "blue", True), ("a b", "model", "a", False), ("x", "model", None, False)]
+    rows = spark.createDataFrame(cases, "h string, a string, v string, want boolean")
+    assert all(r.got == r.want for r in rows.select("want", text.text_supports(F.col("h"), F.col("a"), F.col("v")).alias("got")).collect())
+
+
+def test_specs_and_search_terms(spark):
+    rows = spark.createDataFrame([({"Ref": " M1 ", "zz reference": "x"}, "Rolex", "Daytona"), ({"reference": "  "}, "Rolex", "Daytona"), (None, "Rolex", "Daytona")], "s map<string,string>, b string, n string")
+    got = [r[0] for r in rows.select(text.search_term(F.col("b"), F.col("n"), F.col("s"))).collect()]
+    assert got == ["Rolex M1", "Rolex Daytona", "Rolex Daytona"]
+    items = spark.createDataFrame([(2, 1, 4, None, None), (0, 0, 4, "u", "why"), (0, 0, 4, None, None)], "a int, b int, c int, u string, w string")
+    said = [r[0] for r in items.select(text.run_item_detail(*[F.col(c) for c in "abcuw"])).collect()]
+    assert "2" in said[0] and "u" in said[1] and "why" in said[1] and "none" in said[2]
+
+
+def test_labels(spark):
+    from pricelake.functions import labels
+
+    money_ = spark.createDataFrame([(1234.5, "GBP"), (-2.0, "EUR"), (None, "GBP"), (1.0, "CHF")], "x double, c string")
+    assert [r[0] for r in money_.select(labels.money_text(F.col("x"), F.col("c"))).collect()] == ["£1,234.50", "-€2.00", "—", "CHF\u00a01.00"]
+    share = spark.createDataFrame([(1.25,), (-3.0,), (0.0,), (None,)], "x double")
+    assert [r[0] for r in share.select(labels.percent_text(F.col("x"))).collect()][1:] == ["-3.0%", "0.0%", "—"]
+    assert answers(spark, labels.tier_label, ["manual", "new"]) == ["Manually linked", "new"]
+    assert answers(spark, labels.error_label, ["timeout"]) == ["Timed out"] and answers(spark, labels.mode_label, ["both"])[0].startswith("Look")
+    assert answers(spark, labels.host_of, ["https://A.co:8080/x?y", "nothing"]) == ["a.co:8080", "nothing"]
+    hues = answers(spark, labels.brand_hue, ["Rolex", "Omega", "Rolex", ""])
+
+    def hue(brand):
+        h = 0
+        for c in brand:
+            h = (h * 31 + ord(c)) % 2**32
+        return [265, 200, 158, 32, 340, 12, 190, 95][h % 8]
+
+    assert hues == [hue(b) for b in ("Rolex", "Omega", "Rolex", "")]
+    now = F.lit("2026-08-09 12:00:00").cast("timestamp")
+    times = {"2026-08-09 11:59:40": "just now", "2026-08-09 11:20:00": "40m ago", "2026-08-09 02:00:00": "10h ago", "2026-08-01 12:00:00": "8d ago", None: "never"}
+    assert answers(spark, lambda x: labels.relative_time(x.cast("timestamp"), now), list(times)) == list(times.values())
+    assert answers(spark, lambda x: labels.day_text(x.cast("timestamp")), ["2026-08-09 11:05:00", None]) == ["09 Aug, 11:05", "—"]

@@ -35,6 +35,33 @@ def test_gates_and_attributes(spark):
     assert named.tier == "fuzzy_name_specs" and named.confidence <= 80 and not named.auto_accept
 
 
+def test_blank_attributes_do_not_hide_the_title(spark):
+    got = scored(spark, "TAG Heuer Carrera Chronograph 41mm", brand="TAG Heuer", attributes={"case size": "  ", "dial": "blue"})
+    assert {"case_size", "dial_colour"} <= set(got.evidence.attribute_hits)
+    named = scored(spark, "TAG Heuer Carrera", brand=" ", attributes={"brand": "TAG Heuer", "dial": "blue"})
+    assert named.viable
+
+
+def test_discovery_opens_the_most_confident_and_tells_the_best_rejected(spark):
+    schema = "product_id long, competitor_id long, url string, place int, mode string, result_title string, " + PAIR
+    own = ("TAG Heuer", "Carrera Chronograph 41mm", "7612345678901", "watches", WATCH)
+    good = {"dial": "blue", "case material": "steel", "movement": "automatic"}
+    rows = [
+        (1, 1, "a", 0, "search", "Omega Seamaster", *own, "TAG Heuer Carrera Chronograph 41mm", None, "TAG Heuer", good),  # its title is not viable
+        (1, 1, "b", 1, "search", "TAG Heuer Carrera", *own, "TAG Heuer Carrera Chronograph 41mm", None, "TAG Heuer", good),
+        (1, 1, "c", 2, "search", "TAG Heuer Carrera Chronograph 41mm", *own, "Omega", None, "Omega", None),
+        (1, 1, "d", 3, "search", "TAG Heuer Carrera Chronograph 41mm", *own, "TAG Heuer Carrera 41mm", "999", "TAG Heuer", None),
+        (1, 1, "e", 4, "search", "TAG Heuer Carrera", *own, "TAG Heuer Carrera Chronograph 41mm", None, "TAG Heuer", good),
+        *[(2, 1, f"s{i}", i, "sitemap", None, *own, "TAG Heuer Carrera Chronograph 41mm" if i == 1 else "x", None, "TAG Heuer" if i < 3 else "Omega", good if i == 1 else None) for i in range(5)],
+    ]
+    stored, rejected = matching.discover(spark.createDataFrame(rows, schema))
+    assert sorted((r.product_id, r.url) for r in stored.collect()) == [(1, "b"), (2, "s1")]
+    told = {r.product_id: (r.url, r.reason) for r in rejected.collect()}
+    assert told[1][0] == "c" and "brand" in told[1][1] and told[2][0] == "s0"
+    one = stored.select(matching.evidence_json(F.col("evidence")).alias("j")).first().j
+    assert "attribute_hits" in one
+
+
 def test_reasons(spark):
     rows = spark.createDataFrame([(0, ["brand"]), (0, ["metal_type"]), (12, [])], "c int, g array<string>")
     got = [r[0] for r in rows.select(matching.rejection_reason(F.col("c"), F.col("g"))).collect()]
@@ -101,6 +128,9 @@ def test_match_decisions(spark):
     new = spark.createDataFrame([(1, 1, "a", 30, "n", "pending"), (1, 1, "b", 95, "n", "confirmed"), (2, 1, "c", 99, "n", "confirmed"), (3, 1, "d", 20, "n", "pending"), (4, 1, "e", 99, "n", "confirmed"), (4, 1, "f", 98, "n", "confirmed")], "product_id long, competitor_id long, url string, confidence int, tier string, status string")
     got = {r.url: (r.confidence, r.status, r.confirmed_by) for r in mutations.upsert_matches(old, new).collect()}
     assert got == {"a": (30, "confirmed", "kim"), "b": (95, "pending", None), "c": (99, "rejected", None), "d": (20, "pending", "auto"), "e": (99, "confirmed", "auto"), "f": (98, "pending", None)}
+    two = spark.createDataFrame([(1, 5, 1, "A", 90, "t", "confirmed", "auto", None), (2, 6, 1, "r", 90, "t", "rejected", None, None)], MATCH)
+    run = spark.createDataFrame([(5, 1, "A", 90, "n", "confirmed"), (5, 1, "B", 95, "n", "confirmed"), (6, 1, "r", 99, "n", "confirmed"), (6, 1, "s", 90, "n", "confirmed")], "product_id long, competitor_id long, url string, confidence int, tier string, status string")
+    assert {r.url: r.status for r in mutations.upsert_matches(two, run).collect()} == {"A": "confirmed", "B": "pending", "r": "rejected", "s": "confirmed"}
     after = {r.id: (r.status, r.confirmed_by) for r in mutations.confirm_match(old, 2, "ana", now()).collect()}
     assert after[1] == ("rejected", "kim") and after[2] == ("confirmed", "ana") and after[4] == ("confirmed", "auto")
     assert {r.id: r.status for r in mutations.reject_match(old, 1).collect()}[1] == "rejected"
@@ -111,12 +141,16 @@ def test_match_decisions(spark):
 
 def test_manual_products_and_runs(spark):
     products = spark.createDataFrame([(3, "Abc", "feed")], "id long, internal_sku string, source string")
+    prices = spark.createDataFrame([], "product_id long, fascia_id long, price double, currency string")
     with pytest.raises(ValueError):
-        mutations.add_manual_product(products, "ABC", "b", "n")
+        mutations.add_manual_product(products, prices, "ABC", "b", "n")
     with pytest.raises(ValueError):
-        mutations.add_manual_product(products, "x", "b", "n", price=-1, site="1")
-    got = mutations.add_manual_product(products.withColumns({"brand": F.lit("q"), "product_name": F.lit("r")}), "x", "b", "n", price=1, site="1")
-    assert sorted((r.id, r.internal_sku, r.source) for r in got.collect()) == [(3, "Abc", "feed"), (4, "x", "manual")]
+        mutations.add_manual_product(products, prices, "x", "b", "n", price=-1, fascia_id=1)
+    known = products.withColumns({"brand": F.lit("q"), "product_name": F.lit("r"), "ean_mpn": F.lit(None).cast("string"), "specs": F.create_map().cast("map<string,string>")})
+    got, priced = mutations.add_manual_product(known, prices, "x", "b", "n", price=1, fascia_id=2, identifier=" 9 ", reference="R1")
+    assert sorted((r.id, r.internal_sku, r.source, r.ean_mpn, r.specs) for r in got.collect()) == [(3, "Abc", "feed", None, {}), (4, "x", "manual", "9", {"reference_number": "R1"})]
+    assert [tuple(r) for r in priced.collect()] == [(4, 2, 1.0, "GBP")]
+    assert mutations.add_manual_product(known, prices, "y", "b", "n")[1].count() == 0
     at = lambda h: dt.datetime(2026, 1, 1, h)
     events = spark.createDataFrame([(1, "started", at(1)), (1, "failed", at(2)), (2, "started", at(3))], "run_id long, event string, at timestamp")
     assert {r.run_id: (r.status, r.finished_at) for r in mutations.run_states(events).collect()} == {1: ("failed", at(2)), 2: ("running", None)}

@@ -37,6 +37,55 @@ def test_listing_from_selectors_and_faults(spark):
     assert listing(spark, '<div itemprop="price" content="12"></div>', {"selectors": {"price": ["div[itemprop=price]"]}}).price == 12.0
 
 
+def test_pages_that_nobody_closed(spark):
+    deep = "<ul>" + "<li>a" * 3000 + "<div>" * 3000 + '<p class="price-now">£5'
+    assert listing(spark, deep).price == 5.0
+    odd = '<script type="application/ld+json">{"@type":"Product","name":"N","additionalProperty":5,"offers":{"@type":"Offer","price":7}}</script>'
+    assert (listing(spark, odd).title, listing(spark, odd).price) == ("N", 7.0)
+    assert listing(spark, '<script type="application/ld+json">' + "[" * 100_000 + "</script>").error_kind == "no_price_found"
+    assert listing(spark, "<dl><dt>Metal<dd>Gold<dt>Size<dd>M</dl><table><tr><td>Cut<td>Round<tr><th>x</table>").attributes == {"metal_type": "Gold", "size": "M", "stone_cut": "Round"}
+    found = pages.parse_html('<div class="a b"><p id=x data-k="v w">1<p>2</div><p>3</p>')
+    assert [n.text() for n in found.select("div.a.b p")] == ["1", "2"] and len(found.select("p, div")) == 4
+    assert len(found.select("#x[data-k*=w]")) == 1 and not found.select("p > p, [!]") and len(found.select("*")) == 4
+
+
+def test_sitemap_files_walk_and_survey(spark):
+    import gzip
+
+    packed = gzip.compress(b"<urlset><url><loc>https://x.co/z</loc></url></urlset>")
+    files = spark.createDataFrame([(1, "a", bytearray(packed)), (1, "b", bytearray(b"\x1f\x8bbroken")), (1, "c", bytearray(b"<urlset></urlset>")), (1, "d", None)], "competitor_id long, file string, content binary")
+    got = {r.file: (r.body, r.error) for r in pages.sitemap_bodies(files).collect()}
+    assert "z" in got["a"][0] and got["b"][0] is None and got["b"][1] and got["c"] == ("<urlset></urlset>", None) and got["d"][1]
+    index = lambda *x: "".join(f"<sitemap><loc>{y}</loc></sitemap>" for y in x)
+    bodies = [(1, "root", index("m1", "m2", "root")), (1, "m1", "<url><loc>u1</loc><lastmod>2026-01-01</lastmod></url><url><loc>u2</loc></url>"), (1, "m2", "<url><loc>u1</loc><lastmod>2025-01-01</lastmod></url>" + index("m3")), (1, "m3", "<url><loc>u3</loc></url>"), (1, "loose", "<url><loc>no</loc></url>"), (2, "r2", "")]
+    entries = pages.sitemap_entries(spark.createDataFrame(bodies, "competitor_id long, file string, body string"))
+    roots = spark.createDataFrame([(1, "root"), (2, "r2")], "competitor_id long, file string")
+    walk = pages.walked(entries, roots)
+    assert {(r.competitor_id, r.file, r.turn) for r in walk.collect()} == {(1, "root", 1), (1, "m1", 2), (1, "m2", 3), (1, "m3", 4), (2, "r2", 1)}
+    assert {r.file for r in pages.walked(entries, roots, 2).where("competitor_id = 1").collect()} == {"root", "m1"}
+    urls = {r.url: str(r.lastmod)[:10] for r in pages.harvest(entries.join(walk, ["competitor_id", "file"])).collect()}
+    assert urls == {"u1": "2026-01-01", "u2": "None", "u3": "None"}
+    known = spark.createDataFrame([(1, None), (2, None), (3, "robots.txt: 503")], "competitor_id long, error string")
+    told = spark.createDataFrame([(1, "root", None), (1, "m1", None), (1, "m2", "HTTP 500"), (1, "m3", None), (2, "r2", None)], "competitor_id long, file string, error string")
+    looked = pages.survey(known, roots, told, entries, children=2, samples=1).withColumn("verdict", pages.sitemap_verdict(*[F.col(c) for c in ("error", "total_urls", "indexes", "failed", "declared")]))
+    rows = {r.competitor_id: (r.declared, r.read, r.failed, r.indexes, r.total_urls, r.sample, r.first_fault, r.verdict) for r in looked.collect()}
+    assert rows[1] == (1, 2, 1, 1, 3, ["u1"], "HTTP 500", "Usable")
+    assert rows[2][-1] == "Empty" and rows[3][-1] == "Blocked at robots.txt"
+    assert tuple(pages.survey_summary(looked).first()) == (1, 2, 2)
+
+
+def test_robots_of_a_path(spark):
+    body = "User-agent: *\nDisallow: /all\nUser-agent: Pricemonitor\nDisallow: /a\nAllow: /a/b$\n"
+    asked = ["/a/c", "/a/b", "/a/bc", "/all", "/", "/x?a=/a"]
+    groups = pages.robots_groups(spark.createDataFrame([(1, body), (2, "")], "site int, body string"), "PriceMonitorBot")
+    urls = spark.createDataFrame([(1, f"https://x.co{p}") for p in asked] + [(2, "https://y.co")], "site int, url string")
+    got = {r.url: r.disallowed for r in pages.robots_probe(urls, groups).collect()}
+    assert got == {"https://x.co/a/c": True, "https://x.co/a/b": False, "https://x.co/a/bc": True, "https://x.co/all": True, "https://x.co/": False, "https://x.co/x?a=/a": False, "https://y.co": False}
+    seen = pages.inspect_robots(spark.createDataFrame([(1, 200, body), (2, 404, None), (3, 503, None)], "site int, status int, body string"), spark.createDataFrame([(1, "https://x.co/a"), (2, "https://y.co/a"), (3, "https://z.co/a")], "site int, url string"), "PriceMonitorBot")
+    assert {r.site: (r.state, r.allowed) for r in seen.collect()} == {1: ("ok", False), 2: ("absent", True), 3: ("unreachable", False)}
+    assert tuple(pages.robots_summary(seen).first()) == (1, 2, 1)
+
+
 def test_search_icons_sitemap_robots(spark):
     html = '<div class="tile"><a href="/a">First</a><b class="p">£10.00</b></div><div class="tile"><a href="/a">Again</a></div><div class="tile"><a href="b" title="T"></a></div>'
     found = pages.search_results(spark.createDataFrame([(html,)], "html string"), {"resultItem": [".tile"], "resultPrice": [".p"]}, "https://x.co/s/").orderBy("place").collect()
@@ -65,6 +114,23 @@ def test_tabular_sources(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row/><row><c r="B3"><v>5</v></c></row></sheetData></worksheet>')
     got = tabular.read_workbooks(spark, str(tmp_path / "w.xlsx")).collect()
     assert [(r.row_number, r["values"]) for r in got] == [(3, {"id": "", "title": "5"})]
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet r:id="r2"/><sheet r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></R>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="inlineStr"><is><t>day</t></is></c><c r="B1" t="str"><f>x</f><v>sum</v></c></row><row><c r="A2" s="1"><v>45000.5</v></c><c r="B2" s="0"><v>3</v></c></row><row><c r="A3" s="2"><v>45001</v></c><c r="B3" t="b"><v>1</v></c></row></sheetData></worksheet>')
+    assert [r["values"] for r in tabular.read_workbooks(spark, str(tmp_path / "d.xlsx")).orderBy("row_number").collect()] == [{"day": "2023-03-15T12:00:00.000Z", "sum": "3"}, {"day": "2023-03-16T00:00:00.000Z", "sum": "true"}]
+    assert [(r.row_number, r["values"]["title"]) for r in tabular.read_table(spark, str(tmp_path / "f.tsv")).orderBy("row_number").collect()] == [(2, 'a "b"'), (4, "")]
+    (tmp_path / "t.csv").write_text("id,x,x,\n1,a,b,c\n\n2\n")
+    assert [(r.id, r.x, r.row_number) for r in tabular.read_delimited(spark, str(tmp_path / "t.csv")).collect()] == [("1", "b", 2), ("2", "", 3)]
+    (tmp_path / "t.csv").unlink()
+    for name, body in (("old.xls", bytes.fromhex("D0CF11E0A1B11AE1")), ("web.xls", b"<html>"), ("x.pdf", b"a")):
+        (tmp_path / name).write_bytes(body)
+        with pytest.raises(ValueError):
+            tabular.read_table(spark, str(tmp_path / name))
+        (tmp_path / name).unlink()
+    (tmp_path / "d.xlsx").unlink()
     kinds = {os.path.basename(r.path): (r.format, r.accepted) for r in tabular.formats(spark, str(tmp_path)).collect()}
     assert kinds == {"f.tsv": ("text", True), "w.xlsx": ("xlsx", True)}
 
@@ -84,7 +150,12 @@ def test_csv_export_and_stream(spark, tmp_path):
     out = str(tmp_path / "csv")
     comparison.write_csv(QUERIES["comparison_export"](spark, SF).coalesce(1), out)
     text = next(x for x in os.listdir(out) if x.endswith(".csv"))
-    assert open(f"{out}/{text}").readline().startswith("sku,product,brand")
+    assert open(f"{out}/{text}").readline().startswith("internal_sku,brand,product_name,category,ean_mpn")
+    whole = comparison.csv_text(spark.createDataFrame([("a,b", 'c"d', None), ("x", "y\nz", 1.5)], "p string, q string, r double"))
+    assert whole == '\ufeffp,q,r\n"a,b","c""d",\nx,"y\nz",1.5'
+    assert [r.value for r in comparison.json_rows(spark.createDataFrame([(1, None)], "a int, b string")).collect()] == ['{"a":1,"b":null}']
+    with pytest.raises(ValueError):
+        comparison.asked("unknown")
     rows = spark.createDataFrame([(1, 10.0, "2026-01-01 10:05:00"), (1, 9.0, "2026-01-01 10:50:00"), (1, 5.0, "2026-01-02 00:00:00")], "product_id long, price double, observed_at string").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
     rows.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
