@@ -7,8 +7,12 @@ A query reads the lists whose centroid distance is within a ratio of the nearest
 then those near ones whose centroid is nearer than the last neighbour it found.
 Where the lists hold too few vectors for an answer (an outlier has a list nearly
 for itself), it is compared with all vectors, in blocks of queries.
-Lists are split beyond a size, so that none is a task's whole work; of equal
-vectors only the few with the least identifiers can be among the nearest, and
+Where the table is too large for the centroids that tasks can hold, a list that
+outgrows its size gets centroids of its own, fitted on a bounded sample of it,
+and so on: lists form a tree, whose depth grows with the logarithm of the table,
+and a query descends from each list that it reads to the near ones below.  What
+no centroid divides is dealt in parts, all of which are read; of equal vectors
+only the few with the least identifiers can be among the nearest, and
 equal query vectors are searched once.
 """
 
@@ -27,8 +31,10 @@ from pricelake.llm.common import checkpointed
 
 #: Vectors for each centroid, the most centroids (they are broadcast), the sample they are fitted on.
 LIST_SIZE, CENTROIDS_MOST, SAMPLE_MOST = 128, 4096, 32_768
-#: A list of more vectors than this is split.
-SPLIT_SIZE = 2048
+#: A list of more vectors than this is divided, into so many lists at most and so often at most.
+SPLIT_SIZE, BELOW_MOST, LEVELS_MOST = 2048, 512, 4
+#: (Numbers of lists stay within 64 bits.)  Lists below a list that a query reads, and vectors of a list that meet in one task when it is divided.
+BELOW_PROBES, DEALT = 12, 4096
 #: A vector is copied to lists within this ratio of its nearest centroid's distance, to so many at most.
 COPY_RATIO, COPIES = 1.1, 4
 #: A query reads lists within this ratio, so many at most.
@@ -125,6 +131,70 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("vec_id"), vec.alias("vec")).where(ok & F.col("vec_id").isNotNull())
 
 
+#: Numbers of the first lists begin here; a list below another has its number times 1024 and its own place: none is another's.
+_ROOT = 1 << 13
+
+
+def _descended(rows: DataFrame, level: DataFrame, ratio: float, most: int) -> DataFrame:
+    """rows (ids, vec, list) whose list is divided at this level, at the near lists below it; the others as they are.
+
+    level: (list, size, body), the centroids below each divided list.  A list's
+    rows are dealt to tasks in parts of some DEALT, each with the centroids.
+    """
+    divided = level.select("list", F.ceil(F.col("size") / DEALT).cast("int").alias("deals"))
+    own = rows.join(divided, "list", "left")
+    moved = own.where("deals is not null").withColumn("deal", F.pmod(F.xxhash64("ids"), "deals").cast("int")).select("list", "deal", "ids", "vec")
+    held = level.select("list", "body", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / DEALT).cast("int") - 1)).alias("deal"))
+
+    def down(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(held):
+            vecs = np.stack(rows["vec"].to_list())
+            below = np.frombuffer(held["body"].iloc[0]).reshape(-1, vecs.shape[1])
+            for low in range(0, len(vecs), 512):
+                part = vecs[low : low + 512]
+                d = np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] + (below**2).sum(1)[None] - 2 * part @ below.T))
+                near = np.argsort(d, axis=1, kind="stable")[:, :most]
+                dist = np.take_along_axis(d, near, 1)
+                for i, (places, far) in enumerate(zip(near, dist <= dist[:, :1] * ratio + 1e-12, strict=True), low):
+                    out += [(rows["ids"].iloc[i], rows["vec"].iloc[i], int(rows["list"].iloc[i]) << 10 | int(x)) for x in places[far]]
+        return pd.DataFrame(out, columns=["ids", "vec", "list"])
+
+    below = moved.groupBy("list", "deal").cogroup(held.groupBy("list", "deal")).applyInPandas(down, "ids array<long>, vec array<double>, list long")
+    return own.where("deals is null").select("ids", "vec", "list").union(below)
+
+
+def _divided(posted: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """posted with its large lists divided, the centroids of each level, and (list, parts): in how many parts a list is dealt."""
+    levels: list[DataFrame] = []
+    while True:
+        sizes = checkpointed(posted.groupBy("list").agg(F.count("*").alias("size")))
+        large = sizes.where(F.col("size") > SPLIT_SIZE)
+        if len(levels) == LEVELS_MOST or large.isEmpty():
+            return posted, levels, sizes.select("list", F.ceil(F.col("size") / SPLIT_SIZE).cast("int").alias("parts"))
+        want = F.least(F.lit(BELOW_MOST), F.ceil(F.col("size") / LIST_SIZE)).cast("int")
+        drawn = posted.join(large.withColumn("want", want), "list").where(F.pmod(F.xxhash64("ids", F.lit(len(levels))), "size") < 8 * F.col("want"))
+
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+            """A list's centroids, from eight vectors for each."""
+            sample = np.stack(rows["vec"].to_list())
+            below = balanced_kmeans(sample, min(int(rows["want"].iloc[0]), len(sample)))
+            return pd.DataFrame({"list": rows["list"][:1], "size": rows["size"][:1], "body": [np.unique(below, axis=0).tobytes()]})
+
+        level = checkpointed(drawn.select("list", "size", "want", "vec").groupBy("list").applyInPandas(fit, "list long, size long, body binary"))
+        # A list that its centroids leave whole is not divided again: it is dealt in parts.
+        moved = checkpointed(_descended(posted, level, COPY_RATIO, 2))
+        whole = moved.where(F.col("list") >= F.lit(_ROOT << 10 * (len(levels) + 1))).groupBy("list").agg(F.count("*").alias("n")).withColumn("above", F.shiftright("list", 10))
+        stuck = whole.join(level.select(F.col("list").alias("above"), "size"), "above").where(F.col("n") > 0.9 * F.col("size")).select(F.col("above").alias("list")).distinct()
+        if not stuck.isEmpty():
+            level = checkpointed(level.join(stuck, "list", "left_anti"))
+            if level.isEmpty():
+                return posted, levels, sizes.select("list", F.ceil(F.col("size") / SPLIT_SIZE).cast("int").alias("parts"))
+            moved = checkpointed(_descended(posted, level, COPY_RATIO, 2))
+        posted = moved
+        levels.append(level)
+
+
 def nearest_neighbours(
     vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -155,12 +225,12 @@ def nearest_neighbours(
     def lists(most: int):
         """The nearest lists, nearest first."""
 
-        @F.pandas_udf("array<struct<list:int,dist:double>>")
+        @F.pandas_udf("array<struct<list:long,dist:double>>")
         def near(vecs: pd.Series) -> pd.Series:
             out = []
             for low in range(0, len(vecs), 512):
                 ids, dist = shared.value.nearest(np.stack(vecs.iloc[low : low + 512].to_list()), max(most, 16))
-                out += [[{"list": x, "dist": y} for x, y in zip(i, d, strict=True)] for i, d in zip(ids[:, :most].tolist(), dist[:, :most].tolist(), strict=True)]
+                out += [[{"list": _ROOT + x, "dist": y} for x, y in zip(i, d, strict=True)] for i, d in zip(ids[:, :most].tolist(), dist[:, :most].tolist(), strict=True)]
             return pd.Series(out)
 
         return near("vec")
@@ -170,8 +240,7 @@ def nearest_neighbours(
         return F.transform(F.filter("near", lambda x: x["dist"] <= bound), lambda x: x["list"])
 
     posted = checkpointed(distinct.select("ids", "vec", lists(COPIES).alias("near")).select("ids", "vec", F.explode(within(COPY_RATIO)).alias("list")))
-    sizes = posted.groupBy("list").count().select("list", F.ceil(F.col("count") / SPLIT_SIZE).cast("int").alias("parts"))
-    parts = F.broadcast(spark.createDataFrame(sizes.collect(), "list int, parts int"))  # a row for each centroid
+    posted, levels, parts = _divided(posted)
     candidates = posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("ids"), "parts").cast("int")).drop("parts")
 
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec")
@@ -184,10 +253,12 @@ def nearest_neighbours(
             vecs, ids = np.stack(c["vec"].to_list()), c["ids"].to_list()
             first = np.array([x[0] for x in ids])
             for key, vec in zip(q["qkey"], q["asked"], strict=True):
-                d = np.sqrt(((vecs - vec) ** 2).sum(1))
-                cut = np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]
-                near = np.flatnonzero(d <= cut)
-                found = [(key, i, d[x]) for x in near[np.lexsort((first[near], d[near]))] for i in ids[x]]
+                rough = ((vecs - vec) ** 2).sum(1)
+                cut = np.partition(rough, min(k, len(rough) - 1))[min(k, len(rough) - 1)]
+                near = np.flatnonzero(rough <= cut * (1 + 1e-9))
+                # A sum in the order of the components: the same wherever a vector is compared, and that of a plain loop.
+                d = np.sqrt(np.cumsum((vecs[near] - vec) ** 2, axis=1)[:, -1])
+                found = [(key, i, d[x]) for x in np.lexsort((first[near], d)) for i in ids[near[x]]]
                 out += sorted(found, key=lambda r: (r[2], r[1]))[: k + 1]
         return pd.DataFrame(out, columns=["qkey", "vec_id", "score"])
 
@@ -198,6 +269,8 @@ def nearest_neighbours(
 
     def found_in(asked: DataFrame) -> DataFrame:
         """Hits of the queries (qkey, vec, list) in those lists."""
+        for level in levels:
+            asked = _descended(asked.select(F.array("qkey").alias("ids"), "vec", "list"), level, PROBE_RATIO, BELOW_PROBES).select(F.col("ids")[0].alias("qkey"), "vec", "list")
         asked = asked.join(parts, "list")
         asked = asked.select("qkey", F.col("vec").alias("asked"), "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         return asked.groupBy("list", "part").cogroup(candidates.groupBy("list", "part")).applyInPandas(search, result)

@@ -93,9 +93,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+#: The words of each text (a null has none), as they are and with A-Z in lower case.
+_WORDS = r"""WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM documents),
+lowered AS (SELECT doc_id, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM texts)"""
+
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": _WORDS
+    + """, sets AS (
+          SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM lowered),
+        entries AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM entries a JOIN entries b ON a.x = b.x AND a.doc_id != b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reached AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)""",
+    "op5_nearest_neighbours": """
+        WITH vectors AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) AS score FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id != c.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored QUALIFY rank <= 10""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op10_substring_dedup": _WORDS
+    + """, windows AS (
+          SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50)),
+        late AS (SELECT doc_id, i FROM windows JOIN (SELECT h, min(doc_id) AS first FROM windows GROUP BY h) USING (h) WHERE doc_id > first),
+        gone AS (SELECT DISTINCT doc_id, place FROM (SELECT doc_id, unnest(range(i, i + 50)) AS place FROM late)),
+        kept AS (
+          SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM texts)
+          ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)""",
 }

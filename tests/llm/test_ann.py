@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from pricelake.llm import ann
 from pricelake.llm.ann import CentroidGraph, nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -81,6 +82,25 @@ def test_outlier_queries_find_k(spark):
     assert hits >= 0.95 * 600
 
 
+def test_lists_that_outgrow_the_centroids_are_divided(spark, monkeypatch):
+    """As if the table were a hundred times larger: eight centroids at the top, all further ones below them."""
+    for name, value in (("CENTROIDS_MOST", 8), ("SPLIT_SIZE", 600), ("BELOW_MOST", 8), ("DEALT", 500)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    vecs = (centres[rng.integers(0, 40, 16_000)] + 0.5 * rng.normal(size=(16_000, 16))).astype(np.float32)
+    vecs[5000:8000] = vecs[5000] + 1e-4 * rng.normal(size=(3000, 16))  # no centroid divides these
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vecs)], SCHEMA).withColumnRenamed("label", "ids")
+    got = answers(nearest_neighbours(df))
+    hits = total = 0
+    for q, found in got.items():
+        d = ((vecs.astype(float) - vecs[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {i for i, _ in found})
+        total += 10
+    assert len(got) == 160 and all(len(x) == 10 for x in got.values()) and hits >= 0.9 * total
+
+
 def test_several_hundred_lists(spark):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(80, 32))
