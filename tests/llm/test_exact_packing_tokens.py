@@ -102,7 +102,7 @@ def test_sum_of_squares_places_every_identifier_once():
     rng = np.random.default_rng(3)
     rows = []
 
-    def emit(window, pieces):
+    def emit(window, pieces, poured):
         at = 0
         for doc, start, raw, n in pieces:
             rows.append((doc, start, len(raw) // 4, np.frombuffer(raw, "<u4").tolist(), n, window, at))
@@ -135,7 +135,7 @@ def test_pack_rows(docs):
         want[i].append(ids(BYTE, t, 0))
     assert check_pieces(rows, want, 128) == 0
     one = piece_digests(pack(docs([(4, None)]), BYTE)).collect()
-    assert [tuple(r) for r in one] == [(4, 0, 1, crc([0]), 1, one[0].sequence_id, 0)]
+    assert [tuple(r) for r in one] == [(4, 0, 1, crc([0]), 1, one[0].sequence_id, 0, True)]
     assert pack(docs([]), BYTE).count() == 0
 
 
@@ -154,3 +154,29 @@ def test_token_orc_round_trip(spark, docs, tmp_path):
     empty = str(tmp_path / "none")
     write_orc(docs([]), empty, WORD)
     assert with_crc32(read_orc(spark, empty)).count() == 0
+
+
+def test_orc_metadata_spares_stripes_and_rows(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    path, none = str(tmp_path / "orc"), F.lit(None).cast("string")
+    wide = spark.range(0, 12_000, 2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), (F.col("id") * k % 997).cast("string")) for k in range(1, 40)]).alias("text"), none.alias("lang"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        write_orc(wide, path, WORD)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = spark.read.orc(path)
+
+    def read(doc: int) -> tuple[int, int]:
+        """Rows found, and rows that the reader gave to the filter."""
+        df = rows.where(F.col("doc_id") == doc).select("doc_id", "n_tokens")
+        found = len(df.collect())
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return found, scan.metrics().get("numOutputRows").get().value()
+
+    assert rows.count() == 6000
+    found, seen = read(4242)
+    assert found == 1 and seen <= 1000  # the row index: one entry of 1,000 rows
+    assert sum(read(odd)[1] for odd in range(1001, 1201, 20)) <= 1000  # between the least and the largest, but in no Bloom filter (1 % pass one)
+    assert read(50_000) == (0, 0)
