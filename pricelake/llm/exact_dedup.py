@@ -29,23 +29,17 @@ SAMPLE_PER_SPLIT, SAMPLE_MOST = 64, 400_000
 
 
 def _keyed(docs: DataFrame, text_col: str, id_col: str, keep: str) -> DataFrame:
-    """(key, ord, text, id, row): in a group the row to keep has the least ord."""
+    """(key, ord, row): in a group the row to keep has the least ord.  The text travels in its row only."""
     text, ident = text_of(text_col), F.col(id_col).cast("long")
     low = F.lit(-(2**63)).cast("long")
     order = F.bitwise_not(F.coalesce(ident, low)) if keep == "max" else F.coalesce(ident, F.bitwise_not(low))
     raw = text.cast("binary")
-    return docs.select(
-        F.concat(F.substring(raw, 1, PREFIX), F.unhex(F.sha2(raw, 256))).alias("key"),
-        order.alias("ord"),
-        text.alias("text"),
-        ident.alias("id"),
-        F.struct("*").alias("row"),
-    )
+    return docs.select(F.concat(F.substring(raw, 1, PREFIX), F.unhex(F.sha2(raw, 256))).alias("key"), order.alias("ord"), F.struct("*").alias("row"))
 
 
 def _splitters(keyed: DataFrame, n: int) -> list[tuple[bytes, int]]:
     """At most n - 1 rows' (key, ord), evenly spaced in a sample's order."""
-    rows = keyed.select("id").count()
+    rows = keyed.select("ord").count()
     want = min(SAMPLE_PER_SPLIT * n, SAMPLE_MOST)
     if n < 2 or not rows:
         return []
@@ -54,27 +48,27 @@ def _splitters(keyed: DataFrame, n: int) -> list[tuple[bytes, int]]:
     return sorted({taken[len(taken) * i // n] for i in range(1, n)}) if taken else []
 
 
-def _sorted(keyed: DataFrame, splitters: list[tuple[bytes, int]]) -> DataFrame:
+def _sorted(keyed: DataFrame, splitters: list[tuple[bytes, int]], text_col: str) -> DataFrame:
     @F.pandas_udf("int")
     def bucket(key: pd.Series, order: pd.Series) -> pd.Series:
         return pd.Series([bisect_left(splitters, x) for x in zip(map(bytes, key), order, strict=True)], dtype="int32")
 
     dealt = keyed.withColumn("bucket", bucket("key", "ord"))
-    return dealt.repartitionById(len(splitters) + 1, F.col("bucket")).sortWithinPartitions("key", "text", "ord")
+    return dealt.repartitionById(len(splitters) + 1, F.col("bucket")).sortWithinPartitions("key", F.coalesce(F.col("row")[text_col], F.lit("")), "ord")
 
 
-def _begins(batch: pa.RecordBatch, last: tuple) -> tuple[list[bool], tuple]:
-    """Whether each row's text differs from the text before it; the last row."""
-    keys, texts = batch.column("key").to_pylist(), batch.column("text")
+def _begins(batch: pa.RecordBatch, text_col: str, last: tuple) -> tuple[list[bool], tuple]:
+    """Whether each row's text differs from the text before it (a null is empty); the last row."""
+    keys, texts = batch.column("key").to_pylist(), batch.column("row").field(text_col)
     out = []
     for i, key in enumerate(keys):
         if key != last[0]:
             out.append(True)
         else:
-            text = texts[i].as_py()
-            out.append(text != (last[1] if i == 0 else texts[i - 1].as_py()))
+            text = texts[i].as_py() or ""
+            out.append(text != (last[1] if i == 0 else texts[i - 1].as_py() or ""))
         last = (key, None)
-    return out, (keys[-1], texts[len(keys) - 1].as_py()) if keys else last
+    return out, (keys[-1], texts[len(keys) - 1].as_py() or "") if keys else last
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "max") -> DataFrame:
@@ -92,14 +86,14 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         for batch in batches:
             if not batch.num_rows:
                 continue
-            begins, last = _begins(batch, last)
+            begins, last = _begins(batch, text_col, last)
             if opening:
                 at = batch.column("bucket")[0].as_py()
                 begins[0] = not (at and splitters[at - 1][0] == batch.column("key")[0].as_py())
                 opening = False
             yield batch.select(["row"]).filter(pa.array(begins))
 
-    kept = _sorted(keyed, splitters).mapInArrow(first_of_group, keyed.select("row").schema)
+    kept = _sorted(keyed, splitters, text_col).mapInArrow(first_of_group, keyed.select("row").schema)
     return kept.select("row.*")
 
 
@@ -108,7 +102,7 @@ def duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
     The rules are those of exact_dedup.
     """
-    keyed = _keyed(docs, text_col, id_col, keep).drop("row")
+    keyed = _keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", "id", keep)
     splitters = _splitters(keyed, partitions(docs.sparkSession))
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +120,9 @@ def duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, own = batch.column("key").to_pylist(), batch.column("id").to_pylist()
+            keys, own = batch.column("key").to_pylist(), batch.column("row").field("id").to_pylist()
             at = batch.column("bucket")[0].as_py()
-            begins, last = _begins(batch, last)
+            begins, last = _begins(batch, "text", last)
             done = []
             for i, begin in enumerate(begins):
                 if begin:
@@ -144,7 +138,7 @@ def duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             yield out()
 
     schema = "id long, text_sha256 string, keep_id long, group_size long, kept boolean, edge boolean, head boolean"
-    runs = checkpointed(_sorted(keyed, splitters).mapInArrow(groups, schema))
+    runs = checkpointed(_sorted(keyed, splitters, "text").mapInArrow(groups, schema))
     # A group that meets a splitter is summed over its ranges: at most two rows for each range.
     best = F.max if keep == "max" else F.min
     whole = (

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from pricelake.llm import memory
+
 #: Words a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -20,11 +22,15 @@ class WordHashes(dict):
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
+    def forget(self) -> None:
+        self.clear()
+
 
 _known = WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    memory.use(_known)
     return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

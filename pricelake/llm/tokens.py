@@ -15,8 +15,10 @@ import re
 from array import array
 from functools import lru_cache
 
+from pricelake.llm import memory
+
 #: Words that a worker remembers (as many again from before), and the longest that it does.
-REMEMBERED, LONGEST = 600_000, 200
+REMEMBERED, LONGEST = 400_000, 200
 _DOUBLE = re.compile(r"\s\s").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 #: Marks at a word's end that neither vocabulary merges with a letter before them.
@@ -51,6 +53,9 @@ class Encoder:
         self.before: dict[str, bytes] = {}
         self.marks = {x: self._whole([x])[0] for x in [*_MARKS, "\n"]}
 
+    def forget(self) -> None:
+        self.known, self.before = {}, {}
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         """The tokenizer's own way from text to identifiers."""
         return [array("I", x.ids).tobytes() for x in self.of.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,6 +86,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's identifiers, as bytes."""
+        memory.use(self)
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
