@@ -1,15 +1,18 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text.
 
-The target model is counted on a bounded sample of documents labelled good, the
-raw model on every document.  A text's weight is the mean log ratio of the two
-over its n-grams.  Documents are drawn without replacement with odds that follow
-the weight, by Gumbel top-k: a document's key is its scaled weight plus Gumbel
-noise from a hash of its identifier, and those with the k largest keys stay.
-k is the number of documents whose weight passes a cut set on the labelled rows.
+Two generative models draw a text's n-grams (words, word pairs, pairs of word
+shapes) from hash buckets: the target's, counted on a bounded sample of documents
+labelled good, and the raw one, counted on every document.  A text's weight is
+the log ratio of its probabilities under the two, summed over its n-grams.
+Documents are drawn without replacement, with odds that follow the ratio, by
+Gumbel top-k: a document's key is its weight plus Gumbel noise from a hash of its
+identifier, and those with the k largest keys stay.  k is a share of the
+documents: a parameter, or by default the share of good ones among the labelled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,17 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import checkpointed, text_of
+from pricelake.llm import memory
+from pricelake.llm.common import checkpointed, scratch, text_of
 
 #: Hash buckets of each of the three n-gram orders (word, word pair, shape pair).
 BUCKETS = 1 << 16
 ORDERS = 3
 #: Labelled rows that fitting reads at most: those whose identifiers hash lowest.
 LABELLED_MOST = 20_000
-#: The scale of weights against the noise, whose standard deviation is 1.28.
-SCALE = 100.0
-#: A wrongly rejected labelled document counts as so many wrongly kept ones.
-REJECT_COST = 10
+#: Distinct tokens that a worker remembers.
+TOKENS_MOST = 400_000
 #: Keys that may meet on the driver when the k-th largest is sought.
 EXACT_MOST = 20_000
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
@@ -49,18 +51,22 @@ class _Tokens(dict):
     """token -> hash << 8 | shape; bounded."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > TOKENS_MOST:
             self.clear()
         word = zlib.crc32(token.lower().encode("utf-8", "surrogatepass"))
         self[token] = value = word << 8 | _shape(token)
         return value
 
+    def forget(self) -> None:
+        self.clear()
+
 
 _known = _Tokens()
 
 
 def ngrams(text: str) -> list[np.ndarray]:
     """For each order, the buckets of the text's n-grams."""
+    memory.use(_known)
     found = _TOKENS(text)
     codes = np.fromiter(map(_known.__getitem__, found), dtype=np.int64, count=len(found))
     words, shapes = codes >> 8, codes & 255
@@ -75,12 +81,10 @@ def _counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((ORDERS, BUCKETS), dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for order, got in enumerate(ngrams(text)):
-                    if len(got) < 4096:
-                        np.add.at(total[order], got, 1)
-                    else:
-                        total[order] += np.bincount(got, minlength=BUCKETS)
+            for low in range(0, batch.num_rows, 256):
+                each = [ngrams(x) for x in batch.column("text").slice(low, 256).to_pylist()]
+                for order, got in enumerate(zip(*each, strict=True)):
+                    total[order] += np.bincount(np.concatenate(got), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["at", "n"])
 
@@ -93,17 +97,14 @@ def _counts(texts: DataFrame) -> np.ndarray:
 
 @dataclass
 class Model:
-    """log ratio of each order's buckets, and the weight at or above which a text passes."""
+    """The log ratio of each order's buckets, and the share of documents to draw."""
 
     ratios: np.ndarray
-    cut: float
+    share: float
 
     def weights(self, texts: pd.Series) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            each = [float(self.ratios[k][got].mean()) for k, got in enumerate(ngrams(text or "")) if len(got)]
-            out[i] = sum(each) / len(each) if each else 0.0
-        return out
+        """The log of each text's probability under the target's model over that under the raw one."""
+        return np.array([sum(float(self.ratios[k][got].sum()) for k, got in enumerate(ngrams(x or ""))) for x in texts])
 
     def weight(self, text: Column) -> Column:
         """A column of weights; a text without tokens weighs 0."""
@@ -111,28 +112,24 @@ class Model:
 
         @F.pandas_udf("double")
         def weigh(texts: pd.Series) -> pd.Series:
-            return pd.Series(own.weights(texts))
+            return pd.Series(own.weights(texts), dtype="float64")
 
         return weigh(text)
 
 
-def _best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """Midway between two labelled weights where errors cost least; of equals the lowest."""
-    if good.all() or not good.any():
-        return float("-inf")
-    order = np.argsort(weights, kind="stable")
-    w, g = weights[order], good[order]
-    cost = np.concatenate([[0], np.cumsum(g) * REJECT_COST]) + np.concatenate([np.cumsum(~g[::-1])[::-1], [0]])
-    least = int(np.argmin(cost))
-    if least == 0:
-        return float("-inf")
-    return float((w[least - 1] + w[min(least, len(w) - 1)]) / 2)
+def good_share(good: int, labelled: int) -> float:
+    """The share of good documents in a labelled sample plus one standard error, as a clean document lost weighs more than a bad one kept."""
+    if not 0 < good < labelled:
+        return 1.0
+    share = good / labelled
+    return min(1.0, share + math.sqrt(share * (1 - share) / labelled))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Counts the models and sets the cut.  labels: (doc_id, quality); rows with a null in either count for nothing.
+def fit(docs: DataFrame, labels: DataFrame, keep: float | None = None, text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """Counts the models.  labels: (doc_id, quality); rows with a null in either count for nothing.
 
-    Without labels of both kinds every text passes.
+    keep: the share of documents to draw; by default good_share() of the labelled
+    sample.  Without labels of both kinds every text is drawn.
     """
     marks = labels.select(F.col("doc_id").alias("id"), (F.col("quality") > 0).alias("good")).dropna()
     marks = marks.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(LABELLED_MOST)
@@ -142,16 +139,14 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     share = lambda c: (c + 0.5) / (c.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
     # A bucket as rare as one in the target says nothing: both counts are smoothed on the target's scale.
     scaled = raw * (np.maximum(1, target.sum(axis=1, keepdims=True)) / np.maximum(1, raw.sum(axis=1, keepdims=True)))
-    model = Model(np.log(share(target)) - np.log(share(scaled)), float("-inf"))
-    seen = sample.select("good", model.weight(F.col("text")).alias("w")).collect()  # LABELLED_MOST rows at most
-    if seen:
-        model.cut = _best_cut(np.array([r.w for r in seen]), np.array([r.good for r in seen]))
-    return model
+    seen = sample.agg(F.count_if("good").alias("good"), F.count("*").alias("labelled")).first()
+    return Model(np.log(share(target)) - np.log(share(scaled)), good_share(seen.good, seen.labelled) if keep is None else keep)
 
 
 def _key(weight: Column, ident: Column) -> Column:
+    """The weight plus standard Gumbel noise."""
     uniform = (F.shiftrightunsigned(F.xxhash64(ident, F.lit(2024)), 11) + F.lit(0.5)) / F.lit(float(2**53))
-    return weight * F.lit(SCALE) - F.log(-F.log(uniform))
+    return weight - F.log(-F.log(uniform))
 
 
 def _kth_largest(keys: DataFrame, k: int) -> float:
@@ -174,30 +169,33 @@ def _kth_largest(keys: DataFrame, k: int) -> float:
             above += r.n
 
 
-def _draw(scored: DataFrame, cut: float) -> float:
-    """The least key that stays, for rows of (weight, key)."""
-    k = scored.where(F.col("weight") >= cut).count()
-    return _kth_largest(scored, k) if k else float("inf")
+def _draw(keys: DataFrame, share: float) -> float:
+    """The least key that stays, for rows of key."""
+    k = round(share * keys.count())
+    return _kth_largest(keys, k) if k else float("inf")
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def quality_weights(docs: DataFrame, labels: DataFrame, keep: float | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """For each row: doc_id, weight, key, kept.
 
     A null text counts as empty and weighs 0; a null identifier has noise like
     any other.  Rows alike in text and identifier have one key, and all of the
-    rows at the k-th largest key stay.  An empty table gives no rows.
+    rows at the k-th largest key stay.  An empty table gives no rows.  A very
+    long text is weighed whole, by all of its n-grams.  Other columns play no
+    part, whatever their names.
     """
-    model = fit(docs, labels, text_col, id_col)
+    model = fit(docs, labels, keep, text_col, id_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), model.weight(text_of(text_col)).alias("weight"))
     scored = checkpointed(rows.withColumn("key", _key(F.col("weight"), F.col("doc_id"))))
-    return scored.withColumn("kept", F.col("key") >= F.lit(_draw(scored, model.cut)))
-
-
-def keep_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that quality_weights keeps, all columns unchanged."""
-    model = fit(docs, labels, text_col, id_col)
-    key = lambda w: _key(w, F.col(id_col))
-    weight = model.weight(text_of(text_col))
-    scored = docs.select(F.col(id_col), weight.alias("weight"))
-    least = _draw(checkpointed(scored.select("weight", key(F.col("weight")).alias("key"))), model.cut)
-    return docs.where(key(weight) >= F.lit(least))
+    return scored.withColumn("kept", F.col("key") >= F.lit(_draw(scored.select("key"), model.share)))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, keep: float | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that quality_weights keeps, all columns unchanged; each text is weighed once."""
+    spark = docs.sparkSession
+    model = fit(docs, labels, keep, text_col, id_col)
+    path = scratch(spark, "weighed")
+    key = _key(model.weight(text_of(text_col)), F.col(id_col))
+    docs.select(F.struct("*").alias("row"), key.alias("key")).write.parquet(path)
+    weighed = spark.read.parquet(path)
+    return weighed.where(F.col("key") >= F.lit(_draw(weighed.select("key"), model.share))).select("row.*")
