@@ -12,6 +12,7 @@ from pricelake.operators import comparison as cmp
 from pricelake.operators import feed, matching, mutations, pages, reports
 from pricelake.plans import views as v
 from pricelake.plans.oracle import VIEWS, r2
+from pricelake.sources import competitors as shops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +76,16 @@ def comparison_page_position(s, d):
     return cmp.at_position(rows, "lower").select(*_ROW)
 
 
+@query(f"SELECT {_COLUMNS} FROM compared WHERE position = 'higher'")
+def comparison_filtered_position(s, d):
+    return cmp.at_position(_compared(s, d), "higher").select(*_ROW)
+
+
+@query(f"SELECT {_COLUMNS} FROM compared WHERE best_price IS NULL")
+def comparison_filtered_unmatched(s, d):
+    return cmp.at_position(_compared(s, d), "unmatched").select(*_ROW)
+
+
 _SUMMARY = f"""SELECT count(*) AS products, count(*) FILTER (position = 'lower') AS lower, count(*) FILTER (position = 'equal') AS equal,
   count(*) FILTER (position = 'higher') AS higher, count(*) FILTER (best_price IS NULL) AS unmatched, count(*) FILTER (our_price_missing) AS awaiting_price,
   CASE WHEN count(*) = 0 THEN 0.0 ELSE {r2("CAST(count(best_price) AS DOUBLE) / nullif(count(*), 0) * 100")} END AS coverage_pct FROM """
@@ -165,6 +176,15 @@ def review_queue(s, d):
     return rows.select("id", "confidence", "internal_sku", "product_name", "competitor_name", "our_price", "currency")
 
 
+@query("""SELECT m.id, m.confidence, p.internal_sku, (SELECT count(*) FROM matches m JOIN products p ON p.id = m.product_id JOIN competitors c ON c.id = m.competitor_id WHERE m.status = 'confirmed') AS total
+  FROM matches m JOIN products p ON p.id = m.product_id JOIN competitors c ON c.id = m.competitor_id WHERE m.status = 'confirmed' ORDER BY confidence DESC, m.id LIMIT 25""")
+def review_page_with_total(s, d):
+    rows = reports.review_queue(v.matches(s, d), v.products(s, d), v.competitors(s, d), v.fascia_prices(s, d), SITE, "confirmed", 25)
+    known = v.matches(s, d).where("status = 'confirmed'").join(v.products(s, d).select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    known = known.join(v.competitors(s, d).select(F.col("id").alias("competitor_id")), "competitor_id", "left_semi")
+    return cmp.with_total(rows.select("id", "confidence", "internal_sku"), known)
+
+
 @query("SELECT DISTINCT 'brand' AS facet, brand AS value FROM products WHERE delisted_at IS NULL AND brand != '' UNION SELECT DISTINCT 'category', category FROM products WHERE delisted_at IS NULL AND category != ''")
 def facets(s, d):
     return cmp.facets(v.products(s, d))
@@ -415,6 +435,13 @@ def feed_relist(s, d):
     return feed.relist(v.products(s, d), _kept(s, d), _now().cast("timestamp_ntz")).select("id", "delisted_at")
 
 
+@query(_KEPT + "SELECT id FROM products WHERE delisted_at IS NULL AND source != 'manual' AND id NOT IN (SELECT product_id FROM kept)")
+def feed_delist(s, d):
+    after = feed.relist(v.products(s, d), _kept(s, d), _now().cast("timestamp_ntz"))
+    live = v.products(s, d).where("delisted_at IS NULL").select("id")
+    return after.where("delisted_at IS NOT NULL").join(live, "id", "left_semi").select("id")
+
+
 _LOG = _AFTER.rstrip() + """, fed2 AS (SELECT p.id AS product_id FROM parsed f JOIN products p ON p.internal_sku = f.sku WHERE kind = 'priced'),
 kept2 AS (SELECT product_id FROM fascia_prices f JOIN products p ON p.id = f.product_id WHERE (fascia_id != 1 OR source = 'manual' OR feed_import_id = 3) UNION SELECT product_id FROM fed2)
 """
@@ -729,7 +756,71 @@ def robots_inspection(s, d):
     return pages.inspect_robots(own.select("site", "status", "body"), own.select("site", "url"), "PriceMonitorBot/0.1").select("site", "url", "allowed", "state")
 
 
-# What only Python can read.
+@query("SELECT slug, CASE WHEN slug = 'shop-3' THEN NOT enabled ELSE enabled END AS enabled FROM competitors")
+def competitor_toggle(s, d):
+    own = v.competitors(s, d)
+    was = own.where("slug = 'shop-3'").first()
+    return mutations.set_enabled(own, "shop-3", not was.enabled).select("slug", "enabled")
+
+
+@query("SELECT product_id, competitor_id, url, tier, status FROM matches UNION ALL SELECT 1, 1, 'https://x.co/new', 'manual', 'pending'")
+def match_manual(s, d):
+    old = v.matches(s, d).drop("id", "confirmed_at")
+    return mutations.add_manual_match(old, 1, 1, "https://x.co/new", "https://x.co").select("product_id", "competitor_id", "url", "tier", "status")
+
+
+@query("SELECT id AS run_id, status, started_at, CASE WHEN status != 'running' THEN started_at + INTERVAL 1 HOUR END AS finished_at FROM runs")
+def run_lifecycle(s, d):
+    own = v.runs(s, d).select(F.col("id").alias("run_id"), "status", "started_at")
+    ended = own.where("status != 'running'").select("run_id", F.col("status").alias("event"), (F.col("started_at") + F.expr("INTERVAL 1 HOUR")).alias("at"))
+    return mutations.run_states(own.select("run_id", F.lit("started").alias("event"), F.col("started_at").alias("at")).union(ended))
+
+
+@query("SELECT id, 'https://x.co/s?q=' || url_encode(brand || ' ' || product_name) AS url FROM products")
+def search_urls(s, d):
+    return v.products(s, d).select("id", shops.search_url(F.lit("https://x.co/s?q={query}"), F.concat_ws(" ", "brand", "product_name")).alias("url"))
+
+
+@query("""SELECT id, CASE id % 4 WHEN 0 THEN 'the brand of the listing is not known to be ours' WHEN 1 THEN 'the listing''s EAN/MPN differs from ours' WHEN 2 THEN 'its metal type does not agree with ours'
+  ELSE 'its confidence of ' || id % 25 || '% is below the 25% needed' END AS reason FROM products""")
+def rejection_reasons(s, d):
+    gates = F.get(F.array(*[F.array(F.lit(g)) for g in ("brand", "ean_mpn", "metal_type")], F.array().cast("array<string>")), (F.col("id") % 4).cast("int"))
+    return v.products(s, d).select("id", matching.rejection_reason((F.col("id") % 25).cast("int"), gates).alias("reason"))
+
+
+@query("""SELECT id, CASE id % 5 WHEN 0 THEN CAST(id % 90 + 10 AS VARCHAR) WHEN 1 THEN 'm' || id WHEN 2 THEN 'a and b ' || id WHEN 3 THEN NULL ELSE '18ct rose gold' END AS value FROM products""")
+def normalise_attribute(s, d):
+    i = F.col("id")
+    names = F.get(F.array(*[F.lit(x) for x in ("case_size", "reference_number", "model", "collection", "metal_type")]), (i % 5).cast("int"))
+    n = i.cast("string")
+    value = F.when(i % 5 == 0, F.concat((i % 90 + 10).cast("string"), F.lit(" mm"))).when(i % 5 == 1, F.concat(F.lit("M-"), n)).when(i % 5 == 2, F.concat(F.lit(" A & B  "), n)).when(i % 5 == 3, "  ").otherwise("18 carat Red Gold")
+    return v.products(s, d).select("id", text.normalise_attribute(names, value).alias("value"))
+
+
+_HASHED = "list_reduce(list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: (h * 31 + c) % {1})"
+
+
+@query(f"""SELECT p.id, list_extract([{", ".join(map(str, rules.BRAND_HUES))}], CAST({_HASHED.format("brand", 2**32)} % {len(rules.BRAND_HUES)} AS INTEGER) + 1) AS brand_hue,
+  CAST({_HASHED.format("internal_sku", 100_000)} % 141 + 190 AS INTEGER) AS hue FROM products p""")
+def hues(s, d):
+    return v.products(s, d).select("id", labels.brand_hue(F.col("brand")).alias("brand_hue"), text.hue(F.col("internal_sku")).cast("int").alias("hue"))
+
+
+@query("""SELECT id, CASE WHEN id % 6 = 0 THEN '—' ELSE CASE WHEN id % 2 = 0 THEN '-' ELSE '' END || '£' || format('{:,}', id * 997) || '.25' END AS money, CASE WHEN id % 6 = 0 THEN '—' WHEN id % 2 = 0 THEN '-' || id % 50 || '.5%' ELSE '+' || id % 50 || '.5%' END AS share FROM products""")
+def money_texts(s, d):
+    i = F.col("id")
+    side = F.when(i % 6 == 0, F.lit(None)).when(i % 2 == 0, -1.0).otherwise(1.0)
+    return v.products(s, d).select("id", labels.money_text(side * (i * 997 + 0.25), F.lit("GBP")).alias("money"), labels.percent_text(side * (i % 50 + 0.5)).alias("share"))
+
+
+@query("""SELECT id, CASE id % 5 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'legacy-xls' WHEN 2 THEN 'html' ELSE 'text' END AS format, CASE id % 5 WHEN 3 THEN 'image/png' WHEN 4 THEN 'image/svg+xml' END AS image FROM products""")
+def content_kinds(s, d):
+    heads = [F.unhex(F.lit(x)) for x in ("504B0304", "D0CF11E0A1B11AE1", "20203C68746D6C3E", "89504E470D0A", "3C7376673E")]
+    content = F.concat(F.get(F.array(*heads), (F.col("id") % 5).cast("int")), F.col("product_name").cast("binary"))
+    return v.products(s, d).select("id", text.detect_format(content).alias("format"), text.image_type(content).alias("image"))
+
+
+# Pages.
 def _generated(s, d) -> DataFrame:
     """A product page for each product."""
     html = F.format_string(
@@ -747,6 +838,12 @@ def extract_listing(s, d):
     return rows.select("id", got("title"), got("price"), got("error_kind"), got("in_stock"), got("ean"), F.try_element_at("listing.attributes", F.lit("case_size")).alias("case_size"), got("source"))
 
 
+@query("SELECT id, product_name AS title, 'GBP' AS currency, 'InStock' AS availability, ean_mpn AS ean, false AS promo FROM products")
+def jsonld_product(s, d):
+    rows = pages.extract_listings(_generated(s, d).drop("url"), {"selectors": {"title": [".none"]}})
+    return rows.select("id", *[F.col(f"listing.{c}").alias(c) for c in ("title", "currency", "availability", "ean", "promo")])
+
+
 @query("SELECT id, CAST(0 AS BIGINT) AS place, 'https://x.co/p/' || id AS url, 't' AS title, CAST(9.5 AS DOUBLE) AS price FROM products")
 def extract_search(s, d):
     found = pages.search_results(_generated(s, d), {"resultItem": [".tile"], "resultPrice": [".cost"]}, "https://x.co")
@@ -758,7 +855,7 @@ def icon_urls(s, d):
     return pages.icon_urls(_generated(s, d)).select("id", F.array_join("icons", ",").alias("icons"))
 
 
-@query()
+@query(r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), '') AS title, 'no_price_found' AS error_kind FROM pages""")
 def page_titles(s, d):
     found = pages.extract_listings(s.read.parquet(f"{d}/pages.parquet").drop("url"), {})
     return found.select("page_id", F.col("listing.title").alias("title"), F.col("listing.error_kind").alias("error_kind"))
@@ -774,3 +871,9 @@ def sitemap_urls(s, d):
 def robots_rules(s, d):
     body = F.concat(F.lit("User-agent: PriceMonitorBot\nDisallow: /p"), F.col("id").cast("string"), F.lit(" # no\nUser-agent: other\nDisallow: /x\nUser-agent: *\nDisallow: /all\nDisallow:"))
     return pages.robots_rules(v.products(s, d).select(F.col("id").alias("site"), body.alias("body")), "PriceMonitorBot/0.1").withColumn("place", F.col("place").cast("long"))
+
+
+@query("""SELECT count(*) FILTER (id % 6 = 0 OR (id % 6 > 1 AND ok)) AS search_allowed, count(*) FILTER (id % 6 = 1 OR (id % 6 > 1 AND NOT ok)) AS search_blocked, count(*) FILTER (id % 6 = 1) AS unreachable FROM (
+  SELECT id, '/p' || id LIKE '/p12%' OR ('/p' || id NOT LIKE '%9' AND '/p' || id NOT LIKE '/p1%') AS ok FROM products)""")
+def robots_summary(s, d):
+    return pages.robots_summary(robots_inspection(s, d))
