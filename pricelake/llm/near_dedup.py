@@ -43,7 +43,7 @@ SLACK = 0.3
 #: Documents this similar to a pivot or more belong to its star.
 NEAR = 0.5
 #: Members, and strays, of a star that meet in one task.
-BLOCK = 1024
+BLOCK = 4096
 #: Sizes of sets in one class differ by less than this factor.
 CLASS = 1.05
 
