@@ -36,8 +36,8 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests on one
-    machine) a new temporary folder takes its place.
+    ``spark.checkpoint.dir`` names it; only where that is unset and all runs in
+    one process (tests) a new temporary folder takes its place.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
         return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pricelake-"))
     return sc.getCheckpointDir()
@@ -57,18 +59,31 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver's Python ends."""
+    """A new path in the shared folder; it goes when the driver's Python ends, or by release()."""
     path = f"{shared_dir(spark).rstrip('/')}/pricelake/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
 
-    def drop() -> None:
-        if spark.sparkContext._jsc is not None:
-            delete(spark, path)
+        def drop() -> None:
+            if spark.sparkContext._jsc is not None:
+                for x in list(_scratch):
+                    release(spark, x)
 
-    atexit.register(drop)
+        atexit.register(drop)
+    _scratch.setdefault(name, []).append(path)
     return path
 
 
+def release(spark: SparkSession, name: str) -> None:
+    """Deletes all scratch paths of a name; only for results that nobody will read any more."""
+    for path in _scratch.get(name, []):
+        delete(spark, path)
+    _scratch[name] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder.
 

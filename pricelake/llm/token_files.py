@@ -36,7 +36,9 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, text_
     """Writes each row's identifiers, then end_id, in ascending order of id_col.
 
     A null text counts as empty; rows with a null identifier come first;
-    repeated rows are written as often as they occur, ordered by their text.
+    repeated rows are written as often as they occur, ordered by their text.  An
+    empty table gives files without rows.  Texts are encoded whole; other columns
+    play no part, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,12 +59,17 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, text_
                 at += int(ends[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    # Ranges of (identifier, first characters), so that rows of one identifier need not share a task.
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "id", F.substring("text", 1, 16)).sortWithinPartitions("id", "text")
     ordered.mapInArrow(run, _SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_orc(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (identifiers before the document's in the whole order), n_tokens, ids."""
+    """doc_id, start (identifiers before the document's in the whole order), n_tokens, ids.
+
+    Rows are those that write_orc() has written, null and repeated identifiers
+    among them; no rows give none.
+    """
     rows = spark.read.schema(_SCHEMA).orc(path)
     sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each file's task
     base, at = [], 0
@@ -74,7 +81,7 @@ def read_orc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:
-    """read_orc()'s rows with the checksum of the identifiers, as unsigned 32-bit, in their place."""
+    """read_orc()'s rows with the checksum of the identifiers, as unsigned 32-bit, in their place; one for each row, whatever its doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
