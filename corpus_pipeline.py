@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelake.llm.common import scratch, table
+from pricelake.llm.common import delete, release, scratch, table
 from pricelake.llm.exact_dedup import exact_dedup
 from pricelake.llm.near_dedup import keep_one_of_each
 from pricelake.llm.packing import pack, piece_digests
@@ -39,6 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one text.  A null identifier stays only if its whole
     group has none; of rows alike in both one stays.
     """
+    release(spark, "weighed")  # docs has been written, so what it was drawn from is read no more
     return exact_dedup(docs, keep="max")
 
 
@@ -75,9 +76,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
