@@ -3,12 +3,13 @@
 The model predicts the class of the next token from the two before it: the
 context's vectors, each through its own matrix, add up to a predicted vector
 whose products with the classes' output vectors, plus a bias, are the scores.
-The most frequent words are classes of their own; all others are classed by how
-often the corpus has them, a class for each power of two, in which a word has its
-smoothed share.  Training is noise-contrastive, in numpy, on all training tokens:
-every task trains on its own partition from the same start and the results are
-averaged, weighted by tokens.  Scores are normalised over all classes by batched
-matrix products, each distinct context once.
+The most frequent words are classes of their own, more of them the more text
+there is, up to a bound; all others are classed by how often the corpus has them,
+a class for each power of two, in which a word has its smoothed share.  Training
+is noise-contrastive, in numpy, on all training tokens: every task trains on its
+own partition from the same start and the results are averaged, weighted by
+tokens.  Scores are normalised over all classes by batched matrix products, each
+distinct context once.
 
 Texts are read and hashed once, as packed chunks.  Word counts are exact and
 cover the corpus: chunks ask buckets of the hash space for the counts of their
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from pricelake.llm.common import checkpointed, partitions, text_of, words_of
 from pricelake.llm.hashing import mixed, word_hashes
 
-#: Words with a class of their own (the most frequent), the size of a vector, noise samples a batch and their weight.
-CLASSES, SIZE, NOISE, NOISE_RATIO = 510, 24, 96, 12.0
+#: Words with a class of their own: the most frequent, as many as the training tokens to this power, and so many at most.
+CLASSES_POWER, CLASSES = 0.47, 1022
+#: The size of a vector, noise samples a batch and their weight.
+SIZE, NOISE, NOISE_RATIO = 24, 96, 12.0
 #: Tokens a training batch, the learning rate, rounds of training and averaging.
 BATCH, RATE, ROUNDS = 4096, 0.08, 2
 #: Tokens at which a chunk of documents ends.
@@ -209,19 +212,24 @@ def _counted(chunks: DataFrame, buckets: int) -> DataFrame:
     return checkpointed(chunks.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(tell, _PACKED))
 
 
-def _totals(h: np.ndarray, n: np.ndarray, bins: np.ndarray) -> bytes:
+def _totals(h: np.ndarray, n: np.ndarray, bins: np.ndarray, most: int = CLASSES) -> bytes:
     """The most frequent words that training texts have, and added to bins (tokens, words) all the others."""
     h, n = h[n > 0], n[n > 0]
     order = np.lexsort((h, -n))
-    best, rest = order[:CLASSES], order[CLASSES:]
+    best, rest = order[:most], order[most:]
     at = bins_of(n[rest])
     bins = bins + np.array([np.bincount(at, weights=n[rest], minlength=BINS), np.bincount(at, minlength=BINS)]).astype(np.int64)
     return bins.astype("<i8").tobytes() + _pairs(h[best], n[best]).tobytes()
 
 
+def _split(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(body, "<i8", count=2 * BINS).reshape(2, BINS), np.frombuffer(body, _PAIR, offset=16 * BINS)
+
+
 def _merged_totals(bodies: list[bytes]) -> bytes:
-    bins = sum((np.frombuffer(x, "<i8", count=2 * BINS).reshape(2, BINS) for x in bodies), np.zeros((2, BINS), dtype=np.int64))
-    best = np.concatenate([np.empty(0, _PAIR), *(np.frombuffer(x, _PAIR, offset=16 * BINS) for x in bodies)])
+    each = [_split(x) for x in bodies]
+    bins = sum((x for x, _ in each), np.zeros((2, BINS), dtype=np.int64))
+    best = np.concatenate([np.empty(0, _PAIR), *(x for _, x in each)])
     return _totals(best["h"], best["n"], bins)
 
 
@@ -233,8 +241,9 @@ def vocabulary_of(counted: DataFrame) -> Vocabulary:
 
     group = F.pmod(F.col("bucket"), F.lit(_GROUPS))
     rows = counted.where("chunk = -1").withColumn("bucket", group).groupBy("bucket").applyInPandas(merge, _PACKED).collect()  # _GROUPS rows at most
-    body = _merged_totals([r.body for r in rows])
-    bins, best = np.frombuffer(body, "<i8", count=2 * BINS).reshape(2, BINS), np.frombuffer(body, _PAIR, offset=16 * BINS)
+    bins, best = _split(_merged_totals([r.body for r in rows]))
+    tokens = int(bins[0].sum() + best["n"].sum())
+    bins, best = _split(_totals(best["h"], best["n"], bins, min(CLASSES, int(tokens**CLASSES_POWER))))
     best = best[np.argsort(best["h"])]
     return Vocabulary(best["h"].copy(), best["n"].copy(), bins[0].copy(), bins[1].copy())
 
@@ -303,11 +312,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds values to the rows that they belong to."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    into[rows[starts]] += np.add.reduceat(values[order], starts)
+    """Adds values to the rows that they belong to, column by column: no sort is needed."""
+    for k in range(values.shape[1]):
+        into[:, k] += np.bincount(rows, weights=values[:, k], minlength=len(into))
 
 
 def contexts(start: int, c: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
