@@ -8,20 +8,46 @@ from pyspark.sql import functions as F
 from pricelake.functions import rules, text
 
 
+#: The most words that an address may share with all products' terms to be listed by its sets of words.
+SUBSET_WORDS = 8
+
+
 def candidate_urls(products: DataFrame, urls: DataFrame, most: int = 5) -> DataFrame:
     """For each product and competitor the addresses that share most with the product's search terms.
 
     products: (product_id, terms array); urls: (competitor_id, url, slug).  An
     address's rank is the sum over terms of 1 + 1/4 + ... + 1/n^2 for its n
     occurrences; of equals the shorter, then the lesser address comes first.
+
+    Products with the same terms among the addresses' words are one question.  For
+    each set of words a shop's best addresses with those words are kept, and a
+    question looks up the sets within its terms: whoever is among the best for all
+    terms is among the best of the set that it shares, so a word that most
+    addresses have costs no more than others.  Addresses with too many words for
+    all their sets meet the questions word by word.
     """
     words = urls.select("competitor_id", "url", F.explode(F.split("slug", " ")).alias("term")).where("term != ''")
+    terms = products.select("product_id", F.explode("terms").alias("term")).distinct()
     weight = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
-    words = words.groupBy("competitor_id", "url", "term").agg(F.count("*").alias("n")).select("competitor_id", "url", "term", weight.alias("weight"))
-    asked = products.select("product_id", F.explode("terms").alias("term"))
-    hits = asked.join(words, "term").groupBy("product_id", "competitor_id", "url").agg(F.sum("weight").alias("rank"))
-    best = Window.partitionBy("product_id", "competitor_id").orderBy(F.desc("rank"), F.length("url"), "url")
-    return hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    words = words.join(terms.select("term").distinct(), "term").groupBy("competitor_id", "url", "term").agg(F.count("*").alias("n"))
+    words = words.select("competitor_id", "url", F.struct("term", weight.alias("weight")).alias("word"))
+    whole = words.groupBy("competitor_id", "url").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    order = [F.desc("rank"), F.length("url"), F.asc("url")]
+    first = lambda rows, *by: rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
+    of = lambda xs: F.explode(F.transform(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(xs)) - 1), lambda m: F.filter(xs, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1)))
+
+    known = terms.join(whole.select(F.explode("words.term").alias("term")).distinct(), "term")
+    asked = known.groupBy("product_id").agg(F.sort_array(F.collect_list("term")).alias("question"))
+    questions = asked.select("question").distinct()
+    sets = whole.where(F.size("words") <= SUBSET_WORDS).select("competitor_id", "url", of(F.col("words")).alias("part"))
+    total = F.aggregate("part", F.lit(0.0), lambda s, x: s + x["weight"])
+    listed = first(sets.select("competitor_id", "url", F.col("part.term").alias("part"), total.alias("rank")), "competitor_id", "part")
+    hits = questions.select("question", of(F.col("question")).alias("part")).join(listed.drop("place"), "part").select("question", "competitor_id", "url", "rank")
+    long = whole.where(F.size("words") > SUBSET_WORDS).select("competitor_id", "url", F.explode("words").alias("word"))
+    met = questions.select("question", F.explode("question").alias("term")).join(long.select("competitor_id", "url", F.col("word.term").alias("term"), F.col("word.weight").alias("weight")), "term")
+    hits = hits.union(met.groupBy("question", "competitor_id", "url").agg(F.sum("weight").alias("rank")))
+    best = first(hits.groupBy("question", "competitor_id", "url").agg(F.max("rank").alias("rank")), "question", "competitor_id")
+    return asked.join(best, "question").select("product_id", "competitor_id", "url", "rank", "place")
 
 
 def _rules_of(category: Column) -> Column:

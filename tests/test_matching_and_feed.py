@@ -75,6 +75,28 @@ def test_candidate_urls(spark):
     assert got == [("u0", 2.0), ("u1", 1.25), ("u2", 1.0), ("u4", 1.0), ("u5", 1.0)]
 
 
+def test_candidate_urls_against_all_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    vocabulary = [f"t{i}" for i in range(14)]
+    urls = [(c, f"u{i}" + "x" * rng.randint(0, 2), " ".join(rng.choice(vocabulary[: rng.choice([3, 14])]) for _ in range(rng.randint(0, 12)))) for c in (1, 2, 3) for i in range(60)]
+    products = [(p, rng.sample([*vocabulary, "none"], rng.randint(0, 6))) for p in range(30)]
+    want = set()
+    for p, terms in products:
+        for c in (1, 2, 3):
+            ranked = []
+            for k, u, slug in urls:
+                rank = sum(sum(1 / (j * j) for j in range(1, slug.split().count(t) + 1)) for t in sorted(set(terms)))
+                if k == c and rank:
+                    ranked.append((-round(rank, 9), len(u), u))
+            want |= {(p, c, u, i) for i, (_, _, u) in enumerate(sorted(ranked)[:5], 1)}
+    for most in (8, 2):  # all addresses by their sets of words; most of them word by word
+        monkeypatch.setattr(matching, "SUBSET_WORDS", most)
+        got = matching.candidate_urls(spark.createDataFrame(products, "product_id long, terms array<string>"), spark.createDataFrame(urls, "competitor_id long, url string, slug string"))
+        assert {(r.product_id, r.competitor_id, r.url, r.place) for r in got.collect()} == want
+
+
 FEED = "row_number long, id string, title string, price string, sale_price string, sale_price_effective_date string, price_visible string, brand string, gtin string, mpn string, availability string, product_type string, link string, metal_type string"
 PRODUCTS = "id long, internal_sku string, brand string, product_name string, ean_mpn string, category string, our_product_url string, specs map<string,string>, currency string, source string, delisted_at timestamp, updated_at timestamp"
 PRICES = "product_id long, fascia_id long, price double, regular_price double, on_sale boolean, currency string, feed_import_id long"
