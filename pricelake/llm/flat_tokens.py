@@ -111,4 +111,5 @@ def counts_by_document(counts: DataFrame, manifest: DataFrame) -> DataFrame:
 
     An empty manifest gives no rows; the manifest's other columns play no part.
     """
-    return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
+    # Both sides grow with the documents; what Spark guesses from the listing of files alone is far too small.
+    return manifest.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
