@@ -80,6 +80,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelake.llm.resampling import resample
+
+    ranks = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=10, of=100, least_words=20)
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_orc": op8_token_orc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_resampling": op11_resampling,
 }
 
 #: The words of each text (a null has none), as they are and with A-Z in lower case.
@@ -128,4 +136,24 @@ ORACLES: dict[str, str] = {
           ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM texts LEFT JOIN kept USING (doc_id)""",
+    # The CRC's table follows from its polynomial; each distinct word is coded once.
+    "op11_resampling": r"""
+        WITH entries AS (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i)),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM entries),
+        texts AS (
+          SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+          UNION ALL SELECT 'b', NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        features AS (SELECT side, doc_id, unnest(w) AS word FROM texts),
+        bytes AS (SELECT word, list_transform(range(0, octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS x FROM (SELECT DISTINCT word FROM features)),
+        coded AS (SELECT word, xor(list_reduce(x, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, crc),
+        counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM features JOIN coded USING (word) GROUP BY bucket),
+        totals AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM counts),
+        gains AS (SELECT bucket, floor(1000 * ln(CAST((t + 1) * (ss + 10000) AS DOUBLE) / CAST((s + 1) * (tt + 10000) AS DOUBLE))) AS gain FROM counts, totals),
+        weighed AS (SELECT doc_id, floor(sum(gain) / count(*)) AS weight FROM features JOIN coded USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+        scored AS (
+          SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                 CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+          FROM texts LEFT JOIN weighed USING (doc_id) WHERE side = 'd'),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 AND doc_id IS NOT NULL ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20 AND doc_id IS NOT NULL) OVER () AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND doc_id IS NOT NULL AND place <= 10 * n // 100 THEN place END AS rank FROM ordered""",
 }
