@@ -87,6 +87,18 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelake.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"), width=3, distance=2)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelake.llm.periodic import planted, repeated_runs, run_digests
+
+    return run_digests(repeated_runs(table(spark, sf_dir, "documents"), planted, least=6, times=4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
@@ -99,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_resampling": op11_resampling,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: The words of each text (a null has none), as they are and with A-Z in lower case.
