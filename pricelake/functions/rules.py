@@ -145,3 +145,14 @@ TONE_HIGH, TONE_MID = 85, 55
 # Statuses of matches and runs that a query may ask for.
 MATCH_STATUSES = ["pending", "confirmed", "rejected"]
 RUN_MODES = ["prices", "discover", "both"]
+
+# What stands in the evidence of a score, and under which names it is stored.
+INFERRED, NOT_PUBLISHED = "(inferred from listing title)", "(not published)"
+NOTE_EXACT = "EAN/MPN exact match on %s — overrides attribute scoring."
+NOTE_DIFFERS = "Competitor publishes EAN/MPN %s, which differs from ours (%s)."
+NOTE_GATE = "Gate '%s' not published by competitor — treated as unknown."
+NOTE_FUZZY = "No comparable spec attributes on the listing — fuzzy name match only."
+EVIDENCE_NAMES = {
+    "tier": "tier", "gates_passed": "gatesPassed", "gates_failed": "gatesFailed", "attribute_hits": "attributeHits",
+    "attribute_misses": "attributeMisses", "name_similarity": "nameSimilarity", "notes": "notes",
+}

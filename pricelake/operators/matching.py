@@ -50,13 +50,31 @@ def candidate_urls(products: DataFrame, urls: DataFrame, most: int = 5) -> DataF
     return asked.join(best, "question").select("product_id", "competitor_id", "url", "rank", "place")
 
 
-def _rules_of(category: Column) -> Column:
-    """The category's (attribute, weight) pairs: gates first, in order."""
-    each = []
-    for name, (_, gate, high, medium, _) in rules.CATEGORIES.items():
-        pairs = [(a, w) for w, some in (("gate", gate), ("high", high), ("medium", medium)) for a in some]
-        each.append(F.when(category == name, F.array(*[F.struct(F.lit(a).alias("attribute"), F.lit(w).alias("weight")) for a, w in pairs])))
-    return F.coalesce(*each)
+def _of_category(category: Column, made) -> Column:
+    """What made(gate, high, medium, ignore) gives for the rule set of a category."""
+    return F.coalesce(*[F.when(category == name, made(*lists)) for name, (_, *lists) in rules.CATEGORIES.items()])
+
+
+def weight_of(category: Column, attribute: Column) -> Column:
+    """gate, high, medium or ignore: what an attribute weighs in a rule set; null where that doesn't know it."""
+    weights = lambda *lists: F.create_map(*[F.lit(x) for w, some in zip(("gate", "high", "medium", "ignore"), lists, strict=True) for a in some for x in (a, w)])
+    return F.try_element_at(_of_category(category, weights), attribute)
+
+
+def _listed_specs(df: DataFrame) -> DataFrame:
+    """Adds _ours and _theirs: arrays of (k, v), each name once; what a listing doesn't publish is inferred from its title."""
+    last = lambda entries: F.transform(F.array_distinct(F.transform(entries, lambda e: e["k"])), lambda k: F.struct(k.alias("k"), text.spec_value(entries, k).alias("v")))
+    said = lambda name, value: F.filter(F.array(F.struct(F.lit(name).alias("k"), value.alias("v"))), lambda e: F.trim(e["v"]) != "")
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    title = F.coalesce("title", F.lit(""))
+    # A product's brand counts but where its attributes name another; a listing's attributes count before what is inferred.
+    df = df.withColumns({
+        "_ours": last(F.concat(said("brand", F.col("brand")), F.coalesce(text.canonical_specs(F.col("specs")), none))),
+        "_theirs": F.coalesce(text.canonical_specs(F.col("attributes")), none),
+    })
+    inferred = F.concat(said("brand", F.col("listing_brand")), said("case_size", F.regexp_extract(title, rules.SIZE_MM, 1)), said("carat_weight", F.regexp_extract(title, rules.CARAT, 0)))
+    unit = lambda e: F.when(e["k"] == "case_size", F.concat(e["v"], F.lit("mm"))).otherwise(e["v"])
+    return df.withColumn("_theirs", last(F.concat(F.transform(inferred, lambda e: F.struct(e["k"].alias("k"), unit(e).alias("v"))), "_theirs")))
 
 
 def score_candidates(pairs: DataFrame) -> DataFrame:
@@ -65,68 +83,87 @@ def score_candidates(pairs: DataFrame) -> DataFrame:
     Columns read: brand, product_name, ean_mpn, category, specs (map) of the
     product; title, listing_ean, listing_brand, attributes (map) of the listing.
     Equal identifiers decide for, different ones against; then gates, in the
-    order of the category's rules; then weighted attributes and the names.
+    order of the category's rules, the first that fails against; then weighted
+    attributes and the likeness of brand and name with the title.  evidence: tier
+    (null where rejected), gates_passed, gates_failed, attribute_hits and
+    attribute_misses (attribute, weight, ours, theirs), name_similarity, notes.
     """
     ours_id, theirs_id = text.normalise_identifier(F.col("ean_mpn")), text.normalise_identifier(F.col("listing_ean"))
-    known = (F.coalesce(ours_id, F.lit("")) != "") & (F.coalesce(theirs_id, F.lit("")) != "")
     title = F.coalesce("title", F.lit(""))
-    every = F.concat_ws(" ", title, F.array_join(F.map_values(F.coalesce("attributes", F.create_map().cast("map<string,string>"))), " "), "listing_brand")
-    df = pairs.withColumn("_hay", text.normalise_text(every))
-    # Each map is brought under canonical names once, a value that a rule asks for is normalised once.
-    df = df.withColumns({"_ours": text.canonical_specs(F.col("specs")), "_theirs": text.canonical_specs(F.col("attributes"))})
-    found = lambda pattern, group: F.nullif(F.regexp_extract(title, pattern, group), F.lit(""))
-    inferred = {"brand": F.nullif(F.trim("listing_brand"), F.lit("")), "case_size": found(rules.SIZE_MM, 1), "carat_weight": found(rules.CARAT, 0)}
-    df = df.withColumn("_inferred", F.map_filter(F.create_map(*[y for k, v in inferred.items() for y in (F.lit(k), v)]), lambda _, v: v.isNotNull()))
-
-    def one(rule: Column) -> Column:
-        name = rule["attribute"]
-        ours = F.coalesce(text.spec_value(F.col("_ours"), name), F.when(name == "brand", F.col("brand")))
-        theirs = F.coalesce(text.spec_value(F.col("_theirs"), name), F.try_element_at("_inferred", name))
-        return F.struct(name.alias("attribute"), rule["weight"].alias("weight"), ours.alias("ours"), theirs.alias("theirs"))
-
-    def normal(x: Column) -> Column:
-        both = F.transform(F.array(x["ours"], x["theirs"]), lambda v: text.normalise_attribute(x["attribute"], v))
-        return F.struct(x["attribute"].alias("attribute"), x["weight"].alias("weight"), both.alias("both"))
-
-    df = df.withColumn("_seen", F.transform(_rules_of(text.category_of(F.col("category"))), one))
-    df = df.withColumn("_seen", F.filter(F.transform("_seen", normal), lambda x: F.get(x["both"], F.lit(0)).isNotNull()))
-    parts = lambda x: F.struct(x["attribute"].alias("attribute"), x["weight"].alias("weight"), F.get(x["both"], F.lit(0)).alias("ours"), F.get(x["both"], F.lit(1)).alias("theirs"))
-    df = df.withColumn("_seen", F.transform("_seen", parts))
+    df = _listed_specs(pairs).withColumn("_rules", text.category_of(F.col("category")))
+    df = df.withColumn("_hay", text.normalise_text(F.concat_ws(" ", title, F.array_join(F.transform("_theirs", lambda e: e["v"]), " "))))
+
+    # The gates that we can ask for, in the rules' order, then the weighted attributes that we have.
+    names = F.transform("_ours", lambda e: e["k"])
+    gates = _of_category(F.col("_rules"), lambda gate, *_: F.array(*map(F.lit, gate)))
+    asked = F.concat(F.filter(gates, lambda g: F.array_contains(names, g)), F.filter(names, lambda k: weight_of(F.col("_rules"), k).isin("high", "medium")))
+    with_values = lambda k: F.struct(k.alias("attribute"), weight_of(F.col("_rules"), k).alias("weight"), text.spec_value(F.col("_ours"), k).alias("ours"), text.spec_value(F.col("_theirs"), k).alias("theirs"))
+    df = df.withColumn("_seen", F.transform(asked, with_values))
+    # Both values are normalised by one expression, which is a long one.
+    both = lambda x: F.transform(F.array(x["ours"], x["theirs"]), lambda v: text.normalise_attribute(x["attribute"], v))
+    df = df.withColumn("_seen", F.transform("_seen", lambda x: F.struct(x["attribute"].alias("attribute"), x["weight"].alias("weight"), x["ours"].alias("ours"), x["theirs"].alias("theirs"), both(x).alias("both"))))
+    df = df.withColumn("_seen", F.filter("_seen", lambda x: F.get(x["both"], F.lit(0)).isNotNull()))
 
     def verdict(x: Column) -> Column:
-        both = x["theirs"].isNotNull()
-        agrees = F.when(x["weight"] == "gate", x["theirs"].contains(x["ours"]) | x["ours"].contains(x["theirs"])).otherwise(x["ours"] == x["theirs"])
-        said = F.when(both & agrees, "hit").when(both, "miss").when(text.text_supports(F.col("_hay"), x["attribute"], x["ours"]), "text")
-        return F.struct(x["attribute"].alias("attribute"), x["weight"].alias("weight"), x["ours"].alias("ours"), x["theirs"].alias("theirs"), said.otherwise("unknown").alias("verdict"))
+        mine, other, gate = F.get(x["both"], F.lit(0)), F.get(x["both"], F.lit(1)), x["weight"] == "gate"
+        agrees = F.when(gate, other.contains(mine) | mine.contains(other)).otherwise(mine == other)
+        # A gate that is published, but says nothing once normalised, fails.
+        against = F.when(gate, x["theirs"].isNotNull()).otherwise(other.isNotNull())
+        said = F.when(agrees, "hit").when(against, "miss").when(text.text_supports(F.col("_hay"), x["attribute"], mine), "text").otherwise("unknown")
+        return F.struct(x["attribute"].alias("attribute"), x["weight"].alias("weight"), x["ours"].alias("ours"), x["theirs"].alias("theirs"), said.alias("verdict"))
 
     df = df.withColumn("_seen", F.transform("_seen", verdict))
-    gates, weighted = F.filter("_seen", lambda x: x["weight"] == "gate"), F.filter("_seen", lambda x: x["weight"] != "gate")
+    is_gate = lambda x: x["weight"] == "gate"
     fails = lambda x: (x["verdict"] == "miss") | ((x["verdict"] == "unknown") & (x["attribute"] == "brand"))
-    failed = F.transform(F.filter(gates, fails), lambda x: x["attribute"])
+    df = df.withColumns({"_gates": F.filter("_seen", is_gate), "_weighted": F.filter("_seen", lambda x: ~is_gate(x))})
+    df = df.withColumn("_stop", F.array_position(F.transform("_gates", fails), F.lit(True)))
     points = lambda x: F.when(x["weight"] == "high", F.lit(rules.HIGH_POINTS)).otherwise(F.lit(rules.MEDIUM_POINTS))
     gained = lambda x: points(x) * F.when(x["verdict"] == "hit", 1.0).when(x["verdict"] == "text", rules.TEXT_SHARE).otherwise(0.0)
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
-    df = df.withColumns({"_earned": total(weighted, gained), "_available": total(F.filter(weighted, lambda x: x["verdict"] != "unknown"), points), "_failed": failed, "_weighted": weighted})
-    df = df.withColumn("_same", text.name_similarity(F.col("product_name"), title))
+    df = df.withColumns({
+        "_earned": total("_weighted", gained), "_available": total(F.filter("_weighted", lambda x: x["verdict"] != "unknown"), points),
+        "_same": text.name_similarity(F.concat(F.coalesce("brand", F.lit("")), F.lit(" "), F.coalesce("product_name", F.lit(""))), title),
+    })
     half_up = lambda x: F.floor(x + F.lit(0.5))
-    by_specs = half_up(F.try_divide("_earned", "_available") * 80 + F.col("_same") * 20)
-    by_name = half_up(F.least(F.col("_same") * 100, F.lit(80.0)))
-    exact, conflict = known & (ours_id == theirs_id), known & (ours_id != theirs_id)
-    rejected = conflict | (F.size("_failed") > 0)
+    by_specs = half_up(F.try_divide("_earned", "_available") * 100 * 0.8 + F.col("_same") * 100 * 0.2)
+    by_name = half_up(F.least(F.col("_same") * 100, F.lit(float(rules.AUTO_ACCEPT - 5))))
+
+    published = (F.coalesce("ean_mpn", F.lit("")) != "") & (F.coalesce("listing_ean", F.lit("")) != "")
+    exact = published & (ours_id != "") & (ours_id == theirs_id)
+    conflict = published & (ours_id != "") & (theirs_id != "") & (ours_id != theirs_id)
+    gated = F.col("_stop") > 0
+    weighed = ~exact & ~conflict & ~gated
     specified = F.col("_available") > 0
-    df = df.withColumn("confidence", F.when(exact, 100).when(rejected, 0).when(specified, by_specs).otherwise(by_name).cast("int"))
-    df = df.withColumn("confidence", F.greatest(F.lit(0), F.least(F.lit(100), "confidence")))
-    tier = F.when(exact, "ean_mpn_exact").when(specified, "brand_spec_attributes").otherwise("fuzzy_name_specs")
-    names = lambda xs: F.transform(xs, lambda x: x["attribute"])
+    confidence = F.when(exact, 100).when(~weighed, 0).when(specified, by_specs).otherwise(by_name)
+    df = df.withColumn("confidence", F.greatest(F.lit(0), F.least(F.lit(100), confidence)).cast("int"))
+    tier = F.when(exact, "ean_mpn_exact").when(~weighed | specified, "brand_spec_attributes").otherwise("fuzzy_name_specs")
+
+    # What was looked at before the verdict fell: the gates up to the one that failed, the attributes only where all passed.
+    looked = F.when(exact | conflict, F.slice("_gates", 1, 0)).when(gated, F.slice("_gates", F.lit(1), F.greatest(F.col("_stop").cast("int") - 1, F.lit(0)))).otherwise(F.col("_gates"))
+    passed = F.transform(F.filter(looked, lambda x: x["verdict"].isin("hit", "text")), lambda x: x["attribute"])
+    failed = F.when(conflict, F.array(F.lit("ean_mpn"))).when(gated & ~exact, F.array(F.get(F.col("_gates"), F.col("_stop").cast("int") - 1)["attribute"])).otherwise(F.array().cast("array<string>"))
+    weighted = F.when(weighed, F.col("_weighted")).otherwise(F.slice("_weighted", 1, 0))
+    theirs = lambda x: F.when(x["verdict"] == "text", rules.INFERRED).when(x["verdict"] == "unknown", rules.NOT_PUBLISHED).otherwise(x["theirs"])
+    told = lambda xs, *kinds: F.transform(F.filter(xs, lambda x: x["verdict"].isin(*kinds)), lambda x: F.struct(x["attribute"].alias("attribute"), x["weight"].alias("weight"), x["ours"].alias("ours"), theirs(x).alias("theirs")))
+    note = lambda condition, pattern, *args: F.when(condition, F.array(F.format_string(pattern, *args))).otherwise(F.array().cast("array<string>"))
+    notes = F.concat(
+        note(exact, rules.NOTE_EXACT, F.col("ean_mpn")),
+        note(published & ~exact, rules.NOTE_DIFFERS, F.col("listing_ean"), F.col("ean_mpn")),
+        F.transform(F.filter(looked, lambda x: x["verdict"] == "unknown"), lambda x: F.format_string(rules.NOTE_GATE, x["attribute"])),
+        note(weighed & ~specified, rules.NOTE_FUZZY),
+    )
     evidence = F.struct(
-        F.when(conflict, F.array(F.lit("ean_mpn"))).when(exact, F.array().cast("array<string>")).otherwise(F.slice("_failed", 1, 1)).alias("gates_failed"),
-        names(F.filter("_weighted", lambda x: x["verdict"].isin("hit", "text"))).alias("attribute_hits"),
-        names(F.filter("_weighted", lambda x: x["verdict"] == "miss")).alias("attribute_misses"),
-        F.round("_same", 3).alias("name_similarity"),
+        F.when(exact | weighed, tier).alias("tier"),
+        passed.alias("gates_passed"),
+        failed.alias("gates_failed"),
+        told(weighted, "hit", "text").alias("attribute_hits"),
+        told(weighted, "miss", "unknown").alias("attribute_misses"),
+        F.when(weighed, F.round("_same", 3)).alias("name_similarity"),
+        notes.alias("notes"),
     )
-    df = df.withColumns({"tier": tier, "evidence": evidence, "viable": exact | (~rejected & (F.col("confidence") >= rules.MIN_CANDIDATE))})
+    df = df.withColumns({"tier": tier, "evidence": evidence, "viable": exact | (weighed & (F.col("confidence") >= rules.MIN_CANDIDATE))})
     df = df.withColumn("auto_accept", F.col("viable") & (F.col("confidence") >= rules.AUTO_ACCEPT))
-    return df.drop("_hay", "_ours", "_theirs", "_inferred", "_seen", "_earned", "_available", "_failed", "_weighted", "_same")
+    return df.drop("_hay", "_ours", "_theirs", "_rules", "_seen", "_gates", "_weighted", "_stop", "_earned", "_available", "_same")
 
 
 def rejection_reason(confidence: Column, gates_failed: Column) -> Column:
@@ -146,21 +183,29 @@ def discover(candidates: DataFrame, opened: int = 3) -> tuple[DataFrame, DataFra
     mode: "search" or "sitemap".  A first score goes by the title that the search
     told (result_title; none in a sitemap); of a search's results only viable ones
     count on.  Of each product and competitor the most confident are opened, of
-    equals the first; viable listings are stored, of the others the most
-    confident, of equals the first opened, is told.
+    equals the first.  A boolean column readable (null, or none: true) tells
+    whether a page could be opened: one that couldn't is judged by its search
+    result alone, and is passed over where a sitemap named it.  Viable listings
+    are stored; where a pair has none, the most confident of the others, of equals
+    the first opened, is told.
     """
     key = ["product_id", "competitor_id", "url", "place"]
-    unknown = {"listing_ean": "string", "listing_brand": "string", "attributes": "map<string,string>"}
-    alone = candidates.withColumns({c: F.lit(None).cast(kind) for c, kind in unknown.items()}).withColumn("title", F.col("result_title"))
+    page = {"listing_ean": "string", "listing_brand": "string", "attributes": "map<string,string>"}
+    if "readable" not in candidates.columns:
+        candidates = candidates.withColumn("readable", F.lit(True))
+    candidates = candidates.withColumn("readable", F.coalesce("readable", F.lit(True)))
+    alone = candidates.withColumns({c: F.lit(None).cast(kind) for c, kind in page.items()}).withColumn("title", F.col("result_title"))
     first = score_candidates(alone).where((F.col("mode") == "sitemap") | F.col("viable"))
     order = Window.partitionBy("product_id", "competitor_id").orderBy(F.desc("confidence"), "place")
     chosen = first.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= opened).select(*key, "turn")
-    scored = score_candidates(candidates.join(chosen, key))
-    best = Window.partitionBy("product_id", "competitor_id").orderBy(F.desc("confidence"), "turn")
-    rest = scored.where(~F.col("viable")).withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+    seen = candidates.join(chosen, key).where(F.col("readable") | (F.col("mode") == "search"))
+    known = {c: F.when(F.col("readable"), F.col(c)) for c in page}
+    scored = score_candidates(seen.withColumns(known | {"title": F.coalesce(F.when(F.col("readable"), F.col("title")), "result_title")}))
+    best = Window.partitionBy("product_id", "competitor_id").orderBy(F.col("viable").desc(), F.desc("confidence"), "turn")
+    rest = scored.withColumn("rn", F.row_number().over(best)).where("rn = 1 AND NOT viable").drop("rn")
     return scored.where("viable"), rest.withColumn("reason", rejection_reason(F.col("confidence"), F.col("evidence.gates_failed")))
 
 
 def evidence_json(evidence: Column) -> Column:
-    """The evidence of a score as it is stored: JSON, without what is null."""
-    return F.to_json(evidence)
+    """The evidence of a score as it is stored: JSON under its users' names, without what is null."""
+    return F.to_json(F.struct(*(evidence[c].alias(name) for c, name in rules.EVIDENCE_NAMES.items())))

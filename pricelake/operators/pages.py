@@ -520,11 +520,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
 
 
+def _rule_parts(rule: Column) -> tuple[Column, Column, Column]:
+    """A robots rule's literal beginning, the literal parts after each *, and whether it holds for whole paths ($)."""
+    whole = rule.endswith("$")
+    parts = F.split(F.when(whole, F.left(rule, F.length(rule) - 1)).otherwise(rule), r"\*")
+    return F.get(parts, F.lit(0)), F.slice(parts, F.lit(2), F.size(parts)), whole
+
+
 def rule_fits(path: Column, rule: Column) -> Column:
-    """Whether a robots rule covers a path: a prefix, * for any characters, $ for the end."""
-    quoted = F.regexp_replace(rule, r"([\\.+?^{}()\[\]|])", r"\\$1")
-    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\$(?!$)", r"\\\$"))
-    return F.regexp_like(path, pattern)
+    """Whether a robots rule covers a path: a prefix, * for any characters, $ for the end.
+
+    The parts between stars are sought one after the other, each from where the
+    one before it ended, so that no rule makes a search try a place twice.
+    """
+    head, rest, whole = _rule_parts(rule)
+    inner = F.filter(F.when(whole, F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest), lambda x: x != "")
+    tail = F.coalesce(F.get(rest, F.size(rest) - 1), F.lit(""))
+
+    def after(at: Column, part: Column) -> Column:
+        found = F.when(at > 0, F.position(part, path, at)).otherwise(0)
+        return F.when(found > 0, found + F.length(part)).otherwise(0)
+
+    end = F.aggregate(inner, F.length(head) + 1, after)
+    ends_well = ~whole | F.when(F.size(rest) == 0, path == head).otherwise(path.endswith(tail) & (F.length(path) - F.length(tail) + 1 >= end))
+    return path.startswith(head) & (end > 0) & ends_well
 
 
 def robots_groups(files: DataFrame, agent: str, body_col: str = "body", key: str = "site") -> DataFrame:
@@ -549,9 +568,18 @@ def robots_groups(files: DataFrame, agent: str, body_col: str = "body", key: str
 
 
 def robots_probe(urls: DataFrame, groups: DataFrame, key: str = "site") -> DataFrame:
-    """urls (site, url, ...) with disallowed: the longest rule that covers the path decides, of equals that which allows."""
-    asked = urls.select(key, "url").distinct()
-    hits = asked.join(groups, key).where(rule_fits(path_of(F.col("url")), F.col("rule")))
+    """urls (site, url, ...) with disallowed: the longest rule that covers the path decides, of equals that which allows.
+
+    A rule is looked up by its beginning up to the first star: a path asks for
+    those of its own beginnings that are as long as some rule's of its site, and
+    meets only rules that begin like it.
+    """
+    rules = groups.select(key, "allow", "rule").distinct().withColumn("head", _rule_parts(F.col("rule"))[0])
+    lengths = rules.groupBy(key).agg(F.collect_set(F.length("head")).alias("lengths"))
+    asked = urls.select(key, "url").distinct().withColumn("path", path_of(F.col("url"))).join(lengths, key)
+    asked = asked.select(key, "url", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    asked = asked.select(key, "url", "path", F.expr("left(path, n)").alias("head"))
+    hits = asked.join(rules, [key, "head"]).where(rule_fits(F.col("path"), F.col("rule")))
     decided = hits.groupBy(key, "url").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("_allow"))
     return urls.join(decided, [key, "url"], "left").withColumn("disallowed", ~F.coalesce("_allow", F.lit(True))).drop("_allow")
 

@@ -650,27 +650,56 @@ def candidate_urls(s, d):
     return found.select("product_id", "competitor_id", "url", money.round2(F.col("rank") * 1000).alias("rank"), F.col("place").cast("long").alias("place"))
 
 
+# Scores by the rules of the three kinds of product, worked out from the columns: watches ask for brand, size and dial, rings
+# for brand and metal (nothing to weigh), others for brand, and weigh the metal.
 _WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda x: x != ''))"
 _SCORED = f""", pairs AS (
-  SELECT a.id, b.id AS other, a.brand, b.brand AS listing_brand, a.product_name, b.brand || ' ' || b.product_name || ' ' || b.p_size || 'mm' AS title, a.p_size, b.p_size AS listed_size, a.id % 49 = 0 AND a.ean_mpn IS NOT NULL AS exact
-  FROM products a JOIN products b ON b.id = a.id + 1),
-worded AS (SELECT *, {_NORM.format('brand')} AS x, {_NORM.format('listing_brand')} AS y, {_WORDS.format(_NORM.format('product_name'))} AS v, {_WORDS.format(_NORM.format('title'))} AS w FROM pairs),
+  SELECT a.id, b.id AS other, a.id % 3 AS kind, a.id % 5 AS metal, a.brand, b.brand AS listing_brand, a.ean_mpn, CASE a.id % 49 WHEN 0 THEN a.ean_mpn WHEN 1 THEN 'X-999' END AS listing_ean,
+         {_NORM.format("a.brand || ' ' || a.product_name")} AS ours, {_NORM.format("b.brand || ' ' || b.product_name || ' ' || b.p_size || 'mm'")} AS title, a.p_size, b.p_size AS listed_size
+  FROM products a JOIN products b ON b.id = a.id + CASE WHEN a.id % 4 = 0 THEN 0 ELSE 1 END),
+worded AS (SELECT *, {_NORM.format('brand')} AS x, {_NORM.format('listing_brand')} AS y, {_WORDS.format('ours')} AS v, {_WORDS.format('title')} AS w FROM pairs),
 judged AS (
-  SELECT *, NOT (contains(x, y) OR contains(y, x)) AS rejected, p_size >= 10 AND listed_size >= 10 AS sized, CASE WHEN len(v) = 0 OR len(w) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(v, w)) / (len(v) + len(w)) END AS same FROM worded),
+  SELECT *, coalesce(ean_mpn = listing_ean, false) AS exact, coalesce(ean_mpn != listing_ean, false) AS conflict, contains(x, y) OR contains(y, x) AS brand_ok,
+         contains(title, 'platinum') AS named, kind = 0 AND p_size >= 10 AS sized, listed_size >= 10 AS said,
+         CASE WHEN len(v) = 0 OR len(w) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(v, w)) / (len(v) + len(w)) END AS same FROM worded),
+gated AS (
+  SELECT *, CASE WHEN exact THEN '' WHEN conflict THEN 'ean_mpn' WHEN NOT brand_ok THEN 'brand' WHEN kind = 1 AND metal IN (1, 2) THEN 'metal_type' ELSE '' END AS gates_failed,
+         CASE kind WHEN 0 THEN 18 + CASE WHEN sized AND said THEN 18 ELSE 0 END WHEN 1 THEN 0 ELSE CASE WHEN metal IN (0, 2) OR named THEN 18 ELSE 0 END END AS available,
+         CASE kind WHEN 0 THEN 18 + CASE WHEN sized AND said AND p_size = listed_size THEN 18 ELSE 0 END WHEN 1 THEN 0 ELSE CASE WHEN metal = 0 THEN 18 WHEN metal != 2 AND named THEN 13.5 ELSE 0 END END AS earned FROM judged),
 scored AS (
-  SELECT *, CASE WHEN exact THEN 100 WHEN rejected THEN 0 ELSE floor(CASE WHEN NOT sized OR p_size = listed_size THEN 1.0 ELSE 18.0 / 36.0 END * 80 + same * 20 + 0.5) END AS confidence FROM judged)
-SELECT id, other, CAST(confidence AS INTEGER) AS confidence, CASE WHEN exact THEN 'ean_mpn_exact' ELSE 'brand_spec_attributes' END AS tier, exact OR (NOT rejected AND confidence >= 25) AS viable,
-  (exact OR NOT rejected) AND confidence >= 85 AS auto_accept, CASE WHEN rejected AND NOT exact THEN 'brand' ELSE '' END AS gates_failed, CASE WHEN sized AND p_size = listed_size THEN 'case_size,dial_colour' ELSE 'dial_colour' END AS hits FROM scored"""
+  SELECT *, NOT exact AND gates_failed = '' AS weighed, CASE WHEN exact THEN 100 WHEN gates_failed != '' THEN 0 WHEN available > 0 THEN floor(CAST(earned AS DOUBLE) / available * 100 * 0.8::DOUBLE + same * 100 * 0.2::DOUBLE + 0.5)
+         ELSE floor(least(same * 100, 80.0) + 0.5) END AS confidence FROM gated)
+SELECT id, other, CAST(confidence AS INTEGER) AS confidence, CASE WHEN exact THEN 'ean_mpn_exact' WHEN weighed AND available = 0 THEN 'fuzzy_name_specs' ELSE 'brand_spec_attributes' END AS tier,
+  exact OR (weighed AND confidence >= 25) AS viable, exact OR (weighed AND confidence >= 85) AS auto_accept, gates_failed,
+  CASE WHEN exact OR gates_failed IN ('ean_mpn', 'brand') THEN '' WHEN kind = 1 AND gates_failed = '' AND (metal = 0 OR named) THEN 'brand,metal_type' ELSE 'brand' END AS gates_passed,
+  CASE WHEN NOT weighed OR kind = 1 THEN '' WHEN kind = 0 THEN 'dial_colour=navy' || CASE WHEN sized AND said AND p_size = listed_size THEN ',case_size=' || listed_size || 'mm' ELSE '' END
+       WHEN metal = 0 THEN 'metal_type=platinum 950' WHEN metal != 2 AND named THEN 'metal_type=(inferred from listing title)' ELSE '' END AS hits,
+  CASE WHEN NOT weighed OR kind = 1 OR (kind = 0 AND NOT sized) THEN '' WHEN kind = 0 THEN CASE WHEN NOT said THEN 'case_size=(not published)' WHEN p_size != listed_size THEN 'case_size=' || listed_size || 'mm' ELSE '' END
+       WHEN metal = 2 THEN 'metal_type=titanium' WHEN metal != 0 AND NOT named THEN 'metal_type=(not published)' ELSE '' END AS misses,
+  CASE WHEN weighed THEN round(same, 3) END AS name_similarity,
+  CASE WHEN exact THEN 'EAN/MPN exact match on ' || ean_mpn || ' — overrides attribute scoring.' WHEN conflict THEN 'Competitor publishes EAN/MPN ' || listing_ean || ', which differs from ours (' || ean_mpn || ').'
+       WHEN NOT weighed THEN '' ELSE concat_ws('|', CASE WHEN kind = 1 AND metal > 2 AND NOT named THEN 'Gate ''metal_type'' not published by competitor — treated as unknown.' END,
+       CASE WHEN available = 0 THEN 'No comparable spec attributes on the listing — fuzzy name match only.' END) END AS notes FROM scored"""
 
 
 @query(_SCORED)
 def score_candidates(s, d):
-    own = v.products(s, d).withColumn("specs", F.create_map(F.lit("Dial"), F.lit("Blue"), F.lit("case size"), F.concat(F.col("specs")["size"], F.lit("mm"))))
-    listing = own.select(F.col("id").alias("other"), F.concat_ws(" ", "brand", "product_name", F.col("specs")["case size"]).alias("title"), F.col("brand").alias("listing_brand"))
-    pairs = own.join(listing, listing["other"] == own["id"] + 1)
-    pairs = pairs.withColumns({"listing_ean": F.when(F.col("id") % 49 == 0, F.col("ean_mpn")), "attributes": F.create_map(F.lit("dial_colour"), F.lit("navy"), F.lit("case_size"), F.lit(" ")), "category": F.lit("Watches")})
-    scored = matching.score_candidates(pairs)
-    return scored.select("id", "other", "confidence", "tier", "viable", "auto_accept", F.array_join("evidence.gates_failed", ",").alias("gates_failed"), F.array_join("evidence.attribute_hits", ",").alias("hits"))
+    k, size = F.col("id"), F.concat(F.col("specs")["size"], F.lit("mm"))
+    own = v.products(s, d).withColumn("specs", F.create_map(F.lit("Dial"), F.lit("Blue"), F.lit("case size"), size, F.lit("metal"), F.lit("Platinum")))
+    listing = own.select(k.alias("other"), F.concat_ws(" ", "brand", "product_name", F.col("specs")["case size"]).alias("title"), F.col("brand").alias("listing_brand"))
+    pairs = own.withColumn("other", k + F.when(k % 4 == 0, 0).otherwise(1)).join(listing, "other")
+    metal = F.when(k % 5 == 0, "platinum 950").when(k % 5 == 1, "!!").when(k % 5 == 2, "titanium")
+    pairs = pairs.withColumns({
+        "listing_ean": F.when(k % 49 == 0, F.col("ean_mpn")).when(k % 49 == 1, "X-999"),
+        "attributes": F.create_map(F.lit("dial_colour"), F.lit("navy"), F.lit("case_size"), F.lit(" "), F.lit("Metal Colour"), metal),
+        "category": F.when(k % 3 == 0, "Watches").when(k % 3 == 1, "Engagement Rings"),
+    })
+    e = F.col("evidence")
+    said = lambda c: F.array_join(F.transform(e[c], lambda x: F.concat(x["attribute"], F.lit("="), x["theirs"])), ",")
+    return matching.score_candidates(pairs).select(
+        "id", "other", "confidence", "tier", "viable", "auto_accept", F.array_join(e["gates_failed"], ",").alias("gates_failed"), F.array_join(e["gates_passed"], ",").alias("gates_passed"),
+        said("attribute_hits").alias("hits"), said("attribute_misses").alias("misses"), e["name_similarity"].alias("name_similarity"), F.array_join(e["notes"], "|").alias("notes"),
+    )
 
 
 # The same functions over whole tables: the SQL computes the answers from the columns.
@@ -877,3 +906,20 @@ def robots_rules(s, d):
   SELECT id, '/p' || id LIKE '/p12%' OR ('/p' || id NOT LIKE '%9' AND '/p' || id NOT LIKE '/p1%') AS ok FROM products)""")
 def robots_summary(s, d):
     return pages.robots_summary(robots_inspection(s, d))
+
+
+@query(r"""SELECT page_id, coalesce(NOT allow, false) AS disallowed FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1) AS path FROM pages)
+  LEFT JOIN (
+    SELECT p.page_id, max_by(r.allow, length(r.rule) * 2 + CAST(r.allow AS INTEGER)) AS allow
+    FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1) AS path FROM pages) p
+    JOIN (SELECT DISTINCT site, page_id % 2 = 0 AS allow, page_id % 3 AS kind, CASE page_id % 3 WHEN 0 THEN substr(path, 1, 12) WHEN 1 THEN '/*' || right(path, 2) || '$' ELSE substr(path, 1, 2) || '*' || right(path, 3) END AS rule, path AS of
+          FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1) AS path FROM pages) WHERE length(path) >= 4 AND page_id % 50 < 5) r ON r.site = p.site
+      AND CASE kind WHEN 0 THEN starts_with(p.path, r.rule) WHEN 1 THEN starts_with(p.path, '/') AND ends_with(p.path, right(of, 2)) AND length(p.path) >= 3 ELSE starts_with(p.path, substr(of, 1, 2)) AND contains(substr(p.path, 3), right(of, 3)) END
+    GROUP BY p.page_id) USING (page_id)""")
+def robots_of_pages(s, d):
+    """Every page's address against its site's robots rules, which are made of the site's own paths: beginnings, endings, both."""
+    rows = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("site"))
+    path, kind = F.regexp_extract("url", "^[a-z]+://[^/?#]+([^#]*)", 1), F.col("page_id") % 3
+    rule = F.when(kind == 0, F.substring("path", 1, 12)).when(kind == 1, F.concat(F.lit("/*"), F.expr("right(path, 2)"), F.lit("$"))).otherwise(F.concat(F.substring("path", 1, 2), F.lit("*"), F.expr("right(path, 3)")))
+    groups = rows.withColumn("path", path).where((F.length("path") >= 4) & (F.col("page_id") % 50 < 5)).select("site", (F.col("page_id") % 2 == 0).alias("allow"), rule.alias("rule"))
+    return pages.robots_probe(rows, groups).select("page_id", "disallowed")

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,11 +10,15 @@ PAIR = "brand string, product_name string, ean_mpn string, category string, spec
 WATCH = {"model": "Carrera", "case_size": "41mm", "dial_colour": "Blue", "case_material": "Stainless steel", "movement": "Automatic", "water_resistance": "100m"}
 
 
-def scored(spark, title, ean=None, brand=None, attributes=None, specs=WATCH, ours="7612345678901", category="watches"):
-    row = ("TAG Heuer", "Carrera Chronograph 41mm", ours, category, specs, title, ean, brand, attributes)
+def scored(spark, title, ean=None, brand=None, attributes=None, specs=WATCH, ours="7612345678901", category="watches", name="Carrera Chronograph 41mm", of="TAG Heuer"):
+    row = (of, name, ours, category, specs, title, ean, brand, attributes)
     return matching.score_candidates(spark.createDataFrame([row], PAIR)).first()
 
 
+def names(found):
+    return {x.attribute for x in found}
+
+
 def test_identifiers_decide(spark):
     same = scored(spark, "anything", ean="7612-3456 78901")
     assert (same.confidence, same.tier, same.viable, same.auto_accept) == (100, "ean_mpn_exact", True, True)
@@ -28,16 +33,16 @@ def test_gates_and_attributes(spark):
     assert silent.evidence.gates_failed == ["brand"]
     good = scored(spark, "TAG Heuer Carrera Chronograph 41mm", brand="TAG Heuer", attributes={"dial": "navy", "case material": "steel", "Movement Type": "self winding", "water_resistance": "30m"})
     assert good.confidence >= 85 and good.auto_accept and good.tier == "brand_spec_attributes"
-    assert set(good.evidence.attribute_hits) == {"case_size", "dial_colour", "case_material", "movement"}
+    assert names(good.evidence.attribute_hits) == {"case_size", "dial_colour", "case_material", "movement"}
     worse = scored(spark, "TAG Heuer Carrera Chronograph 39mm", brand="TAG Heuer", attributes={"dial": "green"})
-    assert set(worse.evidence.attribute_misses) == {"case_size", "dial_colour"} and worse.confidence < 50
+    assert {x.attribute for x in worse.evidence.attribute_misses if x.theirs != "(not published)"} == {"case_size", "dial_colour"} and worse.confidence < 50
     named = scored(spark, "TAG Heuer Carrera Chronograph 41mm", specs={}, category=None)
     assert named.tier == "fuzzy_name_specs" and named.confidence <= 80 and not named.auto_accept
 
 
 def test_blank_attributes_do_not_hide_the_title(spark):
     got = scored(spark, "TAG Heuer Carrera Chronograph 41mm", brand="TAG Heuer", attributes={"case size": "  ", "dial": "blue"})
-    assert {"case_size", "dial_colour"} <= set(got.evidence.attribute_hits)
+    assert {"case_size", "dial_colour"} <= names(got.evidence.attribute_hits)
     named = scored(spark, "TAG Heuer Carrera", brand=" ", attributes={"brand": "TAG Heuer", "dial": "blue"})
     assert named.viable
 
@@ -57,9 +62,52 @@ def test_discovery_opens_the_most_confident_and_tells_the_best_rejected(spark):
     stored, rejected = matching.discover(spark.createDataFrame(rows, schema))
     assert sorted((r.product_id, r.url) for r in stored.collect()) == [(1, "b"), (2, "s1")]
     told = {r.product_id: (r.url, r.reason) for r in rejected.collect()}
-    assert told[1][0] == "c" and "brand" in told[1][1] and told[2][0] == "s0"
+    assert told == {}  # either pair has a stored listing, so no rejected one is told
     one = stored.select(matching.evidence_json(F.col("evidence")).alias("j")).first().j
-    assert "attribute_hits" in one
+    assert set(json.loads(one)) == {"tier", "gatesPassed", "gatesFailed", "attributeHits", "attributeMisses", "nameSimilarity", "notes"}
+    _, rejected = matching.discover(spark.createDataFrame([r for r in rows if r[2] in ("c", "d", "s0", "s3")], schema))
+    told = {r.product_id: (r.url, r.reason) for r in rejected.collect()}
+    assert told[1][0] == "c" and "brand" in told[1][1] and told[2][0] == "s0"
+
+
+def test_pages_that_could_not_be_opened(spark):
+    schema = "product_id long, competitor_id long, url string, place int, mode string, result_title string, readable boolean, " + PAIR
+    own = ("TAG Heuer", "Carrera Chronograph 41mm", "7612345678901", "watches", WATCH)
+    page = ("its page", "7612345678901", "TAG Heuer", {"dial": "blue"})
+    rows = [(1, 1, "a", 0, "search", "TAG Heuer Carrera 41mm", False, *own, *page), (2, 1, "b", 0, "sitemap", None, False, *own, *page), (3, 1, "c", 0, "sitemap", None, None, *own, *page)]
+    stored, rejected = matching.discover(spark.createDataFrame(rows, schema))
+    got = {r.product_id: (r.title, r.tier) for r in stored.collect()}
+    assert got == {1: ("TAG Heuer Carrera 41mm", "brand_spec_attributes"), 3: ("its page", "ean_mpn_exact")} and rejected.count() == 0
+
+
+def test_scores_as_their_users_know_them(spark):
+    alike = scored(spark, "Rolex Submariner", specs={}, ours=None, category=None, brand="Rolex", name="Submariner", of="Rolex")
+    assert (alike.confidence, alike.tier, alike.evidence.name_similarity, alike.auto_accept) == (80, "fuzzy_name_specs", 1.0, False)
+    assert alike.evidence.notes == ["No comparable spec attributes on the listing — fuzzy name match only."]
+    wrong = scored(spark, "Omega Speedmaster 41mm Blue Dial Steel", ours=None, brand="Omega")
+    assert (wrong.tier, wrong.viable, wrong.evidence.gates_failed, wrong.evidence.tier, wrong.evidence.attribute_hits, wrong.evidence.attribute_misses) == ("brand_spec_attributes", False, ["brand"], None, [], [])
+    strong, weak = (scored(spark, "TAG Heuer Carrera Chronograph", ours=None, brand="TAG Heuer", attributes={"model": "Carrera", "case_size": s, "dial_colour": c, "case_material": "Steel"}) for s, c in (("41mm", "Blue"), ("44mm", "Black")))
+    assert weak.confidence < strong.confidence and strong.confidence >= 85 and strong.evidence.gates_passed == ["brand", "model"]
+    dry, wet = (scored(spark, "TAG Heuer Carrera Chronograph", ours=None, brand="TAG Heuer", attributes={"model": "Carrera", "case_size": "41mm", "water_resistance": w}) for w in ("100m", "300m"))
+    assert dry.confidence == wet.confidence and wet.viable
+    ring = {"metal_type": "Platinum", "centre_stone": "Diamond", "carat_weight": "0.50ct", "stone_cut": "Round", "ring_size": "L"}
+    other = scored(spark, "Goldsmiths Platinum Round Diamond Solitaire Ring 0.50ct", ours=None, brand="Goldsmiths", specs=ring, attributes={**ring, "ring_size": "Q"}, category="rings", name="Solitaire Engagement Ring", of="Goldsmiths")
+    assert other.viable and other.confidence >= 85 and "ring_size" not in names(other.evidence.attribute_hits) | names(other.evidence.attribute_misses)
+    blank = scored(spark, "Goldsmiths Platinum Ring", ours=None, brand="Goldsmiths", specs=ring, attributes={"metal_type": "!!"}, category="rings", of="Goldsmiths")
+    assert blank.evidence.gates_failed == ["metal_type"] and blank.evidence.gates_passed == ["brand"]
+    silent = scored(spark, "TAG Heuer watch", ours="76", ean="-", brand="TAG Heuer")
+    assert silent.evidence.notes == ["Competitor publishes EAN/MPN -, which differs from ours (76).", "Gate 'model' not published by competitor — treated as unknown.", "No comparable spec attributes on the listing — fuzzy name match only."] and silent.viable
+    told = {x.attribute: (x.weight, x.ours, x.theirs) for x in (*good_evidence(spark).attribute_hits, *good_evidence(spark).attribute_misses)}
+    assert told == {"dial_colour": ("high", "Blue", "(inferred from listing title)"), "case_size": ("high", "41mm", "39mm"), "case_material": ("high", "Stainless steel", "(not published)"), "movement": ("medium", "Automatic", "self winding")}
+
+
+def good_evidence(spark):
+    return scored(spark, "TAG Heuer Carrera blue 39", ours=None, brand="TAG Heuer", attributes={"case size": "39mm", "Movement Type": "self winding"}).evidence
+
+
+def test_weights(spark):
+    row = spark.range(1).select(*(matching.weight_of(F.lit("watch"), F.lit(a)).alias(a) for a in ("model", "case_size", "movement", "warranty", "taste"))).first()
+    assert tuple(row) == ("gate", "high", "medium", "ignore", None)
 
 
 def test_reasons(spark):

@@ -86,6 +86,37 @@ def test_robots_of_a_path(spark):
     assert tuple(pages.robots_summary(seen).first()) == (1, 2, 1)
 
 
+def test_robots_rules_fit_as_globs_do(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("/ab.") for _ in range(rng.randint(0, 9))), "".join(rng.choice("/ab*.$") for _ in range(rng.randint(1, 6)))) for _ in range(3000)]
+    rows += [("/a", "/a$"), ("/ab", "/a$"), ("/a", "$"), ("/aXa", "/a*a$"), ("/a", "/a*a$"), ("/a$b", "/a$b"), ("/a", "*$"), ("/a(b", "/a(b"), ("/é/x", "/é*x$")]
+
+    def want(path, rule):
+        whole = rule.endswith("$")
+        body = "".join(".*" if c == "*" else re.escape(c) for c in (rule[:-1] if whole else rule))
+        return re.match(body + ("$" if whole else ""), path) is not None
+
+    df = spark.createDataFrame(rows, "path string, rule string")
+    got = [r.fits for r in df.select(pages.rule_fits(F.col("path"), F.col("rule")).alias("fits")).collect()]
+    assert got == [want(*r) for r in rows] and 100 < sum(got) < 2900
+    hostile = spark.createDataFrame([("a" * 5000, "*".join("a" * 14) + "*b"), ("a" * 60, "*a" * 30 + "$")], "path string, rule string")
+    begun = time.time()
+    assert [r.f for r in hostile.select(pages.rule_fits(F.col("path"), F.col("rule")).alias("f")).collect()] == [False, True]
+    assert time.time() - begun < 20
+
+
+def test_many_rules_are_looked_up_by_their_beginnings(spark):
+    groups = spark.range(10_000).select((F.col("id") * 0).alias("site"), (F.col("id") % 2 == 0).alias("allow"), F.format_string("/p%05d*x", "id").alias("rule"))
+    urls = spark.range(2_000).select((F.col("id") * 0).alias("site"), F.format_string("https://x.co/p%05d/x", "id").alias("url"))
+    got = pages.robots_probe(urls, groups)
+    assert got.where("disallowed").count() == 1_000
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "CartesianProduct" not in got._jdf.queryExecution().toString()
+
+
 def test_search_icons_sitemap_robots(spark):
     html = '<div class="tile"><a href="/a">First</a><b class="p">£10.00</b></div><div class="tile"><a href="/a">Again</a></div><div class="tile"><a href="b" title="T"></a></div>'
     found = pages.search_results(spark.createDataFrame([(html,)], "html string"), {"resultItem": [".tile"], "resultPrice": [".p"]}, "https://x.co/s/").orderBy("place").collect()
