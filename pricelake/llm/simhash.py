@@ -40,6 +40,8 @@ SEED = 42
 STRETCH = 1 << 20
 #: The longest list whose pairs are written out.
 SHORT = 64
+#: Fingerprints that a task sums up.
+TASK = 1 << 16
 #: Counters of a sketch of the second moment: its error is some 4 per cent.
 COUNTERS = 1024
 #: A-Z in lower case, the six ASCII blanks as one of them.
@@ -95,7 +97,11 @@ def _fingerprints(docs: DataFrame, width: int, text_col: str, id_col: str) -> Da
 
 
 def _summed(values: DataFrame, counted) -> np.ndarray:
-    """The sum over all batches of what counted gives for an array of fingerprints; its size is fixed."""
+    """The sum over all batches of what counted gives for an array of fingerprints; its size is fixed.
+
+    A task takes some TASK fingerprints, so that partial sums are not more than a few rows a fingerprint.
+    """
+    values = values.coalesce(math.ceil(max(1, values.count()) / TASK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
