@@ -110,8 +110,8 @@ def test_robots_rules_fit_as_globs_do(spark):
 
 
 def test_many_rules_are_looked_up_by_their_beginnings(spark):
-    groups = spark.range(10_000).select((F.col("id") * 0).alias("site"), (F.col("id") % 2 == 0).alias("allow"), F.format_string("/p%05d*x", "id").alias("rule"))
-    urls = spark.range(2_000).select((F.col("id") * 0).alias("site"), F.format_string("https://x.co/p%05d/x", "id").alias("url"))
+    groups = spark.range(10_000).select(F.length(F.repeat(F.lit("x"), (F.col("id") % 1 + 1).cast("int"))).alias("site"), (F.col("id") % 2 == 0).alias("allow"), F.format_string("/p%05d*x", "id").alias("rule"))
+    urls = spark.range(2_000).select(F.length(F.repeat(F.lit("x"), (F.col("id") % 1 + 1).cast("int"))).alias("site"), F.format_string("https://x.co/p%05d/x", "id").alias("url"))
     got = pages.robots_probe(urls, groups)
     assert got.where("disallowed").count() == 1_000
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "CartesianProduct" not in got._jdf.queryExecution().toString()
