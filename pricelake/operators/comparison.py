@@ -42,8 +42,14 @@ def latest_observations(observations: DataFrame, products: DataFrame | None = No
     """
     if products is not None:
         observations = observations.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
-    last = Window.partitionBy("product_id", "competitor_id").orderBy(F.desc("observed_at"), F.desc("run_id"), F.desc("line"))
-    return observations.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
+    return latest_of(observations, F.struct("observed_at", "run_id", "line"))
+
+
+def latest_of(observations: DataFrame, order: Column, key: tuple[str, ...] = ("product_id", "competitor_id")) -> DataFrame:
+    """The last observation of every pair in an order, of a table or of a stream; nothing is sorted, each task keeps one row a pair."""
+    rest = [c for c in observations.columns if c not in key]
+    best = observations.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("best"))
+    return best.select(*[F.col(c) if c in key else F.col("best")[c].alias(c) for c in observations.columns])
 
 
 def competitor_prices(products: DataFrame, latest: DataFrame, competitors: DataFrame) -> DataFrame:

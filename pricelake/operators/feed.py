@@ -99,30 +99,34 @@ def merge_specs(old: Column, new: Column) -> Column:
 
 
 def upsert_products(products: DataFrame, feed: DataFrame, now: Column) -> DataFrame:
-    """The products after an import, with a column change: created, updated or kept.
+    """The products after an import, with all columns they had and a column change: created, updated or kept.
 
     products: (internal_sku, brand, product_name, ean_mpn, category,
-    our_product_url, specs, currency, source, delisted_at, updated_at).  A known
-    identifier stays where the feed has none; attributes are merged.
+    our_product_url, specs, currency, source, delisted_at, updated_at, and perhaps
+    id and others).  A known identifier stays where the feed has none; attributes
+    are merged; a new product's id comes from its SKU.
     """
+    products = products.drop("change")
     f = feed.select(F.col("sku"), *[F.col(c).alias(f"f_{c}") for c in ("brand", "title", "identifier", "category", "link", "specs", "currency")])
     both = products.join(f, products["internal_sku"] == f["sku"], "full_outer")
     fed, there = F.col("sku").isNotNull(), F.col("internal_sku").isNotNull()
-    new = lambda a, b: F.when(fed, F.col(a)).otherwise(F.col(b)).alias(b)
-    return both.select(
-        F.coalesce("internal_sku", "sku").alias("internal_sku"),
-        new("f_brand", "brand"),
-        new("f_title", "product_name"),
-        F.coalesce("f_identifier", "ean_mpn").alias("ean_mpn"),
-        new("f_category", "category"),
-        new("f_link", "our_product_url"),
-        F.when(fed, merge_specs(F.col("specs"), F.col("f_specs"))).otherwise(F.col("specs")).alias("specs"),
-        F.coalesce("f_currency", "currency", F.lit("GBP")).alias("currency"),
-        F.coalesce("source", F.lit("feed")).alias("source"),
-        "delisted_at",
-        F.when(fed, now).otherwise(F.col("updated_at")).alias("updated_at"),
-        F.when(fed & there, "updated").when(fed, "created").otherwise("kept").alias("change"),
-    )
+    new = lambda a, b: F.when(fed, F.col(a)).otherwise(F.col(b))
+    out = {
+        "internal_sku": F.coalesce("internal_sku", "sku"),
+        "brand": new("f_brand", "brand"),
+        "product_name": new("f_title", "product_name"),
+        "ean_mpn": F.coalesce("f_identifier", "ean_mpn"),
+        "category": new("f_category", "category"),
+        "our_product_url": new("f_link", "our_product_url"),
+        "specs": F.when(fed, merge_specs(F.col("specs"), F.col("f_specs"))).otherwise(F.col("specs")),
+        "currency": F.coalesce("f_currency", "currency", F.lit("GBP")),
+        "source": F.coalesce("source", F.lit("feed")),
+        "updated_at": F.when(fed, now).otherwise(F.col("updated_at")),
+    }
+    if "id" in products.columns:
+        out["id"] = F.coalesce("id", F.xxhash64("sku").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
+    change = F.when(fed & there, "updated").when(fed, "created").otherwise("kept").alias("change")
+    return both.select(*[(out[c] if c in out else F.col(c)).alias(c) for c in products.columns], change)
 
 
 def upsert_prices(prices: DataFrame, fed: DataFrame, fascia_id: int, import_id: int) -> DataFrame:
@@ -152,12 +156,8 @@ def run_import(snapshot: dict[str, DataFrame], rows: DataFrame, fascia_id: int,
     """A feed import as a function from one snapshot (products, prices and perhaps imports) to the next, with its counters."""
     parsed = parse(rows, now)
     feed = products_of(parsed)
-    after = upsert_products(snapshot["products"].drop("id"), feed, now)
-    known = snapshot["products"].select("id", "internal_sku")
-    fresh = after.where("change = 'created'").select("internal_sku")
-    # A new product's identifier comes from its SKU: no counter that all tasks would have to share.
-    ids = known.union(fresh.select(F.xxhash64("internal_sku").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62), "internal_sku"))
-    products = after.join(ids, "internal_sku")
+    products = upsert_products(snapshot["products"], feed, now)
+    ids = products.select("id", "internal_sku")
     fed = feed.where("kind = 'priced'").join(ids.select(F.col("id").alias("product_id"), F.col("internal_sku").alias("sku")), "sku")
     prices = drop_stale_prices(upsert_prices(snapshot["prices"], fed, fascia_id, import_id), products, fascia_id, import_id)
     listed = relist(products, prices, now)

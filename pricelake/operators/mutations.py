@@ -6,31 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert_matches(matches: DataFrame, scored: DataFrame) -> DataFrame:
-    """Matches after a scoring run.  Both: (product_id, competitor_id, url, confidence, tier, status, confirmed_by).
-
-    Confidence and tier follow the run; the status does not where a person
-    decided or the match was rejected.  A pair has one confirmed match: where it
-    had one before the run, other new confirmations wait for review; where it had
-    none, the most confident of the new ones, of equals the least address, is it.
+def new_id(*key: str) -> Column:
+    """An identifier for a new row from its key: the same wherever it is computed, and no counter that all tasks would have to share."""
+    return F.xxhash64(*key).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+
+
+def upsert_matches(matches: DataFrame, scored: DataFrame, now: Column | None = None) -> DataFrame:
+    """Matches after a scoring run, with all columns they had.
+
+    Both have product_id, competitor_id, url, confidence, tier, status; matches
+    also confirmed_by, and whatever else it has.  What the run tells (title, ean,
+    evidence too, where it has them) follows the run; the status does not where a
+    person decided or the match was rejected.  A pair has one confirmed match:
+    where it had one before the run, other new confirmations wait for review; where
+    it had none, the most confident of the new ones, of equals the least address,
+    is it.  A new match has an identifier from its key, and is stamped with now
+    where it is confirmed at once.
     """
     key, pair = ["product_id", "competitor_id", "url"], ["product_id", "competitor_id"]
     taken = matches.where("status = 'confirmed'").groupBy(*pair).agg(F.min("url").alias("confirmed_url"))
-    new = scored.select(*key, F.col("confidence").alias("n_confidence"), F.col("tier").alias("n_tier"), F.col("status").alias("n_status"))
-    both = matches.join(new, key, "full_outer").join(taken, pair, "left")
+    told = [c for c in ("confidence", "tier", "title", "ean", "evidence") if c in scored.columns]
+    new = scored.select(*key, *[F.col(c).alias(f"n_{c}") for c in [*told, "status"]], F.lit(True).alias("_run"))
+    both = matches.withColumn("_there", F.lit(True)).join(new, key, "full_outer").join(taken, pair, "left")
     decided = F.coalesce((F.col("confirmed_by").isNotNull() & (F.col("confirmed_by") != "auto")) | (F.col("status") == "rejected"), F.lit(False))
     asks = F.coalesce((F.col("n_status") == "confirmed") & ~decided, F.lit(False))
     order = Window.partitionBy(*pair).orderBy(F.col("_asks").desc(), F.desc("n_confidence"), "url")
     both = both.withColumn("_asks", asks).withColumn("_turn", F.row_number().over(order))
     holds = F.when(F.col("confirmed_url").isNotNull(), F.col("url") == F.col("confirmed_url")).otherwise(F.col("_turn") == 1)
     status = F.when(F.col("_asks") & ~holds, "pending").otherwise(F.col("n_status"))
-    return both.select(
-        *key,
-        F.coalesce("n_confidence", "confidence").alias("confidence"),
-        F.coalesce("n_tier", "tier").alias("tier"),
-        F.when(F.col("status").isNotNull() & (decided | F.col("n_status").isNull()), F.col("status")).otherwise(status).alias("status"),
-        F.when(F.col("status").isNull() & (status == "confirmed"), "auto").otherwise(F.col("confirmed_by")).alias("confirmed_by"),
-    )
+    fresh, run = F.col("_there").isNull(), F.col("_run").isNotNull()
+    at_once = fresh & (status == "confirmed")
+    out = {c: F.when(run, F.col(f"n_{c}")).otherwise(F.col(c)) if c in matches.columns else F.col(f"n_{c}") for c in told}
+    out["status"] = F.when(F.col("status").isNotNull() & (decided | ~run), F.col("status")).otherwise(status)
+    out["confirmed_by"] = F.when(at_once, "auto").otherwise(F.col("confirmed_by"))
+    if "id" in matches.columns:
+        out["id"] = F.coalesce("id", new_id(*key))
+    if now is not None:
+        stamps = {"confirmed_at": at_once, "created_at": fresh, "updated_at": run}
+        out |= {c: F.when(when, now).otherwise(F.col(c)) for c, when in stamps.items() if c in matches.columns}
+    columns = [*matches.columns, *(c for c in told if c not in matches.columns)]
+    return both.select(*[(out[c] if c in out else F.col(c)).alias(c) for c in columns])
 
 
 def confirm_match(matches: DataFrame, match_id: int, by: str, now: Column) -> DataFrame:
@@ -47,13 +62,24 @@ def reject_match(matches: DataFrame, match_id: int) -> DataFrame:
     return matches.withColumn("status", F.when(F.col("id") == match_id, "rejected").otherwise(F.col("status")))
 
 
-def add_manual_match(matches: DataFrame, product_id: int, competitor_id: int, url: str, base_url: str) -> DataFrame:
-    """A link given by a person, pending; a known address keeps its tier and status."""
+def add_manual_match(matches: DataFrame, product_id: int, competitor_id: int, url: str, base_url: str, scored: DataFrame | None = None) -> DataFrame:
+    """Matches with a link given by a person, pending, and all columns they had; a known address keeps its tier and status.
+
+    scored: one row of what reading the page told (confidence, and title, ean,
+    evidence where it has them), which a known address takes over.
+    """
     if not url.startswith(base_url):
         raise ValueError(f"{url} is not an address of {base_url}")
-    spark = matches.sparkSession
-    row = spark.createDataFrame([(product_id, competitor_id, url, 0, "manual", "pending", None)], "product_id long, competitor_id long, url string, confidence int, tier string, status string, confirmed_by string")
-    return matches.unionByName(row.join(matches, ["product_id", "competitor_id", "url"], "left_anti"))
+    spark, key = matches.sparkSession, ["product_id", "competitor_id", "url"]
+    told = [c for c in ("confidence", "title", "ean", "evidence") if scored is not None and c in scored.columns and c in matches.columns]
+    row = spark.createDataFrame([(product_id, competitor_id, url)], "product_id long, competitor_id long, url string")
+    row = row.crossJoin(scored.select(*[F.col(c).alias(f"n_{c}") for c in told]).limit(1)) if told else row  # one row each
+    both = matches.withColumn("_there", F.lit(True)).join(row.withColumn("_given", F.lit(True)), key, "full_outer")
+    fresh, given = F.col("_there").isNull(), F.col("_given").isNotNull()
+    out = {c: F.when(given, F.col(f"n_{c}")).otherwise(F.col(c)) for c in told}
+    first = {"tier": F.lit("manual"), "status": F.lit("pending")} | ({} if "confidence" in told else {"confidence": F.lit(0)}) | ({"id": new_id(*key)} if "id" in matches.columns else {})
+    out |= {c: F.when(fresh, v).otherwise(F.col(c)) for c, v in first.items()}
+    return both.select(*[(out[c] if c in out else F.col(c)).cast(t.dataType).alias(c) for t in matches.schema.fields for c in [t.name]])
 
 
 def delete_products(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
@@ -98,11 +124,27 @@ def upsert_urls(urls: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
 
 
 def sync_competitors(competitors: DataFrame, files: DataFrame) -> DataFrame:
-    """Competitors after reading their files: names and addresses follow the file, enabled stays as it was set."""
-    new = files.select("slug", *[F.col(c).alias(f"n_{c}") for c in ("display_name", "base_url", "enabled", "brands")])
-    both = competitors.join(new, "slug", "full_outer")
-    take = lambda c: F.coalesce(f"n_{c}", c).alias(c)
-    return both.select("slug", take("display_name"), take("base_url"), F.coalesce("enabled", "n_enabled").alias("enabled"), take("brands"))
+    """Competitors after reading their files, with all columns they had.
+
+    A known shop follows its file, but for enabled, which stays as it was set, and
+    a logo's address where the file names none.  What a file does not tell (id,
+    the logo) stays; a new shop has an identifier from its slug.
+    """
+    known = [c for c in files.columns if c in competitors.columns and c != "slug"]
+    new = files.select("slug", *[F.col(c).alias(f"n_{c}") for c in known], F.lit(True).alias("_file"))
+    both = competitors.withColumn("_there", F.lit(True)).join(new, "slug", "full_outer")
+    first = ("enabled",)  # the shop's own value counts before the file's
+
+    def value(c: str) -> Column:
+        if c == "id":
+            return F.coalesce("id", new_id("slug"))
+        if c not in known:
+            return F.col(c)
+        if c in first:
+            return F.coalesce(c, f"n_{c}")
+        return F.coalesce(f"n_{c}", c) if c == "logo_url" else F.when(F.col("_file"), F.col(f"n_{c}")).otherwise(F.col(c))
+
+    return both.select(*[value(c).alias(c) for c in competitors.columns])
 
 
 def set_enabled(competitors: DataFrame, slug: str, enabled: bool) -> DataFrame:

@@ -13,6 +13,9 @@ from pricelake.operators import feed, matching, mutations, pages, reports
 from pricelake.plans import views as v
 from pricelake.plans.oracle import VIEWS, r2
 from pricelake.sources import competitors as shops
+from pricelake.sources.shared import workspace
+from pricelake.sources.snapshots import SnapshotLog
+from pricelake.streaming import observations as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -923,3 +926,101 @@ def robots_of_pages(s, d):
     rule = F.when(kind == 0, F.substring("path", 1, 12)).when(kind == 1, F.concat(F.lit("/*"), F.expr("right(path, 2)"), F.lit("$"))).otherwise(F.concat(F.substring("path", 1, 2), F.lit("*"), F.expr("right(path, 3)")))
     groups = rows.withColumn("path", path).where((F.length("path") >= 4) & (F.col("page_id") % 50 < 5)).select("site", (F.col("page_id") % 2 == 0).alias("allow"), rule.alias("rule"))
     return pages.robots_probe(rows, groups).select("page_id", "disallowed")
+
+
+# Versions: a chain of changes, each committed on top of the one before it; every version is read as it was.
+_CHAIN = _FEED + """, fed AS (SELECT f.*, p.id, p.source FROM parsed f LEFT JOIN products p ON p.internal_sku = f.sku WHERE kind IN ('hidden', 'priced')),
+paid AS (SELECT * FROM fed WHERE kind = 'priced'),
+prices2 AS (
+  SELECT product_id, feed_import_id FROM fascia_prices f JOIN products p ON p.id = f.product_id WHERE (fascia_id != 1 OR source = 'manual') AND NOT (fascia_id = 1 AND product_id IN (SELECT id FROM paid WHERE id IS NOT NULL))
+  UNION ALL SELECT id, CAST(3 AS BIGINT) FROM paid),
+products2 AS (
+  SELECT id, CASE WHEN id IN (SELECT product_id FROM prices2 WHERE product_id IS NOT NULL) THEN true WHEN source = 'manual' THEN delisted_at IS NULL ELSE false END AS live FROM products
+  UNION ALL SELECT NULL, kind = 'priced' FROM fed WHERE id IS NULL),
+scored AS (
+  SELECT product_id, competitor_id, url, (product_id + competitor_id) % 101 AS confidence FROM matches WHERE (product_id + competitor_id) % 4 = 0
+  UNION ALL SELECT product_id, competitor_id, url || '/new', (product_id + competitor_id) * 3 % 101 FROM matches WHERE (product_id + competitor_id) % 7 = 0),
+judged AS (
+  SELECT product_id, competitor_id, url, m.id, m.status, s.confidence, coalesce(m.confirmed_by != 'auto', false) OR coalesce(m.status = 'rejected', false) AS decided FROM matches m FULL JOIN scored s USING (product_id, competitor_id, url)),
+turns AS (
+  SELECT j.*, coalesce(confidence >= 85, false) AND NOT decided AS asks, row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY coalesce(confidence >= 85, false) AND NOT decided DESC, confidence DESC NULLS LAST, url) AS turn,
+         max(CASE WHEN status = 'confirmed' THEN url END) OVER (PARTITION BY product_id, competitor_id) AS held FROM judged j),
+matches3 AS (
+  SELECT product_id, competitor_id, url, id, CASE WHEN status IS NOT NULL AND (decided OR confidence IS NULL) THEN status WHEN NOT asks THEN 'pending'
+         WHEN held IS NOT NULL THEN CASE WHEN url = held THEN 'confirmed' ELSE 'pending' END WHEN turn = 1 THEN 'confirmed' ELSE 'pending' END AS status FROM turns),
+chosen AS (SELECT product_id, competitor_id, id FROM matches3 WHERE status = 'pending' AND id IS NOT NULL ORDER BY id LIMIT 1),
+matches4 AS (
+  SELECT m.product_id, CASE WHEN m.id = c.id THEN 'confirmed' WHEN c.id IS NOT NULL AND m.status = 'confirmed' THEN 'rejected' ELSE m.status END AS status
+  FROM matches3 m LEFT JOIN chosen c ON c.product_id = m.product_id AND c.competitor_id = m.competitor_id)
+SELECT CAST(version AS BIGINT) AS version, "table", n, CAST(marked AS BIGINT) AS marked FROM (
+  SELECT 1 AS version, 'products' AS "table", count(*) AS n, count(*) FILTER (delisted_at IS NULL) AS marked FROM products
+  UNION ALL SELECT 1, 'prices', count(*), count(*) FILTER (feed_import_id = 3) FROM fascia_prices
+  UNION ALL SELECT 1, 'matches', count(*), count(*) FILTER (status = 'confirmed') FROM matches
+  UNION ALL SELECT 1, 'competitors', count(*), count(*) FILTER (enabled) FROM competitors
+  UNION ALL SELECT 2, 'products', count(*), count(*) FILTER (live) FROM products2
+  UNION ALL SELECT 2, 'prices', count(*), count(*) FILTER (feed_import_id = 3) FROM prices2
+  UNION ALL SELECT 2, 'imports', 1, count(*) FROM paid
+  UNION ALL SELECT 3, 'matches', count(*), count(*) FILTER (status = 'confirmed') FROM matches3
+  UNION ALL SELECT 4, 'matches', count(*), count(*) FILTER (status = 'confirmed') FROM matches4
+  UNION ALL SELECT 5, 'competitors', count(*) + 1, count(*) FILTER (enabled) + 1 FROM competitors
+  UNION ALL SELECT 6, 'products', count(*) FILTER (id % 10 = 0 IS NOT TRUE), count(*) FILTER (live AND id % 10 = 0 IS NOT TRUE) FROM products2
+  UNION ALL SELECT 6, 'prices', count(*) FILTER (product_id % 10 = 0 IS NOT TRUE), count(*) FILTER (feed_import_id = 3 AND product_id % 10 = 0 IS NOT TRUE) FROM prices2
+  UNION ALL SELECT 6, 'matches', count(*) FILTER (product_id % 10 != 0), count(*) FILTER (status = 'confirmed' AND product_id % 10 != 0) FROM matches4)"""
+
+
+@query(_CHAIN)
+def state_chain(s, d):
+    """Import, scores, a confirmation, a sync and a deletion, each a commit; the rows of every table that a version changed, read back from it."""
+    log, now = SnapshotLog(s, workspace(s, "chain")), _now().cast("timestamp_ntz")
+    log.commit("start", {"products": v.products(s, d), "prices": v.fascia_prices(s, d), "matches": v.matches(s, d), "competitors": v.competitors(s, d)})
+    out = feed.run_import(log.tables(1), v.feed_rows(s, d), SITE, 3, now)
+    log.commit("import", {k: out[k] for k in ("products", "prices", "imports")}, base=1)
+    n = F.col("product_id") + F.col("competitor_id")
+    known = log.read("matches", 2).select("product_id", "competitor_id", "url", n.alias("n"))
+    run = known.where("n % 4 = 0").withColumn("confidence", (F.col("n") % 101).cast("int"))
+    run = run.union(known.where("n % 7 = 0").select("product_id", "competitor_id", F.concat("url", F.lit("/new")), "n", (F.col("n") * 3 % 101).cast("int")))
+    run = run.withColumns({"tier": F.lit("fuzzy_name_specs"), "status": F.when(F.col("confidence") >= rules.AUTO_ACCEPT, "confirmed").otherwise("pending")})
+    log.commit("score", {"matches": mutations.upsert_matches(log.read("matches", 2), run, now)}, base=2)
+    first = log.read("matches", 3).where("status = 'pending'").agg(F.min("id")).first()[0]
+    log.commit("confirm", {"matches": mutations.confirm_match(log.read("matches", 3), first, "kim", now)}, base=3)
+    shops_now = log.read("competitors", 4)
+    files = shops_now.where("id % 2 = 0").withColumns({"display_name": F.upper("display_name"), "enabled": F.lit(True)})
+    files = files.union(shops_now.limit(1).withColumns({"slug": F.lit("shop-new"), "enabled": F.lit(True)}))
+    log.commit("sync", {"competitors": mutations.sync_competitors(shops_now, files.drop("id"))}, base=4)
+    tables = {k: log.read(k, 5) for k in ("products", "prices", "matches")}
+    log.commit("delete", mutations.delete_products(tables, tables["products"].where("internal_sku LIKE '%0'")), base=5)
+    marks = {"products": "delisted_at IS NULL", "prices": "feed_import_id = 3", "matches": "status = 'confirmed'", "competitors": "enabled", "imports": "true"}
+    each = []
+    for version in range(1, log.version() + 1):
+        for t in log.manifest(version)["changed"]:
+            marked = F.sum("prices_written") if t == "imports" else F.count_if(F.expr(marks[t]))
+            each.append(log.read(t, version).agg(F.count("*").alias("n"), marked.alias("marked")).select(F.lit(version).cast("long").alias("version"), F.lit(t).alias("table"), "n", "marked"))
+    out = each[0]
+    for x in each[1:]:
+        out = out.union(x)
+    return out
+
+
+def _in_three_parts(s, df: DataFrame, key: str, through: Callable[[DataFrame], object]) -> None:
+    """A table's rows arrive in three parts; after each a stream takes in what is new."""
+    path = workspace(s, "arriving")
+    for k in range(3):
+        df.where(F.pmod(F.xxhash64(key), F.lit(3)) == k).write.mode("append").parquet(path)
+        through(s.readStream.schema(df.schema).parquet(path)).awaitTermination()
+
+
+@query("SELECT run_id, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped FROM items GROUP BY run_id")
+def run_counters_live(s, d):
+    """Counters kept up by a stream of run items, each batch taken once."""
+    log, place = SnapshotLog(s, workspace(s, "counters")), workspace(s, "counters-stream")
+    _in_three_parts(s, v.items(s, d).select("id", "run_id", "status"), "id", lambda items: live.live_counters(items, log, "counters", place))
+    return log.read("counters").select("run_id", "ok", "error", "skipped")
+
+
+@query("SELECT product_id, competitor_id, run_id, line, price, in_stock, observed_at FROM latest")
+def latest_live(s, d):
+    """The last observation of every pair, kept up by a stream whose rows arrive in any order."""
+    log, place = SnapshotLog(s, workspace(s, "latest")), workspace(s, "latest-stream")
+    rows = v.observations(s, d).select("product_id", "competitor_id", "run_id", "line", "price", "in_stock", "observed_at")
+    _in_three_parts(s, rows, "run_id", lambda new: live.live_latest(new, log, "latest", place, F.struct("observed_at", "run_id", "line")))
+    return log.read("latest")

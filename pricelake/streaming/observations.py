@@ -1,11 +1,19 @@
-"""Observations as they arrive: appended by day, and the latest of each pair kept."""
+"""Observations and run items as they arrive: each taken once, counters kept up with them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pricelake.operators.comparison import latest_of
+from pricelake.sources.snapshots import Conflict, SnapshotLog
+
+#: How often a change is computed anew when other writers were first.
+TRIES = 10
+
 
 def append_observations(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream of observations to Parquet, by the day observed; once for what is there."""
@@ -15,14 +23,94 @@ def append_observations(stream: DataFrame, path: str, checkpoint: str) -> Stream
 
 
 def append_batch(observations: DataFrame, path: str) -> None:
-    """Appends a run's observations to Parquet, by the day observed."""
-    dated = observations.withColumn("observed_on", F.to_date("observed_at"))
-    dated.write.mode("append").partitionBy("observed_on").parquet(path)
+    """A run's observations in Parquet, by run: a run that is written again takes the place of what it wrote before."""
+    _by_run(observations, path)
 
 
 def append_items(items: DataFrame, path: str) -> None:
-    """Appends a run's items to Parquet, by run; counters are counted from them, so that tasks share none."""
-    items.write.mode("append").partitionBy("run_id").parquet(path)
+    """A run's items in Parquet, by run, in the same way."""
+    _by_run(items, path)
+
+
+def _by_run(rows: DataFrame, path: str) -> None:
+    if not rows.where("run_id IS NULL").isEmpty():
+        raise ValueError("rows without run can't be told from those written before")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def _started(stream: DataFrame, mode: str, checkpoint: str, take: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(take).outputMode(mode)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_once(stream: DataFrame, log: SnapshotLog, table: str, checkpoint: str, writer: str | None = None) -> StreamingQuery:
+    """Appends a stream to a table of a snapshot log, each batch once.
+
+    Spark offers a batch again that failed, or that was committed just before the
+    stream broke off.  The log keeps the number of a writer's last batch in the
+    same commit as its rows, so it knows.
+    """
+    name = writer or f"append {table}"
+    return _started(stream, "append", checkpoint, lambda rows, batch: log.append(table, rows, writer=name, batch=batch) and None)
+
+
+def _merged(log: SnapshotLog, table: str, key: list[str], schema: str, writer: str) -> Callable[[DataFrame, int], None]:
+    """What takes a batch of changed rows over into a table: anew from the version that won, where another writer was first."""
+
+    def take(changed: DataFrame, batch: int) -> None:
+        # A batch is computed once, also where the log has it already: its state has to be committed.
+        changed, path = log.staged(changed)
+        try:
+            for _ in range(TRIES):
+                if log.taken(writer, batch):
+                    return
+                base = log.version()
+                known = table in log.manifest(base)["tables"]
+                before = log.read(table, base) if known else log.spark.createDataFrame([], schema)
+                try:
+                    log.commit(f"{writer}, batch {batch}", {table: _taken_over(key, before, changed)}, base=base, writer=writer, batch=batch)
+                    return
+                except Conflict:
+                    continue
+            raise Conflict(f"{writer}: other writers were first {TRIES} times")
+        finally:
+            log.store.delete(path)
+
+    return take
+
+
+COUNTERS = "run_id long, ok long, error long, skipped long"
+
+
+def counters_of(items: DataFrame) -> DataFrame:
+    """(run_id, ok, error, skipped) of run items, of a table or of a stream."""
+    return items.groupBy(F.col("run_id").cast("long").alias("run_id")).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("ok", "error", "skipped")))
+
+
+def _taken_over(key: list[str], before: DataFrame, new: DataFrame) -> DataFrame:
+    """A table with new rows in place of those with their keys."""
+    return before.join(new.select(*key), key, "left_anti").select(*before.columns).unionByName(new.select(*before.columns))
+
+
+def live_counters(items: DataFrame, log: SnapshotLog, table: str, checkpoint: str, writer: str | None = None) -> StreamingQuery:
+    """Keeps a table of a snapshot log at the counters of all run items that a stream has brought.
+
+    The stream keeps each run's counts; a batch tells the new counts of the runs
+    that it touched, which take the place of the old ones in one commit.
+    """
+    take = _merged(log, table, ["run_id"], COUNTERS, writer or f"counters {table}")
+    return _started(counters_of(items), "update", checkpoint, take)
+
+
+def live_latest(observations: DataFrame, log: SnapshotLog, table: str, checkpoint: str, order: Column, writer: str | None = None) -> StreamingQuery:
+    """Keeps a table of a snapshot log at the last observation of every pair, whatever order they arrive in.
+
+    The stream's state is one row a pair.  A late observation does not win: the
+    order decides, not the arrival.
+    """
+    schema = observations.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    take = _merged(log, table, ["product_id", "competitor_id"], schema, writer or f"latest {table}")
+    return _started(latest_of(observations, order), "update", checkpoint, take)
 
 
 def hourly_prices(stream: DataFrame, late: str = "1 day") -> DataFrame:

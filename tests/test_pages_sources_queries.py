@@ -192,14 +192,18 @@ def test_csv_export_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     append_observations(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.observed_on.day for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 1, 2]
-    append_batch(rows, f"{tmp_path}/out2")
-    append_batch(rows, f"{tmp_path}/out2")
-    assert spark.read.parquet(f"{tmp_path}/out2").count() == 6
+    run = rows.withColumn("run_id", F.lit(1))
+    append_batch(run, f"{tmp_path}/out2")
+    append_batch(run, f"{tmp_path}/out2")
+    append_batch(run.withColumn("run_id", F.lit(2)).limit(1), f"{tmp_path}/out2")
+    assert sorted(r.run_id for r in spark.read.parquet(f"{tmp_path}/out2").collect()) == [1, 1, 1, 2]
+    with pytest.raises(ValueError):
+        append_batch(run.withColumn("run_id", F.lit(None).cast("int")), f"{tmp_path}/out2")
     items = spark.createDataFrame([(1, 7, "ok"), (2, 7, "error"), (3, 8, "ok")], "id long, run_id long, status string")
     append_items(items, f"{tmp_path}/items")
     append_items(items.where("run_id = 8"), f"{tmp_path}/items")
     counts = {r.run_id: (r.ok, r.error) for r in reports.run_counters(spark.read.parquet(f"{tmp_path}/items")).collect()}
-    assert counts == {7: (1, 1), 8: (2, 0)}
+    assert counts == {7: (1, 1), 8: (1, 0)}
     q = hourly_prices(stream).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.observations, r.lowest) for r in spark.table("hours").collect()) == [(1, 5.0), (2, 9.0)]
