@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pricelake.llm.common import partitions, text_of
 from pricelake.llm.tokens import encoder
 
-SLICE = 256
+SLICE = 1024
 #: Identifiers in a block.
 BLOCK = 1 << 18
 
@@ -47,12 +47,11 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int, tex
             for batch in batches:
                 for low in range(0, batch.num_rows, SLICE):
                     part = batch.slice(low, SLICE)
-                    for ids in of.encode(part.column("text").to_pylist()):
-                        tokens = np.append(np.frombuffer(ids, "<u4"), separator)
-                        if tokens.max() > 0xFFFF or (tokens[:-1] == separator).any():
-                            raise ValueError("an identifier is the separator, or beyond 16 bits")
-                        out.write(tokens.astype("<u2").tobytes())
                     n = part.num_rows
+                    tokens, _ = of.encode_all(part.column("text"), separator)
+                    if tokens.max(initial=0) > 0xFFFF or np.count_nonzero(tokens == separator) != n:
+                        raise ValueError("an identifier is the separator, or beyond 16 bits")
+                    out.write(tokens.astype("<u2").tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(ordinal, ordinal + n)), part.column("doc_id")], names=["file", "ordinal", "doc_id"])
                     ordinal += n
         if ordinal:

@@ -25,7 +25,7 @@ from pricelake.llm.tokens import encoder
 #: Open windows beyond which a task pours them together and goes on: some 2 KB each, so that memory has a bound.
 OPEN_MOST = 1 << 14
 #: Texts encoded at a time.
-SLICE = 256
+SLICE = 1024
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, poured boolean"
 
 #: (doc_id, start, identifiers as bytes, tokens of the document)
@@ -144,7 +144,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        of = encoder(tokenizer)
         task = TaskContext.get().partitionId() << 40
         done: list[tuple] = []
 
@@ -165,9 +165,9 @@ def pack(
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                encoded = of.encode(part.column("text").to_pylist())
-                for doc, ids in zip(part.column("id").to_pylist(), encoded, strict=True):
-                    packer.add(doc, ids + end)
+                ids, starts = of.encode_all(part.column("text"), end_id)
+                for doc, a, b in zip(part.column("id").to_pylist(), starts, starts[1:], strict=False):
+                    packer.add(doc, ids[a:b].tobytes())
                 if done:
                     yield out()
         packer.finish()

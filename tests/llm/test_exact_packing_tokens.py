@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -73,6 +74,15 @@ def test_encoder_equals_whole_text_encoding(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids(path, t, 0)[:-1] for t in texts]
 
 
+def test_encoder_where_no_blanks_meet():
+    texts = ["a\nb c.\nD e,f", "\nx y", "x\n", "\n", "", "é.\nÈ 1\n2 it's\n'tis", "a b\nİx ñ\t1", "don't\n12.5 wé.\n?!", "word " * 50 + "end.\nNext"]
+    for path in (BYTE, WORD):
+        flat, starts = Encoder(path).encode_all(pa.array(texts), 7)
+        got = [flat[a:b].tolist() for a, b in zip(starts, starts[1:])]
+        assert got == [[*ids(path, t, 0)[:-1], 7] for t in texts]
+        assert [len(x) for x in Encoder(path).encode_all(pa.array([], pa.string()))] == [0, 1]
+
+
 def check_pieces(rows, want, capacity):
     """rows: (doc, start, length, ids, n, sequence, offset); want: identifiers of the documents, in any order."""
     by_sequence = defaultdict(list)
