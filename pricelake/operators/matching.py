@@ -6,48 +6,93 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelake.functions import rules, text
+from pricelake.sources.shared import workspace
 
 
-#: The most words that an address may share with all products' terms to be listed by its sets of words.
-SUBSET_WORDS = 8
+#: The most terms of a question; search terms are eight at most.
+TERMS_MOST = 8
+
+
+def _subsets(terms: Column) -> Column:
+    """All non-empty subsets of an array, in its order."""
+    numbers = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(terms)) - 1)
+    return F.transform(numbers, lambda m: F.filter(terms, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _asked_sets(whole: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+    """The best addresses of a shop for each set of words that is asked for: (competitor_id, part, top), top: (-rank, length, url) in order.
+
+    whole: (competitor_id, url, words), words with their weights in order; parts:
+    (part, size), sets as texts.  Sets grow word by word, and only those that some
+    question asks for grow further, so an address is listed once for each set that
+    it shares with a question, however many words it has and however many
+    addresses share them.  Each step is written, so that the next reads it.
+    """
+    spark, place = whole.sparkSession, workspace(whole.sparkSession, "asked-sets")
+    parts = _written(parts, f"{place}/parts")
+    one = whole.select("competitor_id", "url", "words", F.posexplode("words").alias("at", "word"))
+    level = one.select("competitor_id", "url", "words", "at", F.col("word.term").alias("part"), F.col("word.weight").alias("total"))
+    best = None
+    for size in range(1, TERMS_MOST + 1):
+        kept = _written(level.join(parts.where(F.col("size") == size).select("part"), "part", "left_semi"), f"{place}/{size}")
+        if kept.isEmpty():
+            break
+        rows = kept.select("competitor_id", "part", (-F.col("total")).alias("rank"), F.length("url").alias("n"), "url")
+        best = rows if best is None else best.union(rows)
+        more = kept.select("competitor_id", "url", "words", "part", "total", F.posexplode("words").alias("next", "word"), "at").where(F.col("next") > F.col("at"))
+        level = more.select("competitor_id", "url", "words", F.col("next").alias("at"), F.concat("part", F.lit(" "), "word.term").alias("part"), (F.col("total") + F.col("word.weight")).alias("total"))
+    if best is None:
+        return spark.createDataFrame([], f"competitor_id {whole.schema['competitor_id'].dataType.simpleString()}, part string, top array<struct<rank:double,n:int,url:string>>")
+    first = Window.partitionBy("competitor_id", "part").orderBy("rank", "n", "url")
+    best = best.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
+    return best.groupBy("competitor_id", "part").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "url"))).alias("top"))
 
 
 def candidate_urls(products: DataFrame, urls: DataFrame, most: int = 5) -> DataFrame:
     """For each product and competitor the addresses that share most with the product's search terms.
 
-    products: (product_id, terms array); urls: (competitor_id, url, slug).  An
-    address's rank is the sum over terms of 1 + 1/4 + ... + 1/n^2 for its n
-    occurrences; of equals the shorter, then the lesser address comes first.
+    products: (product_id, terms array, of at most eight); urls: (competitor_id,
+    url, slug).  An address's rank is the sum over terms of 1 + 1/4 + ... + 1/n^2
+    for its n occurrences; of equals the shorter, then the lesser address comes
+    first.  Products without a term that any address has, and shops without an
+    address that has one, give no rows; an address listed twice counts its words
+    twice.
 
     Products with the same terms among the addresses' words are one question.  For
-    each set of words a shop's best addresses with those words are kept, and a
-    question looks up the sets within its terms: whoever is among the best for all
-    terms is among the best of the set that it shares, so a word that most
-    addresses have costs no more than others.  Addresses with too many words for
-    all their sets meet the questions word by word.
+    each set of words that a question asks for, a shop's best addresses with those
+    words are kept; a question looks up the sets within its terms: whoever is among
+    the best for all terms is among the best of the set that it shares with them.
+    A word that most addresses have costs no more than others.
     """
     words = urls.select("competitor_id", "url", F.explode(F.split("slug", " ")).alias("term")).where("term != ''")
     terms = products.select("product_id", F.explode("terms").alias("term")).distinct()
     weight = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
     words = words.join(terms.select("term").distinct(), "term").groupBy("competitor_id", "url", "term").agg(F.count("*").alias("n"))
     words = words.select("competitor_id", "url", F.struct("term", weight.alias("weight")).alias("word"))
-    whole = words.groupBy("competitor_id", "url").agg(F.sort_array(F.collect_list("word")).alias("words"))
-    order = [F.desc("rank"), F.length("url"), F.asc("url")]
-    first = lambda rows, *by: rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
-    of = lambda xs: F.explode(F.transform(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(xs)) - 1), lambda m: F.filter(xs, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1)))
+    place = workspace(products.sparkSession, "candidates")
+    whole = _written(words.groupBy("competitor_id", "url").agg(F.sort_array(F.collect_list("word")).alias("words")), f"{place}/addresses")
 
     known = terms.join(whole.select(F.explode("words.term").alias("term")).distinct(), "term")
-    asked = known.groupBy("product_id").agg(F.sort_array(F.collect_list("term")).alias("question"))
-    questions = asked.select("question").distinct()
-    sets = whole.where(F.size("words") <= SUBSET_WORDS).select("competitor_id", "url", of(F.col("words")).alias("part"))
-    total = F.aggregate("part", F.lit(0.0), lambda s, x: s + x["weight"])
-    listed = first(sets.select("competitor_id", "url", F.col("part.term").alias("part"), total.alias("rank")), "competitor_id", "part")
-    hits = questions.select("question", of(F.col("question")).alias("part")).join(listed.drop("place"), "part").select("question", "competitor_id", "url", "rank")
-    long = whole.where(F.size("words") > SUBSET_WORDS).select("competitor_id", "url", F.explode("words").alias("word"))
-    met = questions.select("question", F.explode("question").alias("term")).join(long.select("competitor_id", "url", F.col("word.term").alias("term"), F.col("word.weight").alias("weight")), "term")
-    hits = hits.union(met.groupBy("question", "competitor_id", "url").agg(F.sum("weight").alias("rank")))
-    best = first(hits.groupBy("question", "competitor_id", "url").agg(F.max("rank").alias("rank")), "question", "competitor_id")
-    return asked.join(best, "question").select("product_id", "competitor_id", "url", "rank", "place")
+    asked = known.groupBy("product_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    asked = asked.select("product_id", F.when(F.size("terms") <= TERMS_MOST, F.col("terms")).otherwise(F.raise_error(F.lit("a question has more than eight terms"))).alias("terms"))
+    asked = _written(asked, f"{place}/asked")
+    question = F.array_join("terms", " ").alias("question")
+    sets = asked.select("terms").distinct().select(question, F.explode(_subsets(F.col("terms"))).alias("part"))
+    sets = sets.select("question", F.array_join("part", " ").alias("part"), F.size("part").alias("size"))
+    listed = _asked_sets(whole, sets.select("part", "size").distinct(), most)
+
+    # Of the lists of a question's sets, at most 5 * 2^8 addresses, the first place of each address has its whole rank.
+    hits = sets.join(listed, "part").groupBy("question", "competitor_id").agg(F.array_sort(F.flatten(F.collect_list("top"))).alias("all"))
+    hits = hits.withColumn("urls", F.col("all.url"))
+    first = F.transform(F.slice(F.array_distinct("urls"), 1, most), lambda u: F.get("all", (F.array_position("urls", u) - 1).cast("int")))
+    best = hits.select("question", "competitor_id", F.posexplode(first).alias("place", "best"))
+    best = best.select("question", "competitor_id", F.col("best.url").alias("url"), (-F.col("best.rank")).alias("rank"), (F.col("place") + 1).alias("place"))
+    return asked.select("product_id", question).join(best, "question").select("product_id", "competitor_id", "url", "rank", "place")
 
 
 def _of_category(category: Column, made) -> Column:

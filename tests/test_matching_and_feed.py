@@ -123,7 +123,7 @@ def test_candidate_urls(spark):
     assert got == [("u0", 2.0), ("u1", 1.25), ("u2", 1.0), ("u4", 1.0), ("u5", 1.0)]
 
 
-def test_candidate_urls_against_all_pairs(spark, monkeypatch):
+def test_candidate_urls_against_all_pairs(spark):
     import random
 
     rng = random.Random(2)
@@ -139,10 +139,21 @@ def test_candidate_urls_against_all_pairs(spark, monkeypatch):
                 if k == c and rank:
                     ranked.append((-round(rank, 9), len(u), u))
             want |= {(p, c, u, i) for i, (_, _, u) in enumerate(sorted(ranked)[:5], 1)}
-    for most in (8, 2):  # all addresses by their sets of words; most of them word by word
-        monkeypatch.setattr(matching, "SUBSET_WORDS", most)
-        got = matching.candidate_urls(spark.createDataFrame(products, "product_id long, terms array<string>"), spark.createDataFrame(urls, "competitor_id long, url string, slug string"))
-        assert {(r.product_id, r.competitor_id, r.url, r.place) for r in got.collect()} == want
+    got = matching.candidate_urls(spark.createDataFrame(products, "product_id long, terms array<string>"), spark.createDataFrame(urls, "competitor_id long, url string, slug string"))
+    assert {(r.product_id, r.competitor_id, r.url, r.place) for r in got.collect()} == want
+
+
+def test_addresses_of_very_many_words(spark):
+    every = " ".join(f"w{i:03d}" for i in range(200))
+    products = spark.createDataFrame([(i, [f"w{(i * 7 + k) % 200:03d}" for k in range(4)]) for i in range(40)], "product_id long, terms array<string>")
+    urls = spark.createDataFrame([(1, f"https://x.co/{i}", every) for i in range(20)] + [(2, "https://x.co/z", "w001")], "competitor_id long, url string, slug string")
+    got = matching.candidate_urls(products, urls).collect()
+    assert sorted((r.product_id, r.place) for r in got if r.competitor_id == 1) == [(p, k) for p in range(40) for k in range(1, 6)]
+    assert {r["rank"] for r in got if r.competitor_id == 1} == {4.0} and len(got) > 200
+    none = matching.candidate_urls(products, urls.where("false"))
+    assert none.columns == ["product_id", "competitor_id", "url", "rank", "place"] and none.count() == 0
+    with pytest.raises(Exception, match="eight terms"):
+        matching.candidate_urls(spark.createDataFrame([(1, [f"w{i:03d}" for i in range(9)])], products.schema), urls).collect()
 
 
 FEED = "row_number long, id string, title string, price string, sale_price string, sale_price_effective_date string, price_visible string, brand string, gtin string, mpn string, availability string, product_type string, link string, metal_type string"
