@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,60 +34,201 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
     Gives (row_number, values map), whatever the kind.
     """
-    one = formats(spark, path).first()
-    if one is None or not one.accepted:
-        raise ValueError(f"{path}: no file of {', '.join(EXTENSIONS)} of at most {SIZE_MOST >> 20} MB")
-    if one.format == "legacy-xls":
-        raise ValueError(f"{path} is a binary workbook of an old kind; save it as .xlsx or .csv")
-    if one.format == "html":
-        raise ValueError(f"{path} is a web page under a workbook's name; save it as .xlsx or .csv")
-    if one.format == "xlsx":
-        return read_workbooks(spark, path).drop("path")
-    rows = read_delimited(spark, path)
-    pairs = [y for c in rows.columns if c != "row_number" for y in (F.lit(c), F.col(f"`{c}`"))]
-    return rows.select("row_number", F.create_map(*pairs).alias("values"))
-
-
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A file with a header row, every column as trimmed text, missing cells empty, blank rows left out; adds row_number.
-
-    The delimiter is the one that the header has most of.  row_number counts
-    records, the header being 1; empty lines are no records, blank cells are.  Of columns
-    with one name the last counts.  Uploads are single files of bounded size
-    (SIZE_MOST): one is parsed in one task, in its own order.
+    files = formats(spark, path).collect()  # a row a file; every one of them is a file that somebody uploaded
+    if not files or not all(x.accepted for x in files):
+        raise ValueError(f"{path}: only files of {', '.join(EXTENSIONS)} of at most {SIZE_MOST >> 20} MB are taken")
+    of = lambda kind: [x.path for x in files if x.format == kind]
+    for kind, what in (("legacy-xls", "a binary workbook of an old kind"), ("html", "a web page under a workbook's name")):
+        if of(kind):
+            raise ValueError(f"{of(kind)[0]} is {what}; save it as .xlsx or .csv")
+    out = spark.createDataFrame([], "row_number long, values map<string,string>")
+    if of("xlsx"):
+        out = out.union(read_workbooks(spark, of("xlsx")).drop("path"))
+    for one in of("text"):  # each has its own delimiter and columns
+        rows = read_delimited(spark, one)
+        pairs = [y for c in rows.columns if c != "row_number" for y in (F.lit(c), F.col(f"`{c}`"))]
+        out = out.union(rows.select("row_number", (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("values")))
+    return out
+
+
+def _lines(spark: SparkSession, path: str | list[str], end: str) -> DataFrame:
+    """Lines of text files with their file and block; a block's lines come in its order, and keep a carriage return before their end."""
+    lines = spark.read.option("lineSep", end).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+class _Quotes:
+    """Where records end: a quote opens a field only at its beginning, as spreadsheets write and csv reads it."""
+
+    def __init__(self, mark: str) -> None:
+        self.mark = mark
+
+    def after(self, line: str, inside: bool) -> bool:
+        """Whether a line that begins inside a quoted field (or with a record) ends inside one."""
+        if '"' not in line:
+            return inside
+        at, n, mark = 0, len(line), self.mark
+        while True:
+            if not inside:
+                while at < n and line[at] == " ":
+                    at += 1
+                if at < n and line[at] == '"':
+                    at += 1
+                else:
+                    at = line.find(mark, at) + 1
+                    if not at:
+                        return False
+                    continue
+            inside = False
+            while True:
+                at = line.find('"', at) + 1
+                if not at:
+                    return True
+                if line[at : at + 1] != '"':
+                    break
+                at += 1
+            # Behind its quotes a field goes on to the next mark, whatever stands there.
+            at = line.find(mark, at) + 1
+            if not at:
+                return False
+
+
+def _blocks(lines: DataFrame, mark: str, end: str) -> tuple[dict[str, list[tuple]], dict[str, str]]:
+    """file -> its blocks in order: (block, begins inside quotes, number of its first record, ends inside quotes, number after it); file -> its first record.
+
+    Each block is looked at from both states that it may begin in, so blocks don't
+    wait for one another; the states and record numbers then follow by a prefix
+    scan, over a row a block.
     """
-    header = spark.read.text(path, wholetext=False).limit(1).select(text.detect_delimiter(F.col("value")).alias("mark")).first()
-    mark = header.mark if header else ","
 
-    def named(row: list[str]) -> list[str]:
-        return [x.strip() for x in row]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, now, inside, records, out, head = _Quotes(mark), None, [False, True], [0, 0], [], []
+        for batch in batches:
+            for file, block, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (file, block) != now:
+                    if now:
+                        out.append((*now, *inside, *records, end.join(head) if records[0] and not now[1] else None))
+                    now, inside, records, head = (file, block), [False, True], [0, 0], []
+                if not block and not records[0] and (head or line not in ("", "\r")):
+                    head.append(line)
+                for k in (0, 1):
+                    blank = not inside[k] and line in ("", "\r")
+                    inside[k] = of.after(line, inside[k])
+                    records[k] += not inside[k] and not blank
+        if now:
+            out.append((*now, *inside, *records, end.join(head) if records[0] and not now[1] else None))
+        names = [x.split()[0] for x in _BLOCK.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 7, [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=names)
+
+    found: dict[str, list[tuple]] = {}
+    heads: dict[str, str] = {}
+    for r in sorted(lines.mapInArrow(run, _BLOCK).collect(), key=lambda r: (r.file, r.block)):
+        if r.head is not None:
+            heads[r.file] = r.head
+        inside, number = (found[r.file][-1][3], found[r.file][-1][4]) if r.file in found else (False, 1)
+        ends, n = (r.from_in, r.n_in) if inside else (r.from_out, r.n_out)
+        found.setdefault(r.file, []).append((r.block, inside, number, ends, number + n))
+    return found, heads
+
+
+_BLOCK = "file string, block long, from_out boolean, from_in boolean, n_out long, n_in long, head string"
+
+
+def _fields(record: str, mark: str) -> list[str]:
+    csv.field_size_limit(1 << 30)
+    try:
+        return [x.strip() for x in next(csv.reader([record], delimiter=mark, skipinitialspace=True), [])]
+    except csv.Error:  # a carriage return amid a field without quotes
+        return [x.strip() for x in next(csv.reader([record.replace("\r", " ")], delimiter=mark, skipinitialspace=True), [])]
+
+
+def read_delimited(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files with a header row, every column as trimmed text, missing cells empty, blank rows left out; adds row_number.
+
+    The delimiter is the one that the first header has most of, the columns are
+    those of the first file.  row_number counts a file's records, the header being
+    1; empty lines are no records, blank cells are.  Of columns with one name the
+    last counts.
+
+    A file is split like any text: tasks read blocks of it, however many lines a
+    quoted field has.  Files are read twice, first for where records end.  A
+    record that goes on in a further block is put together from its pieces.  A row
+    a block reaches the driver.
+    """
+    begin = spark.read.option("lineSep", "\n").text(path).limit(1).select(F.substring("value", 1, 1 << 20).alias("value"))
+    header = begin.select(text.detect_delimiter(F.split_part("value", F.lit("\r"), F.lit(1))).alias("mark"), F.rtrim("value", F.lit("\r")).contains("\r").alias("returns")).first()
+    mark, end = (header.mark, "\r" if header.returns else "\n") if header else (",", "\n")
+    lines = _lines(spark, path, end)
+    blocks, first_records = _blocks(lines, mark, end)
+    begins = {(file, b[0]): b for file, each in blocks.items() for b in each}
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole records of each block, and the pieces of those that lie in several."""
+        of = _Quotes(mark)
+        block, inside, number, held, out = None, False, 0, [], []
+
+        def done(whole: bool) -> None:
+            out.append((block[0], block[1], number, end.join(held), whole))
+            held.clear()
 
-    def records(content: bytes) -> Iterator[list[str]]:
-        return csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""), delimiter=mark, skipinitialspace=True)
+        for batch in batches:
+            for file, at, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (file, at) != block:
+                    if held:
+                        done(False)
+                    block = (file, at)
+                    _, inside, number, *_ = begins[block]
+                    piece = inside
+                if not inside and not held and line in ("", "\r"):
+                    continue
+                held.append(line)
+                inside = of.after(line, inside)
+                if not inside:
+                    done(not piece)
+                    piece, number = False, number + 1
+            if out:
+                yield _record_batch(out)
+                out.clear()
+        if held:
+            done(False)
+        if out:
+            yield _record_batch(out)
+
+    every = lines.mapInArrow(records, _RECORD)
+    whole = every.where("whole").select("file", "number", "record")
+    cut = {b[0] for each in blocks.values() for b in each if b[1] or b[3]}
+    if cut:
+        pieces = lines.where(F.col("block").isin(*cut)).mapInArrow(records, _RECORD).where("not whole")
+        together = pieces.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "record"))).alias("pieces"))
+        whole = whole.union(together.select("file", "number", F.array_join("pieces.record", end).alias("record")))
+
+    if len(first_records) < len(blocks):  # a first record that is longer than a block
+        first_records |= {r.file: r.record for r in whole.where("number = 1").collect()}
+    heads = {file: _fields(x.removeprefix("\ufeff"), mark) for file, x in first_records.items()}
+    first = heads.get(min(blocks), []) if blocks else []
+    columns = list(dict.fromkeys(x for x in first if x))
+    places = {file: {name: i for i, name in enumerate(head) if name} for file, head in heads.items()}
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, number, record in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                cells, place = _fields(record, mark), places.get(file, {})
+                if any(cells):
+                    out.append((*[cells[place[c]] if c in place and place[c] < len(cells) else "" for c in columns], number))
+            kinds = [pa.string()] * len(columns) + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names=[*columns, "row_number"])
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= SIZE_MOST).select("content")
+    schema = ", ".join([f"`{c}` string" for c in columns] + ["row_number long"])
+    return whole.where("number > 1").mapInArrow(parse, schema)
 
-    @F.pandas_udf("array<string>")
-    def heads(contents: pd.Series) -> pd.Series:
-        return pd.Series([named(next(records(x), [])) for x in contents])
 
-    first = files.select(heads("content").alias("head")).first()
-    columns = list(dict.fromkeys(x for x in (first.head if first else []) if x))
+_RECORD = "file string, block long, number long, record string, whole boolean"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                rows = records(content)
-                place = {name: i for i, name in enumerate(named(next(rows, []))) if name}
-                out = []
-                for n, row in enumerate((x for x in rows if x), 2):
-                    cells = named(row)
-                    if any(cells):
-                        out.append((*[cells[place[c]] if place[c] < len(cells) else "" for c in columns], n))
-                yield pd.DataFrame(out, columns=[*columns, "row_number"])
 
-    schema = ", ".join([f"`{c}` string" for c in columns] + ["row_number long"])
-    return files.mapInPandas(read, schema)
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _RECORD.split(", ")])
 
 
 _SPACE = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -158,7 +300,7 @@ def _cells(content: bytes) -> Iterator[list[str]]:
             yield out
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, row_number, values map) of workbooks' first sheets: the first row names the columns, row_number is 2 for the one after it."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -166,6 +166,45 @@ def test_tabular_sources(spark, tmp_path):
     assert kinds == {"f.tsv": ("text", True), "w.xlsx": ("xlsx", True)}
 
 
+def test_delimited_files_are_split_anywhere(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(6)
+    pieces = ["a", "b c", " ", "é", '"', '""', ",", "\n", "\r\n", "x" * 40, ""]
+
+    def cell():
+        x = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 5)))
+        kind = rng.random()
+        if kind < 0.5:
+            return '"' + x.replace('"', '""') + '"' + rng.choice(["", "", " z", '5"'])
+        return x.replace(",", "").replace("\n", "").replace("\r", "").replace('"', "") + rng.choice(["", "", ' 5" pipe'])
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for seed in (0, 3):
+            body = "id,t,u\n" + "".join(rng.choice(["", "\n", "\r\n"]) * (rng.random() < 0.1) + f"{i},{cell()},{cell()}" + rng.choice(["\n", "\r\n"]) for i in range(25))
+            body += '99,"open\nend' if seed == 3 else ""
+            (tmp_path / f"f{seed}.csv").write_bytes(body.encode())
+            want = []
+            for n, row in enumerate((x for x in csv.reader(io.StringIO(body, newline=""), skipinitialspace=True) if x), 1):
+                cells = [x.strip() for x in row]
+                if n > 1 and any(cells):
+                    want.append((*(cells + [""] * 3)[:3], n))
+            for size in (20, 100_000):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+                got = tabular.read_delimited(spark, str(tmp_path / f"f{seed}.csv"))
+                assert sorted(map(tuple, got.collect()), key=lambda r: r[3]) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "old.csv").write_bytes(b"id;t\r1;a\r2;b\r")
+    assert [tuple(r) for r in tabular.read_delimited(spark, str(tmp_path / "old.csv")).orderBy("row_number").collect()] == [("1", "a", 2), ("2", "b", 3)]
+    (tmp_path / "none.csv").write_bytes(b"")
+    assert tabular.read_delimited(spark, str(tmp_path / "none.csv")).count() == 0
+
+
 def test_competitor_files(spark, tmp_path):
     good = {"slug": "a-b", "displayName": "A", "baseUrl": "https://a.co", "searchUrlPattern": "https://a.co/s?q={query}", "config": {"search": {"maxCandidates": 5}}}
     (tmp_path / "a.json").write_text(json.dumps(good, indent=1))
