@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelake.functions import money, rules, text
+from pricelake.sources.shared import workspace
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements that a start tag closes where they are left open.
@@ -421,17 +422,23 @@ def walked(entries: DataFrame, roots: DataFrame, most_files: int = 100) -> DataF
     """(competitor_id, file, turn): the sitemap files reached from the declared ones (roots: competitor_id, file).
 
     entries: sitemap_entries() with competitor_id and file.  Level by level, a
-    file once; of each shop the first most_files in order of level and address.
+    file once, so cycles end; of each shop the first most_files in order of level
+    and address.  Each level is written and read again: a step costs one look at
+    the links, however many came before it.
     """
-    known = roots.select("competitor_id", "file").distinct().withColumn("level", F.lit(0))
-    links = entries.where("kind = 'sitemap'").select("competitor_id", "file", F.col("loc").alias("child")).distinct()
-    reached = known
-    for level in range(1, most_files):
-        further = reached.where(F.col("level") == level - 1).join(links, ["competitor_id", "file"])
-        new = further.select("competitor_id", F.col("child").alias("file")).distinct().join(reached, ["competitor_id", "file"], "left_anti")
-        if new.isEmpty():
+    spark, place = entries.sparkSession, workspace(entries.sparkSession, "walk")
+    entries.where("kind = 'sitemap'").select("competitor_id", "file", F.col("loc").alias("child")).distinct().write.parquet(f"{place}/links")
+    links = spark.read.parquet(f"{place}/links")
+    new = roots.select("competitor_id", "file").distinct()
+    for level in range(most_files):
+        new.write.parquet(f"{place}/reached/level={level}")
+        frontier, reached = spark.read.parquet(f"{place}/reached/level={level}"), spark.read.parquet(f"{place}/reached")
+        if frontier.isEmpty():
             break
-        reached = reached.union(new.withColumn("level", F.lit(level)))
+        # A shop that has its files looks no further.
+        full = reached.groupBy("competitor_id").agg(F.count("*").alias("n")).where(F.col("n") >= most_files)
+        further = frontier.join(full, "competitor_id", "left_anti").join(links, ["competitor_id", "file"])
+        new = further.select("competitor_id", F.col("child").alias("file")).distinct().join(reached, ["competitor_id", "file"], "left_anti")
     order = Window.partitionBy("competitor_id").orderBy("level", "file")
     return reached.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most_files).drop("level")
 

@@ -1024,3 +1024,22 @@ def latest_live(s, d):
     rows = v.observations(s, d).select("product_id", "competitor_id", "run_id", "line", "price", "in_stock", "observed_at")
     _in_three_parts(s, rows, "run_id", lambda new: live.live_latest(new, log, "latest", place, F.struct("observed_at", "run_id", "line")))
     return log.read("latest")
+
+
+@query("""SELECT competitor_id, file, row_number() OVER (PARTITION BY competitor_id ORDER BY level, file) AS turn FROM (
+  SELECT competitor_id, file, min(level) AS level FROM (
+    WITH RECURSIVE links AS (
+      SELECT CAST(r_regionkey AS BIGINT) AS competitor_id, p_partkey AS k, unnest([p_partkey * (r_regionkey + 2), p_partkey * (r_regionkey + 2) + 1, 1]) AS child FROM part, region WHERE p_partkey > 0),
+    walk AS (
+      SELECT CAST(r_regionkey AS BIGINT) AS competitor_id, CAST(1 AS BIGINT) AS k, 0 AS level FROM region
+      UNION SELECT w.competitor_id, l.child, level + 1 FROM walk w JOIN links l ON l.competitor_id = w.competitor_id AND l.k = w.k WHERE level < 18 AND l.child != 1)
+    SELECT competitor_id, 'https://x.co/m' || k || '.xml' AS file, level FROM walk) GROUP BY competitor_id, file) QUALIFY turn <= 100""")
+def sitemap_walk(s, d):
+    """Sitemap files that list others, two each and the first one again, for five shops."""
+    part, region = s.read.parquet(f"{d}/part.parquet"), F.broadcast(s.read.parquet(f"{d}/region.parquet"))  # region has five rows
+    both = part.where("p_partkey > 0").crossJoin(region).select(F.col("r_regionkey").cast("long").alias("competitor_id"), F.col("p_partkey").alias("k"), (F.col("r_regionkey") + 2).alias("step"))
+    tag = lambda k: F.concat(F.lit("<sitemap><loc>https://x.co/m"), k.cast("string"), F.lit(".xml</loc></sitemap>"))
+    body = F.concat(F.lit("<sitemapindex>"), *[tag(k) for k in (F.col("k") * F.col("step"), F.col("k") * F.col("step") + 1, F.lit(1))], F.lit("</sitemapindex>"))
+    files = both.select("competitor_id", F.format_string("https://x.co/m%d.xml", "k").alias("file"), body.alias("body"))
+    roots = files.where(F.col("file") == "https://x.co/m1.xml").select("competitor_id", "file")
+    return pages.walked(pages.sitemap_entries(files), roots).withColumn("turn", F.col("turn").cast("long"))

@@ -166,6 +166,14 @@ def test_tabular_sources(spark, tmp_path):
     assert kinds == {"f.tsv": ("text", True), "w.xlsx": ("xlsx", True)}
 
 
+def test_a_deep_walk_ends(spark):
+    rows = [(1, f"f{i:02d}", "sitemap", f"f{j:02d}") for i in range(6) for j in (i + 1, 0, i)]
+    entries = spark.createDataFrame(rows, "competitor_id int, file string, kind string, loc string")
+    roots = spark.createDataFrame([(1, "f00")], "competitor_id int, file string")
+    assert [(r.file, r.turn) for r in pages.walked(entries, roots).orderBy("turn").collect()] == [(f"f{i:02d}", i + 1) for i in range(7)]
+    assert pages.walked(entries, roots, 4).count() == 4 and pages.walked(entries, roots.where("false")).count() == 0
+
+
 def test_delimited_files_are_split_anywhere(spark, tmp_path):
     import csv
     import io
