@@ -156,3 +156,7 @@ EVIDENCE_NAMES = {
     "tier": "tier", "gates_passed": "gatesPassed", "gates_failed": "gatesFailed", "attribute_hits": "attributeHits",
     "attribute_misses": "attributeMisses", "name_similarity": "nameSimilarity", "notes": "notes",
 }
+
+# The largest logo kept, the wait before a second attempt, errors that an import lists.
+LOGO_BYTES, BACKOFF_MS, IMPORT_ERRORS = 512 * 1024, 2000, 200
+NO_TITLE, NO_PRICE = "title is missing", 'price "%s" could not be read'

@@ -235,3 +235,26 @@ def image_type(content: Column) -> Column:
         .when(head.startswith("000001") | head.startswith("000002"), "image/x-icon")
         .when(start.startswith("<svg") | (start.startswith("<?xml") & start.contains("<svg")), "image/svg+xml")
     )
+
+
+def renderable_image(declared: Column, content: Column, most: int = rules.LOGO_BYTES) -> Column:
+    """Whether fetched bytes are worth keeping as a logo: an image by their declared type or by themselves, not empty, not too large."""
+    said = F.coalesce(F.lower(declared).startswith("image/"), F.lit(False))
+    sized = F.coalesce(F.length(content), F.lit(0)).between(1, most)
+    return sized & (said | image_type(content).isNotNull())
+
+
+def content_type_of(declared: Column, content: Column) -> Column:
+    """The type to give a logo out under: what its bytes say, else the declared image type, else that of icons."""
+    plain = F.lower(F.trim(F.split_part(declared, F.lit(";"), F.lit(1))))
+    return F.coalesce(image_type(content), F.when(plain.startswith("image/"), plain), F.lit("image/x-icon"))
+
+
+def retry_delay(attempt: Column, backoff_ms: Column) -> Column:
+    """Milliseconds to wait after a failed attempt (from 1): twice as long each time; 2,000 at first where nothing is set."""
+    return (F.coalesce(backoff_ms, F.lit(rules.BACKOFF_MS)) * F.pow(F.lit(2), attempt - 1)).cast("long")
+
+
+def retried(attempt: Column, attempts: Column, kind: Column) -> Column:
+    """Whether a failed attempt is followed by another: not the last one, and an error that may pass."""
+    return (attempt < attempts) & F.coalesce(retryable(kind), F.lit(True))

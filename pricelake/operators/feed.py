@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,31 @@ def specs_of(columns: list[str]) -> Column:
     return F.map_filter(every, lambda _, v: F.coalesce(v, F.lit("")) != "")
 
 
+def _at(rows: DataFrame) -> Callable[[str], Column]:
+    """A feed column, trimmed; empty where the feed has none."""
+    return lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in rows.columns else F.lit("")
+
+
+def _kind(rows: DataFrame) -> Column:
+    at = _at(rows)
+    return (
+        F.when(at("id") == "", "blank")
+        .when(at("id") == "id", "header")
+        .when(at("title") == "", "untitled")
+        .when(F.upper(at("price_visible")) == "FALSE", "hidden")
+        .when(money.feed_price(at("price")).isNull(), "unpriced")
+        .otherwise("priced")
+    )
+
+
+def import_errors(rows: DataFrame, most: int = rules.IMPORT_ERRORS) -> DataFrame:
+    """(row, id, error): the first rows of a feed that could not be taken as they are, and why."""
+    at, kind = _at(rows), _kind(rows)
+    error = F.when(kind == "untitled", rules.NO_TITLE).when(kind == "unpriced", F.format_string(rules.NO_PRICE, at("price")))
+    found = rows.select(F.col("row_number").cast("long").alias("row"), at("id").alias("id"), error.alias("error")).where("error IS NOT NULL")
+    return found.orderBy("row", "id").limit(most)
+
+
 def parse(rows: DataFrame, now: Column, currency: str = "GBP") -> DataFrame:
     """A feed's rows as products with prices and flags.
 
@@ -29,19 +56,11 @@ def parse(rows: DataFrame, now: Column, currency: str = "GBP") -> DataFrame:
     priced; only the last three are products.  A price on sale counts if it is
     lower and its window is open.
     """
-    at = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in rows.columns else F.lit("")
+    at, kind = _at(rows), _kind(rows)
     regular, sale = money.feed_price(at("price")), money.feed_price(at("sale_price"))
     cheaper = F.coalesce(sale < regular, F.lit(False))
     window = money.sale_window_open(at("sale_price_effective_date"), now)
     blank = lambda c: F.nullif(at(c), F.lit(""))
-    kind = (
-        F.when(at("id") == "", "blank")
-        .when(at("id") == "id", "header")
-        .when(at("title") == "", "untitled")
-        .when(F.upper(at("price_visible")) == "FALSE", "hidden")
-        .when(regular.isNull(), "unpriced")
-        .otherwise("priced")
-    )
     priced = kind == "priced"
     return rows.select(
         *([F.col("row_number")] if "row_number" in rows.columns else []),
@@ -153,7 +172,7 @@ def relist(products: DataFrame, prices: DataFrame, now: Column) -> DataFrame:
 
 
 def run_import(snapshot: dict[str, DataFrame], rows: DataFrame, fascia_id: int, import_id: int, now: Column, filename: str | None = None) -> dict[str, DataFrame]:
-    """A feed import as a function from one snapshot (products, prices and perhaps imports) to the next, with its counters."""
+    """A feed import as a function from one snapshot (products, prices and perhaps imports) to the next, with its counters and the errors of its rows."""
     parsed = parse(rows, now)
     feed = products_of(parsed)
     products = upsert_products(snapshot["products"], feed, now)
@@ -164,7 +183,7 @@ def run_import(snapshot: dict[str, DataFrame], rows: DataFrame, fascia_id: int,
     log = import_log(parsed, fed, snapshot["products"], listed, fascia_id, import_id, filename)
     if "imports" in snapshot:
         log = snapshot["imports"].unionByName(log, allowMissingColumns=True)
-    return {"products": listed, "prices": prices, "counters": counters(parsed), "imports": log}
+    return {"products": listed, "prices": prices, "counters": counters(parsed), "imports": log, "errors": import_errors(rows)}
 
 
 def import_log(parsed: DataFrame, fed: DataFrame, before: DataFrame, after: DataFrame, fascia_id: int, import_id: int, filename: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelake.functions import rules
+
 
 def new_id(*key: str) -> Column:
     """An identifier for a new row from its key: the same wherever it is computed, and no counter that all tasks would have to share."""
@@ -207,6 +209,15 @@ def clear_logo(competitors: DataFrame, slug: str) -> DataFrame:
     return competitors.select(*[gone(c) if c in logo else F.col(c) for c in competitors.columns])
 
 
+def start_run(runs: DataFrame, mode: str, now: Column, competitor_id: int | None = None, product_id: int | None = None) -> DataFrame:
+    """Runs with one more that has just begun; a mode that there isn't is refused."""
+    if mode not in rules.RUN_MODES:
+        raise ValueError(f"mode must be one of {', '.join(rules.RUN_MODES)}, not {mode!r}")
+    row = runs.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id"))
+    values = {"mode": F.lit(mode), "status": F.lit("running"), "started_at": now, "competitor_id": F.lit(competitor_id).cast("long"), "product_id": F.lit(product_id).cast("long")}
+    return runs.unionByName(row.select("id", *[v.alias(c) for c, v in values.items()]), allowMissingColumns=True)
+
+
 def run_states(events: DataFrame) -> DataFrame:
     """Runs from their events (run_id, event: started, completed or failed, at): the last event tells the state."""
     last = F.max_by("event", "at")

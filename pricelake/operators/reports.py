@@ -129,16 +129,20 @@ def stocks_brand(brands, brand):
 def discovery_worklist(products: DataFrame, competitors: DataFrame, matches: DataFrame, limit: int = 0) -> DataFrame:
     """(product_id, competitor_id) of live products and enabled shops that stock the brand, without a live match.
 
-    A shop with a list of brands is joined by brand; one without looks for every
-    product, and each such pair is a piece of work of its own.
+    A product meets arrays of shops, not shops: those that stock its brand (an
+    array a brand), those without a list of brands (one array), without those that
+    it has a match at (an array a product).  What is left is spelt out at the end,
+    so products are shuffled, never pairs; an array is as long as there are shops.
     """
     live = products.where(F.col("delisted_at").isNull()).select(F.col("id").alias("product_id"), F.lower("brand").alias("b"))
     shops = competitors.where("enabled").select(F.col("id").alias("competitor_id"), "brands")
-    listed = shops.select("competitor_id", F.explode(F.transform("brands", lambda b: F.lower(b))).alias("b")).distinct()
-    every = shops.where(F.size("brands") == 0).select("competitor_id")
-    pairs = live.join(listed, "b").select("product_id", "competitor_id").union(live.select("product_id").crossJoin(every))
-    done = matches.where(F.col("status").isin("confirmed", "pending")).select("product_id", "competitor_id")
-    return _first(pairs.join(done, ["product_id", "competitor_id"], "left_anti"), limit, "product_id", "competitor_id")
+    of_brand = shops.select("competitor_id", F.explode(F.transform("brands", lambda b: F.lower(b))).alias("b")).groupBy("b").agg(F.collect_set("competitor_id").alias("stocking"))
+    every = shops.where(F.size("brands") == 0).agg(F.collect_set("competitor_id").alias("every"))  # one row
+    done = matches.where(F.col("status").isin("confirmed", "pending")).groupBy("product_id").agg(F.collect_set("competitor_id").alias("done"))
+    each = live.join(of_brand, "b", "left").crossJoin(every).join(done, "product_id", "left")
+    none = F.array().cast(every.schema["every"].dataType)
+    left = F.array_except(F.array_union(F.coalesce("stocking", none), "every"), F.coalesce("done", none))
+    return _first(each.select("product_id", F.explode(left).alias("competitor_id")), limit, "product_id", "competitor_id")
 
 
 def _first(work: DataFrame, limit: int, *order: str) -> DataFrame:

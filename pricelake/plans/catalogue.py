@@ -1043,3 +1043,31 @@ def sitemap_walk(s, d):
     files = both.select("competitor_id", F.format_string("https://x.co/m%d.xml", "k").alias("file"), body.alias("body"))
     roots = files.where(F.col("file") == "https://x.co/m1.xml").select("competitor_id", "file")
     return pages.walked(pages.sitemap_entries(files), roots).withColumn("turn", F.col("turn").cast("long"))
+
+
+@query(_FEED + """SELECT CAST(row_number AS BIGINT) AS "row", sku AS id, CASE kind WHEN 'untitled' THEN 'title is missing' ELSE 'price "' || CASE WHEN row_number % 13 = 0 THEN 'on request' END || '" could not be read' END AS error
+  FROM parsed WHERE kind = 'untitled' OR (row_number % 13 = 0 AND kind = 'priced') ORDER BY row_number LIMIT 200""")
+def feed_errors(s, d):
+    rows = v.feed_rows(s, d)
+    return feed.import_errors(rows.withColumn("price", F.when(F.col("row_number") % 13 == 0, " on request ").otherwise(F.col("price"))))
+
+
+@query("""SELECT id, CAST(CASE WHEN id % 7 = 0 THEN 500 ELSE 2000 END * 2 ** (id % 5) AS BIGINT) AS wait_ms, id % 5 < 3 AND id % 3 != 0 AS again FROM items""")
+def retry_delays(s, d):
+    attempt, kind = F.col("id") % 5 + 1, F.when(F.col("id") % 3 == 0, "blocked").when(F.col("id") % 3 == 1, "timeout")
+    wait = text.retry_delay(attempt, F.when(F.col("id") % 7 == 0, 500))
+    return v.items(s, d).select("id", wait.alias("wait_ms"), text.retried(attempt, F.lit(4), kind).alias("again"))
+
+
+@query("""SELECT id, CASE id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/avif' ELSE 'image/x-icon' END AS content_type, id % 4 < 2 AND id % 6 != 5 AS kept FROM products""")
+def logo_types(s, d):
+    i = F.col("id")
+    content = F.when(i % 6 == 5, F.lit("")).when(i % 4 == 0, F.unhex(F.lit("89504E470D0A1A0A00000000"))).otherwise(F.lit("some bytes").cast("binary"))
+    content = F.when((i % 6 == 5) & (i % 4 != 0), F.lit("").cast("binary")).otherwise(content)
+    declared = F.when(i % 4 == 1, "Image/AVIF; q=1").when(i % 4 == 2, "text/html")
+    return v.products(s, d).select("id", text.content_type_of(declared, content).alias("content_type"), text.renderable_image(declared, content).alias("kept"))
+
+
+@query("SELECT id, status, competitor_id, product_id, CAST(NULL AS VARCHAR) AS mode FROM runs UNION ALL SELECT (SELECT max(id) + 1 FROM runs), 'running', 3, NULL, 'both'")
+def run_started(s, d):
+    return mutations.start_run(v.runs(s, d), "both", _now().cast("timestamp_ntz"), competitor_id=3).select("id", "status", "competitor_id", "product_id", "mode")

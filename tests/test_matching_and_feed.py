@@ -235,3 +235,17 @@ def test_manual_products_and_runs(spark):
     at = lambda h: dt.datetime(2026, 1, 1, h)
     events = spark.createDataFrame([(1, "started", at(1)), (1, "failed", at(2)), (2, "started", at(3))], "run_id long, event string, at timestamp")
     assert {r.run_id: (r.status, r.finished_at) for r in mutations.run_states(events).collect()} == {1: ("failed", at(2)), 2: ("running", None)}
+
+
+def test_unknown_modes_are_refused(spark):
+    runs = spark.createDataFrame([(4, "completed")], "id long, status string")
+    got = mutations.start_run(runs, "prices", now(), product_id=7).orderBy("id").collect()
+    assert [(r.id, r.status) for r in got] == [(4, "completed"), (5, "running")] and got[1].product_id == 7
+    with pytest.raises(ValueError):
+        mutations.start_run(runs, "all", now())
+
+
+def test_import_errors_have_a_limit(spark):
+    rows = spark.createDataFrame([(i, f"s{i}", "" if i % 2 else "t", "none") for i in range(500)], "row_number long, id string, title string, price string")
+    got = feed.import_errors(rows).collect()
+    assert len(got) == 200 and tuple(got[0]) == (0, "s0", 'price "none" could not be read') and got[1].error == "title is missing"

@@ -166,6 +166,13 @@ def test_tabular_sources(spark, tmp_path):
     assert kinds == {"f.tsv": ("text", True), "w.xlsx": ("xlsx", True)}
 
 
+def test_the_worklist_shuffles_products_not_pairs(spark):
+    import re
+
+    plan = QUERIES["discovery_worklist"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(product_id#\d+L, competitor_id#", plan) and "CartesianProduct" not in plan
+
+
 def test_a_deep_walk_ends(spark):
     rows = [(1, f"f{i:02d}", "sitemap", f"f{j:02d}") for i in range(6) for j in (i + 1, 0, i)]
     entries = spark.createDataFrame(rows, "competitor_id int, file string, kind string, loc string")
