@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelake.functions import labels, money, rules
+from pricelake.sources.shared import workspace
 
 
 def clamp_page(limit: int, offset: int, most: int = 500) -> tuple[int, int]:
@@ -116,10 +119,33 @@ def with_total(rows: DataFrame, whole: DataFrame) -> DataFrame:
     return rows.crossJoin(whole.agg(F.count("*").alias("total")))
 
 
+#: The last row of a page that is found by keeping the first rows; beyond it ranges of the order are counted first.
+SHALLOW = 10_000
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset.. of an order that ends in a unique column."""
+    """Rows offset.. of an order that ends in a unique column.
+
+    The first pages are the first rows, of which each task keeps its own few.  For
+    a deep page that would be all rows before it, in one task: there the rows are
+    dealt to ranges of the order, which are counted, and only those ranges are
+    sorted that hold a row of the page.  Both give the same rows.
+    """
     limit, offset = clamp_page(limit, offset)
-    return df.orderBy(*order).offset(offset).limit(limit)
+    if offset + limit <= SHALLOW:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    spark, path, n = df.sparkSession, workspace(df.sparkSession, "ranges"), df.count()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / SHALLOW))
+    df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    before, at, wanted = 0, 0, []
+    for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():  # a row a range
+        if at + r.n > offset and at < offset + limit:
+            before = at if not wanted else before
+            wanted.append(r["_range"])
+        at += r.n
+    within = dealt.where(F.col("_range").between(wanted[0], wanted[-1]) if wanted else F.lit(False)).drop("_range")
+    return within.orderBy(*order).offset(offset - before).limit(limit)
 
 
 def product_page(products: DataFrame, limit: int, offset: int = 0) -> DataFrame:

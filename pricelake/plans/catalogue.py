@@ -1071,3 +1071,10 @@ def logo_types(s, d):
 @query("SELECT id, status, competitor_id, product_id, CAST(NULL AS VARCHAR) AS mode FROM runs UNION ALL SELECT (SELECT max(id) + 1 FROM runs), 'running', 3, NULL, 'both'")
 def run_started(s, d):
     return mutations.start_run(v.runs(s, d), "both", _now().cast("timestamp_ntz"), competitor_id=3).select("id", "status", "competitor_id", "product_id", "mode")
+
+
+@query("SELECT product_id, competitor_id, run_id, line, price FROM observations ORDER BY price DESC, run_id, line LIMIT 100 OFFSET 40000")
+def observation_page_deep(s, d):
+    """A page far down the observations by price: only the ranges of prices that hold it are sorted."""
+    rows = v.observations(s, d).select("product_id", "competitor_id", "run_id", "line", "price")
+    return cmp.page(rows, [F.desc("price"), F.asc("run_id"), F.asc("line")], 100, 40_000)

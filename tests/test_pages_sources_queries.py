@@ -173,6 +173,21 @@ def test_the_worklist_shuffles_products_not_pairs(spark):
     assert not re.search(r"Exchange hashpartitioning\(product_id#\d+L, competitor_id#", plan) and "CartesianProduct" not in plan
 
 
+def test_deep_pages_are_the_same_rows(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "a", "b", "c"])) for i in range(400)]
+    rng.shuffle(rows)
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))
+    df = spark.createDataFrame(rows, "id long, brand string")
+    monkeypatch.setattr(comparison, "SHALLOW", 30)
+    order = [F.asc_nulls_last("brand"), F.asc("id")]
+    for offset in (0, 21, 100, 395, 400, 900):
+        assert [tuple(r) for r in comparison.page(df, order, 10, offset).collect()] == want[offset : offset + 10]
+    assert comparison.page(df.where("false"), order, 10, 50).count() == 0
+
+
 def test_a_deep_walk_ends(spark):
     rows = [(1, f"f{i:02d}", "sitemap", f"f{j:02d}") for i in range(6) for j in (i + 1, 0, i)]
     entries = spark.createDataFrame(rows, "competitor_id int, file string, kind string, loc string")
