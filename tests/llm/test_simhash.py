@@ -4,7 +4,6 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from pricelake.llm import simhash
 from pricelake.llm.common import WORD, checkpointed
