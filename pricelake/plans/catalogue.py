@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricelake.functions import labels, money, rules, text
 from pricelake.operators import comparison as cmp
-from pricelake.operators import feed, matching, mutations, pages, reports
+from pricelake.operators import feed, kept_counts, matching, mutations, pages, reports
 from pricelake.plans import views as v
 from pricelake.plans.oracle import VIEWS, r2
 from pricelake.sources import competitors as shops
@@ -1001,6 +1001,43 @@ def state_chain(s, d):
     return out
 
 
+_RECOUNTED = _KEPT + """, listed AS (SELECT source, CASE WHEN id IN (SELECT product_id FROM kept) THEN NULL WHEN source = 'manual' THEN delisted_at ELSE coalesce(delisted_at, TIMESTAMP '2026-08-09 12:00:00') END AS delisted_at FROM products),
+decided AS (SELECT product_id, CASE WHEN competitor_id = 3 THEN 'rejected' WHEN competitor_id = 5 AND status = 'pending' THEN 'confirmed' ELSE status END AS status FROM matches)
+"""
+
+
+def _kept_after_import(s, d):
+    """Bitmaps of the tables as they were, then brought up to date by what an import and two decisions about shops changed."""
+    log = SnapshotLog(s, workspace(s, "kept-counts"))
+    products, prices, matches = v.products(s, d), v.fascia_prices(s, d), v.matches(s, d)
+    log.commit("number", {"numbers": kept_counts.number_keys(products.select("id"))})
+    numbers = log.read("numbers")
+    log.commit("count", {"kept": kept_counts.keep(kept_counts.members(products, prices, matches), numbers)})
+    after, site = _kept(s, d), F.col("fascia_id") == SITE
+    listed = feed.relist(products, after, _now().cast("timestamp_ntz"))
+    touched = matches.where("competitor_id IN (3, 5)")
+    status = F.when(F.col("competitor_id") == 3, "rejected").when(F.col("status") == "pending", "confirmed").otherwise(F.col("status"))
+    was = kept_counts.members(products, prices.where(site), touched)
+    now = kept_counts.members(listed, after.where(site), touched.withColumn("status", status))
+    changes = kept_counts.membership_changes(was, now)
+    log.commit("import", {"kept": kept_counts.bring_up_to_date(log.read("kept"), changes, numbers)})
+    return log.read("kept")
+
+
+@query(_RECOUNTED + """SELECT count(*) FILTER (delisted_at IS NULL) AS products, count(*) FILTER (delisted_at IS NOT NULL) AS delisted, count(*) FILTER (delisted_at IS NULL AND source = 'manual') AS manual,
+  (SELECT count(DISTINCT product_id) FROM kept) AS with_price, (SELECT count(DISTINCT product_id) FROM decided WHERE status = 'confirmed') AS products_matched,
+  count(*) FILTER (delisted_at IS NULL) - (SELECT count(DISTINCT product_id) FROM kept) AS awaiting_price FROM listed""")
+def status_kept(s, d):
+    """The status after an import, from kept bitmaps and the changes alone; the SQL counts again."""
+    return kept_counts.kept_status(_kept_after_import(s, d))
+
+
+@query(_RECOUNTED + "SELECT code, name, count(k.product_id) AS priced, (SELECT count(*) FROM listed WHERE delisted_at IS NULL) - count(k.product_id) AS missing FROM fascias LEFT JOIN kept k ON k.fascia_id = fascias.id GROUP BY code, name")
+def coverage_kept(s, d):
+    """Each site's coverage after an import, from kept bitmaps and the changes alone."""
+    return kept_counts.kept_coverage(_kept_after_import(s, d), v.fascias(s, d))
+
+
 def _in_three_parts(s, df: DataFrame, key: str, through: Callable[[DataFrame], object]) -> None:
     """A table's rows arrive in three parts; after each a stream takes in what is new."""
     path = workspace(s, "arriving")
