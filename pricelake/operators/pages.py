@@ -1,14 +1,14 @@
 """Listings from pages: product data, search results, icons, sitemaps, robots rules.
 
-HTML and nested JSON are read in vectorised Python, a batch of pages at a time;
-what goes wrong with a page is a value in its row, never an exception.
+Linked data, tables, headings and icons are read in columns; elements that a
+shop's selectors name are sought in Python, a batch of pages at a time.  What goes
+wrong with a page is a value in its row, never an exception.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
-import json
 import re
 import zlib
 from bisect import bisect_left
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelake.functions import money, rules, text
+from pricelake.functions import linked_data, markup, money, rules, text
 from pricelake.sources.shared import workspace
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -173,140 +173,89 @@ def first_text(root: Node, selectors: list[str] | None) -> str | None:
     return None
 
 
-def json_ld_nodes(root: Node) -> list[dict]:
-    """Every object in the page's linked data, nested ones after their holders."""
-    out: list[dict] = []
+_CHOSEN = "title string, price string, was_price string, availability string, promo_badge boolean, ean string, error_kind string"
 
-    def visit(x, depth: int) -> None:
-        if depth > 6 or not isinstance(x, (dict, list)):
-            return
-        if isinstance(x, list):
-            for y in x:
-                visit(y, depth + 1)
-            return
-        out.append(x)
-        for key in rules.LINKED_HOLDERS:
-            if key in x:
-                visit(x[key], depth + 1)
 
-    for script in root.select("script[type=application/ld+json]"):
-        try:
-            visit(json.loads(script.text()), 0)
-        except (ValueError, RecursionError):
-            continue
-    return out
-
-
-def _word(x) -> str | None:
-    if isinstance(x, dict):
-        x = x.get("name", x.get("@value"))
-    if isinstance(x, bool) or not isinstance(x, (str, int, float)):
-        return None
-    return (x.strip() or None) if isinstance(x, str) else f"{x:g}" if isinstance(x, float) else str(x)
-
-
-def _is(node: dict, *kinds: str) -> bool:
-    own = node.get("@type")
-    return any(isinstance(t, str) and t.lower().rpartition("/")[2] in kinds for t in (own if isinstance(own, list) else [own]))
-
-
-def _name(key: str) -> str:
-    slug = re.sub(r"[^a-z0-9_]", "", re.sub(r"[\s-]+", "_", key.strip().lower()))
-    return rules.ALIASES.get(slug, slug)
-
-
-def read_listing(html: str | None, config: dict) -> dict:
-    """The raw texts of a product page; prices and availability are made of them in columns.  What cannot be read is an error kind."""
-    try:
-        return _listing(parse_html(html), config)
-    except Exception:  # whatever a page holds, it must not end the job
-        return {"error_kind": "unreadable"}
-
-
-def _listing(root: Node, config: dict) -> dict:
+def read_chosen(html: str | None, config: dict) -> dict:
+    """What a shop's own selectors give of a product page.  What cannot be read is an error kind."""
     css = config.get("selectors") or {}
     markers = config.get("sanityContains") or []
-    if markers and not any(root.select(x) for x in markers):
-        return {"error_kind": "layout_changed"}
-    nodes = json_ld_nodes(root) if config.get("useJsonLd", True) else []
-    product = next((x for x in nodes if _is(x, "product", "individualproduct")), None)
-    offer = next((x for x in nodes if _is(x, "offer", "aggregateoffer")), {}) if product else {}
-    product = product or {}
-    attributes: dict[str, str] = {}
-    more = product.get("additionalProperty")
-    for entry in more if isinstance(more, list) else [more]:
-        if isinstance(entry, dict) and (k := _word(entry.get("name"))) and (v := _word(entry.get("value"))):
-            attributes[_name(k)] = v
-    for key, target in rules.LINKED_ATTRIBUTES.items():
-        if v := _word(product.get(key)):
-            attributes.setdefault(target, v)
-    pairs = []
-    nodes = root.page.nodes
-    for dt in root.select("dl dt"):
-        after = nodes[dt.end] if dt.end < dt.parent.end else None  # the next element beside it
-        pairs += [(dt, after)] if after is not None and after.tag == "dd" else []
-    for row in root.select("table tr"):
-        cells = row.select("th, td")
-        pairs += [tuple(cells)] if len(cells) == 2 else []
-    for k, v in ((_clean(a.text()), _clean(b.text())) for a, b in pairs):
-        if k and v and len(k) < 60:
-            attributes.setdefault(_name(k), v)
-    spec = offer.get("priceSpecification")
-    prices = [_word(offer.get("price")), _word(offer.get("lowPrice")), _word(spec.get("price")) if isinstance(spec, dict) else None]
-    heading = root.select("h1")[:1]
-    return {
-        "title": _word(product.get("name")) or first_text(root, css.get("title")) or (_clean(heading[0].text()) if heading else None) or None,
-        "json_prices": [x for x in prices if x],
-        "selector_price": first_text(root, css.get("price")),
-        "was_price": first_text(root, css.get("wasPrice")),
-        "currency": _word(offer.get("priceCurrency")) or _word(product.get("priceCurrency")) or "GBP",
-        "availability": first_text(root, css.get("availability")) or _word(offer.get("availability")),
-        "promo_badge": first_text(root, css.get("promoBadge")) is not None,
-        "ean": next((v for k in rules.LINKED_IDENTIFIERS if (v := _word(product.get(k)))), None) or first_text(root, css.get("ean")),
-        "brand": _word(product.get("brand")),
-        "attributes": attributes,
-        "error_kind": None,
-    }
-
-
-_RAW = (
-    "title string, json_prices array<string>, selector_price string, was_price string, currency string, availability string, "
-    "promo_badge boolean, ean string, brand string, attributes map<string,string>, error_kind string"
-)
+    try:
+        root = parse_html(html)
+        if markers and not any(root.select(x) for x in markers):
+            return {"error_kind": "layout_changed"}
+        names = {"title": "title", "price": "price", "was_price": "wasPrice", "availability": "availability", "ean": "ean"}
+        return {k: first_text(root, css.get(x)) for k, x in names.items()} | {"promo_badge": first_text(root, css.get("promoBadge")) is not None}
+    except Exception as fault:  # whatever a page holds, it must not end the job
+        return {"error_kind": f"unreadable: {type(fault).__name__}"}
 
 
-def extract_listings(pages: DataFrame, config: dict, html_col: str = "html") -> DataFrame:
-    """Adds listing, a struct, to pages: title, price, was_price, currency, promo, in_stock, ean, brand, attributes, source, error_kind."""
+def _chosen(html_col: str, config: dict) -> Column:
+    """A struct of what the shop's selectors give; without selectors no page is read in Python."""
+    if not any((config.get("selectors") or {}).values()) and not config.get("sanityContains"):
+        return F.lit(None).cast(f"struct<{_CHOSEN.replace(' string', ':string').replace(' boolean', ':boolean')}>")
 
-    @F.pandas_udf(_RAW)
+    @F.pandas_udf(_CHOSEN)
     def read(htmls: pd.Series) -> pd.DataFrame:
-        names = [x.split()[0] for x in _RAW.split(", ")]
-        found = [read_listing(x, config) for x in htmls]
+        names = [x.split()[0] for x in _CHOSEN.split(", ")]
+        found = [read_chosen(x, config) for x in htmls]
         return pd.DataFrame([{n: f.get(n) for n in names} for f in found], columns=names)
 
-    out = pages.withColumn("_raw", read(html_col))
-    from_json = F.get(F.filter(F.transform("_raw.json_prices", money.parse_price), lambda x: x.isNotNull()), F.lit(0))
-    df = out.withColumns({"_json": from_json, "_css": money.parse_price(F.col("_raw.selector_price")), "_was": money.parse_price(F.col("_raw.was_price"))})
-    price = F.coalesce("_json", "_css")
-    kind = F.coalesce(
-        "_raw.error_kind", F.when(price.isNull(), "no_price_found").when((price <= 0) | (price > rules.MAX_PRICE), "implausible_price")
+    return read(html_col)
+
+
+def extract_listings(pages: DataFrame, config: dict, html_col: str = "html") -> DataFrame:
+    """Adds listing, a struct, to pages: title, price, was_price, currency, promo, in_stock, ean, brand, attributes, source, error_kind.
+
+    Linked data, headings, tables and definition lists are read in columns; only
+    a shop's own selectors need the page's elements (Python, a batch at a time).
+    A null page has nothing.  Columns that begin with __ld_ are this function's own.
+    """
+    html, use = F.col(html_col), config.get("useJsonLd", True)
+    df = pages.withColumns({"__ld_css": _chosen(html_col, config), "__ld_0": linked_data.read(html) if use else F.array().cast("array<struct<place:string,value:variant>>")})
+    levels = ["__ld_0"]
+    for k in range(linked_data.DEPTH):
+        df = df.withColumn(f"__ld_{k + 1}", linked_data.below(F.col(levels[-1])))
+        levels.append(f"__ld_{k + 1}")
+    df = df.withColumns({"__ld_all": F.concat(*levels), "__ld_body": markup.body(html)}).drop(*levels)
+    df = df.withColumns({"__ld_product": linked_data.first_of(F.col("__ld_all"), "product", "individualproduct"), "__ld_offer": linked_data.first_of(F.col("__ld_all"), "offer", "aggregateoffer")})
+    product, css = F.col("__ld_product"), F.col("__ld_css")
+    offer = F.when(product.isNotNull(), F.col("__ld_offer"))
+    of, sold = (lambda key: linked_data.word(linked_data.member(product, key))), (lambda key: linked_data.word(linked_data.member(offer, key)))
+    spec = linked_data.as_object(linked_data.member(offer, "priceSpecification"))
+    prices = F.array(sold("price"), sold("lowPrice"), linked_data.word(linked_data.member(spec, "price")))
+    pairs = F.transform(markup.label_pairs(F.col("__ld_body")), lambda x: F.struct(text.canonical_attribute(x.key).alias("key"), x.value.alias("value")))
+    df = df.withColumns(
+        {
+            "__ld_pairs": F.concat(linked_data.product_attributes(product), pairs),
+            "__ld_json": F.get(F.filter(F.transform(prices, money.parse_price), lambda x: x.isNotNull()), F.lit(0)),
+            "__ld_price": money.parse_price(css.price),
+            "__ld_was": money.parse_price(css.was_price),
+            "__ld_availability": F.coalesce(css.availability, sold("availability")),
+        }
     )
-    raised = F.coalesce(F.col("_was") > price, F.lit(False))
+    seen, chosen, was = F.col("__ld_json"), F.col("__ld_price"), F.col("__ld_was")
+    price = F.coalesce(seen, chosen)
+    kind = F.coalesce(css.error_kind, F.when(price.isNull(), "no_price_found").when((price <= 0) | (price > rules.MAX_PRICE), "implausible_price"))
+    known = css.error_kind.isNull()
+    raised = known & F.coalesce(was > price, F.lit(False))
+    only = lambda c: F.when(known, c)
     listing = F.struct(
-        F.col("_raw.title").alias("title"),
+        only(F.coalesce(of("name"), css.title, markup.first_element(F.col("__ld_body"), "h1"))).alias("title"),
         F.when(kind.isNull(), price).alias("price"),
-        F.when(kind.isNull() & raised, F.col("_was")).alias("was_price"),
-        F.col("_raw.currency").alias("currency"),
-        (F.coalesce("_raw.promo_badge", F.lit(False)) | raised).alias("promo"),
-        text.availability(F.col("_raw.availability")).alias("in_stock"),
-        F.col("_raw.availability").alias("availability"),
-        F.col("_raw.ean").alias("ean"),
-        F.col("_raw.brand").alias("brand"),
-        F.col("_raw.attributes").alias("attributes"),
-        F.when(F.col("_json").isNotNull(), "json-ld").when(F.col("_css").isNotNull(), "selector").otherwise("none").alias("source"),
+        F.when(kind.isNull() & raised, was).alias("was_price"),
+        only(F.coalesce(sold("priceCurrency"), of("priceCurrency"), F.lit("GBP"))).alias("currency"),
+        (F.coalesce(css.promo_badge, F.lit(False)) | raised).alias("promo"),
+        only(text.availability(F.col("__ld_availability"))).alias("in_stock"),
+        only(F.col("__ld_availability")).alias("availability"),
+        only(F.coalesce(*[of(k) for k in rules.LINKED_IDENTIFIERS], css.ean)).alias("ean"),
+        only(of("brand")).alias("brand"),
+        only(linked_data.first_of_each(F.col("__ld_pairs"))).alias("attributes"),
+        F.when(known & seen.isNotNull(), "json-ld").when(known & chosen.isNotNull(), "selector").otherwise("none").alias("source"),
         kind.alias("error_kind"),
     )
-    return df.withColumn("listing", listing).drop("_raw", "_json", "_css", "_was")
+    # Exploded from an array of one, so that a filter on it isn't spelt out again for each of its parts.
+    return df.select(*pages.columns, F.explode(F.array(listing)).alias("listing"))
 
 
 def _address(href: str, base: str) -> str | None:
@@ -358,23 +307,20 @@ ICON_RELATIONS = [r"^apple-touch-icon(-precomposed)?$", r"^icon$", r"^shortcut i
 def icon_urls(pages: DataFrame, html_col: str = "html", base_col: str = "url") -> DataFrame:
     """Adds icons, the addresses of a page's icons: by relation, then the larger; the site's default is last."""
 
-    def read(html: str | None, base: str) -> list[str]:
-        found = []
-        for node in parse_html(html).select("link[rel][href]"):
-            relation = node.attributes["rel"].strip().lower()
-            rank = next((i for i, p in enumerate(ICON_RELATIONS) if re.match(p, relation)), None)
-            at = _address(node.attributes["href"], base)
-            if rank is not None and at:
-                size = re.match(r"\d+", node.attributes.get("sizes", ""))
-                found.append((rank, -int(size[0]) if size else 0, len(found), at))
-        last = _address("/favicon.ico", base)
-        return list(dict.fromkeys([x[3] for x in sorted(found)] + ([last] if last else [])))
-
-    @F.pandas_udf("array<string>")
-    def icons(htmls: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([read(h, b or "") for h, b in zip(htmls, bases, strict=True)])
-
-    return pages.withColumn("icons", icons(html_col, base_col))
+    base = F.col(base_col)
+    links = F.transform(markup.tags(F.col(html_col), "link"), lambda x: F.struct(markup.attribute(x, "rel").alias("rel"), markup.attribute(x, "href").alias("href"), markup.attribute(x, "sizes").alias("sizes")))
+
+    def ranked(x: Column, i: Column) -> Column:
+        relation, rank = F.lower(F.trim(x.rel)), F.lit(None).cast("int")
+        for k, pattern in reversed(list(enumerate(ICON_RELATIONS))):
+            rank = F.when(relation.rlike(pattern), k).otherwise(rank)
+        size = F.coalesce(F.regexp_extract(x.sizes, r"^\d{1,9}", 0).try_cast("int"), F.lit(0))
+        return F.struct(rank.alias("rank"), (-size).alias("larger"), i.alias("place"), markup.resolve(x.href, base).alias("at"))
+
+    found = F.filter(F.transform(links, ranked), lambda x: x["rank"].isNotNull() & x["at"].isNotNull())
+    last = F.filter(F.array(markup.resolve(F.lit("/favicon.ico"), base)), lambda x: x.isNotNull())
+    icons = F.array_distinct(F.concat(F.transform(F.sort_array(found), lambda x: x["at"]), last))
+    return pages.withColumn("icons", F.coalesce(icons, last))
 
 
 #: The largest sitemap file that is read, in bytes, packed or not.

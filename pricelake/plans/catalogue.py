@@ -876,6 +876,34 @@ def jsonld_product(s, d):
     return rows.select("id", *[F.col(f"listing.{c}").alias(c) for c in ("title", "currency", "availability", "ean", "promo")])
 
 
+def _with_head(s, d) -> DataFrame:
+    """Every page with linked data, icons and a table of its own put into it, beside all that it holds."""
+    i = F.col("page_id")
+    head = F.format_string(
+        '<!-- <script type="application/ld+json">{"@type":"Product","name":"no"}</script> --><script type=\'application/ld+json\'>{"@graph":[{"@type":"WebPage"},{"offers":[[{"@type":["https://schema.org/Offer"],"price":%d.50,"priceCurrency":"EUR"}]],'
+        '"@type":"https://schema.org/Product","name":{"@value":"Page %d"},"mpn":%d,"additionalProperty":[{"name":"Strap","value":"a"},{"name":"strap","value":"b%d"}]}]}</script>'
+        '<link rel="icon" sizes="16x16" href="a/../i%d.png"><link href=\'?v=%d\' rel=\'ICON\' sizes=\'32x32\'><link rel="mask-icon" href="mailto:x"></head>',
+        i, i, i, i, i, i,
+    )
+    rows = F.format_string("<table><tr><th>Case&#32;Size</th><td>%d&nbsp;mm<tr><td colspan=2>x<tr><td>Strap<td>c</table><footer>", i)
+    html = F.replace(F.replace("html", F.lit("</head>"), head), F.lit("<footer>"), rows)
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", html.alias("html"))
+
+
+@query("SELECT page_id, 'Page ' || page_id AS title, page_id + 0.5::DOUBLE AS price, 'EUR' AS currency, CAST(page_id AS VARCHAR) AS ean, 'b' || page_id AS strap, page_id || ' mm' AS case_size, 'json-ld' AS source FROM pages")
+def page_listings(s, d):
+    """Listings of all pages from linked data amid lists, addresses of kinds and numbers, and from tables left open."""
+    rows = pages.extract_listings(_with_head(s, d), {})
+    of = lambda key: F.try_element_at("listing.attributes", F.lit(key))
+    return rows.select("page_id", *[F.col(f"listing.{c}").alias(c) for c in ("title", "price", "currency", "ean")], of("strap_material").alias("strap"), of("case_size").alias("case_size"), F.col("listing.source").alias("source"))
+
+
+@query(r"""SELECT page_id, concat_ws(' ', regexp_extract(url, '^https?://[^/?#]+[^?#]*') || '?v=' || page_id, regexp_extract(url, '^https?://[^/?#]+[^?#]*/') || 'i' || page_id || '.png', regexp_extract(url, '^https?://[^/?#]+') || '/favicon.ico') AS icons FROM pages""")
+def page_icons(s, d):
+    """The icons of all pages, addresses resolved against each page's own."""
+    return pages.icon_urls(_with_head(s, d)).select("page_id", F.array_join("icons", " ").alias("icons"))
+
+
 @query("SELECT id, CAST(0 AS BIGINT) AS place, 'https://x.co/p/' || id AS url, 't' AS title, CAST(9.5 AS DOUBLE) AS price FROM products")
 def extract_search(s, d):
     found = pages.search_results(_generated(s, d), {"resultItem": [".tile"], "resultPrice": [".cost"]}, "https://x.co")
