@@ -173,6 +173,23 @@ def test_the_worklist_shuffles_products_not_pairs(spark):
     assert not re.search(r"Exchange hashpartitioning\(product_id#\d+L, competitor_id#", plan) and "CartesianProduct" not in plan
 
 
+def test_worklists_of_one_brand_are_spread(spark):
+    shops = spark.range(100).select(F.col("id"), (F.col("id") % 7 != 0).alias("enabled"), F.when(F.col("id") % 2 == 0, F.array()).otherwise(F.array(F.when(F.col("id") % 3 == 0, "B").otherwise("A"), F.lit("a"))).alias("brands"))
+    products = spark.range(300).select(F.col("id"), F.when(F.col("id") != 5, "a").alias("brand"), F.when(F.col("id") % 9 == 0, F.current_timestamp()).alias("delisted_at"))
+    matches = spark.range(300).select(F.col("id").alias("product_id"), (F.col("id") % 100).alias("competitor_id"), F.when(F.col("id") % 4 == 0, "rejected").otherwise("pending").alias("status"))
+    live, on = [p for p in range(300) if p % 9], [c for c in range(100) if c % 7]
+    want = sorted((p, c) for p in live for c in on if (c % 2 == 0 or p != 5) and not (c == p % 100 and p % 4))
+    work = reports.discovery_worklist(products, shops, matches)
+    assert sorted(map(tuple, work.collect())) == want
+    assert [tuple(r) for r in reports.discovery_worklist(products, shops, matches, 90).collect()] == want[:90]
+    named = products.withColumn("brand", F.lit("x"))
+    lacked = reports.brand_not_stocked(named, shops)
+    assert sorted(map(tuple, lacked.collect())) == [(p, c) for p in live for c in on if c % 2]
+    # All products meet one list of shops: many tasks must have their share of it, in the way that rows are shuffled.
+    for rows in (work, lacked):
+        assert len({r.p for r in rows.withColumn("p", F.spark_partition_id()).collect()}) >= 6
+
+
 def test_deep_pages_are_the_same_rows(spark, monkeypatch):
     import random
 
