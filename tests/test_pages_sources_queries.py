@@ -190,6 +190,30 @@ def test_worklists_of_one_brand_are_spread(spark):
         assert len({r.p for r in rows.withColumn("p", F.spark_partition_id()).collect()}) >= 6
 
 
+@pytest.mark.parametrize("name", ["extract_search", "extract_listing", "jsonld_product", "score_candidates"])
+def test_costly_rows_of_a_small_file_are_dealt_out(spark, name):
+    rows = QUERIES[name](spark, SF).withColumn("p", F.spark_partition_id()).select("p").collect()
+    assert len({r.p for r in rows}) >= (4 if name == "score_candidates" else 12)
+
+
+def test_walked_links_and_asked_terms_are_held_by_no_task(spark, monkeypatch):
+    from pricelake.operators import matching
+
+    kept = {}
+    spy = lambda module, f: monkeypatch.setattr(module, "workspace", lambda s, name: kept.setdefault(name, f(s, name)))
+    spy(pages, pages.workspace)
+    links = [(1, "a", "sitemap", "b"), (1, "a", "sitemap", "b"), (1, "b", "sitemap", "a"), (1, "b", "url", "u")]
+    entries = spark.createDataFrame(links, "competitor_id int, file string, kind string, loc string")
+    got = pages.walked(entries, entries.select("competitor_id", "file").where("file = 'a'"))
+    assert sorted((r.file, r.turn) for r in got.collect()) == [("a", 1), ("b", 2)]
+    assert spark.read.parquet(f"{kept['walk']}/links").count() == 3
+    products = spark.createDataFrame([(1, ["x", "y"]), (2, ["x"])], "product_id long, terms array<string>")
+    urls = spark.createDataFrame([(7, "u/x", "x"), (7, "u/xy", "x y")], "competitor_id long, url string, slug string")
+    found = matching.candidate_urls(products, urls)
+    assert sorted((r.product_id, r.url, r.place) for r in found.collect()) == [(1, "u/x", 2), (1, "u/xy", 1), (2, "u/x", 1), (2, "u/xy", 2)]
+    assert "BroadcastHashJoin [question" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_deep_pages_are_the_same_rows(spark, monkeypatch):
     import random
 
