@@ -67,17 +67,19 @@ def candidate_urls(products: DataFrame, urls: DataFrame, most: int = 5) -> DataF
     each set of words that a question asks for, a shop's best addresses with those
     words are kept; a question looks up the sets within its terms: whoever is among
     the best for all terms is among the best of the set that it shares with them.
-    A word that most addresses have costs no more than others.
+    A word that most addresses have costs no more than others.  Terms and questions
+    are as many as products, though their files are small: they are joined by
+    shuffles, never sent to the driver.
     """
     words = urls.select("competitor_id", "url", F.explode(F.split("slug", " ")).alias("term")).where("term != ''")
     terms = products.select("product_id", F.explode("terms").alias("term")).distinct()
     weight = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
-    words = words.join(terms.select("term").distinct(), "term").groupBy("competitor_id", "url", "term").agg(F.count("*").alias("n"))
+    words = words.join(terms.select("term").distinct().hint("merge"), "term").groupBy("competitor_id", "url", "term").agg(F.count("*").alias("n"))
     words = words.select("competitor_id", "url", F.struct("term", weight.alias("weight")).alias("word"))
     place = workspace(products.sparkSession, "candidates")
     whole = _written(words.groupBy("competitor_id", "url").agg(F.sort_array(F.collect_list("word")).alias("words")), f"{place}/addresses")
 
-    known = terms.join(whole.select(F.explode("words.term").alias("term")).distinct(), "term")
+    known = terms.join(whole.select(F.explode("words.term").alias("term")).distinct().hint("merge"), "term")
     asked = known.groupBy("product_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
     asked = asked.select("product_id", F.when(F.size("terms") <= TERMS_MOST, F.col("terms")).otherwise(F.raise_error(F.lit("a question has more than eight terms"))).alias("terms"))
     asked = _written(asked, f"{place}/asked")
@@ -92,7 +94,7 @@ def candidate_urls(products: DataFrame, urls: DataFrame, most: int = 5) -> DataF
     first = F.transform(F.slice(F.array_distinct("urls"), 1, most), lambda u: F.get("all", (F.array_position("urls", u) - 1).cast("int")))
     best = hits.select("question", "competitor_id", F.posexplode(first).alias("place", "best"))
     best = best.select("question", "competitor_id", F.col("best.url").alias("url"), (-F.col("best.rank")).alias("rank"), (F.col("place") + 1).alias("place"))
-    return asked.select("product_id", question).join(best, "question").select("product_id", "competitor_id", "url", "rank", "place")
+    return asked.select("product_id", question).join(best.hint("merge"), "question").select("product_id", "competitor_id", "url", "rank", "place")
 
 
 def _of_category(category: Column, made) -> Column:
