@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelake.sources.shared import dealt_out
+
 _AT = ["measure", "part", "bucket"]
 _DIGITS = "0123456789ABCDEF"
 
@@ -24,7 +26,7 @@ def number_keys(keys: DataFrame, known: DataFrame | None = None, spread: int = 4
     key.  spread must be the same for all calls that add to one table.  Null keys
     get no number.
     """
-    new = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).where("key IS NOT NULL").distinct()
+    new = dealt_out(keys.select(F.col(keys.columns[0]).cast("long").alias("key")).where("key IS NOT NULL"), "key").distinct()
     series = F.pmod(F.xxhash64("key"), F.lit(spread))
     if known is None:
         new = new.withColumns({"series": series, "taken": F.lit(0).cast("long")})
@@ -66,17 +68,18 @@ def membership_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     before and after: members of the rows that a change touched, as they were and
     as they are; a row that stays a member says nothing, however often it is given.
     """
-    sides = before.distinct().withColumn("side", F.lit(-1)).union(after.distinct().withColumn("side", F.lit(1)))
-    moved = sides.groupBy("measure", "part", "key").agg(F.sum("side").alias("side")).where("side != 0")
+    sides = before.withColumn("side", F.lit(-1)).union(after.withColumn("side", F.lit(1)))
+    moved = dealt_out(sides, "measure", "part", "key").groupBy("measure", "part", "key").agg((F.max("side") + F.min("side")).alias("side")).where("side != 0")
     return moved.select("measure", "part", "key", (F.col("side") > 0).alias("member"))
 
 
 def _placed(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """rows with bucket and bit in place of key; a key without number is an error, as it would be lost."""
+    """rows with bucket and bit in place of key, a bucket's rows in one task; a key without number is an error, as it would be lost."""
     lost = F.raise_error(F.concat(F.lit("no number for key "), F.col("key").cast("string"))).cast("long")
     number = F.coalesce("number", lost)
-    placed = rows.join(numbers, "key", "left").withColumns({"bucket": F.bitmap_bucket_number(number), "bit": F.bitmap_bit_position(number)})
-    return placed.drop("key", "number")
+    placed = dealt_out(rows, "key").join(numbers.hint("merge"), "key", "left").withColumns({"bucket": F.bitmap_bucket_number(number), "bit": F.bitmap_bit_position(number)})
+    # An aggregate of bitmaps sorts its rows: where they are, a task would sort all that it reads; dealt out, it sorts its share.
+    return dealt_out(placed.drop("key", "number"), *_AT)
 
 
 def keep(rows: DataFrame, numbers: DataFrame) -> DataFrame:

@@ -75,3 +75,12 @@ def test_nulls_repeats_and_nothing(spark):
     assert kc.kept_status(empty).collect()[0].asDict() == {"products": 0, "delisted": 0, "manual": 0, "with_price": 0, "products_matched": 0, "awaiting_price": 0}
     with pytest.raises(Exception, match="no number for key"):
         kc.keep(table(spark, [("priced", 1, 99)]), numbers).collect()
+
+
+def test_bitmaps_are_sorted_in_many_tasks(spark):
+    rows = spark.range(4000, numPartitions=1).select(F.when(F.col("id") % 2 == 0, "matched").otherwise("priced").alias("measure"), (F.col("id") % 100).alias("part"), F.col("id").alias("key"))
+    numbers = kc.number_keys(rows.select("key"))
+    kept = kc.keep(rows, numbers).withColumn("p", F.spark_partition_id()).collect()
+    assert len(kept) == 100 and len({r.p for r in kept}) >= 12
+    changes = kc.membership_changes(rows.where("key < 3").union(rows.where("key < 2")), rows.where("key IN (1, 3)"))
+    assert sorted((r.key, r.member) for r in changes.collect()) == [(0, False), (2, False), (3, True)]
