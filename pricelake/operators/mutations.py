@@ -23,30 +23,43 @@ def upsert_matches(matches: DataFrame, scored: DataFrame, now: Column | None = N
     where it had one before the run, other new confirmations wait for review; where
     it had none, the most confident of the new ones, of equals the least address,
     is it.  A new match has an identifier from its key, and is stamped with now
-    where it is confirmed at once.
+    where it is confirmed at once.  Of a run's rows for one address the most
+    confident counts; a row whose key is not whole meets no other.
+
+    No join: the run's rows lie beside the matches, and one sort by pair and address
+    serves all windows.  The first asks for pairs, so that rows are shuffled once,
+    and not at all where they lie by pairs already.
     """
     key, pair = ["product_id", "competitor_id", "url"], ["product_id", "competitor_id"]
-    taken = matches.where("status = 'confirmed'").groupBy(*pair).agg(F.min("url").alias("confirmed_url"))
     told = [c for c in ("confidence", "tier", "title", "ean", "evidence") if c in scored.columns]
-    new = scored.select(*key, *[F.col(c).alias(f"n_{c}") for c in [*told, "status"]], F.lit(True).alias("_run"))
-    both = matches.withColumn("_there", F.lit(True)).join(new, key, "full_outer").join(taken, pair, "left")
-    decided = F.coalesce((F.col("confirmed_by").isNotNull() & (F.col("confirmed_by") != "auto")) | (F.col("status") == "rejected"), F.lit(False))
-    asks = F.coalesce((F.col("n_status") == "confirmed") & ~decided, F.lit(False))
-    order = Window.partitionBy(*pair).orderBy(F.col("_asks").desc(), F.desc("n_confidence"), "url")
-    both = both.withColumn("_asks", asks).withColumn("_turn", F.row_number().over(order))
-    holds = F.when(F.col("confirmed_url").isNotNull(), F.col("url") == F.col("confirmed_url")).otherwise(F.col("_turn") == 1)
-    status = F.when(F.col("_asks") & ~holds, "pending").otherwise(F.col("n_status"))
-    fresh, run = F.col("_there").isNull(), F.col("_run").isNotNull()
+    columns = [*matches.columns, *(c for c in told if c not in matches.columns)]
+    both = matches.withColumn("_run", F.lit(False)).unionByName(scored.select(*key, *told, "status", F.lit(True).alias("_run")), allowMissingColumns=True)
+    old, sort = ~F.col("_run"), ["_run", F.desc("confidence"), "status"]
+    whole = F.col("product_id").isNotNull() & F.col("competitor_id").isNotNull() & F.col("url").isNotNull()
+    everywhere = (Window.unboundedPreceding, Window.unboundedFollowing)
+    was = F.coalesce(old & whole & (F.col("status") == "confirmed"), F.lit(False))
+    taken = F.bool_or(was).over(Window.partitionBy(*pair).orderBy("url", *sort).rowsBetween(*everywhere))
+    address = Window.partitionBy(*key).orderBy(*sort)
+    mine = F.when(F.col("_run"), F.struct(*told, "status"))
+    both = both.withColumn("_taken", taken).withColumns({"_new": F.when(whole, F.first(mine, True).over(address.rowsBetween(*everywhere))).otherwise(mine), "_at": F.row_number().over(address)})
+    both = both.where(old | (F.col("_at") == 1) | ~whole)  # a run's row goes where there is a match, or a row before it
+    decided = F.coalesce(old & ((F.col("confirmed_by").isNotNull() & (F.col("confirmed_by") != "auto")) | (F.col("status") == "rejected")), F.lit(False))
+    asks, sure = F.coalesce((F.col("_new.status") == "confirmed") & ~decided, F.lit(False)), F.col("_new.confidence")
+    first = F.struct(~F.col("_taken") & sure.isNull(), F.when(~F.col("_taken"), -sure), "url")  # of several confirmed before, the least address
+    both = both.withColumn("_asks", asks)
+    both = both.withColumn("_holder", F.min(F.when(F.when(F.col("_taken"), was).otherwise(F.col("_asks")), first)).over(Window.partitionBy(*pair)))
+    holds = F.col("url").eqNullSafe(F.col("_holder.url"))
+    status = F.when(F.col("_asks") & ~holds, "pending").otherwise(F.col("_new.status"))
+    fresh, run = F.col("_run"), F.col("_new").isNotNull()
     at_once = fresh & (status == "confirmed")
-    out = {c: F.when(run, F.col(f"n_{c}")).otherwise(F.col(c)) if c in matches.columns else F.col(f"n_{c}") for c in told}
-    out["status"] = F.when(F.col("status").isNotNull() & (decided | ~run), F.col("status")).otherwise(status)
+    out = {c: F.when(run, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in told}
+    out["status"] = F.when(old & F.col("status").isNotNull() & (decided | ~run), F.col("status")).otherwise(status)
     out["confirmed_by"] = F.when(at_once, "auto").otherwise(F.col("confirmed_by"))
     if "id" in matches.columns:
         out["id"] = F.coalesce("id", new_id(*key))
     if now is not None:
         stamps = {"confirmed_at": at_once, "created_at": fresh, "updated_at": run}
         out |= {c: F.when(when, now).otherwise(F.col(c)) for c, when in stamps.items() if c in matches.columns}
-    columns = [*matches.columns, *(c for c in told if c not in matches.columns)]
     return both.select(*[(out[c] if c in out else F.col(c)).alias(c) for c in columns])
 
 
