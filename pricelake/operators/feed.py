@@ -171,9 +171,18 @@ def relist(products: DataFrame, prices: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("delisted_at", gone).drop("priced")
 
 
-def run_import(snapshot: dict[str, DataFrame], rows: DataFrame, fascia_id: int, import_id: int, now: Column, filename: str | None = None) -> dict[str, DataFrame]:
-    """A feed import as a function from one snapshot (products, prices and perhaps imports) to the next, with its counters and the errors of its rows."""
+def run_import(
+    snapshot: dict[str, DataFrame], rows: DataFrame, fascia_id: int, import_id: int, now: Column, filename: str | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """A feed import as a function from one snapshot (products, prices and perhaps imports) to the next, with its counters and the errors of its rows.
+
+    keep: gives back the rows that it is given as read from where it wrote them. All
+    results but the errors are made of the parsed feed, some of them several times:
+    who wants more than one of them has it parsed once so.
+    """
     parsed = parse(rows, now)
+    parsed = keep(parsed) if keep else parsed
     feed = products_of(parsed)
     products = upsert_products(snapshot["products"], feed, now)
     ids = products.select("id", "internal_sku")

@@ -66,7 +66,7 @@ def upsert_matches(matches: DataFrame, scored: DataFrame, now: Column | None = N
 def confirm_match(matches: DataFrame, match_id: int, by: str, now: Column) -> DataFrame:
     """Confirms one match; the pair's other confirmed match is rejected and keeps its stamp."""
     chosen = matches.where(F.col("id") == match_id).select("product_id", "competitor_id", F.lit(True).alias("chosen"))
-    out = matches.join(chosen, ["product_id", "competitor_id"], "left")
+    out = matches.join(F.broadcast(chosen), ["product_id", "competitor_id"], "left")  # one row
     this = F.col("id") == match_id
     status = F.when(this, "confirmed").when(F.col("chosen") & (F.col("status") == "confirmed"), "rejected").otherwise(F.col("status"))
     stamped = out.withColumn("status", status).withColumn("confirmed_by", F.when(this, by).otherwise(F.col("confirmed_by")))

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from pricelake.operators import mutations
+from pricelake.operators import feed, mutations
+from pricelake.plans import views as v
 from pricelake.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +63,29 @@ def test_an_address_twice_in_a_run_is_one_match_and_half_keys_meet_none(spark):
     got = mutations.upsert_matches(old, spark.createDataFrame(run, RUN)).collect()
     want = [(None, 1, "z", 5, "confirmed"), (None, 1, "z", 50, "pending"), (1, 1, None, 5, "pending"), (1, 1, None, 50, "pending"), (1, 1, "a", 90, "confirmed"), (1, 1, "b", 65, "pending")]
     assert sorted(map(str, ((r.product_id, r.competitor_id, r.url, r.confidence, r.status) for r in got))) == sorted(map(str, want))
+
+
+def test_a_kept_feed_is_parsed_once(spark, tmp_path):
+    state, rows, now = {"products": v.products(spark, SF), "prices": v.fascia_prices(spark, SF)}, v.feed_rows(spark, SF), F.lit("2026-08-09 12:00:00").cast("timestamp_ntz")
+    kept = []
+
+    def keep(df):
+        kept.append(f"{tmp_path}/parsed-{len(kept)}")
+        df.write.parquet(kept[-1])
+        return spark.read.parquet(kept[-1])
+
+    out, plain = feed.run_import(state, rows, 1, 3, now, keep=keep), feed.run_import(state, rows, 1, 3, now)
+    assert len(kept) == 1
+    for name in ("products", "prices", "imports", "counters"):
+        assert "price_visible" not in plan_of(out[name])
+        assert sorted(map(str, out[name].collect())) == sorted(map(str, plain[name].collect()))
+
+
+def test_a_confirmation_shuffles_no_matches(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(mutations.confirm_match(spark.createDataFrame([], MATCH + ", confirmed_at timestamp_ntz"), 1, "kim", F.lit(None).cast("timestamp_ntz")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
