@@ -54,27 +54,26 @@ def append_once(stream: DataFrame, log: SnapshotLog, table: str, checkpoint: str
     return _started(stream, "append", checkpoint, lambda rows, batch: log.append(table, rows, writer=name, batch=batch) and None)
 
 
-def _merged(log: SnapshotLog, table: str, key: list[str], schema: str, writer: str) -> Callable[[DataFrame, int], None]:
-    """What takes a batch of changed rows over into a table: anew from the version that won, where another writer was first."""
-
-    def take(changed: DataFrame, batch: int) -> None:
-        # A batch is computed once, also where the log has it already: its state has to be committed.
-        changed, path = log.staged(changed)
-        try:
-            for _ in range(TRIES):
-                if log.taken(writer, batch):
-                    return
-                base = log.version()
-                known = table in log.manifest(base)["tables"]
-                before = log.read(table, base) if known else log.spark.createDataFrame([], schema)
-                try:
-                    log.commit(f"{writer}, batch {batch}", {table: _taken_over(key, before, changed)}, base=base, writer=writer, batch=batch)
-                    return
-                except Conflict:
-                    continue
-            raise Conflict(f"{writer}: other writers were first {TRIES} times")
-        finally:
-            log.store.delete(path)
+def _merged(log: SnapshotLog, table: str, schema: str, writer: str, taken_over: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """What takes a batch of rows over into a table: anew from the version that won, where another writer was first.
+
+    The table is the state: the log holds each batch once, so none is kept by the
+    stream, whose rows must come from a stream without state of its own.
+    """
+
+    def take(rows: DataFrame, batch: int) -> None:
+        for _ in range(TRIES):
+            if log.taken(writer, batch):
+                return
+            base = log.version()
+            known = table in log.manifest(base)["tables"]
+            before = log.read(table, base) if known else log.spark.createDataFrame([], schema)
+            try:
+                log.commit(f"{writer}, batch {batch}", {table: taken_over(before, rows).select(*before.columns)}, base=base, writer=writer, batch=batch)
+                return
+            except Conflict:
+                continue
+        raise Conflict(f"{writer}: other writers were first {TRIES} times")
 
     return take
 
@@ -87,30 +86,27 @@ def counters_of(items: DataFrame) -> DataFrame:
     return items.groupBy(F.col("run_id").cast("long").alias("run_id")).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("ok", "error", "skipped")))
 
 
-def _taken_over(key: list[str], before: DataFrame, new: DataFrame) -> DataFrame:
-    """A table with new rows in place of those with their keys."""
-    return before.join(new.select(*key), key, "left_anti").select(*before.columns).unionByName(new.select(*before.columns))
-
-
 def live_counters(items: DataFrame, log: SnapshotLog, table: str, checkpoint: str, writer: str | None = None) -> StreamingQuery:
     """Keeps a table of a snapshot log at the counters of all run items that a stream has brought.
 
-    The stream keeps each run's counts; a batch tells the new counts of the runs
-    that it touched, which take the place of the old ones in one commit.
+    A batch's counts are added to the table's in one commit.
     """
-    take = _merged(log, table, ["run_id"], COUNTERS, writer or f"counters {table}")
-    return _started(counters_of(items), "update", checkpoint, take)
+
+    def added(before: DataFrame, rows: DataFrame) -> DataFrame:
+        both = before.unionByName(counters_of(rows))
+        return both.groupBy("run_id").agg(*(F.sum(c).alias(c) for c in ("ok", "error", "skipped")))
+
+    return _started(items, "append", checkpoint, _merged(log, table, COUNTERS, writer or f"counters {table}", added))
 
 
 def live_latest(observations: DataFrame, log: SnapshotLog, table: str, checkpoint: str, order: Column, writer: str | None = None) -> StreamingQuery:
     """Keeps a table of a snapshot log at the last observation of every pair, whatever order they arrive in.
 
-    The stream's state is one row a pair.  A late observation does not win: the
-    order decides, not the arrival.
+    A late observation does not win: the order decides, not the arrival.
     """
     schema = observations.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    take = _merged(log, table, ["product_id", "competitor_id"], schema, writer or f"latest {table}")
-    return _started(latest_of(observations, order), "update", checkpoint, take)
+    take = _merged(log, table, schema, writer or f"latest {table}", lambda before, rows: latest_of(before.unionByName(rows), order))
+    return _started(observations, "append", checkpoint, take)
 
 
 def hourly_prices(stream: DataFrame, late: str = "1 day") -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -5,6 +6,8 @@ from pyspark.sql import functions as F
 from pricelake.operators import feed, mutations
 from pricelake.plans import views as v
 from pricelake.plans.catalogue import QUERIES
+from pricelake.sources.snapshots import Conflict, SnapshotLog
+from pricelake.streaming import observations as live
 
 SF = "/root/testdata/sf0.001"
 MATCH = "id long, product_id long, competitor_id long, url string, confidence int, tier string, status string, confirmed_by string"
@@ -89,3 +92,24 @@ def test_a_confirmation_shuffles_no_matches(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_streams_keep_no_state_beside_their_table(spark, tmp_path, monkeypatch):
+    log, pairs, items = SnapshotLog(spark, f"{tmp_path}/log"), "product_id long, competitor_id long, run_id long", "id long, run_id long, status string"
+    whole, lost = SnapshotLog.commit, []
+
+    def late(self, operation, *args, **kwargs):
+        if operation.endswith("batch 1") and operation not in lost:  # another writer was first
+            lost.append(operation)
+            raise Conflict(operation)
+        return whole(self, operation, *args, **kwargs)
+
+    monkeypatch.setattr(SnapshotLog, "commit", late)
+    for k in range(2):
+        spark.createDataFrame([(1, None, 5 - k), (1, 1, k)], pairs).write.mode("append").parquet(f"{tmp_path}/pairs")
+        spark.createDataFrame([(2 * k, None, "ok"), (2 * k + 1, 3, "error")], items).write.mode("append").parquet(f"{tmp_path}/items")
+        live.live_latest(spark.readStream.schema(pairs).parquet(f"{tmp_path}/pairs"), log, "latest", f"{tmp_path}/cp1", F.col("run_id")).awaitTermination()
+        live.live_counters(spark.readStream.schema(items).parquet(f"{tmp_path}/items"), log, "counters", f"{tmp_path}/cp2").awaitTermination()
+    assert sorted(map(str, map(tuple, log.read("latest").collect()))) == ["(1, 1, 1)", "(1, None, 5)"]
+    assert sorted(map(str, map(tuple, log.read("counters").collect()))) == ["(3, 0, 2, 0)", "(None, 2, 0, 0)"]
+    assert len(lost) == 2 and not any(os.path.exists(f"{tmp_path}/{c}/state") for c in ("cp1", "cp2"))
