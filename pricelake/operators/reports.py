@@ -127,23 +127,30 @@ def stocks_brand(brands, brand):
     return (F.size(brands) == 0) | F.exists(brands, lambda b: F.lower(b) == F.lower(brand))
 
 
-#: A list of shops is met in so many arrays, by so many parts of the products that meet it.
-_ARRAYS, _PARTS = 16, 64
+#: A list of shops is met in arrays of so many blocks, each cut into runs of so many shops.
+_ARRAYS, _RUN = 16, 256
 
 
-def _met(products: DataFrame, lists: DataFrame) -> DataFrame:
-    """products (product_id, key, ...) with shops, the arrays of their list (lists: key, competitor_id), each in order.
+def _met(products: DataFrame, lists: DataFrame, parts: int = 64, cut: bool = True) -> DataFrame:
+    """products (product_id, key, ...) with shops, the arrays of their list (lists: key, competitor_id), each in order; cut: in runs.
 
     Each part of a list's products is given the list's arrays, so that products
     which all meet one list are spread over many tasks; shuffled are products once
-    and shops 64 times, pairs never.  Arrays are larger than Spark takes them for,
-    so it may not choose to broadcast them.
+    and shops once a part, pairs never.  Arrays are larger than Spark takes them
+    for, so it may not choose to broadcast them.
+
+    The arrays stand on the left: a run of shops meets all products of its part
+    before the next run does.  Written to a column file, a product is then stored
+    once for a run, and the run's shops, repeated within a page, compress to little.
     """
     block, at = F.pmod(F.xxhash64("competitor_id"), F.lit(_ARRAYS)), F.concat(F.col("part").cast("string"), F.lit(" "), "key").alias("at")
     arrays = lists.groupBy("key", block.alias("block")).agg(F.sort_array(F.collect_set("competitor_id")).alias("shops"))
-    arrays = arrays.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))).select(at, "shops")
-    placed = products.withColumn("part", F.pmod(F.xxhash64("product_id"), F.lit(_PARTS))).select("*", at).drop("key", "part")
-    return placed.repartition(many_tasks(products.sparkSession), "at").join(arrays.hint("merge"), "at")
+    if cut:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("shops"), F.lit(1)), F.lit(_RUN))
+        arrays = arrays.select("key", F.explode(F.transform(starts, lambda i: F.slice("shops", i, _RUN))).alias("shops"))
+    arrays = arrays.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(at, "shops")
+    placed = products.withColumn("part", F.pmod(F.xxhash64("product_id"), F.lit(parts))).select("*", at).drop("key", "part")
+    return arrays.hint("merge").join(placed.repartition(many_tasks(products.sparkSession), "at"), "at")
 
 
 def discovery_worklist(products: DataFrame, competitors: DataFrame, matches: DataFrame, limit: int = 0) -> DataFrame:
@@ -161,7 +168,7 @@ def discovery_worklist(products: DataFrame, competitors: DataFrame, matches: Dat
     none = F.array().cast(done.schema["done"].dataType)
     keys = F.explode(F.array_compact(F.array(F.lit("every"), F.concat(F.lit("="), "b"))))
     each = live.join(done.hint("merge"), "product_id", "left").select("product_id", F.coalesce("done", none).alias("done"), keys.alias("key"))
-    met = _met(each, lists)
+    met = _met(each, lists, cut=not limit)
     first = F.slice("shops", F.lit(1), F.lit(limit) + F.size("done")) if limit else F.col("shops")
     left = F.array_except(first, "done")
     return _first(met.select("product_id", F.explode(F.slice(left, 1, limit) if limit else left).alias("competitor_id")), limit, "product_id", "competitor_id")

@@ -190,6 +190,23 @@ def test_worklists_of_one_brand_are_spread(spark):
         assert len({r.p for r in rows.withColumn("p", F.spark_partition_id()).collect()}) >= 6
 
 
+@pytest.mark.parametrize("name", ["brand_not_stocked"])
+def test_worklists_are_written_in_short_runs_of_shops(spark, name):
+    from pyspark.sql import Window
+
+    shops = spark.range(6000).select("id", F.lit(True).alias("enabled"), F.array(*[F.lit("a")] * (name == "brand_not_stocked")).cast("array<string>").alias("brands"))
+    products = spark.range(512).select("id", F.lit("x").alias("brand"), F.lit(None).cast("timestamp").alias("delisted_at"))
+    matches = spark.range(5120).select((F.col("id") % 512).alias("product_id"), (F.col("id") * 7 % 6000).alias("competitor_id"), F.lit("pending").alias("status"))
+    work = reports.brand_not_stocked(products, shops) if name == "brand_not_stocked" else reports.discovery_worklist(products, shops, matches)
+    done = matches.limit(0) if name == "brand_not_stocked" else matches
+    assert (work.count(), work.distinct().count()) == (512 * 6000 - done.distinct().count(),) * 2
+    assert work.join(done, ["product_id", "competitor_id"], "left_semi").isEmpty()
+    # A shop comes again after a run of shops, not after all of them: what a page of a column file holds is few shops, again and again.
+    at = work.withColumn("n", F.monotonically_increasing_id()).withColumn("p", F.shiftright("n", 33))
+    since = F.col("n") - F.lag("n").over(Window.partitionBy("p", "competitor_id").orderBy("n"))
+    assert at.select(since.alias("since")).agg(F.count_if(F.col("since") <= 256) / F.count("*")).first()[0] > 0.4
+
+
 @pytest.mark.parametrize("name", ["extract_search", "extract_listing", "jsonld_product", "score_candidates"])
 def test_costly_rows_of_a_small_file_are_dealt_out(spark, name):
     rows = QUERIES[name](spark, SF).withColumn("p", F.spark_partition_id()).select("p").collect()
