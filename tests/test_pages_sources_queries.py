@@ -190,7 +190,7 @@ def test_worklists_of_one_brand_are_spread(spark):
         assert len({r.p for r in rows.withColumn("p", F.spark_partition_id()).collect()}) >= 6
 
 
-@pytest.mark.parametrize("name", ["brand_not_stocked"])
+@pytest.mark.parametrize("name", ["brand_not_stocked", "discovery_worklist"])
 def test_worklists_are_written_in_short_runs_of_shops(spark, name):
     from pyspark.sql import Window
 
